@@ -17,6 +17,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cahier.llm.substring_dedup import repeated_passages
+
+    found = repeated_passages(_table(spark, sf_dir, "documents"), window=50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cahier.llm.jaccard_join import near_duplicates
 
@@ -60,7 +67,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op5_jaccard_join, op6_token_counts, op7_quality_classifier, op8_decontamination, op9_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sharding, op3_substring_dedup, op5_jaccard_join, op6_token_counts, op7_quality_classifier, op8_decontamination, op9_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
