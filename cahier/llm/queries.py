@@ -17,6 +17,15 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cahier.llm.class_lm import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 7
+    scored = score(docs, fit(docs, fold != 2))
+    return scored.select("doc_id", (fold == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cahier.llm.substring_dedup import repeated_passages
 
@@ -67,7 +76,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op3_substring_dedup, op5_jaccard_join, op6_token_counts, op7_quality_classifier, op8_decontamination, op9_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sharding, op2_lm_scoring, op3_substring_dedup, op5_jaccard_join, op6_token_counts, op7_quality_classifier, op8_decontamination, op9_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
