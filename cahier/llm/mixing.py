@@ -61,6 +61,29 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3,
     target by half a document at most. Null texts have size 0 and are taken 0 words; a null source is a source of its
     own; repeated rows each count; an empty table gives no rows; other columns are not read.
     """
+    rows = _decide(docs, weights, max_epochs, seed, id_col, text_col, source_col)
+    return rows.select("doc_id", "size", "source_size", "target", "epochs", (F.col("size") * F.col("epochs")).cast("long").alias("taken"))
+
+
+def repeat(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, columns unchanged.
+
+    What is decided is one key per source, up to which documents are taken once more; it meets the documents by a
+    join of the table of sources, so no text is shuffled. Rows with one id are taken alike.
+    """
+    rows = _decide(docs, weights, max_epochs, seed, id_col, text_col, source_col)
+    last = F.max(F.when(F.col("extra"), F.struct(F.col("k"), F.col("doc_id"))))
+    table = cut_lineage(rows.groupBy("source").agg(F.max("whole").alias("_whole"), last.alias("_last")).withColumnRenamed("source", "_source"))
+    if table.count() <= BROADCAST_ROWS:
+        table = F.broadcast(table)
+    names = docs.columns
+    own = docs.select(*names, F.struct(seeded_key(F.col(id_col), seed).alias("k"), F.col(id_col).alias("doc_id")).alias("_own"))
+    epochs = (F.col("_whole") + F.when(F.col("_own") <= F.col("_last"), 1).otherwise(0)).cast("int")
+    joined = own.join(table, own[source_col].eqNullSafe(table["_source"])).withColumn("_epochs", epochs)
+    return joined.where("_epochs > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_epochs")))).select(*names)
+
+
+def _decide(docs: DataFrame, weights: DataFrame | None, max_epochs: int, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     slim = cut_lineage(docs.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), seeded_key(F.col(id_col), seed).alias("k")))
     sources = slim.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     numbered = sources.withColumn("no", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")))  # of the sources only
@@ -76,7 +99,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3,
     named = table.select(F.col("source").alias("_s"), "no", "source_size", "target", "whole", "rest")
     if n_sources <= BROADCAST_ROWS:
         named = F.broadcast(named)
-    rows = slim.join(named, slim["source"].eqNullSafe(F.col("_s"))).drop("_s", "source")
+    rows = slim.join(named, slim["source"].eqNullSafe(F.col("_s"))).drop("_s")
 
     # Two rounds of ranges: the first splits the keys in 2**b, the second the range with the cut in 2**b again.
     bits = max(4, min(14, (largest.bit_length() - 8) // 2 + 1))
@@ -96,8 +119,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3,
     edge = rows.where(where == F.col("prefix")).withColumn("end", F.col("below") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0))).withColumn("extra", 2 * F.col("end") - F.col("size") <= 2 * F.col("rest")).drop("end")
     out = edge.unionByName(rows.where(where != F.col("prefix")).withColumn("extra", where < F.col("prefix")))
     # The document that ends the range before the cut may have its middle behind it only if it holds the cut itself, so it is in the edge.
-    epochs = (F.col("whole") + F.when(F.col("extra") & (F.col("rest") > 0), 1).otherwise(0)).cast("int")
-    return out.select("doc_id", "size", "source_size", "target", epochs.alias("epochs"), (F.col("size") * epochs).cast("long").alias("taken"))
+    extra = F.col("extra") & (F.col("rest") > 0)
+    return out.withColumn("extra", extra).withColumn("epochs", (F.col("whole") + F.when(extra, 1).otherwise(0)).cast("int"))
 
 
 ORACLE = r"""

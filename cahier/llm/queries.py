@@ -33,6 +33,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cahier.llm.license_scan import scan
+
+    found = scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"), F.col("n_unmatched").cast("long").alias("n_unmatched"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cahier.llm.jaccard_join import near_duplicates
 
@@ -75,11 +82,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_lm_scoring, op3_substring_dedup, op5_jaccard_join, op6_token_counts, op7_quality_classifier, op8_decontamination, op9_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sharding, op2_lm_scoring, op3_substring_dedup, op4_license_scan, op5_jaccard_join, op6_token_counts, op7_quality_classifier, op8_decontamination, op9_mixing, op10_quality_rules, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from cahier.llm import mixing
+    from cahier.llm import license_scan, mixing
 
-    return {"op9_mixing": mixing.ORACLE}
+    return {"op4_license_scan": license_scan.oracle(), "op9_mixing": mixing.ORACLE}

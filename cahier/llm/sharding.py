@@ -126,6 +126,31 @@ def slots(df: DataFrame, group: str, tie: str, order: list[str], rows: int, grou
     return df.withColumn("slot", (F.col("_offset") + F.col("_rank") - 1).cast("long")).drop("_bucket", "_offset", "_rank")
 
 
+def _dims(categories: tuple[str, ...]) -> list[str]:
+    return ["k_size", *[f"k_{c}" for c in categories]]
+
+
+def _points(docs: DataFrame, id_col: str, text_col: str, categories: tuple[str, ...], *others: str) -> DataFrame:
+    size = (F.coalesce(F.octet_length(text_col), F.lit(0)) + 8).cast("long")
+    tie = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 32)
+    slim = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit(""))).alias("text_crc32"), tie.alias("tie"), *[F.col(c).cast("string").alias(f"c_{c}") for c in categories], F.struct(*[F.col(c) for c in others or (id_col,)]).alias("row"))
+    values = {"k_size": F.floor(F.log2(F.col("size").cast("double")) * (1 << 25)), **{f"k_{c}": _hashed(F.col(f"c_{c}")) for c in categories}}
+    return slim.select("*", *[_ordered(v, F.col("tie")).alias(k) for k, v in values.items()])
+
+
+def _leaf(root: Node, categories: tuple[str, ...]) -> Column:
+    return _walk(root, lambda n: F.lit(n.first_leaf), {d: F.col(d) for d in _dims(categories)}).cast("int")
+
+
+def with_shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", categories: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """The rows of ``docs`` with their shard (a column of that name is replaced); no row is shuffled."""
+    points = cut_lineage(_points(docs, id_col, text_col, categories).select(F.col("size").alias("bytes"), *_dims(categories)))
+    root = build_tree(points, _dims(categories), shards)
+    rest = [c for c in docs.columns if c != "shard"]
+    placed = _points(docs, id_col, text_col, categories, *rest).withColumn("_shard", _leaf(root, categories))
+    return placed.select(*[F.col(f"row.{c}").alias(c) for c in rest], F.col("_shard").alias("shard"))
+
+
 def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", categories: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """One row per row of ``docs``: id, size, text_crc32, shard, slot.
 
@@ -134,12 +159,10 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     and equal ids are kept as they are; ties are broken by a hash of id and text; an empty table gives no rows; with
     fewer rows than shards some shards are empty; other columns are not read.
     """
-    dims = {"k_size": F.floor(F.log2(F.col("size").cast("double")) * (1 << 25)), **{f"k_{c}": _hashed(F.col(f"c_{c}")) for c in categories}}
-    slim = docs.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit(""))).alias("text_crc32"), F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 32).alias("tie"), *[F.col(c).cast("string").alias(f"c_{c}") for c in categories])
-    slim = cut_lineage(slim.select("doc_id", "size", "text_crc32", "tie", F.col("size").alias("bytes"), *[_ordered(v, F.col("tie")).alias(k) for k, v in dims.items()]))
-    total, rows = slim.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+    points = cut_lineage(_points(docs, id_col, text_col, categories).select("doc_id", "size", "text_crc32", "tie", F.col("size").alias("bytes"), *_dims(categories)))
+    total, rows = points.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
     if shards is None:
         shards = max(1, -(-total // (target_bytes or 256 << 20)))
-    root = build_tree(slim, list(dims), shards)
-    placed = slim.select("doc_id", "size", "text_crc32", "tie", _walk(root, lambda n: F.lit(n.first_leaf), {d: F.col(d) for d in dims}).cast("int").alias("shard"))
+    root = build_tree(points, _dims(categories), shards)
+    placed = points.select("doc_id", "size", "text_crc32", "tie", _leaf(root, categories).alias("shard"))
     return slots(placed, "shard", "tie", ["doc_id", "tie", "text_crc32"], rows, shards).drop("tie")
