@@ -2,14 +2,16 @@
 
 1. One pass over the texts: per text the size and a digest of its shingle set, and a sketch of bounded width with the
    shingles' frequencies. Texts with equal sets are one from here on.
-2. A second pass deals out each set's prefix: the |x| - ceil(t |x|) + 1 shingles that come first when rare ones come
-   first (by the sketch, then by hash; any common order is exact, this one keeps frequent passages out). Two sets that
-   are similar enough share a shingle of their prefixes. Shingles that only one set has are dropped where they meet.
+2. A second pass deals out each set's prefix: the |x| - ceil(t |x|) + l shingles that come first when rare ones come
+   first (by the sketch, then by hash; any common order is exact, this one keeps frequent passages out), l being a
+   fifth of the set. Two sets that are similar enough share the smaller l shingles of their prefixes. Shingles that
+   only one set has are dropped where they meet, then sets that are left with fewer shared shingles than that.
 3. In each remaining bucket a signature tree is built: nodes hold the OR of their sets' bitmaps, the range of sizes
    and the most bits that any of the sets lost to collisions. A traversal of pairs of nodes prunes by sizes and by the
    maximum possible overlap, and skips pairs whose sets are already connected; what is left is verified exactly.
-   First each set looks only into two buckets (its smallest shingles under two orders), which connects nearly all
-   groups; then come the buckets in which sets of different components still meet. Large buckets are split into chunks.
+   First each set looks only into two buckets (its smallest shingles under two orders), twice, which connects nearly
+   all groups; then come all buckets in which sets of different components still meet, gathered in clusters so that a
+   pair is not compared in each. Large buckets are split into chunks.
 4. Links (at most one fewer than a bucket has sets) become components by alternating large-star and small-star.
 """
 
@@ -29,6 +31,7 @@ from cahier.session import cut_lineage
 PART_ENTRIES = 1 << 19
 #: Sets of a bucket that one task compares with each other.
 CHUNK = 1500
+CHUNK_SHINGLES = 4 << 20
 TASK_BYTES = 24 << 20
 FAN_OUT = 8
 #: Ids up to this many are broadcast (16 bytes each); more are joined by shuffle.
@@ -57,7 +60,22 @@ def _digest(s: np.ndarray) -> int:
 
 
 def _prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    return n - -(-percent * n // 100) + max(1, n // 5)
+
+
+def _fewest_shared(n: Column, percent: int) -> Column:
+    """Shared prefix shingles of a set of n with any similar set, which has at least ``percent`` of n."""
+    return F.greatest(F.lit(1), F.floor(F.ceil(n * percent / 100) / 5))
+
+
+def _promising(shared: DataFrame, percent: int) -> DataFrame:
+    """Without sets that have too few shared shingles, and without shingles that are then in one set only; twice."""
+    for _ in range(2):
+        sets = shared.groupBy("digest").agg(F.count("*").alias("c"), F.first("n").alias("m")).where(F.col("c") >= _fewest_shared(F.col("m"), percent)).select("digest")
+        shared = cut_lineage(shared.join(sets, "digest", "left_semi"))
+        buckets = shared.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+        shared = shared.join(buckets, "bucket", "left_semi")
+    return cut_lineage(shared.select("bucket", "digest", "n"))
 
 
 def _scan(docs: DataFrame, k: int, bits: int) -> DataFrame:
@@ -219,9 +237,9 @@ class _Bucket:
         return self.links
 
 
-def _links(members: DataFrame, sets: DataFrame, percent: int, bytes_: int) -> DataFrame:
-    """``members``: bucket, chunk, digest, label, aside. Verified links (a, b) between digests."""
-    tasks = max(16, bytes_ // TASK_BYTES)
+def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``members``: bucket, chunk, digest, n, label, aside. Verified links (a, b) between digests."""
+    tasks = max(64, 8 * (members.agg(F.sum("n")).first()[0] or 0) // TASK_BYTES)
 
     def run(table: pa.Table) -> pa.Table:
         bucket, chunk, digest, label, aside = (table[c].to_numpy(zero_copy_only=False) for c in ("bucket", "chunk", "digest", "label", "aside"))
@@ -230,6 +248,7 @@ def _links(members: DataFrame, sets: DataFrame, percent: int, bytes_: int) -> Da
         cut = np.flatnonzero(np.append(True, (bucket[by][1:] != bucket[by][:-1]) | (chunk[by][1:] != chunk[by][:-1])))
         a, b = [], []
         for ids in np.split(by, cut[1:]):
+            ids = ids[np.append(True, digest[ids[1:]] != digest[ids[:-1]])]
             if len(ids) > 1:
                 for i, j in _Bucket([np.frombuffer(sets[x], np.uint64) for x in ids], label[ids], aside[ids], percent).link():
                     a.append(digest[ids[i]])
@@ -261,8 +280,17 @@ def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_IDS else df
 
 
-def _chunked(buckets: DataFrame, count: Column) -> Column:
-    return F.greatest(F.lit(1), F.ceil(count / CHUNK)).cast("int")
+def _mixed(shared: DataFrame, label: DataFrame | None) -> DataFrame:
+    """bucket, digest, n, label, main, chunks: the buckets in which different components meet, the largest of them
+    (``main``), and into how many chunks the bucket has to be split."""
+    if label is None:
+        rest = shared.withColumn("label", F.col("digest"))
+    else:
+        rest = shared.join(label.select(F.col("node").alias("digest"), "component"), "digest", "left").select("bucket", "digest", "n", F.coalesce("component", "digest").alias("label"))
+    groups = rest.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.sum("n").alias("words"))
+    mixed = groups.groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("c"), F.sum("words").alias("words"), F.count("*").alias("labels")).where("labels > 1")
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("c") / CHUNK), F.ceil(F.col("words") / CHUNK_SHINGLES)).cast("int")
+    return rest.join(mixed.select("bucket", "main", chunks.alias("chunks")), "bucket")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,8 +306,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, id_col:
     scan = cut_lineage(_scan(slim, words, bits))
     summary = scan.where("kind = 0").select("doc_id", "n", "digest")
     levels = _levels(scan, bits)
-    entries = (summary.agg(F.sum("n")).first()[0] or 0) * (100 - percent) // 100
-    shared = cut_lineage(_shared_shingles(slim, words, percent, levels, bits, entries))
+    entries = (summary.agg(F.sum("n")).first()[0] or 0) * (120 - percent) // 100
+    shared = _promising(cut_lineage(_shared_shingles(slim, words, percent, levels, bits, entries)), percent)
 
     classes = summary.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     wanted = cut_lineage(shared.select("digest").distinct().join(classes, "digest"))
@@ -291,32 +319,37 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, id_col:
             yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["digest", "shingles"])
 
     chosen = slim.join(_small(wanted.select(F.col("rep").alias("doc_id")), count), "doc_id", "left_semi")
-    made = cut_lineage(chosen.mapInArrow(sets, "digest long, shingles binary").dropDuplicates(["digest"]))
-
-    # First each set in two buckets only.
-    two = shared.groupBy("digest").agg(F.min("bucket").alias("x"), F.min_by("bucket", F.xxhash64("bucket")).alias("y"), F.first("n").alias("n"))
-    two = two.select("digest", "n", F.explode(F.array_distinct(F.array("x", "y"))).alias("bucket"))
-    sizes = two.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
-    members = two.join(sizes, "bucket").select("bucket", F.pmod(F.xxhash64("digest"), _chunked(two, F.col("c"))).cast("int").alias("chunk"), "digest", F.col("digest").alias("label"), F.lit(False).alias("aside"))
-    bytes_ = 8 * (two.agg(F.sum("n")).first()[0] or 0)
-    links = cut_lineage(_links(members, made, percent, bytes_))
-    label = components(links)
-
-    # Then the buckets in which different components meet.
-    rest = shared.join(label.select(F.col("node").alias("digest"), "component"), "digest", "left").select("bucket", "digest", "n", F.coalesce("component", "digest").alias("label"))
-    rest = cut_lineage(rest)
-    groups = rest.groupBy("bucket", "label").agg(F.count("*").alias("c"))
-    mixed = groups.groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("c"), F.count("*").alias("labels")).where("labels > 1")
-    rest = rest.join(mixed, "bucket").withColumn("chunks", _chunked(rest, F.col("c")))
+    made = cut_lineage(chosen.mapInArrow(sets, "digest long, shingles binary"))  # repeated rows may repeat a set
+
+    links, label = [], None
+    for turn in range(2):  # each set in two buckets only
+        rest = _mixed(shared, label)
+        picked = rest.groupBy("digest").agg(*[F.min_by(F.struct("bucket", "chunks", "n", "label"), F.xxhash64("bucket", F.lit(2 * turn + i))).alias(f"p{i}") for i in (0, 1)])
+        picked = picked.select("digest", F.explode(F.array_distinct(F.array("p0", "p1"))).alias("p")).select("digest", "p.*")
+        picked = cut_lineage(picked.select("bucket", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int").alias("chunk"), "digest", "n", "label", F.lit(False).alias("aside")))
+        links.append(cut_lineage(_links(picked, made, percent)))
+        label = components(links[0] if turn == 0 else links[0].unionByName(links[1]))
+
+    # What may still be linked, in clusters of sets that meet in any bucket: a cluster of bounded size is one task's,
+    # and a larger one is compared bucket by bucket.
+    rest = cut_lineage(_mixed(shared, label))
+    hub = rest.groupBy("bucket").agg(F.min("digest").alias("hub"))
+    cluster = components(rest.join(hub, "bucket").select(F.col("digest").alias("a"), F.col("hub").alias("b")))
+    cluster = cluster.unionByName(cluster.select(F.col("component").alias("node"), "component").distinct())
+    sets_ = rest.groupBy("digest").agg(F.first("n").alias("n"), F.first("label").alias("label")).join(cluster.withColumnRenamed("node", "digest"), "digest")
+    small = sets_.groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("words")).where((F.col("c") <= 2 * CHUNK) & (F.col("words") <= CHUNK_SHINGLES)).select("component")
+    sets_ = cut_lineage(sets_.join(small, "component", "left_semi"))
+    whole = sets_.select(F.col("component").alias("bucket"), F.lit(0).alias("chunk"), "digest", "n", "label", F.lit(False).alias("aside"))
+    rest = rest.join(sets_.select("digest"), "digest", "left_anti")
     own = F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int")
     # Sets outside the bucket's main component are in all its chunks, and compared with each other in the first only.
     rest = rest.select("bucket", "digest", "n", "label", F.explode(F.when(F.col("label") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))).alias("chunk"), (F.col("label") != F.col("main")).alias("other"))
-    rest = cut_lineage(rest.select("bucket", "chunk", "digest", "n", "label", (F.col("other") & (F.col("chunk") > 0)).alias("aside")))
-    bytes_ = 8 * (rest.agg(F.sum("n")).first()[0] or 0)
-    more = cut_lineage(_links(rest.drop("n"), made, percent, bytes_))
+    rest = rest.select("bucket", "chunk", "digest", "n", "label", (F.col("other") & (F.col("chunk") > 0)).alias("aside"))
+    links.append(cut_lineage(_links(cut_lineage(whole.unionByName(rest)), made, percent)))
+    found = links[0].unionByName(links[1]).unionByName(links[2])
 
     reps = lambda df: df.join(wanted.select(F.col("digest").alias("a"), F.col("rep").alias("ra")), "a").join(wanted.select(F.col("digest").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    joined = components(reps(links.unionByName(more)))
+    joined = components(reps(found))
     named = classes.join(joined, classes["rep"] == joined["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     full = summary.where("n > 0").join(named, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(summary.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
