@@ -4,15 +4,16 @@
    shingles' frequencies. Texts with equal sets are one from here on.
 2. A second pass deals out each set's prefix: the |x| - ceil(t |x|) + l shingles that come first when rare ones come
    first (by the sketch, then by hash; any common order is exact, this one keeps frequent passages out), l being a
-   fifth of the set. Two sets that are similar enough share the smaller l shingles of their prefixes. Shingles that
-   only one set has are dropped where they meet, then sets that are left with fewer shared shingles than that.
-3. In each remaining bucket a signature tree is built: nodes hold the OR of their sets' bitmaps, the range of sizes
-   and the most bits that any of the sets lost to collisions. A traversal of pairs of nodes prunes by sizes and by the
-   maximum possible overlap, and skips pairs whose sets are already connected; what is left is verified exactly.
-   First each set looks only into two buckets (its smallest shingles under two orders), twice, which connects nearly
-   all groups; then come all buckets in which sets of different components still meet, gathered in clusters so that a
-   pair is not compared in each. Large buckets are split into chunks.
-4. Links (at most one fewer than a bucket has sets) become components by alternating large-star and small-star.
+   fifth of the set. Two sets that are similar enough share the smaller l shingles of their prefixes. Per set the
+   shingles are counted that a set of fitting size shares; sets with too few can have no link and are done.
+3. The prefixes of the others are dealt once more; sets that share any shingle form clusters.
+4. Each cluster gets a signature tree: nodes hold the OR of their sets' bitmaps, the range of sizes and the most bits
+   that any of the sets lost to collisions. A traversal of pairs of nodes prunes by sizes and by the maximum possible
+   overlap, and skips pairs whose sets are already connected; what is left is verified exactly. A larger cluster is
+   cut by size into chunks, and pairs of chunks whose sizes fit are traversed, each by a task of its own. A cluster
+   too large for that goes shingle by shingle: first each set in two buckets only, twice, which connects nearly all,
+   then in all buckets where different components still meet.
+5. Links (at most one fewer than a tree has sets) become components by alternating large-star and small-star.
 """
 
 from __future__ import annotations
@@ -22,16 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cahier.llm.words import NOT_SPACE, U64, Words, grams, mix, text_blocks
 from cahier.session import cut_lineage
 
-PART_ENTRIES = 1 << 19
+PART_ENTRIES = 1 << 21
 #: Sets of a bucket that one task compares with each other.
 CHUNK = 1500
-CHUNK_SHINGLES = 4 << 20
+CHUNK_SHINGLES = 2 << 20
+#: Clusters of more chunks go shingle by shingle.
+CLUSTER_CHUNKS = 64
 TASK_BYTES = 24 << 20
 FAN_OUT = 8
 #: Ids up to this many are broadcast (16 bytes each); more are joined by shuffle.
@@ -68,16 +72,6 @@ def _fewest_shared(n: Column, percent: int) -> Column:
     return F.greatest(F.lit(1), F.floor(F.ceil(n * percent / 100) / 5))
 
 
-def _promising(shared: DataFrame, percent: int) -> DataFrame:
-    """Without sets that have too few shared shingles, and without shingles that are then in one set only; twice."""
-    for _ in range(2):
-        sets = shared.groupBy("digest").agg(F.count("*").alias("c"), F.first("n").alias("m")).where(F.col("c") >= _fewest_shared(F.col("m"), percent)).select("digest")
-        shared = cut_lineage(shared.join(sets, "digest", "left_semi"))
-        buckets = shared.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-        shared = shared.join(buckets, "bucket", "left_semi")
-    return cut_lineage(shared.select("bucket", "digest", "n"))
-
-
 def _scan(docs: DataFrame, k: int, bits: int) -> DataFrame:
     """kind 0: doc_id, n, digest of every text. kind 1: block n of the sketch's counts, one row per task and block."""
 
@@ -96,25 +90,29 @@ def _scan(docs: DataFrame, k: int, bits: int) -> DataFrame:
     return docs.mapInArrow(run, "kind int, doc_id long, n long, digest long, counts binary")
 
 
-def _levels(scan: DataFrame, bits: int) -> np.ndarray:
+def _levels(scan: DataFrame, bits: int, total: int) -> np.ndarray:
     """How frequent the shingles of each sketch cell are: 0 for cells near the mean, else 1 + log2 of the excess."""
+    limit = 4 * total / (1 << bits) + 8
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(x), np.uint8).astype(np.int64) for x in table["counts"].to_pylist())
-        return pa.table({"n": table["n"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+        counts = sum(np.frombuffer(zlib.decompress(x), np.uint8).astype(np.int64) for x in table["counts"].to_pylist())
+        level = np.where(counts <= limit, 0, 1 + np.log2(np.maximum(counts / limit, 1))).astype(np.uint8)
+        return pa.table({"n": table["n"][:1], "level": pa.array([level.tobytes()], pa.binary())})
+
+    out = np.zeros((SKETCH_BLOCKS, (1 << bits) // SKETCH_BLOCKS), np.uint8)
+    for r in scan.where("kind = 1").select("n", "counts").groupBy("n").applyInArrow(add, "n long, level binary").collect():  # 2**bits bytes
+        out[r["n"]] = np.frombuffer(r["level"], np.uint8)
+    return out.ravel()
 
-    blocks = scan.where("kind = 1").select("n", "counts").groupBy("n").applyInArrow(add, "n long, counts binary").collect()  # 2**bits numbers
-    counts = np.zeros((SKETCH_BLOCKS, (1 << bits) // SKETCH_BLOCKS), np.int64)
-    for r in blocks:
-        counts[r["n"]] = np.frombuffer(r["counts"], np.int64)
-    limit = 4 * counts.mean() + 8
-    return np.where(counts <= limit, 0, 1 + np.log2(np.maximum(counts / limit, 1))).astype(np.uint8).ravel()
 
+def _meet(docs: DataFrame, k: int, percent: int, shared: Broadcast, bits: int, entries: int, what: str) -> DataFrame:
+    """The prefix shingles that at least two different sets of fitting sizes have, as
 
-def _shared_shingles(docs: DataFrame, k: int, percent: int, levels: np.ndarray, bits: int, entries: int) -> DataFrame:
-    """bucket, digest, n: the prefix shingles that at least two different sets of fitting sizes have."""
+    - counts: digest, n, c: how many each set has,
+    - edges: a, b: each set with the smallest of those that share one with it,
+    - rows: bucket, digest, n.
+    """
     part_bits = max(6, (entries // PART_ENTRIES).bit_length())
-    shared = docs.sparkSession.sparkContext.broadcast(levels)  # 2**bits bytes
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, off in text_blocks(batches, 16 << 20):
@@ -160,24 +158,34 @@ def _shared_shingles(docs: DataFrame, k: int, percent: int, levels: np.ndarray,
         h, d, size = h[new], d[new], size[new].astype(np.int64)
         fits = np.append(False, (h[1:] == h[:-1]) & (100 * size[:-1] >= percent * size[1:]))[: len(h)]
         fits |= np.append(fits[1:], False)[: len(h)]
-        return pa.table({"bucket": pa.array(h[fits].view(np.int64)), "digest": pa.array(d[fits]), "n": pa.array(size[fits])})
-
+        h, d, size = h[fits], d[fits], size[fits]
+        if what == "rows":
+            return pa.table({"bucket": pa.array(h.view(np.int64)), "digest": pa.array(d), "n": pa.array(size)})
+        if what == "counts":
+            d, at, c = np.unique(d, return_index=True, return_counts=True)
+            return pa.table({"digest": pa.array(d), "n": pa.array(size[at]), "c": pa.array(c.astype(np.int64))})
+        run = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (100 * size[:-1] < percent * size[1:]))[: len(h)])
+        hub = np.repeat(np.minimum.reduceat(d, run), np.diff(np.append(run, len(d)))) if len(d) else d
+        pairs = np.unique(np.stack([d, hub], 1)[d != hub], axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    schema = {"counts": "digest long, n long, c long", "edges": "a long, b long", "rows": "bucket long, digest long, n long"}[what]
     dealt = docs.mapInArrow(deal, "part int, h binary, digest binary, size binary, n binary")
-    return dealt.groupBy("part").applyInArrow(meet, "bucket long, digest long, n long")
+    return dealt.groupBy("part").applyInArrow(meet, schema)
 
 
 class _Bucket:
     """The sets of one bucket (or chunk of one), their signature tree and what is connected so far."""
 
-    def __init__(self, sets: list[np.ndarray], label: np.ndarray, aside: np.ndarray, percent: int):
+    def __init__(self, sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, percent: int):
         n = np.array([len(s) for s in sets], np.int64)
         by = np.lexsort((label, n))
-        self.sets, self.n, self.aside, self.at, self.percent = [sets[i] for i in by], n[by], aside[by], by, percent
+        self.sets, self.n, self.side, self.at, self.percent = [sets[i] for i in by], n[by], side[by], by, percent
         self.label = np.unique(label[by], return_inverse=True)[1]
         self.links: list[tuple[int, int]] = []
 
     def verify(self, i: int, j: int) -> None:
-        if self.label[i] == self.label[j] or self.aside[i] and self.aside[j]:
+        if self.label[i] == self.label[j] or 0 < self.side[i] == self.side[j]:
             return
         a, b = self.sets[i], self.sets[j]
         a, b = (a, b) if len(a) <= len(b) else (b, a)
@@ -229,7 +237,7 @@ class _Bucket:
                 continue
             i, j = np.arange(x * FAN_OUT, min((x + 1) * FAN_OUT, m)), np.arange(y * FAN_OUT, min((y + 1) * FAN_OUT, m))
             most = np.bitwise_count(maps[i][:, None] & maps[j][None]).sum(2, dtype=np.int64) + np.minimum(lost[i][:, None], lost[j][None])
-            ok = (most >= need(self.n[i][:, None], self.n[j][None])) & (self.label[i][:, None] != self.label[j][None])
+            ok = ((self.side[i][:, None] != self.side[j][None]) | (self.side[i] == 0)[:, None]) & (most >= need(self.n[i][:, None], self.n[j][None])) & (self.label[i][:, None] != self.label[j][None])
             if x == y:
                 ok &= i[:, None] > j[None]
             for a, b in zip(*np.nonzero(ok)):
@@ -238,11 +246,12 @@ class _Bucket:
 
 
 def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``members``: bucket, chunk, digest, n, label, aside. Verified links (a, b) between digests."""
+    """``members``: bucket, chunk, digest, n, label, side. Verified links (a, b) between digests that meet in a chunk of a
+    bucket; sets on the same side other than 0 are not compared."""
     tasks = max(64, 8 * (members.agg(F.sum("n")).first()[0] or 0) // TASK_BYTES)
 
     def run(table: pa.Table) -> pa.Table:
-        bucket, chunk, digest, label, aside = (table[c].to_numpy(zero_copy_only=False) for c in ("bucket", "chunk", "digest", "label", "aside"))
+        bucket, chunk, digest, label, side = (table[c].to_numpy() for c in ("bucket", "chunk", "digest", "label", "side"))
         sets = table["shingles"].to_pylist()
         by = np.lexsort((digest, chunk, bucket))
         cut = np.flatnonzero(np.append(True, (bucket[by][1:] != bucket[by][:-1]) | (chunk[by][1:] != chunk[by][:-1])))
@@ -250,13 +259,13 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for ids in np.split(by, cut[1:]):
             ids = ids[np.append(True, digest[ids[1:]] != digest[ids[:-1]])]
             if len(ids) > 1:
-                for i, j in _Bucket([np.frombuffer(sets[x], np.uint64) for x in ids], label[ids], aside[ids], percent).link():
+                for i, j in _Bucket([np.frombuffer(sets[x], np.uint64) for x in ids], label[ids], side[ids], percent).link():
                     a.append(digest[ids[i]])
                     b.append(digest[ids[j]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     dealt = members.join(sets, "digest").withColumn("task", F.pmod(F.xxhash64("bucket", "chunk"), F.lit(tasks)).cast("int"))
-    return dealt.select("task", "bucket", "chunk", "digest", "label", "aside", "shingles").groupBy("task").applyInArrow(run, "a long, b long")
+    return dealt.select("task", "bucket", "chunk", "digest", "label", "side", "shingles").groupBy("task").applyInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -293,6 +302,40 @@ def _mixed(shared: DataFrame, label: DataFrame | None) -> DataFrame:
     return rest.join(mixed.select("bucket", "main", chunks.alias("chunks")), "bucket")
 
 
+def _chunk_pairs(sets_: DataFrame, percent: int) -> DataFrame:
+    """members of all pairs of chunks of each cluster whose sizes fit. ``sets_``: component, chunks, digest, n."""
+    # Within a cluster of at most CLUSTER_CHUNKS chunks; running sums of shingles keep chunks of long texts short.
+    by = Window.partitionBy("component").orderBy("n", "digest")
+    share = (F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)) / F.sum("n").over(Window.partitionBy("component")) + F.percent_rank().over(by)) / 2
+    own = sets_.withColumn("own", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * F.col("chunks")), F.col("chunks") - 1).cast("int"))
+    range_ = own.groupBy("component", "own").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    other = range_.select("component", F.col("own").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    pairs = range_.join(other, "component").where((F.col("own") <= F.col("other")) & (100 * F.col("hi") >= percent * F.col("lo2"))).select("component", "own", "other")
+    key = (F.col("own") * CLUSTER_CHUNKS + F.col("other")).alias("chunk")
+    first = pairs.select("component", "own", key, F.when(F.col("own") == F.col("other"), 0).otherwise(1).alias("side"))
+    second = pairs.where("own < other").select("component", F.col("other").alias("own"), key, F.lit(2).alias("side"))
+    members = own.join(first.unionByName(second), ["component", "own"])
+    return members.select(F.col("component").alias("bucket"), "chunk", "digest", "n", F.col("digest").alias("label"), "side")
+
+
+def _by_shingle(shared: DataFrame, made: DataFrame, percent: int) -> DataFrame:
+    """Links within clusters of any size. ``shared``: bucket, digest, n."""
+    links, label = [], None
+    for turn in range(2):  # each set in two buckets only
+        rest = _mixed(shared, label)
+        picked = rest.groupBy("digest").agg(*[F.min_by(F.struct("bucket", "chunks", "n", "label"), F.xxhash64("bucket", F.lit(2 * turn + i))).alias(f"p{i}") for i in (0, 1)])
+        picked = picked.select("digest", F.explode(F.array_distinct(F.array("p0", "p1"))).alias("p")).select("digest", "p.*")
+        picked = cut_lineage(picked.select("bucket", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int").alias("chunk"), "digest", "n", "label", F.lit(0).alias("side")))
+        links.append(cut_lineage(_links(picked, made, percent)))
+        label = components(links[0] if turn == 0 else links[0].unionByName(links[1]))
+    rest = _mixed(shared, label)
+    own = F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int")
+    # Sets outside the bucket's main component are in all its chunks, and compared with each other in the first only.
+    rest = rest.select("bucket", "digest", "n", "label", F.explode(F.when(F.col("label") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))).alias("chunk"), (F.col("label") != F.col("main")).alias("other"))
+    rest = cut_lineage(rest.select("bucket", "chunk", "digest", "n", "label", (F.col("other") & (F.col("chunk") > 0)).cast("int").alias("side")))
+    return cut_lineage(links[0].unionByName(links[1]).unionByName(_links(rest, made, percent)))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, the smallest id reachable by links.
 
@@ -305,48 +348,37 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, id_col:
     bits = min(24, max(16, (16 * slim.count()).bit_length()))
     scan = cut_lineage(_scan(slim, words, bits))
     summary = scan.where("kind = 0").select("doc_id", "n", "digest")
-    levels = _levels(scan, bits)
-    entries = (summary.agg(F.sum("n")).first()[0] or 0) * (120 - percent) // 100
-    shared = _promising(cut_lineage(_shared_shingles(slim, words, percent, levels, bits, entries)), percent)
-
+    total = summary.agg(F.sum("n")).first()[0] or 0
+    levels = slim.sparkSession.sparkContext.broadcast(_levels(scan, bits, total))  # 2**bits bytes
+    entries = total * (120 - percent) // 100
     classes = summary.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    wanted = cut_lineage(shared.select("digest").distinct().join(classes, "digest"))
-    count = wanted.count()
+
+    counts = _meet(slim, words, percent, levels, bits, entries, "counts").groupBy("digest").agg(F.sum("c").alias("c"), F.first("n").alias("n"))
+    wanted = cut_lineage(counts.where(F.col("c") >= _fewest_shared(F.col("n"), percent)).select("digest", "n").join(classes, "digest"))
+    count, entries = wanted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    chosen = slim.join(_small(wanted.select(F.col("rep").alias("doc_id")), count), "doc_id", "left_semi")
+    cluster = components(_meet(chosen, words, percent, levels, bits, entries * (120 - percent) // 100, "edges"))
+    cluster = cluster.unionByName(cluster.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "digest")
+    sets_ = cut_lineage(wanted.join(cluster, "digest"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, off in text_blocks(batches):
             found = [s for s in shingle_sets(data, off, words) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["digest", "shingles"])
 
-    chosen = slim.join(_small(wanted.select(F.col("rep").alias("doc_id")), count), "doc_id", "left_semi")
-    made = cut_lineage(chosen.mapInArrow(sets, "digest long, shingles binary"))  # repeated rows may repeat a set
-
-    links, label = [], None
-    for turn in range(2):  # each set in two buckets only
-        rest = _mixed(shared, label)
-        picked = rest.groupBy("digest").agg(*[F.min_by(F.struct("bucket", "chunks", "n", "label"), F.xxhash64("bucket", F.lit(2 * turn + i))).alias(f"p{i}") for i in (0, 1)])
-        picked = picked.select("digest", F.explode(F.array_distinct(F.array("p0", "p1"))).alias("p")).select("digest", "p.*")
-        picked = cut_lineage(picked.select("bucket", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int").alias("chunk"), "digest", "n", "label", F.lit(False).alias("aside")))
-        links.append(cut_lineage(_links(picked, made, percent)))
-        label = components(links[0] if turn == 0 else links[0].unionByName(links[1]))
+    held = _small(sets_.select(F.col("rep").alias("doc_id")), count)
+    made = cut_lineage(slim.join(held, "doc_id", "left_semi").mapInArrow(sets, "digest long, shingles binary"))  # repeated rows may repeat a set
 
-    # What may still be linked, in clusters of sets that meet in any bucket: a cluster of bounded size is one task's,
-    # and a larger one is compared bucket by bucket.
-    rest = cut_lineage(_mixed(shared, label))
-    hub = rest.groupBy("bucket").agg(F.min("digest").alias("hub"))
-    cluster = components(rest.join(hub, "bucket").select(F.col("digest").alias("a"), F.col("hub").alias("b")))
-    cluster = cluster.unionByName(cluster.select(F.col("component").alias("node"), "component").distinct())
-    sets_ = rest.groupBy("digest").agg(F.first("n").alias("n"), F.first("label").alias("label")).join(cluster.withColumnRenamed("node", "digest"), "digest")
-    small = sets_.groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("words")).where((F.col("c") <= 2 * CHUNK) & (F.col("words") <= CHUNK_SHINGLES)).select("component")
-    sets_ = cut_lineage(sets_.join(small, "component", "left_semi"))
-    whole = sets_.select(F.col("component").alias("bucket"), F.lit(0).alias("chunk"), "digest", "n", "label", F.lit(False).alias("aside"))
-    rest = rest.join(sets_.select("digest"), "digest", "left_anti")
-    own = F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int")
-    # Sets outside the bucket's main component are in all its chunks, and compared with each other in the first only.
-    rest = rest.select("bucket", "digest", "n", "label", F.explode(F.when(F.col("label") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))).alias("chunk"), (F.col("label") != F.col("main")).alias("other"))
-    rest = rest.select("bucket", "chunk", "digest", "n", "label", (F.col("other") & (F.col("chunk") > 0)).alias("aside"))
-    links.append(cut_lineage(_links(cut_lineage(whole.unionByName(rest)), made, percent)))
-    found = links[0].unionByName(links[1]).unionByName(links[2])
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("c") / CHUNK), F.ceil(F.col("words") / CHUNK_SHINGLES)).cast("int")
+    sizes = sets_.groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("words")).select("component", chunks.alias("chunks"))
+    sets_ = cut_lineage(sets_.join(sizes, "component"))
+    found = cut_lineage(_links(_chunk_pairs(sets_.where(F.col("chunks") <= CLUSTER_CHUNKS), percent), made, percent))
+    huge = sets_.where(F.col("chunks") > CLUSTER_CHUNKS).select("digest", F.col("rep").alias("doc_id"), "n")
+    n_huge, entries = huge.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if n_huge:
+        chosen = slim.join(_small(huge.select("doc_id"), n_huge), "doc_id", "left_semi")
+        shared = cut_lineage(_meet(chosen, words, percent, levels, bits, entries * (120 - percent) // 100, "rows"))
+        found = found.unionByName(_by_shingle(shared, made, percent))
 
     reps = lambda df: df.join(wanted.select(F.col("digest").alias("a"), F.col("rep").alias("ra")), "a").join(wanted.select(F.col("digest").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     joined = components(reps(found))
