@@ -110,9 +110,9 @@ def _count_words(docs: DataFrame, ends: int) -> DataFrame:
             w = Words(data, off, NOT_SPACE, lower=True)
             h, at, n = np.unique(np.append(w.hash, np.full(len(off) - 1, END)), return_index=True, return_counts=True)
             held.append((h, n, np.append(ending(w, ends), np.full(len(off) - 1, -1))[at]))
-            if sum(len(x[0]) for x in held) > 3_000_000:  # what a task holds is bounded
+            if sum(len(x[0]) for x in held) > 1_200_000:  # what a task holds is bounded
                 held = [merged()]
-                if len(held[0][0]) > 1_500_000:
+                if len(held[0][0]) > 600_000:
                     yield batch(*held.pop())
         if held:
             yield batch(*merged())
@@ -256,6 +256,22 @@ class ClassModel:
     counts: DataFrame | None = None
 
 
+def _most_frequent(counts: DataFrame, most: int) -> dict[str, np.ndarray]:
+    """h, c, e of at most ``most`` words, by count: those above a limit that is found from the sizes of a few hundred
+    classes of counts (eight to a doubling), so no task or driver sorts the vocabulary."""
+    size = F.floor(F.log2(F.col("c").cast("double")) * 8)
+    limit, held = 1 << 30, 0
+    for r in counts.groupBy(size.alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("s")).collect():
+        held += r["n"]
+        if held > most:
+            break
+        limit = r["s"]
+    t = counts.where((size >= limit) | (F.col("h") == int(END.view(np.int64)))).toArrow()
+    h, c, e = (t[x].to_numpy() for x in ("h", "c", "e"))
+    by = np.lexsort((h, -c))
+    return {"h": h[by], "c": c[by], "e": e[by]}
+
+
 def fit(docs: DataFrame, use: Column | None = None, classes: int = 48, core: int = 2000, ends: int = 512, rounds: int = 8, often: int = 1 << 18, mixed: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> ClassModel:
     """Learns from the rows of ``docs`` for which ``use`` (an expression of doc_id) holds; a null text is empty."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -264,25 +280,25 @@ def fit(docs: DataFrame, use: Column | None = None, classes: int = 48, core: int
     slim = slim.select("doc_id", "text")
     counts = cut_lineage(_count_words(slim, ends))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(often).toPandas()  # a fixed number of rows
-    h = top["h"].to_numpy(np.int64).view(np.uint64)
-    end = int(top["c"].to_numpy()[h == END].sum())
+    top = _most_frequent(counts, often)
+    h = top["h"].view(np.uint64)
+    end = int(top["c"][h == END].sum())
     words = h != END
     units = Units(Lookup(h[words][:core]), len(h[words][:core]), ends)
     pairs = cut_lineage(_count_pairs(slim, units))
     # Words of a unit: row sums of the pairs (each token begins one), the end's counted once per text.
     weight = np.zeros(units.total)
-    weight[: units.n_core] = top["c"].to_numpy()[words][:core]
+    weight[: units.n_core] = top["c"][words][:core]
     weight[-1] = end
     types = np.ones(units.total)  # words of each unit
     types[units.n_core : -1] = 0
     for r in counts.where("e >= 0").groupBy("e").agg(F.count("*").alias("n")).collect():  # at most ``ends`` rows
         types[units.n_core + r["e"]] = r["n"]
-    np.subtract.at(types, units.n_core + top["e"].to_numpy()[words][:core], 1)
+    np.subtract.at(types, units.n_core + top["e"][words][:core], 1)
     cls, m = _cluster(pairs, units, weight, classes, rounds)
     smooth = m + 0.5
     size = m.sum(0) + ADDED * (np.bincount(cls, types, classes) + 1)  # every token ends one pair
-    return ClassModel(units, cls, smooth / smooth.sum(1, keepdims=True), size, Lookup(h), top["c"].to_numpy(np.int64), int(n), int(v), mixed, counts)
+    return ClassModel(units, cls, smooth / smooth.sum(1, keepdims=True), size, Lookup(h), top["c"], int(n), int(v), mixed, counts)
 
 
 def score(docs: DataFrame, model: ClassModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

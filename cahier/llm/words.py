@@ -107,7 +107,7 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix((s[k:] - s[:-k]) * _inverses[:n])
 
 
-def text_blocks(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20, text: int = 1) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def text_blocks(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20, text: int = 1) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of Arrow batches with at most ``limit`` bytes of text (or one longer text), their bytes and offsets.
 
     Column ``text`` holds the texts; null is taken as empty.
