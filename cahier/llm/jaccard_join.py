@@ -33,10 +33,10 @@ from cahier.session import cut_lineage
 PART_ENTRIES = 1 << 21
 #: Sets of a bucket that one task compares with each other.
 CHUNK = 1500
-CHUNK_SHINGLES = 2 << 20
+CHUNK_SHINGLES = 1 << 20
 #: Clusters of more chunks go shingle by shingle.
 CLUSTER_CHUNKS = 64
-TASK_BYTES = 24 << 20
+TASK_BYTES = 16 << 20
 FAN_OUT = 8
 #: Ids up to this many are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -80,7 +80,7 @@ def _scan(docs: DataFrame, k: int, bits: int) -> DataFrame:
         for b, data, off in text_blocks(batches):
             counts = np.zeros(1 << bits, np.uint32) if counts is None else counts
             sets = list(shingle_sets(data, off, k))
-            counts += np.bincount((np.concatenate(sets) >> U64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+            np.add.at(counts, (np.concatenate(sets) >> U64(64 - bits)).astype(np.int64), np.uint32(1))
             n = [len(s) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), b.column(0), pa.array(n, pa.int64()), pa.array([_digest(s) for s in sets], pa.int64()), pa.nulls(len(n), pa.binary())], ["kind", "doc_id", "n", "digest", "counts"])
         if counts is not None:
@@ -115,7 +115,7 @@ def _meet(docs: DataFrame, k: int, percent: int, shared: Broadcast, bits: int, e
     part_bits = max(6, (entries // PART_ENTRIES).bit_length())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, off in text_blocks(batches, 16 << 20):
+        for _, data, off in text_blocks(batches, 4 << 20):
             seen, prefixes, digests, sizes = set(), [], [], []
             for s in shingle_sets(data, off, k):
                 if not len(s) or (d := _digest(s)) in seen:
@@ -203,10 +203,13 @@ class _Bucket:
                     self.verify(i, j)
             return self.links
         width = min(1 << 15, max(64, 1 << int(4 * self.n.max() - 1).bit_length()))
-        bits = np.zeros((m, width), bool)
+        maps = np.zeros((m, width // 64), np.uint64)
+        row = np.zeros(width, bool)
         for i, s in enumerate(self.sets):
-            bits[i, (s & U64(width - 1)).astype(np.int64)] = True
-        maps = np.packbits(bits, axis=1).view(np.uint64)
+            at = (s & U64(width - 1)).astype(np.int64)
+            row[at] = True
+            maps[i] = np.packbits(row).view(np.uint64)
+            row[at] = False
         lost = self.n - np.bitwise_count(maps).sum(1, dtype=np.int64)
         # levels[0]: nodes of FAN_OUT sets; each level above: nodes of FAN_OUT nodes.
         levels, parts = [], (maps, self.n, self.n, lost)
