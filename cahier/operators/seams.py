@@ -27,13 +27,13 @@ def generate(df: DataFrame, prompt: str, generator: Generator, out: str, on_fail
     """
     asked = df.select(F.col(prompt).alias("_prompt")).distinct()
     asked = asked.repartition(partitions) if partitions else asked
-    udf = F.pandas_udf(generator, "string")
+    udf = F.pandas_udf(generator, "string", F.PandasUDFType.SCALAR_ITER)
     made = asked.withColumn(out, F.coalesce(udf("_prompt"), F.lit(on_failure).cast("string")))
     return df.join(made, df[prompt].eqNullSafe(made["_prompt"]), "left").drop("_prompt")
 
 
 def encode(df: DataFrame, text: str, encoder: Generator, out: str) -> DataFrame:
-    return df.withColumn(out, F.pandas_udf(encoder, "array<float>")(text))
+    return df.withColumn(out, F.pandas_udf(encoder, "array<float>", F.PandasUDFType.SCALAR_ITER)(text))
 
 
 def extract(raw_files: DataFrame, extractor: Callable[[str, bytes], list[dict]]) -> DataFrame:
