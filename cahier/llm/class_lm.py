@@ -175,7 +175,7 @@ def _best_moves(first: int, out: np.ndarray, in_: np.ndarray, cls: np.ndarray, m
         m[a, a] += own
         o[a] -= own
         n[a] -= own
-        rows, cols = m.sum(1), m.sum(0)
+        rows, cols = m.sum(1) + n, m.sum(0) + o  # its pairs with other classes count there wherever it is
         gain = (_xlogx(m + o) - _xlogx(m)).sum(1) + (_xlogx(m + n[:, None]) - _xlogx(m)).sum(0)
         d = m.diagonal()
         gain += _xlogx(d + o + n + own) - _xlogx(d) - (_xlogx(d + o) - _xlogx(d)) - (_xlogx(d + n) - _xlogx(d))

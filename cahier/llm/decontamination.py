@@ -29,7 +29,7 @@ _TOP = np.int32((1 << 31) - 1)
 def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
     """Starts of all suffixes of ``ids`` (numbers from 0), sorted by their first ``depth`` numbers at least."""
     n = len(ids)
-    bits = max(int(ids.max()).bit_length(), (n + 1).bit_length()) if n else 1
+    bits = max(int(ids.max() + 1).bit_length(), (n + 1).bit_length()) if n else 1
     per = 63 // bits
 
     def packed(rank: np.ndarray, at: np.ndarray | slice, k: int) -> np.ndarray:
@@ -40,7 +40,7 @@ def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
             key |= long[at + j * k] if isinstance(at, np.ndarray) else long[j * k : j * k + n]
         return key
 
-    key = packed(ids.astype(np.int64), slice(None), 1)
+    key = packed(ids.astype(np.int64) + 1, slice(None), 1)  # 0 is what follows the end
     order = np.argsort(key)
     key = key[order]
     new = np.ones(n, bool)

@@ -77,7 +77,7 @@ def _scan(docs: DataFrame, k: int, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = None
-        for b, data, off in text_blocks(batches):
+        for b, data, off in text_blocks(batches, 1 << 20):
             counts = np.zeros(1 << bits, np.uint32) if counts is None else counts
             sets = list(shingle_sets(data, off, k))
             np.add.at(counts, (np.concatenate(sets) >> U64(64 - bits)).astype(np.int64), np.uint32(1))
@@ -365,7 +365,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, id_col:
     sets_ = cut_lineage(wanted.join(cluster, "digest"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, off in text_blocks(batches):
+        for _, data, off in text_blocks(batches, 1 << 20):
             found = [s for s in shingle_sets(data, off, words) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["digest", "shingles"])
 

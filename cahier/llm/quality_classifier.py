@@ -91,7 +91,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, label_c
     rows = rows.select(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(shards)).cast("int").alias("shard"), "text", F.xxhash64("doc_id", F.lit(5)).alias("order"), "y")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, data, off in text_blocks(batches):
+        for b, data, off in text_blocks(batches, 1 << 20):
             doc, place, value = featurize(data, off)
             cut = np.searchsorted(doc, np.arange(len(off)))
             lists = [pa.LargeListArray.from_arrays(pa.array(cut), pa.array(v)).cast(pa.list_(v_type)) for v, v_type in ((place.astype(np.int32), pa.int32()), (value.astype(np.float32), pa.float32()))]
@@ -121,7 +121,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        for b, data, off in text_blocks(batches, 2 << 20):
+        for b, data, off in text_blocks(batches, 1 << 20):
             doc, place, value = featurize(data, off)
             total = np.bincount(doc, value * w[place], len(off) - 1) + w[-1]
             p = 1 / (1 + np.exp(-np.clip(total, -700, 700)))
@@ -150,7 +150,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        for b, data, off in text_blocks(batches, 2 << 20, at):
+        for b, data, off in text_blocks(batches, 1 << 20, at):
             doc, place, value = featurize(data, off)
             total = np.bincount(doc, value * w[place], len(off) - 1) + w[-1]
             yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(total, -700, 700))) >= threshold))
