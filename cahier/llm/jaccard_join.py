@@ -131,7 +131,7 @@ def _meet(docs: DataFrame, k: int, percent: int, shared: Broadcast, bits: int, e
                 continue
             h = np.concatenate(prefixes)
             owner = np.repeat(np.arange(len(prefixes)), [len(p) for p in prefixes])
-            part = (h >> U64(64 - part_bits)).astype(np.int64)
+            part = (mix(h) >> U64(64 - part_bits)).astype(np.int64)  # small hashes come first, so they are mixed again
             by = np.argsort(part * len(prefixes) + owner, kind="stable")
             h, owner, part = h[by], owner[by], part[by]
             cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(h))

@@ -21,12 +21,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cahier.llm.words import NOT_SPACE, U64, Words, grams, text_blocks
+from cahier.llm.words import NOT_SPACE, U64, Words, grams, mix, text_blocks
 from cahier.session import cut_lineage
 
 BREAKS = r"[\x20\x09-\x0D]+"
 PART_ENTRIES = 1 << 19
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 BROADCAST_IDS = 1_000_000
 _LAST = np.iinfo(np.int64).max
 
@@ -68,7 +68,7 @@ def _confirmed(docs: DataFrame, window: int, phrase: int, entries: int) -> DataF
     bits = max(6, (entries // PART_ENTRIES).bit_length())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, data, off in text_blocks(batches, 8 << 20):
+        for b, data, off in text_blocks(batches, 3 << 20):
             w = Words(data, off, NOT_SPACE)
             at, h = anchors(w, window, phrase)
             if not len(at):
@@ -78,7 +78,9 @@ def _confirmed(docs: DataFrame, window: int, phrase: int, entries: int) -> DataF
             h, d = h[by], d[by]
             new = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))
             h, d = h[new], d[new]
-            part = (h >> U64(64 - bits)).astype(np.int64)
+            part = (mix(h) >> U64(64 - bits)).astype(np.int64)  # the smallest hashes of windows are not spread evenly
+            by = np.argsort(part, kind="stable")
+            h, d, part = h[by], d[by], part[by]
             cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(h))
             rows = [(int(part[x]), h[x:y].tobytes(), d[x:y].tobytes()) for x, y in zip(cut[:-1], cut[1:])]
             cols = list(zip(*rows))
