@@ -21,7 +21,7 @@ def db():
 
 def plain(df: pd.DataFrame) -> pd.DataFrame:
     def show(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or (pd.api.types.is_scalar(v) and pd.isna(v)):
             return None
         return repr(round(float(v), 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
