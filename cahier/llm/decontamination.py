@@ -5,8 +5,10 @@ by sorting packed word tuples and refining ties (ranks of k words give ranks of
 than which no search looks. Every suffix of every test item is binary-searched, all at once; the ranges found are the
 places of its first ``window`` words, and places that follow each other join to the longest verbatim matches.
 
-Test items are broadcast as word hashes in blocks of at most BLOCK_WORDS words (32 MB); a larger benchmark has more
-blocks, searched one after another against the same suffix array.
+Test items are broadcast as word hashes in blocks of at most BLOCK_WORDS words (32 MB), so the driver never holds more
+than one; a larger benchmark has more blocks, searched one after another against the same suffix array. A worker holds
+8 bytes per word of the benchmark in all (100 blocks of 32 MB would be 400 million words; give such a benchmark in
+parts, whose results are joined by document).
 """
 
 from __future__ import annotations

@@ -18,6 +18,7 @@ BINS = 512
 #: A cut may be off by this share of a leaf's bytes (or by half a document, if that is more).
 TOLERANCE = 0.0005
 ROWS_PER_BUCKET = 20_000
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass
@@ -113,16 +114,16 @@ def build_tree(points: DataFrame, dims: list[str], leaves: int) -> Node:
 def slots(df: DataFrame, group: str, tie: str, order: list[str], rows: int, groups: int) -> DataFrame:
     """Adds ``slot``, gapless from 0 in each group: a window per hashed bucket, moved by the counts of the buckets before.
 
-    The table of counts has ``groups x buckets`` rows, one per ROWS_PER_BUCKET rows of input, and is broadcast.
+    The table of counts has ``groups x buckets`` rows, about one per ROWS_PER_BUCKET rows of input; it is broadcast up
+    to BROADCAST_ROWS rows and joined by shuffle beyond.
     """
-    buckets = max(1, min(1 << 16, -(-rows // (groups * ROWS_PER_BUCKET)), rows // groups or 1)) if rows > groups * 1000 else 1
-    buckets = max(buckets, min(64, rows // (groups * 32) or 1))
+    buckets = max(1, -(-rows // (groups * ROWS_PER_BUCKET)), min(64, rows // (groups * 32)))
     df = df.withColumn("_bucket", F.pmod(F.col(tie), F.lit(buckets)).cast("int"))
     counts = df.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(group, "_bucket").orderBy(*order)
-    df = df.withColumn("_rank", F.row_number().over(inside)).join(F.broadcast(counts), [group, "_bucket"])
+    df = df.withColumn("_rank", F.row_number().over(inside)).join(F.broadcast(counts) if groups * buckets <= BROADCAST_ROWS else counts, [group, "_bucket"])
     return df.withColumn("slot", (F.col("_offset") + F.col("_rank") - 1).cast("long")).drop("_bucket", "_offset", "_rank")
 
 
