@@ -50,10 +50,12 @@ def topk_chunks(summaries: DataFrame, catalog: DataFrame, k: int = TOP_K) -> Dat
     ranks that are left, in the order of their ids."""
     scored = sparse_scores(summaries, catalog)
     ranked = rank_topk(scored, k)
-    # Zero scores: only pairs with fewer than k hits need them, and only each document's first k chunks can be among them.
+    # Zero scores: only pairs with fewer hits than chunks (or k) need them, and only each document's first chunks can be among them.
     first = summaries.select("doc_id", "chunk_id").withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id"))).where(F.col("_r") <= 2 * k).drop("_r")
-    pairs = first.crossJoin(F.broadcast(catalog.select("question")))
-    zero = pairs.join(ranked.select("doc_id", "chunk_id", "question"), ["doc_id", "chunk_id", "question"], "left_anti").withColumn("score", F.lit(0.0))
+    have = ranked.groupBy("doc_id", "question").agg(F.count("*").alias("_have"))
+    pairs = first.groupBy("doc_id").agg(F.count("*").alias("_chunks")).crossJoin(F.broadcast(catalog.select("question")))
+    short = pairs.join(have, ["doc_id", "question"], "left").where(F.coalesce("_have", F.lit(0)) < F.least("_chunks", F.lit(k))).select("doc_id", "question")
+    zero = short.join(first, "doc_id").join(ranked.select("doc_id", "chunk_id", "question"), ["doc_id", "chunk_id", "question"], "left_anti").withColumn("score", F.lit(0.0))
     return rank_topk(ranked.drop("rank").unionByName(zero.select("doc_id", "chunk_id", "question", "score")), k)
 
 
