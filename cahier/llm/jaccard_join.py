@@ -345,7 +345,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, id_col:
     Texts are linked when the Jaccard index of their sets of ``words``-word shingles is at least percent / 100; A-Z
     count as a-z. Null texts and texts without words have an empty set and are linked with nothing; a text with fewer
     words is one shingle; equal texts are linked; repeated rows and ids each get a row; an empty table gives no rows;
-    other columns are not read. Ids are whole numbers.
+    other columns are not read. Ids are whole numbers; a row without one gets the component of an equal text that has
+    an id, or null.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bits = min(24, max(16, (16 * slim.count()).bit_length()))
@@ -391,10 +392,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, id_col:
 
 
 def keep_one(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component; of rows with one id, one stays. Columns unchanged."""
+    """The rows of ``docs`` whose id is the smallest of their component; of rows with one id, one stays. Rows
+    without an id all stay. Columns unchanged."""
     found = cut_lineage(near_duplicates(docs, percent, words, id_col, text_col))
-    gone = cut_lineage(found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).where("c < doc_id or n > 1"))
+    gone = cut_lineage(found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).where("doc_id is not null and (c < doc_id or n > 1)"))
     lost, twice = gone.agg(F.count_if(F.col("c") < F.col("doc_id")), F.count_if(F.col("n") > 1)).first()
     drop = gone.where("c < doc_id").select(F.col("doc_id").alias("_gone"))
     kept = docs.join(_small(drop, lost), F.col(id_col) == F.col("_gone"), "left_anti")
-    return kept.dropDuplicates([id_col]) if twice else kept
+    if not twice:
+        return kept
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))

@@ -277,6 +277,19 @@ def test_near_duplicates(spark, docs, rows, none, path, monkeypatch):
         assert j.near_duplicates(none).count() == 0 and j.keep_one(docs).columns == docs.columns
 
 
+def test_rows_without_ids(spark):
+    from cahier.llm.jaccard_join import keep_one, near_duplicates
+    from cahier.llm.substring_dedup import repeated_passages
+
+    from .conftest import text
+
+    rows = [(None, text(1, 80)), (None, text(2, 80)), (5, text(1, 80)), (6, text(3, 80)), (6, text(3, 80))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert listed(near_duplicates(df), "doc_id", "component_id") == sorted([(None, 5), (None, None), (5, 5), (6, 6), (6, 6)], key=str)
+    assert listed(keep_one(df), "doc_id") == sorted([(None,), (None,), (5,), (6,)], key=str)
+    assert listed(repeated_passages(df), "doc_id", "n_removed") == sorted([(None, 80), (None, 0), (5, 0), (6, 0), (6, 0)], key=str)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 10**6))
 def test_signature_tree(seed):
