@@ -22,6 +22,15 @@ def local_session(cpus: int | str = "*", memory: str = "8g", shuffle_partitions:
     )
 
 
+#: Rows of long texts that go to Python at once; Spark's own default of 10,000 would be tens of MB in every copy.
+TEXT_ROWS_PER_BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the memory of Python workers on tables of long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS_PER_BATCH))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder in ``spark.checkpoint.dir``; only where it is unset, a temporary one (local runs)."""
     context = spark.sparkContext
