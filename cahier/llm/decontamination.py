@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from cahier.llm.words import ALNUM, Words, text_blocks
 
 BLOCK_WORDS = 4_000_000
-SHARD_BYTES = 5 << 20
+SHARD_BYTES = 5 << 19
 _END = np.int32(-1)  # below every word: a suffix sorts behind its own prefix
 _TOP = np.int32((1 << 31) - 1)
 

@@ -115,7 +115,7 @@ def _meet(docs: DataFrame, k: int, percent: int, shared: Broadcast, bits: int, e
     part_bits = max(6, (entries // PART_ENTRIES).bit_length())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, off in text_blocks(batches, 4 << 20):
+        for _, data, off in text_blocks(batches, 2 << 20):
             seen, prefixes, digests, sizes = set(), [], [], []
             for s in shingle_sets(data, off, k):
                 if not len(s) or (d := _digest(s)) in seen:

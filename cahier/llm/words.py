@@ -6,6 +6,8 @@ one running sum, then mixed. Texts that differ get equal hashes with a chance of
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,7 +109,7 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix((s[k:] - s[:-k]) * _inverses[:n])
 
 
-def text_blocks(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20, text: int = 1) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def text_blocks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20, text: int = 1) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of Arrow batches with at most ``limit`` bytes of text (or one longer text), their bytes and offsets.
 
     Column ``text`` holds the texts; null is taken as empty.
@@ -124,3 +126,13 @@ def text_blocks(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20, text: i
             to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
             yield b.slice(at, to - at), data[off[at] : off[to]], off[at : to + 1] - off[at]
             at = to
+    _give_back()
+
+
+def _give_back() -> None:
+    """Freed memory back to the system at the end of a task; a worker is used again for tasks of other kinds."""
+    global _powers, _inverses
+    _powers, _inverses = _powers[: 1 << 16].copy(), _inverses[: 1 << 16].copy()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

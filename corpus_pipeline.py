@@ -15,21 +15,24 @@ from cahier.llm.jaccard_join import keep_one
 from cahier.llm.mixing import repeat
 from cahier.llm.quality_classifier import keep_good
 from cahier.llm.sharding import with_shard
-from cahier.session import ensure_checkpoint_dir
+from cahier.session import ensure_checkpoint_dir, small_batches
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    small_batches(spark)
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (0.75 of 5-word shingles) the document with the smallest id stays."""
+    small_batches(spark)
     return keep_one(docs, percent=75, words=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a twentieth or more of their words in benchmark windows go."""
+    small_batches(spark)
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=13)
 
 
