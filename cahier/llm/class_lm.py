@@ -1,42 +1,50 @@
 """Language-model scoring by a Brown class-based bigram model.
 
-Exchange clustering assigns words to classes: a unit moves to the class that raises the likelihood of the class bigrams
-most. Units are the ``core`` most frequent words and, for all other words, hashed word ends, so every word, known or
-not, has a class and the clustering's state is bounded by the number of units. The model is
+Exchange clustering assigns every word of the training texts to a class: a word moves to the class that raises the
+likelihood of the class bigrams most. Pairs of words are counted once, by shuffle. A round makes sparse rows of them (how
+often a word stands before and after each class), sums the rows per word in shuffled parts and moves half of the words,
+each in its part. Only words that are not in the training texts get a class by their endings. The model is
 
     P(w | v) = mix * P(class w | class v) * P(w | class w) + (1 - mix) * (c(w) + 1) / (N + V + 1)
     P(w | class) = (c(w) + d) / (c(class) + d * (words of the class + 1))
 
-with c(w) the exact count of each word in all training texts. Counts of the most frequent words are broadcast (a fixed
-number); all others are joined to the tokens that need them by shuffle, so nothing on the driver grows with the corpus.
+with c(w) the exact count of each word in all training texts. Counts and classes of the most frequent words are broadcast
+(a fixed number); all others are joined to the tokens and pairs that need them by shuffle, so nothing on the driver grows
+with the corpus.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cahier.llm.words import NOT_SPACE, U64, Words, mix, spans, text_blocks
+from cahier.llm.words import NOT_SPACE, U64, Words, grams, mix, spans, text_blocks
 from cahier.session import cut_lineage
 
 #: Stands for the end of a text, and for its beginning as the first word's history.
 END = U64(0x0123456789ABCDEF)
 #: Added to each count in a class, an unknown word's included.
 ADDED = 0.5
-BLOCKS = 32
+#: Pairs that a part of the words has, about.
+PART_PAIRS = 1 << 20
+#: Pairs of one word that go to one part; more are dealt out by the other word.
+WORD_PAIRS = 1 << 18
+#: Classes next to words that are weighed at once.
+STEP_ROWS = 1 << 14
 
 
 class Lookup:
     """Index of 64-bit hashes among a fixed set of them, -1 for others; open addressing, all queries at once."""
 
     def __init__(self, keys: np.ndarray):
+        self.n = len(keys)
         self.bits = max(4, int(8 * len(keys)).bit_length())
         self.slots, self.at, self.probes = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32), 1
         left, step = np.arange(len(keys)), 0
@@ -62,23 +70,6 @@ class Lookup:
         return out
 
 
-@dataclass
-class Units:
-    """Words as units: core words from 0 on, then hashed word ends, then the end of a text."""
-
-    core: Lookup
-    n_core: int
-    ends: int
-
-    @property
-    def total(self) -> int:
-        return self.n_core + self.ends + 1
-
-    def of(self, w: Words) -> np.ndarray:
-        unit = self.core(w.hash)
-        return np.where(unit < 0, self.n_core + ending(w, self.ends), unit)
-
-
 def ending(w: Words, ends: int) -> np.ndarray:
     """The last three bytes of each word as one of ``ends`` numbers."""
     return (spans(w.data, np.maximum(w.start, w.end - 3), w.end) % U64(ends)).astype(np.int64)
@@ -120,140 +111,303 @@ def _count_words(docs: DataFrame, ends: int) -> DataFrame:
     return docs.mapInArrow(run, "h long, c long, e int").groupBy("h").agg(F.sum("c").alias("c"), F.first("e").alias("e"))
 
 
-def _count_pairs(docs: DataFrame, units: Units) -> DataFrame:
-    """block, out, in: per block of units the counts of the pairs they begin and end, as compressed matrices.
+def _blob(x: np.ndarray) -> bytes:
+    return zlib.compress(x.tobytes(), 1)
 
-    Each task adds its pairs in one matrix of units x units and sends it by blocks of rows and of columns.
-    """
-    shared, total = docs.sparkSession.sparkContext.broadcast(units), units.total
-    size = -(-total // BLOCKS)
+
+def _column(table: pa.Table | pa.RecordBatch, name: str, kind: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(zlib.decompress(x), kind) for x in table.column(name).to_pylist())])
+
+
+def _summed(w: np.ndarray, x: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Each (w, x) once, in order, with the sum of n; x is less than ``width``."""
+    words, at = np.unique(w, return_inverse=True)
+    key = at * width + x
+    by = np.argsort(key, kind="stable")
+    cut = np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1])[: len(key)])
+    key = key[by][cut]
+    return words[key // width], (key % width).astype(np.int32), np.add.reduceat(n[by], cut) if len(cut) else n
+
+
+#: Rows of a part: words, what stands next to them (or which code) and how often.
+PACKED = "part int, w binary, x binary, n binary"
+
+
+def _packed(part: np.ndarray, w: np.ndarray, x: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    by = np.argsort(part, kind="stable")
+    part, w, x, n = part[by], w[by], x[by], n[by].astype(np.int64)
+    cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)]), len(part))
+    blobs = [pa.array([_blob(c[i:j]) for i, j in zip(cut[:-1], cut[1:])], pa.binary()) for c in (w, x, n)]
+    return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]].astype(np.int32)), *blobs], ["part", "w", "x", "n"])
+
+
+def _part(w: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(w) % U64(parts)).astype(np.int64)
+
+
+def _count_pairs(docs: DataFrame, top: Broadcast, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Words and the words next to them, packed by parts. In the first table x is 3 * the other word's index among the
+    most frequent + 0 if it stands after the word, + 1 before it, + 2 if it is the word itself. The second, of the pairs
+    whose other word is not among those, has the other word's hash as x, and is dealt by it; n is 3 * the count + 0 to 2."""
+
+    def deal(u: np.ndarray, v: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        often, counts = top.value
+        same = u == v
+        w, x = np.concatenate([u, v, u[same]]), np.concatenate([v, u, v[same]])
+        side, n = np.repeat([0, 1, 2], [len(u), len(u), same.sum()]), np.concatenate([n, n, n[same]])
+        at, own = often(x), often(w)
+        near, far = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        shares = np.where(own >= 0, 1 + counts[own] // WORD_PAIRS, 1)[near].astype(np.uint64) if len(counts) else np.ones(len(near), np.uint64)
+        yield _packed(_part(w[near] + mix(x[near]) % shares * END, parts), w[near], (3 * at[near] + side[near]).astype(np.int32), n[near])
+        yield _packed(parts + _part(x[far], parts), w[far], x[far], 3 * n[far] + side[far])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = None
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def merged() -> tuple[np.ndarray, ...]:
+            g, u, v, n = (np.concatenate(x) for x in zip(*held))
+            by = np.argsort(g)
+            at = np.flatnonzero(np.append(True, g[by][1:] != g[by][:-1]))
+            return g[by][at], u[by][at], v[by][at], np.add.reduceat(n[by], at)
+
         for _, data, off in text_blocks(batches):
-            u = shared.value
-            m = np.zeros((total, total), np.uint32) if m is None else m
             w = Words(data, off, NOT_SPACE, lower=True)
-            s = _sequence(u.of(w).astype(np.int64), w.first, total - 1)
-            pair, n = np.unique(s[:-1] * total + s[1:], return_counts=True)
-            m.ravel()[pair] += n.astype(np.uint32)
-        if m is not None:
-            for b in range(BLOCKS):
-                blob = [zlib.compress(x.tobytes(), 1) for x in (m[b * size : (b + 1) * size], np.ascontiguousarray(m[:, b * size : (b + 1) * size].T))]
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array(blob[:1], pa.binary()), pa.array(blob[1:], pa.binary())], ["block", "out", "in"])
+            s = _sequence(w.hash, w.first, END)
+            g, at, n = np.unique(grams(s, 2), return_index=True, return_counts=True)
+            held.append((g, s[at], s[at + 1], n))
+            if sum(len(x[0]) for x in held) > 800_000:
+                held = [merged()]
+                if len(held[0][0]) > 400_000:
+                    yield from deal(*held.pop()[1:])
+        if held:
+            yield from deal(*merged()[1:])
 
     def add(table: pa.Table) -> pa.Table:
-        sums = []
-        for c in ("out", "in"):
-            total_ = None
-            for x in table[c]:
-                part = np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
-                total_ = part.astype(np.int64) if total_ is None else total_ + part
-            sums.append(zlib.compress(total_.tobytes(), 1))
-        return pa.table({"block": table["block"][:1], "out": pa.array(sums[:1], pa.binary()), "in": pa.array(sums[1:], pa.binary())})
+        w, n = _column(table, "w", np.uint64), _column(table, "n", np.int64)
+        if table["part"][0].as_py() < parts:
+            w, x, n = _summed(w, _column(table, "x", np.int32), n, 3 * top.value[0].n)
+        else:
+            x = _column(table, "x", np.uint64)
+            by = np.lexsort((n % 3, x, w))
+            w, x, n, side = w[by], x[by], n[by] // 3, n[by] % 3
+            cut = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (x[1:] != x[:-1]) | (side[1:] != side[:-1]))[: len(w)])
+            w, x, n = w[cut], x[cut], 3 * (np.add.reduceat(n, cut) if len(cut) else n) + side[cut]
+        return pa.table({"part": table["part"][:1], **{c: pa.array([_blob(v)], pa.binary()) for c, v in (("w", w), ("x", x), ("n", n))}})
 
-    schema = "block int, out binary, in binary"
-    return docs.mapInArrow(run, schema).groupBy("block").applyInArrow(add, schema)
+    both = cut_lineage(docs.mapInArrow(run, PACKED).groupBy("part").applyInArrow(add, PACKED))
+    return both.where(F.col("part") < parts), both.where(F.col("part") >= parts).withColumn("part", F.col("part") - parts)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
 
+def _gains(o: np.ndarray, n: np.ndarray, own: np.ndarray, a: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """What the likelihood gains for each word (row) in each class. ``o`` and ``n``: how often the word stands before and
+    after each class; ``own``: before itself, which ``o`` and ``n`` count in its class ``a``."""
+    k = np.arange(len(a))
+    so, sn = o.sum(1), n.sum(1)
+    rest_o, rest_n = o.copy(), n.copy()
+    rest_o[k, a] -= own
+    rest_n[k, a] -= own
+    gain = np.zeros(o.shape)
+    for rest, this, that, t in ((rest_o, o, n, m), (rest_n, n, o, m.T)):
+        r, j = np.nonzero(rest)
+        v, mine = rest[r, j][:, None], a[r] == j
+        now = t.T[j]  # the classes' pairs with j, without the word's
+        now[mine] -= that[r[mine]]
+        now[np.arange(len(r)), a[r]] -= this[r, j] - np.where(mine, own[r], 0)
+        cut = np.flatnonzero(np.append(True, r[1:] != r[:-1])[: len(r)])
+        if len(cut):
+            gain[r[cut]] += np.add.reduceat(_xlogx(now + v) - _xlogx(now), cut, 0)
+    d = np.repeat(m.diagonal()[None], len(a), 0)
+    d[k, a] -= o[k, a] + n[k, a] - own
+    both = rest_o + rest_n + own[:, None]
+    gain += _xlogx(d + both) + _xlogx(d) - _xlogx(d + rest_o) - _xlogx(d + rest_n)
+    rows, cols = np.repeat(m.sum(1)[None], len(a), 0), np.repeat(m.sum(0)[None], len(a), 0)
+    rows[k, a] -= so
+    cols[k, a] -= sn
+    gain -= _xlogx(rows + so[:, None]) - _xlogx(rows) + _xlogx(cols + sn[:, None]) - _xlogx(cols)
+    gain[:, -1] = -np.inf  # the class of the end
+    return gain
+
+
+def _step(o: np.ndarray, n: np.ndarray, own: np.ndarray, a: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The words' classes after an exchange step; ``m`` is changed with them."""
+    gain, k = _gains(o, n, own, a, m), np.arange(len(a))
+    b = gain.argmax(1)
+    b = np.where(gain[k, b] <= gain[k, a] + 1e-6, a, b)
+    go = np.flatnonzero(b != a)
+    o, n, own, a, to = o[go].copy(), n[go].copy(), own[go], a[go], b[go]
+    k = np.arange(len(go))
+    o[k, a] -= own
+    n[k, a] -= own
+    for c, sign in ((a, -1), (to, 1)):
+        np.add.at(m, c, sign * o)
+        np.add.at(m.T, c, sign * n)
+        np.add.at(m, (c, c), sign * own)
+    return b
+
+
 def _best_moves(first: int, out: np.ndarray, in_: np.ndarray, cls: np.ndarray, m: np.ndarray, classes: int, turn: np.ndarray) -> list[tuple[int, int]]:
-    """Exchange steps for the units of a block whose ``turn`` it is, one after the other on the block's own copy of m."""
+    """Exchange steps for words with full rows of pairs whose ``turn`` it is, one after the other on a copy of m."""
     m, cls, moves = m.copy(), cls.copy(), []
     for i in range(len(out)):
-        u, a = first + i, cls[first + i]
+        u = first + i
         if not turn[u] or not (out[i].any() or in_[i].any()):
             continue
-        o = np.bincount(cls, out[i], classes)
-        n = np.bincount(cls, in_[i], classes)
-        own = float(out[i, u])
-        m[a] -= o
-        m[:, a] -= n
-        m[a, a] += own
-        o[a] -= own
-        n[a] -= own
-        rows, cols = m.sum(1) + n, m.sum(0) + o  # its pairs with other classes count there wherever it is
-        gain = (_xlogx(m + o) - _xlogx(m)).sum(1) + (_xlogx(m + n[:, None]) - _xlogx(m)).sum(0)
-        d = m.diagonal()
-        gain += _xlogx(d + o + n + own) - _xlogx(d) - (_xlogx(d + o) - _xlogx(d)) - (_xlogx(d + n) - _xlogx(d))
-        gain -= _xlogx(rows + o.sum() + own) - _xlogx(rows) + _xlogx(cols + n.sum() + own) - _xlogx(cols)
-        gain[-1] = -np.inf  # the class of the end
-        b = int(np.argmax(gain))
-        if gain[b] <= gain[a] + 1e-6:
-            b = int(a)
-        m[b] += o
-        m[:, b] += n
-        m[b, b] += own
-        if b != a:
+        o, n = (np.bincount(cls, x[i], classes)[None] for x in (out, in_))
+        b = int(_step(o, n, np.array([float(out[i, u])]), cls[u : u + 1], m)[0])
+        if b != cls[u]:
             cls[u] = b
             moves.append((u, b))
     return moves
 
 
-def _cluster(pairs: DataFrame, units: Units, counts: np.ndarray, classes: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each unit and the matrix of class bigrams. In a round half of the units may move, each in its block's task."""
-    context, total = pairs.sparkSession.sparkContext, units.total
-    cls = np.empty(total, np.int64)
-    cls[np.argsort(-counts, kind="stable")] = np.arange(total) % (classes - 1)
-    cls[-1] = classes - 1
-
-    def matrix() -> np.ndarray:
-        now = context.broadcast(cls)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for block, out in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    n = np.frombuffer(zlib.decompress(out), np.int64).reshape(-1, total)
-                    first = block * (-(-total // BLOCKS))
-                    sums = np.zeros((len(n), classes))
-                    for c in range(classes):
-                        sums[:, c] = n[:, now.value == c].sum(1)
-                    part = np.zeros((classes, classes))
-                    np.add.at(part, now.value[first : first + len(n)], sums)
-                    yield pa.RecordBatch.from_arrays([pa.array([part.tobytes()], pa.binary())], ["m"])
-
-        parts = pairs.select("block", "out").mapInArrow(run, "m binary").collect()  # BLOCKS matrices of classes x classes
-        return sum((np.frombuffer(r["m"]) for r in parts), np.zeros(classes * classes)).reshape(classes, classes)
-
-    def moves(m: np.ndarray, turn: np.ndarray) -> list:
-        now = context.broadcast((cls, m, turn))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c, m_, t = now.value
-            for b in batches:
-                for block, out, in_ in zip(*(b.column(i).to_pylist() for i in range(3))):
-                    read = lambda x: np.frombuffer(zlib.decompress(x), np.int64).reshape(-1, total)
-                    found = _best_moves(block * (-(-total // BLOCKS)), read(out), read(in_), c, m_, classes, t)
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32())], ["unit", "cls"])
-
-        return pairs.mapInArrow(run, "unit int, cls int").collect()  # at most one row per unit
-
-    for r in range(rounds):
-        turn = mix(np.arange(total, dtype=np.uint64) + U64(r << 32)) % U64(2) == 0
-        turn[-1] = False
-        found = moves(matrix(), turn)
-        for x in found:
-            cls[x["unit"]] = x["cls"]
-    return cls, matrix()
+def _rows(near: DataFrame, far: DataFrame, state: DataFrame, cls: np.ndarray, classes: int, parts: int) -> DataFrame:
+    """Per part of the words their sparse rows, packed. Codes: a class after the word, classes + a class before it,
+    2 * classes if it stands before itself, and from there on 1 + the class that it is in now."""
+    now = near.sparkSession.sparkContext.broadcast(cls)
+    width = 3 * classes + 1
+
+    def of_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                one = b.slice(i, 1)
+                x, side = np.divmod(_column(one, "x", np.int32), 3)
+                code = np.where(side == 2, 2 * classes, side * classes + now.value[x]).astype(np.int32)
+                w, code, n = _summed(_column(one, "w", np.uint64), code, _column(one, "n", np.int64), width)
+                yield _packed(_part(w, parts), w, code, n)
+
+    def of_far(pairs: pa.Table, held: pa.Table) -> pa.Table:
+        w, x, n = _column(pairs, "w", np.uint64), _column(pairs, "x", np.uint64), _column(pairs, "n", np.int64)
+        h, c = _column(held, "w", np.uint64), _column(held, "x", np.int32)
+        by = np.argsort(h)
+        c = c[by][np.searchsorted(h[by], x)] if len(x) else c[:0]  # every word of a pair has a class
+        w, code, n = _summed(w, np.where(n % 3 == 2, 2 * classes, n % 3 * classes + c).astype(np.int32), n // 3, width)
+        return pa.Table.from_batches([_packed(_part(w, parts), w, code, n)])
+
+    def of_state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                w, c = _column(b.slice(i, 1), "w", np.uint64), _column(b.slice(i, 1), "x", np.int32)
+                yield _packed(_part(w, parts), w, c + np.int32(2 * classes + 1), np.zeros(len(w), np.int64))
+
+    beside = far.groupBy("part").cogroup(state.groupBy("part")).applyInArrow(of_far, PACKED)
+    every = near.mapInArrow(of_near, PACKED).unionByName(beside).unionByName(state.mapInArrow(of_state, PACKED))
+
+    def add(table: pa.Table) -> pa.Table:
+        w, code, n = _summed(_column(table, "w", np.uint64), _column(table, "x", np.int32), _column(table, "n", np.int64), width)
+        return pa.table({"part": table["part"][:1], **{c: pa.array([_blob(v)], pa.binary()) for c, v in (("w", w), ("x", code), ("n", n))}})
+
+    return cut_lineage(every.groupBy("part").applyInArrow(add, PACKED))
+
+
+def _read(one: pa.RecordBatch, classes: int) -> tuple[np.ndarray, ...]:
+    """Of a part: its words, their classes, and the sparse rows as (number of the word, code, n)."""
+    w, code, n = _column(one, "w", np.uint64), _column(one, "x", np.int32), _column(one, "n", np.int64)
+    held = code > 2 * classes  # one for each word, its last
+    at = np.cumsum(held) - held
+    return w[held], code[held].astype(np.int64) - 2 * classes - 1, at[~held], code[~held], n[~held]
+
+
+def _matrix(rows: DataFrame, classes: int) -> np.ndarray:
+    """The class bigrams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = np.zeros((classes, classes))
+        for b in batches:
+            for i in range(len(b)):
+                _, cls, at, code, n = _read(b.slice(i, 1), classes)
+                out = code < classes
+                m += np.bincount(cls[at[out]] * classes + code[out], n[out], classes * classes).reshape(classes, classes)
+        yield pa.RecordBatch.from_arrays([pa.array(range(classes), pa.int32()), pa.array(list(m), pa.list_(pa.float64()))], ["row", "m"])
+
+    out = np.zeros((classes, classes))
+    sums = rows.mapInArrow(run, "row int, m array<double>").select("row", F.posexplode("m").alias("col", "n")).groupBy("row", "col").agg(F.sum("n").alias("n"))
+    for r in sums.collect():  # classes x classes
+        out[r["row"], r["col"]] = r["n"]
+    return out
+
+
+def _exchange(rows: DataFrame, top: Broadcast, m: np.ndarray, classes: int, core: int, r: int) -> DataFrame:
+    """Packed: every word, its class (x) after round ``r`` and its place (n) among the most frequent or -1. In a round half
+    of the words may move: the ``core`` most frequent ones one after the other, all others a few at once."""
+    before = rows.sparkSession.sparkContext.broadcast(m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in range(len(b)):
+                w, cls, at, code, n = _read(b.slice(p, 1), classes)
+                m_, place = before.value.copy(), top.value[0](w)
+                first = np.searchsorted(at, np.arange(len(w) + 1))
+                turn = np.flatnonzero((mix(w + U64(r << 32)) % U64(2) == 0) & (w != END) & (np.diff(first) > 0))
+                turn = turn[np.argsort(np.where(place[turn] < 0, len(top.value[1]), place[turn]), kind="stable")]
+                alone = (place[turn] >= 0) & (place[turn] < core)
+                group = np.where(alone, np.arange(len(turn)), len(turn) + np.cumsum(np.diff(first)[turn]) // STEP_ROWS)
+                for words in np.split(turn, np.flatnonzero(group[1:] != group[:-1]) + 1) if len(turn) else ():
+                    size = first[words + 1] - first[words]
+                    at_ = np.repeat(np.arange(len(words)), size)
+                    take = np.repeat(first[words] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                    full = np.zeros((len(words), 2 * classes + 1))
+                    full[at_, code[take]] = n[take]
+                    cls[words] = _step(full[:, :classes], full[:, classes:-1], full[:, -1], cls[words], m_)
+                yield _packed(np.full(len(w), b.column(0)[p].as_py()), w, cls.astype(np.int32), place)
+
+    return cut_lineage(rows.mapInArrow(run, PACKED))
+
+
+def _first_classes(counts: DataFrame, top: Broadcast, cls: np.ndarray, classes: int, parts: int) -> DataFrame:
+    """Packed like the result of an exchange: the most frequent words in the classes ``cls``, others by their endings."""
+    start = counts.sparkSession.sparkContext.broadcast(cls)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def packed() -> pa.RecordBatch:
+            w, e = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            place = top.value[0](w)
+            c = np.where(place >= 0, start.value[place] if len(start.value) else 0, e % (classes - 1)).astype(np.int32)
+            return _packed(_part(w, parts), w, c, place)
+
+        for b in batches:
+            held.append((b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()))
+            if sum(len(x[0]) for x in held) > 500_000:
+                yield packed()
+        if held:
+            yield packed()
+
+    return cut_lineage(counts.select("h", "e").mapInArrow(run, PACKED))
+
+
+def _unpacked(state: DataFrame, most: bool) -> DataFrame:
+    """h, i, cls of all words or of the most frequent ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in range(len(b)):
+                w, c, i = (_column(b.slice(p, 1), n, t) for n, t in (("w", np.int64), ("x", np.int32), ("n", np.int64)))
+                take = (i >= 0) | (not most)
+                yield pa.RecordBatch.from_arrays([pa.array(w[take]), pa.array(i[take]), pa.array(c[take])], ["h", "i", "cls"])
+
+    return state.mapInArrow(run, "h long, i long, cls int")
 
 
 @dataclass
 class ClassModel:
-    """The bounded part of the model, broadcast for scoring, and the table of all counts."""
+    """The bounded part of the model, broadcast for scoring, and the table of all words with counts and classes."""
 
-    units: Units
-    cls: np.ndarray  # class of each unit
-    step: np.ndarray  # P(class | class before)
-    size: np.ndarray  # tokens in each class, with what is added to the counts
     often: Lookup
     often_counts: np.ndarray
+    cls: np.ndarray  # class of each of the most frequent words
+    end_cls: np.ndarray  # class of unknown words by their endings
+    step: np.ndarray  # P(class | class before)
+    size: np.ndarray  # tokens in each class, with what is added to the counts
     tokens: int
     vocabulary: int
     mix: float
-    counts: DataFrame | None = None
+    words: DataFrame | None = None
 
 
 def _most_frequent(counts: DataFrame, most: int) -> dict[str, np.ndarray]:
@@ -280,25 +434,31 @@ def fit(docs: DataFrame, use: Column | None = None, classes: int = 48, core: int
     slim = slim.select("doc_id", "text")
     counts = cut_lineage(_count_words(slim, ends))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = _most_frequent(counts, often)
-    h = top["h"].view(np.uint64)
-    end = int(top["c"][h == END].sum())
-    words = h != END
-    units = Units(Lookup(h[words][:core]), len(h[words][:core]), ends)
-    pairs = cut_lineage(_count_pairs(slim, units))
-    # Words of a unit: row sums of the pairs (each token begins one), the end's counted once per text.
-    weight = np.zeros(units.total)
-    weight[: units.n_core] = top["c"][words][:core]
-    weight[-1] = end
-    types = np.ones(units.total)  # words of each unit
-    types[units.n_core : -1] = 0
-    for r in counts.where("e >= 0").groupBy("e").agg(F.count("*").alias("n")).collect():  # at most ``ends`` rows
-        types[units.n_core + r["e"]] = r["n"]
-    np.subtract.at(types, units.n_core + top["e"][words][:core], 1)
-    cls, m = _cluster(pairs, units, weight, classes, rounds)
+    most = _most_frequent(counts, often)
+    h = most["h"].view(np.uint64)
+    top = slim.sparkSession.sparkContext.broadcast((Lookup(h), most["c"]))
+    cls = np.arange(len(h)) % (classes - 1)
+    cls[h == END] = classes - 1
+    parts = max(32, 2 * int(n) // PART_PAIRS)
+    near, far = _count_pairs(slim, top, parts)
+    state = _first_classes(counts, top, cls, classes, parts)
+    for r in range(rounds + 1):
+        rows = _rows(near, far, state, cls, classes, parts)
+        m = _matrix(rows, classes)
+        if r < rounds:
+            state = _exchange(rows, top, m, classes, core, r)
+            for x in _unpacked(state, True).toArrow().to_batches():  # at most ``often`` rows
+                cls[x.column(1).to_numpy()] = x.column(2).to_numpy()
+    words = cut_lineage(counts.join(_unpacked(state, False).select("h", "cls"), "h"))
+    types = np.zeros((ends, classes))  # words of each ending and class
+    for r in words.where("e >= 0").groupBy("e", "cls").agg(F.count("*").alias("n")).collect():  # at most ends x classes rows
+        types[r["e"], r["cls"]] = r["n"]
+    of_class = types.sum(0)
+    of_class[-1] += v > 0  # the end
+    end_cls = np.where(types.any(1), types.argmax(1), types.sum(0)[:-1].argmax())
     smooth = m + 0.5
-    size = m.sum(0) + ADDED * (np.bincount(cls, types, classes) + 1)  # every token ends one pair
-    return ClassModel(units, cls, smooth / smooth.sum(1, keepdims=True), size, Lookup(h), top["c"], int(n), int(v), mixed, counts)
+    size = m.sum(0) + ADDED * (of_class + 1)  # every token ends one pair
+    return ClassModel(Lookup(h), most["c"], cls, end_cls, smooth / smooth.sum(1, keepdims=True), size, int(n), int(v), mixed, words)
 
 
 def score(docs: DataFrame, model: ClassModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,7 +468,7 @@ def score(docs: DataFrame, model: ClassModel, id_col: str = "doc_id", text_col:
     empty texts are their end alone; repeated rows are scored each; an empty table gives no rows, and without any
     training text all words are unknown; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(ClassModel(model.units, model.cls, model.step, model.size, model.often, model.often_counts, model.tokens, model.vocabulary, model.mix))
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, words=None))
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
 
@@ -319,33 +479,53 @@ def score(docs: DataFrame, model: ClassModel, id_col: str = "doc_id", text_col:
             w = Words(data, off, NOT_SPACE, lower=True)
             texts = len(off) - 1
             h = _sequence(w.hash, w.first, END)
-            c = m.cls[_sequence(m.units.of(w).astype(np.int64), w.first, m.units.total - 1)]
+            at = m.often(h)
+            known = at >= 0
+            c = _sequence(m.end_cls[ending(w, len(m.end_cls))], w.first, len(m.size) - 1)  # of words that are not known
+            c[known] = m.cls[at[known]]
             row = np.repeat(np.arange(texts), w.counts + 1)
-            a = m.mix * m.step[c[:-1], c[1:]] / m.size[c[1:]]
-            at = m.often(h[1:])
-            near = at >= 0
-            n = m.often_counts[at[near]].astype(float) if len(m.often_counts) else np.zeros(0)
+            both = known[:-1] & known[1:]
+            near, far = np.flatnonzero(both), np.flatnonzero(~both)
+            n = m.often_counts[at[1:][near]].astype(float) if len(m.often_counts) else np.zeros(0)
             base = (n + 1) / (m.tokens + m.vocabulary + 1)
-            sums = [np.bincount(row[near], x, texts) for x in (np.log10(base), np.log10((n + ADDED) * a[near] + (1 - m.mix) * base), np.ones(len(n)))]
+            a = m.mix * m.step[c[:-1], c[1:]][near] / m.size[c[1:]][near]
+            sums = [np.bincount(row[near], x, texts) for x in (np.log10(base), np.log10((n + ADDED) * a + (1 - m.mix) * base), np.ones(len(n)))]
             key = (np.int64(task) << 33) + done + np.arange(texts)
-            far = np.flatnonzero(~near)
             pad = lambda x, t: pa.concat_arrays([pa.array(x, t), pa.nulls(len(far), t)])
+            more = lambda x, t: pa.concat_arrays([pa.nulls(texts, t), pa.array(x, t)])
+            spread = mix(np.concatenate([key, key[row[far]] ^ (far << 20)]).astype(np.uint64))  # rows that need no join, evenly in it
+            keys = [np.where(np.append(np.ones(texts, bool), k[far]), spread, np.append(np.zeros(texts, np.uint64), x[far])) for k, x in ((known[:-1], h[:-1]), (known[1:], h[1:]))]
+            count = np.where(known, m.often_counts[at] if len(m.often_counts) else 0, -1)[1:]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([key, key[row[far]]])),
-                    pa.array(np.concatenate([mix(key.astype(np.uint64)), h[1:][far]]).view(np.int64)),  # rows of texts spread evenly in the join
+                    *[pa.array(x.view(np.int64)) for x in keys],
                     pa.concat_arrays([b.column(0), pa.nulls(len(far), b.column(0).type)]),
-                    pa.concat_arrays([pa.nulls(texts, pa.float64()), pa.array(a[far])]),
+                    more(np.where(known[far], c[far], -1 - c[far]), pa.int32()),
+                    more(c[1:][far], pa.int32()),
+                    more(count[far], pa.int64()),
                     pad(w.counts + 1, pa.int64()),
                     *[pad(x, pa.float64()) for x in sums],
                 ],
-                ["key", "h", "doc_id", "a", "n_tokens", "base", "model", "known"],
+                ["key", "p", "h", "doc_id", "before", "cls", "count", "n_tokens", "base", "model", "known"],
             )
             done += texts
 
-    rows = slim.mapInArrow(run, f"key long, h long, doc_id {kind}, a double, n_tokens long, base double, model double, known double")
-    each = rows.join(model.counts, "h", "left") if model.counts is not None else rows.withColumn("c", F.lit(None).cast("long"))
-    n, far = F.coalesce("c", F.lit(0)), F.col("a").isNotNull()
+    # ``before``, ``cls``: classes of a word and the next, of a word to be joined what its ending says (``before``: as -1 - class).
+    rows = slim.mapInArrow(run, f"key long, p long, h long, doc_id {kind}, before int, cls int, count long, n_tokens long, base double, model double, known double")
+    if model.words is None:
+        each = rows.withColumns({"pc": F.lit(None).cast("int"), "hc": F.lit(None).cast("int"), "hn": F.lit(None).cast("long")})
+    else:
+        each = rows.join(model.words.select(F.col("h").alias("p"), F.col("cls").alias("pc")), "p", "left").join(model.words.select("h", F.col("cls").alias("hc"), F.col("c").alias("hn")), "h", "left")
+    far = F.col("cls").isNotNull()
+    b = F.when(F.col("before") >= 0, F.col("before")).otherwise(F.coalesce("pc", -1 - F.col("before")))
+    joined = F.col("count") < 0
+    c = F.when(joined, F.coalesce("hc", "cls")).otherwise(F.col("cls"))
+    n = F.when(joined, F.coalesce("hn", F.lit(0))).otherwise(F.col("count"))
+    step = F.array(*[F.lit(float(x)) for x in (model.mix * model.step / model.size).ravel()])
+    a = F.get(step, b * len(model.size) + c)
+    each = each.select("key", "doc_id", "n_tokens", "base", "model", "known", far.alias("far"), n.alias("n"), a.alias("a"))
+    n, far = F.col("n"), F.col("far")
     unit = (n + 1) / F.lit(float(model.tokens + model.vocabulary + 1))
     each = each.select("key", "doc_id", "n_tokens", F.when(far, F.log10(unit)).otherwise(F.col("base")).alias("base"), F.when(far, F.log10((n + F.lit(ADDED)) * F.col("a") + F.lit(1 - model.mix) * unit)).otherwise(F.col("model")).alias("model"), F.when(far, (n > 0).cast("double")).otherwise(F.col("known")).alias("known"))
     out = each.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("known").cast("long").alias("n_known"), F.sum("base").alias("base_score"), F.sum("model").alias("score"))

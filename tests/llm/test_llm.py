@@ -386,6 +386,47 @@ def test_language_model(spark, docs, rows, none):
     assert [(r["n_known"], round(r["base_score"], 6)) for r in score(docs.where("doc_id = 43").limit(1), untrained).collect()] == [(0, 0.0)]
 
 
+def test_every_training_word_has_its_own_class(spark, rows):
+    """Also words that are not among the most frequent, with the same ending as others; score against brute force."""
+    from cahier.llm.class_lm import ADDED, fit, score
+    from cahier.llm.words import NOT_SPACE, Words
+
+    texts = [(i, f"red a{i % 9}xyz runs red a{i * 5 % 9}xyz runs blue b{i % 7}xyz sleeps", "en", "s") for i in range(60)] + [(1000 + i, t, "en", "s") for i, (_, t, *_) in enumerate(rows)]
+    table = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").repartition(3)
+    model = fit(table, F.col("doc_id") != 7, classes=12, core=5, ends=8, rounds=6, often=12)
+
+    def hashed(w):
+        raw = np.frombuffer(w.encode(), np.uint8)
+        return int(Words(raw, np.array([0, len(raw)]), NOT_SPACE, lower=True).hash.view(np.int64)[0])
+
+    found = {r["h"]: r for r in model.words.collect()}
+    train = [words(low(t)) for i, t, *_ in texts if i != 7]
+    every = {w for t in train for w in t}
+    cls = {w: found[hashed(w)]["cls"] for w in every} | {None: 11}
+    assert len(found) == len(every) + 1 and {cls[w] for w in every} <= set(range(11))
+    assert len({cls[x] for x in [f"a{i}xyz" for i in range(9)] + [f"b{i}xyz" for i in range(7)]}) > 1
+    m = np.zeros((12, 12))
+    count = Counter()
+    for t in train:
+        for a, b in zip([None, *t], [*t, None]):
+            m[cls[a], cls[b]] += 1
+            count[b] += 1
+    step = (m + 0.5) / (m + 0.5).sum(1, keepdims=True)
+    types = Counter(cls.values())
+    size = m.sum(0) + [ADDED * (types[k] + 1) for k in range(12)]
+    assert np.allclose(model.step, step) and np.allclose(model.size, size)
+    got = {r["doc_id"]: r["score"] for r in score(table, model).collect()}
+    tested = 0
+    for i, t, *_ in texts:
+        t = words(low(t))
+        if all(w in cls for w in t):
+            base = [(count[b] + 1) / (sum(count.values()) + len(count) + 1) for b in [*t, None]]
+            p = [model.mix * step[cls[a], cls[b]] * (count[b] + ADDED) / size[cls[b]] + (1 - model.mix) * q for a, b, q in zip([None, *t], [*t, None], base)]
+            assert abs(got[i] - sum(map(math.log10, p))) < 1e-6
+            tested += 1
+    assert tested > 60
+
+
 def test_exchange_raises_the_likelihood():
     from cahier.llm.class_lm import _best_moves, _xlogx
 
