@@ -12,7 +12,8 @@
    overlap, and skips pairs whose sets are already connected; what is left is verified exactly. A larger cluster is
    cut by size into chunks, and pairs of chunks whose sizes fit are traversed, each by a task of its own. A cluster
    too large for that goes shingle by shingle: first each set in two buckets only, twice, which connects nearly all,
-   then in all buckets where different components still meet.
+   then where different components still meet, by pairs of chunks of a bucket in order of sizes; each set leaves out
+   its most frequent buckets, one fewer than it shares with any similar set.
 5. Links (at most one fewer than a tree has sets) become components by alternating large-star and small-star.
 """
 
@@ -302,7 +303,7 @@ def _mixed(shared: DataFrame, label: DataFrame | None) -> DataFrame:
     groups = rest.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.sum("n").alias("words"))
     mixed = groups.groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("c"), F.sum("words").alias("words"), F.count("*").alias("labels")).where("labels > 1")
     chunks = F.greatest(F.lit(1), F.ceil(F.col("c") / CHUNK), F.ceil(F.col("words") / CHUNK_SHINGLES)).cast("int")
-    return rest.join(mixed.select("bucket", "main", chunks.alias("chunks")), "bucket")
+    return rest.join(mixed.select("bucket", "main", "c", chunks.alias("chunks")), "bucket")
 
 
 def _chunk_pairs(sets_: DataFrame, percent: int) -> DataFrame:
@@ -321,6 +322,27 @@ def _chunk_pairs(sets_: DataFrame, percent: int) -> DataFrame:
     return members.select(F.col("component").alias("bucket"), "chunk", "digest", "n", F.col("digest").alias("label"), "side")
 
 
+def _bucket_pairs(rest: DataFrame, percent: int) -> DataFrame:
+    """members of pairs of chunks of buckets of any size whose sizes fit: the sets outside the bucket's main component
+    (``other`` = 1) with each other and with those of it. ``rest``: bucket, digest, n, label, other."""
+    group, room = ["bucket", "other"], F.greatest(F.lit(1.0 / CHUNK), F.col("n") / CHUNK_SHINGLES)
+    sizes = rest.groupBy(*group, "n").agg((F.count("*") * F.first(room)).alias("room"))
+    before = Window.partitionBy(*group).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("at", F.coalesce(F.sum("room").over(before), F.lit(0.0)))
+    inside = F.pmod(F.xxhash64("digest"), F.lit(1 << 20)) / F.lit(1 << 20)  # sets of one size lie in the order of a hash
+    own = cut_lineage(rest.join(sizes, [*group, "n"]).withColumn("own", F.floor(F.col("at") + F.col("room") * inside).cast("long")).drop("room", "at"))
+    range_ = own.groupBy(*group, "own").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    second = range_.where("other = 1").select("bucket", F.col("own").alias("own2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    fit = (100 * F.col("hi") >= percent * F.col("lo2")) & (100 * F.col("hi2") >= percent * F.col("lo"))
+    pairs = range_.join(second, "bucket").where(((F.col("other") == 0) | (F.col("own") <= F.col("own2"))) & fit)
+    pairs = pairs.withColumn("chunk", (F.col("own") * (1 << 31) + F.col("own2")) * 2 + F.col("other"))
+    same = (F.col("other") == 1) & (F.col("own") == F.col("own2"))
+    first = pairs.select("bucket", "other", "own", "chunk", F.when(same, 0).otherwise(1).alias("side"))
+    last = pairs.where(~same).select("bucket", F.lit(1).alias("other"), F.col("own2").alias("own"), "chunk", F.lit(2).alias("side"))
+    members = own.join(first.unionByName(last), [*group, "own"])
+    return members.select("bucket", "chunk", "digest", "n", "label", "side")
+
+
 def _by_shingle(shared: DataFrame, made: DataFrame, percent: int) -> DataFrame:
     """Links within clusters of any size. ``shared``: bucket, digest, n."""
     links, label = [], None
@@ -332,10 +354,12 @@ def _by_shingle(shared: DataFrame, made: DataFrame, percent: int) -> DataFrame:
         links.append(cut_lineage(_links(picked, made, percent)))
         label = components(links[0] if turn == 0 else links[0].unionByName(links[1]))
     rest = _mixed(shared, label)
-    own = F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int")
-    # Sets outside the bucket's main component are in all its chunks, and compared with each other in the first only.
-    rest = rest.select("bucket", "digest", "n", "label", F.explode(F.when(F.col("label") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))).alias("chunk"), (F.col("label") != F.col("main")).alias("other"))
-    rest = cut_lineage(rest.select("bucket", "chunk", "digest", "n", "label", (F.col("other") & (F.col("chunk") > 0)).cast("int").alias("side")))
+    # Similar sets share at least so many buckets that the rarest of these is left when each drops one fewer of its most frequent.
+    rank = F.row_number().over(Window.partitionBy("digest").orderBy(F.desc("c"), F.desc("bucket")))
+    rest = rest.withColumn("rank", rank).where(F.col("rank") >= _fewest_shared(F.col("n"), percent))
+    rest = cut_lineage(rest.select("bucket", "digest", "n", "label", "chunks", (F.col("label") != F.col("main")).cast("int").alias("other")))
+    whole = rest.where("chunks = 1").select("bucket", F.lit(0).cast("long").alias("chunk"), "digest", "n", "label", F.lit(0).alias("side"))
+    rest = cut_lineage(whole.unionByName(_bucket_pairs(rest.where("chunks > 1"), percent)))
     return cut_lineage(links[0].unionByName(links[1]).unionByName(_links(rest, made, percent)))
 
 

@@ -277,6 +277,33 @@ def test_near_duplicates(spark, docs, rows, none, path, monkeypatch):
         assert j.near_duplicates(none).count() == 0 and j.keep_one(docs).columns == docs.columns
 
 
+def test_sets_with_a_common_part_are_compared_in_small_groups(spark, monkeypatch):
+    """Many texts share a template without being similar, a few are: no task gets them all, and all links are found."""
+    import cahier.llm.jaccard_join as j
+
+    from .conftest import text
+
+    template, rows = " ".join(f"t{x}" for x in range(75)), []
+    for i in range(60):
+        own = [f"o{i}x{x}" for x in range(25)]
+        rows.append((i, template + " " + " ".join(own)))
+        if i % 12 == 0:
+            rows.append((100 + i, template + " " + " ".join([*own[:-2], "edited", text(i, 1)])))
+    monkeypatch.setattr(j, "CLUSTER_CHUNKS", 0)
+    monkeypatch.setattr(j, "CHUNK", 6)
+    links, largest = j._links, []
+
+    def watched(members, sets, percent):
+        largest.append(members.groupBy("bucket", "chunk").count().agg(F.max("count")).first()[0] or 0)
+        return links(members, sets, percent)
+
+    monkeypatch.setattr(j, "_links", watched)
+    want = brute_components(rows)
+    got = listed(j.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
+    assert got == want and len({c for _, _, c in want}) == 60
+    assert 0 < largest[-1] <= 4 * j.CHUNK
+
+
 def test_rows_without_ids(spark):
     from cahier.llm.jaccard_join import keep_one, near_duplicates
     from cahier.llm.substring_dedup import repeated_passages
