@@ -71,6 +71,20 @@ RULES = [
     ("Unlicense", ["Public:domain"]),
     *[(name, [f"{name}:named"]) for name in NAMES],
 ]
+# What the scan knows of GPL notices, piece by piece: their first pieces are the same once normalised, the versions tell
+# them apart. (The SQL's catalogue has the notices whole.)
+GPL_WHOLE = ("GPL2:later", "GPL3:later")
+GPL_GRANT = "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"
+GPL_PIECES = {
+    "GPL:lead": "This program is free software",
+    "GPL:grant": GPL_GRANT,
+    "GPL2:version": "either version 2 of the License, or (at your option) any later version",
+    "GPL3:version": "either version 3 of the License, or (at your option) any later version",
+    "GPL2:grant": GPL_GRANT + ", either version 2 of the License, or (at your option) any later version",
+    "GPL3:grant": GPL_GRANT + ", either version 3 of the License, or (at your option) any later version",
+}
+GPL_RULES = [(f"GPL-{v}.0-or-later", ["GPL:lead?", *ids, "GPL:warranty?"]) for v in (2, 3) for ids in (["GPL:grant", f"GPL{v}:version"], [f"GPL{v}:grant"])]
+SCAN_RULES = [*GPL_RULES, *[r for r in RULES if not set(r[1]) & set(GPL_WHOLE)]]
 #: Every known sentence has one of these words, as written or normalised, so texts without any hold none.
 KEYWORDS = ["under", "permi", "redistribut", "warrant", "copyright", "public", "software", "rights", "compliance", "licen", "merchant"]
 COMMENT = r"(?m)^[\t ]*(?://+|#+|\*+|;+|--+|%+)[\t ]*"
@@ -98,9 +112,28 @@ def catalogue() -> dict[str, str]:
     return known
 
 
-def pattern_parts() -> list[str]:
+def known_sentences(sentences: dict[str, str]) -> dict[str, str]:
+    """Normalised sentence -> identifier, of the names and ``sentences``; one sentence with two identifiers is an error."""
+    known: dict[str, str] = {}
+
+    def add(key: str, i: str) -> None:
+        if known.setdefault(key, i) != i:
+            raise ValueError(f"{known[key]} and {i} are one sentence: {key}")
+
+    for name, texts in NAMES.items():
+        for text in texts:
+            add(normalise(f"licensed under {text}"), f"{name}:named")
+    for i, text in sentences.items():
+        add(pieces(text)[0], i)
+    for text in sentences.values():
+        for part in pieces(text)[1:]:  # the rest of a sentence that one piece tells apart adds nothing
+            known.setdefault(part, "")
+    return known
+
+
+def pattern_parts(rules: list[tuple[str, list[str]]] = RULES) -> list[str]:
     """The rules, in order, as patterns over '<id>' sequences."""
-    return ["".join(f"(?:<{re.escape(i.rstrip('?'))}>)" + ("?" if i.endswith("?") else "") for i in ids) for _, ids in RULES]
+    return ["".join(f"(?:<{re.escape(i.rstrip('?'))}>)" + ("?" if i.endswith("?") else "") for i in ids) for _, ids in rules]
 
 
 def _identify(text: Column, cut: str, known: Column) -> Column:
@@ -116,17 +149,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Null and empty texts hold nothing; texts are scanned whole; repeated rows are scanned each; an empty table gives
     no rows; other columns are not read.
     """
-    table = catalogue()
+    table = known_sentences({i: t for i, t in SENTENCES.items() if i not in GPL_WHOLE} | GPL_PIECES)
     known = F.map_from_arrays(F.array(*[F.lit(s) for s in table]), F.array(*[F.lit(i) for i in table.values()]))
     text = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "\r\n?", "\n"), COMMENT, "")
     worth = docs.select(F.col(id_col).alias("doc_id"), F.when(F.col(text_col).rlike("(?i)" + "|".join(KEYWORDS)), text).otherwise(F.lit("")).alias("t"))
     none = F.array().cast("array<string>")
     found = worth.select("doc_id", *[F.when(F.col("t") == "", none).otherwise(_identify(F.col("t"), cut, known)).alias(n) for n, cut in (("a", LINE_CUT), ("b", TEXT_CUT))])
     found = found.select("doc_id", F.when(F.size("a") >= F.size("b"), F.col("a")).otherwise(F.col("b")).alias("sentence_ids"))
-    pattern = "|".join(f"(?:{p})" for p in pattern_parts())
+    pattern = "|".join(f"(?:{p})" for p in pattern_parts(SCAN_RULES))
     chain = F.array_join(F.transform("sentence_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
     taken = F.regexp_extract_all(chain, F.lit(f"({pattern})"), F.lit(1))
-    licence = lambda m: F.coalesce(*[F.when(m.rlike("^" + p + "$"), F.lit(name)) for (name, _), p in zip(RULES, pattern_parts())])
+    licence = lambda m: F.coalesce(*[F.when(m.rlike("^" + p + "$"), F.lit(name)) for (name, _), p in zip(SCAN_RULES, pattern_parts(SCAN_RULES))])
     out = found.select("doc_id", "sentence_ids", taken.alias("m"))
     left = F.size("sentence_ids") - F.aggregate("m", F.lit(0), lambda n, m: n + F.length(m) - F.length(F.replace(m, F.lit("<"), F.lit(""))))
     return out.select("doc_id", "sentence_ids", F.transform("m", licence).alias("licences"), left.alias("n_unmatched"))

@@ -536,6 +536,21 @@ def test_licences(spark, docs, none):
     assert scan(docs).where(F.size("licences") > 0).count() == 0 and scan(none).count() == 0
 
 
+def test_gpl_notices(spark):
+    from cahier.llm.license_scan import SENTENCES, known_sentences, scan
+
+    two, three, warranty = (SENTENCES[k] + ".\n" for k in ("GPL2:later", "GPL3:later", "GPL:warranty"))
+    cases = {0: (two + warranty, ["GPL-2.0-or-later"]), 1: (three + warranty, ["GPL-3.0-or-later"]), 2: (three + two, ["GPL-3.0-or-later", "GPL-2.0-or-later"])}
+    cases |= {3: ("This program is free software.", []), 4: ("// " + re.sub(r"((?:\S+ ){7})", r"\1\n// ", two), ["GPL-2.0-or-later"])}
+    cases |= {5: (three.replace("Foundation,", "Foundation;"), ["GPL-3.0-or-later"])}
+    df = spark.createDataFrame([(i, t) for i, (t, _) in cases.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in scan(df).collect()}
+    assert {i: r["licences"] for i, r in got.items()} == {i: x for i, (_, x) in cases.items()}
+    assert [got[i]["n_unmatched"] for i in range(4)] == [0, 0, 0, 1]
+    with pytest.raises(ValueError):
+        known_sentences({k: SENTENCES[k] for k in ("GPL2:later", "GPL3:later")})
+
+
 # The digests that the registered queries derive, and the pipeline.
 
 
