@@ -5,7 +5,9 @@ identifiers found, in the order of the text, are matched against ordered rules:
 sequence stands there wins and consumes it; identifiers that no rule takes are counted as unmatched.
 
 A text is cut into sentences twice, with line ends as boundaries and without them (for licences that are wrapped);
-comment marks at line starts are dropped. The cut that finds more known sentences counts, the first on a tie.
+comment marks at line starts are dropped. In the second cut blank lines end sentences too, and copyright lines, which
+stand between a licence's title and its text, count as blank. An SPDX line with one identifier counts as a notice that
+names the licence. The cut that finds more known sentences counts, the first on a tie.
 Everything is expressions inside the text's own row; there is no shuffle.
 """
 
@@ -85,11 +87,18 @@ GPL_PIECES = {
 }
 GPL_RULES = [(f"GPL-{v}.0-or-later", ["GPL:lead?", *ids, "GPL:warranty?"]) for v in (2, 3) for ids in (["GPL:grant", f"GPL{v}:version"], [f"GPL{v}:grant"])]
 SCAN_RULES = [*GPL_RULES, *[r for r in RULES if not set(r[1]) & set(GPL_WHOLE)]]
+# Identifiers that only SPDX lines use.
+SPDX_ONLY = ["Unlicense", *[f"{name}-{how}" for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for how in ("only", "or-later")]]
+SCAN_RULES += [(name, [f"{name}:named"]) for name in SPDX_ONLY]
 #: Every known sentence has one of these words, as written or normalised, so texts without any hold none.
 KEYWORDS = ["under", "permi", "redistribut", "warrant", "copyright", "public", "software", "rights", "compliance", "licen", "merchant"]
 COMMENT = r"(?m)^[\t ]*(?://+|#+|\*+|;+|--+|%+)[\t ]*"
 LINE_CUT = r"\n|(?<=[.!?;:])[\x20\t]+"
-TEXT_CUT = r"(?<=[.!?;:])[\x20\t\n]+"
+
+#: The second cut; copyright lines (without a claim to all rights behind them) are blank lines in it.
+TEXT_CUT = r"(?<=[.!?;:])[\x20\t\n]+|\n[\x20\t]*\n[\x20\t\n]*"
+COPYRIGHT = r"(?im)^[\t ]*(?:copyright[\t ]+(?:\(c\)|©|[0-9]{4})|\(c\)[\t ]*(?:copyright|[0-9]{4})|©)(?:(?!all rights reserved)[^\n])*"
+SPDX = r"(?im)^[\t ]*(?:/\*+|<!--)?[\t ]*SPDX-License-Identifier:[\t ]*([a-z0-9.+-]+)[\t ]*(?:\*/|-->)?[\t ]*$"
 
 
 def normalise(sentence: str) -> str:
@@ -123,6 +132,8 @@ def known_sentences(sentences: dict[str, str]) -> dict[str, str]:
     for name, texts in NAMES.items():
         for text in texts:
             add(normalise(f"licensed under {text}"), f"{name}:named")
+    for name in {name for name, _ in SCAN_RULES}:
+        add(normalise(f"licensed under {name}"), f"{name}:named")
     for i, text in sentences.items():
         add(pieces(text)[0], i)
     for text in sentences.values():
@@ -152,9 +163,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     table = known_sentences({i: t for i, t in SENTENCES.items() if i not in GPL_WHOLE} | GPL_PIECES)
     known = F.map_from_arrays(F.array(*[F.lit(s) for s in table]), F.array(*[F.lit(i) for i in table.values()]))
     text = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "\r\n?", "\n"), COMMENT, "")
+    text = F.regexp_replace(text, SPDX, "\n\nLicensed under $1\n\n")
     worth = docs.select(F.col(id_col).alias("doc_id"), F.when(F.col(text_col).rlike("(?i)" + "|".join(KEYWORDS)), text).otherwise(F.lit("")).alias("t"))
     none = F.array().cast("array<string>")
-    found = worth.select("doc_id", *[F.when(F.col("t") == "", none).otherwise(_identify(F.col("t"), cut, known)).alias(n) for n, cut in (("a", LINE_CUT), ("b", TEXT_CUT))])
+    found = worth.select("doc_id", *[F.when(F.col("t") == "", none).otherwise(_identify(t, cut, known)).alias(n) for n, t, cut in (("a", F.col("t"), LINE_CUT), ("b", F.regexp_replace("t", COPYRIGHT, "\n\n"), TEXT_CUT))])
     found = found.select("doc_id", F.when(F.size("a") >= F.size("b"), F.col("a")).otherwise(F.col("b")).alias("sentence_ids"))
     pattern = "|".join(f"(?:{p})" for p in pattern_parts(SCAN_RULES))
     chain = F.array_join(F.transform("sentence_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")

@@ -536,6 +536,35 @@ def test_licences(spark, docs, none):
     assert scan(docs).where(F.size("licences") > 0).count() == 0 and scan(none).count() == 0
 
 
+def test_whole_wrapped_licence_files(spark):
+    import textwrap
+
+    from cahier.llm.license_scan import SENTENCES, scan
+
+    def file(title, paragraphs, mark="", holder="Copyright (c) 2020 Jane Doe"):
+        lines = "\n\n".join([title, holder, *["\n".join(textwrap.wrap(p, 72)) for p in paragraphs]])
+        return "\n".join((mark + x).rstrip() for x in lines.split("\n")) + "\n"
+
+    mit = [SENTENCES["MIT:grant"] + ":", SENTENCES["MIT:notice"] + ".", SENTENCES["MIT:asis"] + "."]
+    isc = [SENTENCES["ISC:grant"] + "."]
+    cases = {
+        0: (file("MIT License", mit), ["MIT"]),
+        1: (file("MIT License", mit, " * "), ["MIT"]),
+        2: (file("ISC License", isc, "# "), ["ISC"]),
+        3: (file("MIT License", mit, "", "Copyright 2020 Jane Doe\nCopyright © 2021 Others"), ["MIT"]),
+        4: (file("MIT License", mit).replace("Doe\n\n", "Doe\n"), ["MIT"]),
+        5: ("// SPDX-License-Identifier: GPL-2.0-or-later\nint main;\n", ["GPL-2.0-or-later"]),
+        9: ("/* SPDX-License-Identifier: MIT */\n", ["MIT"]),
+        6: ("/* code */\n# SPDX-License-Identifier: Apache-2.0\n# more\n", ["Apache-2.0"]),
+        7: ("SPDX-License-Identifier: Own-1.0\n", []),
+        8: (file("Title", ["Some text."], "", "Copyright (c) 2020 Jane Doe. All rights reserved."), []),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in cases.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in scan(df).collect()}
+    assert {i: r["licences"] for i, r in got.items()} == {i: x for i, (_, x) in cases.items()}
+    assert got[8]["sentence_ids"] == ["Rights:reserved"]
+
+
 def test_gpl_notices(spark):
     from cahier.llm.license_scan import SENTENCES, known_sentences, scan
 
