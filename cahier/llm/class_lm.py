@@ -1,16 +1,22 @@
 """Language-model scoring by a Brown class-based bigram model.
 
 Exchange clustering assigns every word of the training texts to a class: a word moves to the class that raises the
-likelihood of the class bigrams most. Pairs of words are counted once, by shuffle. A round makes sparse rows of them (how
-often a word stands before and after each class), sums the rows per word in shuffled parts and moves half of the words,
-each in its part. Only words that are not in the training texts get a class by their endings. The model is
+likelihood of the class bigrams most. The model is
 
     P(w | v) = mix * P(class w | class v) * P(w | class w) + (1 - mix) * (c(w) + 1) / (N + V + 1)
     P(w | class) = (c(w) + d) / (c(class) + d * (words of the class + 1))
 
-with c(w) the exact count of each word in all training texts. Counts and classes of the most frequent words are broadcast
-(a fixed number); all others are joined to the tokens and pairs that need them by shuffle, so nothing on the driver grows
-with the corpus.
+with c(w) the exact count of each word in all training texts.
+
+1. The ``often`` most frequent words (a fixed number, broadcast) are exchanged first, while all rarer words stand
+   together in class 0. The pairs of words are counted once and dealt by word, so a round is one pass over them inside
+   their parts: a word's row says how often it stands before and after each class. Half of the words may move in a round.
+2. The rarer words follow: their rows (classes of the words beside them) are summed per word by shuffle, and each moves
+   to its own best class; pairs of two rare words are joined with the classes of both.
+
+A round counts only if the likelihood rose with it. Only words that are not in the training texts get a class by their
+endings. Classes and counts of rare words are a table that is joined to the tokens that need it, so nothing on the driver
+or in a broadcast grows with the corpus.
 """
 
 from __future__ import annotations
@@ -25,17 +31,15 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cahier.llm.words import NOT_SPACE, U64, Words, grams, mix, spans, text_blocks
+from cahier.llm.words import NOT_SPACE, U64, Words, mix, spans, text_blocks
 from cahier.session import cut_lineage
 
 #: Stands for the end of a text, and for its beginning as the first word's history.
 END = U64(0x0123456789ABCDEF)
 #: Added to each count in a class, an unknown word's included.
-ADDED = 0.5
+ADDED = 1.0
 #: Pairs that a part of the words has, about.
 PART_PAIRS = 1 << 20
-#: Pairs of one word that go to one part; more are dealt out by the other word.
-WORD_PAIRS = 1 << 18
 #: Classes next to words that are weighed at once.
 STEP_ROWS = 1 << 14
 
@@ -115,87 +119,98 @@ def _blob(x: np.ndarray) -> bytes:
     return zlib.compress(x.tobytes(), 1)
 
 
-def _column(table: pa.Table | pa.RecordBatch, name: str, kind: type) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(zlib.decompress(x), kind) for x in table.column(name).to_pylist())])
+def _array(blob: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob), kind)
+
+
+#: Words of a part (in order), how many rows each has, what each row is about (in order, as differences) and its count.
+PACKED = "part int, w binary, size binary, x binary, n binary"
+
+
+def _packed(part: int, w: np.ndarray, x: np.ndarray, n: np.ndarray) -> dict:
+    """``w``, ``x``: in order, each pair once."""
+    at = np.flatnonzero(np.append(True, w[1:] != w[:-1])[: len(w)])
+    return {"part": part, "w": _blob(w[at]), "size": _blob(np.diff(np.append(at, len(w))).astype(np.int32)), "x": _blob(np.diff(x, prepend=x.dtype.type(0)).astype(x.dtype)), "n": _blob(n.astype(np.int64))}
 
 
-def _summed(w: np.ndarray, x: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """Each (w, x) once, in order, with the sum of n; x is less than ``width``."""
-    words, at = np.unique(w, return_inverse=True)
-    key = at * width + x
-    by = np.argsort(key, kind="stable")
-    cut = np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1])[: len(key)])
-    key = key[by][cut]
-    return words[key // width], (key % width).astype(np.int32), np.add.reduceat(n[by], cut) if len(cut) else n
+def _unpack(row: dict, w: type, x: type) -> tuple[np.ndarray, ...]:
+    """Words, and per row the number of its word, what it is about and its count."""
+    size = _array(row["size"], np.int32)
+    return _array(row["w"], w), np.repeat(np.arange(len(size)), size), np.cumsum(_array(row["x"], x), dtype=x), _array(row["n"], np.int64)
 
 
-#: Rows of a part: words, what stands next to them (or which code) and how often.
-PACKED = "part int, w binary, x binary, n binary"
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("w", "size", "x", "n")]]))
 
 
-def _packed(part: np.ndarray, w: np.ndarray, x: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    by = np.argsort(part, kind="stable")
-    part, w, x, n = part[by], w[by], x[by], n[by].astype(np.int64)
+def _dealt(part: np.ndarray, w: np.ndarray, x: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    by = np.lexsort((x, w, part))
+    part, w, x, n = part[by], w[by], x[by], n[by]
     cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)]), len(part))
-    blobs = [pa.array([_blob(c[i:j]) for i, j in zip(cut[:-1], cut[1:])], pa.binary()) for c in (w, x, n)]
-    return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]].astype(np.int32)), *blobs], ["part", "w", "x", "n"])
+    return _batch([_packed(int(part[i]), w[i:j], x[i:j], n[i:j]) for i, j in zip(cut[:-1], cut[1:])])
 
 
-def _part(w: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(w) % U64(parts)).astype(np.int64)
+def _adder(w: type, x: type):
+    """Adds up the packed rows of a part."""
+
+    def add(table: pa.Table) -> pa.Table:
+        ws, xs, ns = [], [], []
+        for row in table.to_pylist():
+            words, at, about, n = _unpack(row, w, x)
+            ws.append(words[at])
+            xs.append(about)
+            ns.append(n)
+        ws, xs, ns = np.concatenate(ws), np.concatenate(xs), np.concatenate(ns)
+        by = np.lexsort((xs, ws))
+        ws, xs, ns = ws[by], xs[by], ns[by]
+        cut = np.flatnonzero(np.append(True, (ws[1:] != ws[:-1]) | (xs[1:] != xs[:-1]))[: len(ws)])
+        return pa.Table.from_batches([_batch([_packed(table["part"][0].as_py(), ws[cut], xs[cut], np.add.reduceat(ns, cut) if len(cut) else ns)])])
+
+    return add
 
 
-def _count_pairs(docs: DataFrame, top: Broadcast, parts: int) -> tuple[DataFrame, DataFrame]:
-    """Words and the words next to them, packed by parts. In the first table x is 3 * the other word's index among the
-    most frequent + 0 if it stands after the word, + 1 before it, + 2 if it is the word itself. The second, of the pairs
-    whose other word is not among those, has the other word's hash as x, and is dealt by it; n is 3 * the count + 0 to 2."""
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, count) with each key once."""
+    key, n = (np.concatenate(x) for x in zip(*held))
+    by = np.argsort(key)
+    at = np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1])[: len(key)])
+    return key[by][at], np.add.reduceat(n[by], at) if len(at) else n
 
-    def deal(u: np.ndarray, v: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        often, counts = top.value
-        same = u == v
-        w, x = np.concatenate([u, v, u[same]]), np.concatenate([v, u, v[same]])
-        side, n = np.repeat([0, 1, 2], [len(u), len(u), same.sum()]), np.concatenate([n, n, n[same]])
-        at, own = often(x), often(w)
-        near, far = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
-        shares = np.where(own >= 0, 1 + counts[own] // WORD_PAIRS, 1)[near].astype(np.uint64) if len(counts) else np.ones(len(near), np.uint64)
-        yield _packed(_part(w[near] + mix(x[near]) % shares * END, parts), w[near], (3 * at[near] + side[near]).astype(np.int32), n[near])
-        yield _packed(parts + _part(x[far], parts), w[far], x[far], 3 * n[far] + side[far])
+
+def _count_pairs(docs: DataFrame, top: Broadcast, parts: int) -> DataFrame:
+    """The pairs of frequent words, by part of the word: x is the other word's index if it stands after, and ``all`` more
+    if it stands before. All rarer words are one, with the last index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        often = top.value[0]
+        width, held = often.n + 1, []
 
-        def merged() -> tuple[np.ndarray, ...]:
-            g, u, v, n = (np.concatenate(x) for x in zip(*held))
-            by = np.argsort(g)
-            at = np.flatnonzero(np.append(True, g[by][1:] != g[by][:-1]))
-            return g[by][at], u[by][at], v[by][at], np.add.reduceat(n[by], at)
+        def deal() -> pa.RecordBatch:
+            key, n = held[0]
+            held.clear()
+            u, v = np.divmod(key, width)
+            w, x = np.concatenate([u, v]).astype(np.int32), np.concatenate([v, u + width]).astype(np.int32)
+            return _dealt(w % parts, w, x, np.concatenate([n, n]))
 
         for _, data, off in text_blocks(batches):
-            w = Words(data, off, NOT_SPACE, lower=True)
-            s = _sequence(w.hash, w.first, END)
-            g, at, n = np.unique(grams(s, 2), return_index=True, return_counts=True)
-            held.append((g, s[at], s[at + 1], n))
-            if sum(len(x[0]) for x in held) > 800_000:
-                held = [merged()]
-                if len(held[0][0]) > 400_000:
-                    yield from deal(*held.pop()[1:])
+            words = Words(data, off, NOT_SPACE, lower=True)
+            i = often(_sequence(words.hash, words.first, END))
+            i[i < 0] = often.n
+            held.append(np.unique(i[:-1].astype(np.int64) * width + i[1:], return_counts=True))
+            if sum(len(k) for k, _ in held) > 1_200_000:
+                held = [_merged(held)]
+                if len(held[0][0]) > 600_000:
+                    yield deal()
         if held:
-            yield from deal(*merged()[1:])
+            held = [_merged(held)]
+            yield deal()
+
+    return cut_lineage(docs.mapInArrow(run, PACKED).groupBy("part").applyInArrow(_adder(np.int32, np.int32), PACKED))
 
-    def add(table: pa.Table) -> pa.Table:
-        w, n = _column(table, "w", np.uint64), _column(table, "n", np.int64)
-        if table["part"][0].as_py() < parts:
-            w, x, n = _summed(w, _column(table, "x", np.int32), n, 3 * top.value[0].n)
-        else:
-            x = _column(table, "x", np.uint64)
-            by = np.lexsort((n % 3, x, w))
-            w, x, n, side = w[by], x[by], n[by] // 3, n[by] % 3
-            cut = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (x[1:] != x[:-1]) | (side[1:] != side[:-1]))[: len(w)])
-            w, x, n = w[cut], x[cut], 3 * (np.add.reduceat(n, cut) if len(cut) else n) + side[cut]
-        return pa.table({"part": table["part"][:1], **{c: pa.array([_blob(v)], pa.binary()) for c, v in (("w", w), ("x", x), ("n", n))}})
 
-    both = cut_lineage(docs.mapInArrow(run, PACKED).groupBy("part").applyInArrow(add, PACKED))
-    return both.where(F.col("part") < parts), both.where(F.col("part") >= parts).withColumn("part", F.col("part") - parts)
+def likelihood(m: np.ndarray) -> float:
+    """What the classes add to the log likelihood of the training texts."""
+    return float(_xlogx(m).sum() - _xlogx(m.sum(0)).sum() - _xlogx(m.sum(1)).sum())
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -233,10 +248,11 @@ def _gains(o: np.ndarray, n: np.ndarray, own: np.ndarray, a: np.ndarray, m: np.n
 
 
 def _step(o: np.ndarray, n: np.ndarray, own: np.ndarray, a: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """The words' classes after an exchange step; ``m`` is changed with them."""
+    """The words' classes after an exchange step; ``m`` is changed with them. A word moves for more than what naming one of
+    the classes costs (ln of their number), so the few contexts of a rare word are not fitted by chance."""
     gain, k = _gains(o, n, own, a, m), np.arange(len(a))
     b = gain.argmax(1)
-    b = np.where(gain[k, b] <= gain[k, a] + 1e-6, a, b)
+    b = np.where(gain[k, b] <= gain[k, a] + np.log(len(m)), a, b)
     go = np.flatnonzero(b != a)
     o, n, own, a, to = o[go].copy(), n[go].copy(), own[go], a[go], b[go]
     k = np.arange(len(go))
@@ -249,154 +265,203 @@ def _step(o: np.ndarray, n: np.ndarray, own: np.ndarray, a: np.ndarray, m: np.nd
     return b
 
 
-def _best_moves(first: int, out: np.ndarray, in_: np.ndarray, cls: np.ndarray, m: np.ndarray, classes: int, turn: np.ndarray) -> list[tuple[int, int]]:
-    """Exchange steps for words with full rows of pairs whose ``turn`` it is, one after the other on a copy of m."""
-    m, cls, moves = m.copy(), cls.copy(), []
-    for i in range(len(out)):
-        u = first + i
-        if not turn[u] or not (out[i].any() or in_[i].any()):
-            continue
-        o, n = (np.bincount(cls, x[i], classes)[None] for x in (out, in_))
-        b = int(_step(o, n, np.array([float(out[i, u])]), cls[u : u + 1], m)[0])
-        if b != cls[u]:
-            cls[u] = b
-            moves.append((u, b))
-    return moves
-
-
-def _rows(near: DataFrame, far: DataFrame, state: DataFrame, cls: np.ndarray, classes: int, parts: int) -> DataFrame:
-    """Per part of the words their sparse rows, packed. Codes: a class after the word, classes + a class before it,
-    2 * classes if it stands before itself, and from there on 1 + the class that it is in now."""
-    now = near.sparkSession.sparkContext.broadcast(cls)
-    width = 3 * classes + 1
-
-    def of_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(len(b)):
-                one = b.slice(i, 1)
-                x, side = np.divmod(_column(one, "x", np.int32), 3)
-                code = np.where(side == 2, 2 * classes, side * classes + now.value[x]).astype(np.int32)
-                w, code, n = _summed(_column(one, "w", np.uint64), code, _column(one, "n", np.int64), width)
-                yield _packed(_part(w, parts), w, code, n)
-
-    def of_far(pairs: pa.Table, held: pa.Table) -> pa.Table:
-        w, x, n = _column(pairs, "w", np.uint64), _column(pairs, "x", np.uint64), _column(pairs, "n", np.int64)
-        h, c = _column(held, "w", np.uint64), _column(held, "x", np.int32)
-        by = np.argsort(h)
-        c = c[by][np.searchsorted(h[by], x)] if len(x) else c[:0]  # every word of a pair has a class
-        w, code, n = _summed(w, np.where(n % 3 == 2, 2 * classes, n % 3 * classes + c).astype(np.int32), n // 3, width)
-        return pa.Table.from_batches([_packed(_part(w, parts), w, code, n)])
-
-    def of_state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summed_matrix(rows: DataFrame, run, width: int) -> np.ndarray:
+    """The sum of the ``width`` x ``width`` matrices that ``run`` makes of the batches of each task."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = np.zeros((width, width))
         for b in batches:
-            for i in range(len(b)):
-                w, c = _column(b.slice(i, 1), "w", np.uint64), _column(b.slice(i, 1), "x", np.int32)
-                yield _packed(_part(w, parts), w, c + np.int32(2 * classes + 1), np.zeros(len(w), np.int64))
+            run(b, m)
+        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array(list(m), pa.list_(pa.float64()))], ["row", "m"])
 
-    beside = far.groupBy("part").cogroup(state.groupBy("part")).applyInArrow(of_far, PACKED)
-    every = near.mapInArrow(of_near, PACKED).unionByName(beside).unionByName(state.mapInArrow(of_state, PACKED))
+    out = np.zeros((width, width))
+    for r in rows.mapInArrow(each, "row int, m array<double>").select("row", F.posexplode("m").alias("col", "n")).groupBy("row", "col").agg(F.sum("n").alias("n")).collect():  # width x width
+        out[r["row"], r["col"]] = r["n"]
+    return out
 
-    def add(table: pa.Table) -> pa.Table:
-        w, code, n = _summed(_column(table, "w", np.uint64), _column(table, "x", np.int32), _column(table, "n", np.int64), width)
-        return pa.table({"part": table["part"][:1], **{c: pa.array([_blob(v)], pa.binary()) for c, v in (("w", w), ("x", code), ("n", n))}})
 
-    return cut_lineage(every.groupBy("part").applyInArrow(add, PACKED))
+def _near_matrix(pairs: DataFrame, cls: np.ndarray, classes: int) -> np.ndarray:
+    """Class bigrams; the rarer words are a class of their own, the last."""
+    now = pairs.sparkSession.sparkContext.broadcast(np.append(cls, classes))
 
+    def run(b: pa.RecordBatch, m: np.ndarray) -> None:
+        c = now.value
+        for row in b.to_pylist():
+            w, at, x, n = _unpack(row, np.int32, np.int32)
+            after = x < len(c)
+            m += np.bincount(c[w][at[after]] * len(m) + c[x[after]], n[after], m.size).reshape(m.shape)
 
-def _read(one: pa.RecordBatch, classes: int) -> tuple[np.ndarray, ...]:
-    """Of a part: its words, their classes, and the sparse rows as (number of the word, code, n)."""
-    w, code, n = _column(one, "w", np.uint64), _column(one, "x", np.int32), _column(one, "n", np.int64)
-    held = code > 2 * classes  # one for each word, its last
-    at = np.cumsum(held) - held
-    return w[held], code[held].astype(np.int64) - 2 * classes - 1, at[~held], code[~held], n[~held]
+    return _summed_matrix(pairs, run, classes + 1)
 
 
-def _matrix(rows: DataFrame, classes: int) -> np.ndarray:
-    """The class bigrams."""
+def _joined(m: np.ndarray) -> np.ndarray:
+    """The matrix with its last class put into class 0."""
+    out = m[:-1, :-1].copy()
+    out[0] += m[-1, :-1]
+    out[:, 0] += m[:-1, -1]
+    out[0, 0] += m[-1, -1]
+    return out
+
+
+def _in_steps(words: np.ndarray, alone: np.ndarray, at: np.ndarray, side: np.ndarray, n: np.ndarray, own: np.ndarray, cls: np.ndarray, m: np.ndarray) -> None:
+    """Exchange steps for ``words`` (numbers of rows), those that are ``alone`` one after the other, the rest a few at once.
+    ``at``, ``side``, ``n``: entries in order of ``at``; side: a class after the word, or classes + a class before it. ``cls``
+    and ``m`` change."""
+    classes = len(m)
+    first = np.searchsorted(at, np.arange(len(cls) + 1))
+    group = np.where(alone, np.arange(len(words)), len(words) + np.cumsum(np.diff(first)[words]) // STEP_ROWS)
+    for some in np.split(words, np.flatnonzero(group[1:] != group[:-1]) + 1) if len(words) else ():
+        size = first[some + 1] - first[some]
+        take = np.repeat(first[some] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        full = np.bincount(np.repeat(np.arange(len(some)), size) * 2 * classes + side[take], n[take], len(some) * 2 * classes).reshape(len(some), 2 * classes)
+        cls[some] = _step(full[:, :classes], full[:, classes:], own[some].astype(float), cls[some], m)
+
+
+def _exchange(pairs: DataFrame, cls: np.ndarray, m: np.ndarray, core: int, r: int, end: int) -> np.ndarray:
+    """The classes of the frequent words after round ``r``, in which half of them may move: the ``core`` most frequent ones
+    one after the other, all others a few at once; each part of the words on its own copy of ``m``."""
+    shared = pairs.sparkSession.sparkContext.broadcast((np.append(cls, 0), m))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = np.zeros((classes, classes))
+        c, before = shared.value
+        classes, rare = len(before), len(c) - 1
         for b in batches:
-            for i in range(len(b)):
-                _, cls, at, code, n = _read(b.slice(i, 1), classes)
-                out = code < classes
-                m += np.bincount(cls[at[out]] * classes + code[out], n[out], classes * classes).reshape(classes, classes)
-        yield pa.RecordBatch.from_arrays([pa.array(range(classes), pa.int32()), pa.array(list(m), pa.list_(pa.float64()))], ["row", "m"])
-
-    out = np.zeros((classes, classes))
-    sums = rows.mapInArrow(run, "row int, m array<double>").select("row", F.posexplode("m").alias("col", "n")).groupBy("row", "col").agg(F.sum("n").alias("n"))
-    for r in sums.collect():  # classes x classes
-        out[r["row"], r["col"]] = r["n"]
+            for row in b.to_pylist():
+                w, at, x, n = _unpack(row, np.int32, np.int32)
+                side = np.where(x < len(c), c[x % len(c)], classes + c[x % len(c)])
+                own = np.bincount(at, np.where(x == w[at], n, 0), len(w))
+                turn = np.flatnonzero((mix(w.astype(np.uint64) + U64(r << 32)) % U64(2) == 0) & (w != end) & (w != rare))
+                now = c[w]
+                _in_steps(turn, w[turn] < core, at, side, n, own, now, before.copy())
+                moved = np.flatnonzero(now != c[w])
+                yield pa.RecordBatch.from_arrays([pa.array(w[moved], pa.int32()), pa.array(now[moved], pa.int32())], ["w", "cls"])
+
+    out = cls.copy()
+    t = pairs.mapInArrow(run, "w int, cls int").toArrow()  # at most ``often`` rows
+    out[t["w"].to_numpy()] = t["cls"].to_numpy()
     return out
 
 
-def _exchange(rows: DataFrame, top: Broadcast, m: np.ndarray, classes: int, core: int, r: int) -> DataFrame:
-    """Packed: every word, its class (x) after round ``r`` and its place (n) among the most frequent or -1. In a round half
-    of the words may move: the ``core`` most frequent ones one after the other, all others a few at once."""
-    before = rows.sparkSession.sparkContext.broadcast(m)
+def _rare_rows(docs: DataFrame, top: Broadcast, cls: np.ndarray, classes: int, ends: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of the words that are not frequent, packed by part of the word: x is the class of a frequent word after it,
+    classes + that of one before it, 2 * classes + whether a rare word stands after or before it, or, with n = 0, from
+    2 * classes + 2 on its ending. And u, v, n: the pairs of two rare words."""
+    now = docs.sparkSession.sparkContext.broadcast(cls)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for p in range(len(b)):
-                w, cls, at, code, n = _read(b.slice(p, 1), classes)
-                m_, place = before.value.copy(), top.value[0](w)
-                first = np.searchsorted(at, np.arange(len(w) + 1))
-                turn = np.flatnonzero((mix(w + U64(r << 32)) % U64(2) == 0) & (w != END) & (np.diff(first) > 0))
-                turn = turn[np.argsort(np.where(place[turn] < 0, len(top.value[1]), place[turn]), kind="stable")]
-                alone = (place[turn] >= 0) & (place[turn] < core)
-                group = np.where(alone, np.arange(len(turn)), len(turn) + np.cumsum(np.diff(first)[turn]) // STEP_ROWS)
-                for words in np.split(turn, np.flatnonzero(group[1:] != group[:-1]) + 1) if len(turn) else ():
-                    size = first[words + 1] - first[words]
-                    at_ = np.repeat(np.arange(len(words)), size)
-                    take = np.repeat(first[words] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                    full = np.zeros((len(words), 2 * classes + 1))
-                    full[at_, code[take]] = n[take]
-                    cls[words] = _step(full[:, :classes], full[:, classes:-1], full[:, -1], cls[words], m_)
-                yield _packed(np.full(len(w), b.column(0)[p].as_py()), w, cls.astype(np.int32), place)
-
-    return cut_lineage(rows.mapInArrow(run, PACKED))
-
-
-def _first_classes(counts: DataFrame, top: Broadcast, cls: np.ndarray, classes: int, parts: int) -> DataFrame:
-    """Packed like the result of an exchange: the most frequent words in the classes ``cls``, others by their endings."""
-    start = counts.sparkSession.sparkContext.broadcast(cls)
+    def sequences(batches):
+        often = top.value[0]
+        for _, data, off in text_blocks(batches):
+            w = Words(data, off, NOT_SPACE, lower=True)
+            h = _sequence(w.hash, w.first, END)
+            i = often(h)
+            yield h, i, np.flatnonzero(i < 0), _sequence(ending(w, ends), w.first, 0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, held = now.value, []
 
-        def packed() -> pa.RecordBatch:
-            w, e = (np.concatenate(x) for x in zip(*held))
+        def deal() -> pa.RecordBatch:
+            w, x, n = (np.concatenate(v) for v in zip(*held))
             held.clear()
-            place = top.value[0](w)
-            c = np.where(place >= 0, start.value[place] if len(start.value) else 0, e % (classes - 1)).astype(np.int32)
-            return _packed(_part(w, parts), w, c, place)
-
-        for b in batches:
-            held.append((b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()))
-            if sum(len(x[0]) for x in held) > 500_000:
-                yield packed()
+            by = np.lexsort((x, w))
+            w, x, n = w[by], x[by], n[by]
+            cut = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (x[1:] != x[:-1])))
+            w, x, n = w[cut], x[cut], np.add.reduceat(n, cut)
+            return _dealt((mix(w) % U64(parts)).astype(np.int64), w, x, n)
+
+        for h, i, far, e in sequences(batches):
+            if len(far):  # neither the first nor the last of a sequence
+                x = [np.where(i[far + d] < 0, 2 * classes + k, k * classes + (c[i[far + d]] if len(c) else 0)) for k, d in ((0, 1), (1, -1))]
+                held.append((np.tile(h[far], 3), np.concatenate([*x, 2 * classes + 2 + e[far]]).astype(np.int32), np.repeat([1, 1, 0], len(far))))
+                if sum(len(x[0]) for x in held) > 1_500_000:
+                    yield deal()
         if held:
-            yield packed()
+            yield deal()
 
-    return cut_lineage(counts.select("h", "e").mapInArrow(run, PACKED))
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, i, far, _ in sequences(batches):
+            far = far[i[far + 1] < 0] if len(far) else far
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (h[far], h[far + 1])], ["u", "v"])
 
+    packed = cut_lineage(docs.mapInArrow(rows, PACKED).groupBy("part").applyInArrow(_adder(np.uint64, np.int32), PACKED))
+    return packed, cut_lineage(docs.mapInArrow(beside, "u long, v long").groupBy("u", "v").agg(F.count("*").alias("n")))
 
-def _unpacked(state: DataFrame, most: bool) -> DataFrame:
-    """h, i, cls of all words or of the most frequent ones."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for p in range(len(b)):
-                w, c, i = (_column(b.slice(p, 1), n, t) for n, t in (("w", np.int64), ("x", np.int32), ("n", np.int64)))
-                take = (i >= 0) | (not most)
-                yield pa.RecordBatch.from_arrays([pa.array(w[take]), pa.array(i[take]), pa.array(c[take])], ["h", "i", "cls"])
+def _exchange_rare(rows: DataFrame, beside: DataFrame, words: DataFrame | None, m: np.ndarray, parts: int) -> DataFrame:
+    """h, c, e, cls of each rare word: its count, ending and best class, given those in ``words`` (none: all in class 0)."""
+    shared, classes = rows.sparkSession.sparkContext.broadcast(m), len(m)
 
-    return state.mapInArrow(run, "h long, i long, cls int")
+    def of(w: str, x: str, before: int) -> DataFrame:
+        pairs = beside.select(F.col(w).alias("w"), F.col(x).alias("h"), "n")
+        if words is None:
+            return pairs.select("w", F.lit(before * classes).alias("x"), "n", (F.col("w") == F.col("h")).alias("own"))
+        return pairs.join(words.select("h", "cls"), "h").select("w", (F.col("cls") + before * classes).alias("x"), "n", (F.col("w") == F.col("h")).alias("own"))
+
+    # The part of a word is a hash that the packed rows know, too; here it comes from a small helper on the pairs.
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = b.column(0).to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array((mix(w) % U64(parts)).astype(np.int32)), *b.columns], ["part", *b.schema.names])
+
+    near = of("u", "v", 0).unionByName(of("v", "u", 1)).mapInArrow(number, "part int, w long, x int, n long, own boolean")
+    if words is not None:
+        held = words.select(F.col("h").alias("w"), F.col("cls").alias("x"), F.lit(-1).cast("long").alias("n"), F.lit(False).alias("own"))
+        near = near.unionByName(held.mapInArrow(number, "part int, w long, x int, n long, own boolean"))
+
+    def step(left: pa.Table, right: pa.Table) -> pa.Table:
+        w, at, x, n = _unpack(left.to_pylist()[0], np.uint64, np.int32)
+        more, code, k = right["w"].to_numpy().view(np.uint64), right["x"].to_numpy().astype(np.int64), right["n"].to_numpy()
+        own_pair = right["own"].to_numpy(zero_copy_only=False).astype(bool)
+        place = np.searchsorted(w, more)
+        cls = np.zeros(len(w), np.int64)
+        cls[place[k < 0]] = code[k < 0]
+        count = np.bincount(at, np.where((x < classes) | (x == 2 * classes), n, 0), len(w)).astype(np.int64)
+        last = x >= 2 * classes + 2
+        e = np.zeros(len(w), np.int64)
+        e[at[last]] = x[last] - 2 * classes - 2
+        pairs, direct = k > 0, x < 2 * classes
+        own = np.bincount(place[pairs & own_pair & (code < classes)], k[pairs & own_pair & (code < classes)], len(w))
+        at, x, n = np.concatenate([at[direct], place[pairs]]), np.concatenate([x[direct], code[pairs]]), np.concatenate([n[direct], k[pairs]])
+        by = np.argsort(at, kind="stable")
+        _in_steps(np.arange(len(w)), np.zeros(len(w), bool), at[by], x[by], n[by], own, cls, shared.value.copy())
+        return pa.table({"h": pa.array(w.view(np.int64)), "c": pa.array(count), "e": pa.array(e.astype(np.int32)), "cls": pa.array(cls.astype(np.int32))})
+
+    return cut_lineage(rows.groupBy("part").cogroup(near.groupBy("part")).applyInArrow(step, "h long, c long, e int, cls int"))
+
+
+def _rare_matrix(rows: DataFrame, beside: DataFrame, words: DataFrame, classes: int, parts: int) -> np.ndarray:
+    """Class bigrams of the pairs with a rare word."""
+
+    def part(h: pa.ChunkedArray) -> np.ndarray:
+        return (mix(h.to_numpy().view(np.uint64)) % U64(parts)).astype(np.int32)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(part(b.column(0))), *b.columns], ["part", "h", "cls"])
+
+    def counted(left: pa.Table, right: pa.Table) -> pa.Table:
+        w, at, x, n = _unpack(left.to_pylist()[0], np.uint64, np.int32)
+        cls = np.zeros(len(w), np.int64)
+        cls[np.searchsorted(w, right["h"].to_numpy().view(np.uint64))] = right["cls"].to_numpy()
+        use = x < 2 * classes
+        at, x, n = at[use], x[use].astype(np.int64), n[use]
+        key = np.where(x < classes, cls[at] * classes + x, (x - classes) * classes + cls[at])
+        m = np.bincount(key, n, classes * classes)
+        full = np.flatnonzero(m)
+        return pa.table({"key": pa.array(full, pa.int64()), "n": pa.array(m[full].astype(np.int64))})
+
+    with_cls = words.select("h", "cls").mapInArrow(number, "part int, h long, cls int")
+    near = rows.groupBy("part").cogroup(with_cls.groupBy("part")).applyInArrow(counted, "key long, n long")
+    of = lambda c, name: words.select(F.col("h").alias(c), F.col("cls").alias(name))
+    far = beside.join(of("u", "cu"), "u").join(of("v", "cv"), "v").select((F.col("cu") * classes + F.col("cv")).cast("long").alias("key"), "n")
+    m = np.zeros(classes * classes)
+    for r in near.unionByName(far).groupBy("key").agg(F.sum("n").alias("n")).collect():  # classes x classes
+        m[r["key"]] = r["n"]
+    return m.reshape(classes, classes)
 
 
 @dataclass
 class ClassModel:
-    """The bounded part of the model, broadcast for scoring, and the table of all words with counts and classes."""
+    """The bounded part of the model, broadcast for scoring, and the table of the rarer words with counts and classes."""
 
     often: Lookup
     often_counts: np.ndarray
@@ -426,7 +491,7 @@ def _most_frequent(counts: DataFrame, most: int) -> dict[str, np.ndarray]:
     return {"h": h[by], "c": c[by], "e": e[by]}
 
 
-def fit(docs: DataFrame, use: Column | None = None, classes: int = 48, core: int = 2000, ends: int = 512, rounds: int = 8, often: int = 1 << 18, mixed: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> ClassModel:
+def fit(docs: DataFrame, use: Column | None = None, classes: int = 48, core: int = 2000, ends: int = 512, rounds: int = 8, rare_rounds: int = 2, often: int = 1 << 18, mixed: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> ClassModel:
     """Learns from the rows of ``docs`` for which ``use`` (an expression of doc_id) holds; a null text is empty."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if use is not None:
@@ -437,22 +502,32 @@ def fit(docs: DataFrame, use: Column | None = None, classes: int = 48, core: int
     most = _most_frequent(counts, often)
     h = most["h"].view(np.uint64)
     top = slim.sparkSession.sparkContext.broadcast((Lookup(h), most["c"]))
-    cls = np.arange(len(h)) % (classes - 1)
+    end = int(np.flatnonzero(h == END)[0]) if len(h) else -1
+    cls = np.where(np.arange(len(h)) < core, np.arange(len(h)) % (classes - 1), 0)
     cls[h == END] = classes - 1
     parts = max(32, 2 * int(n) // PART_PAIRS)
-    near, far = _count_pairs(slim, top, parts)
-    state = _first_classes(counts, top, cls, classes, parts)
-    for r in range(rounds + 1):
-        rows = _rows(near, far, state, cls, classes, parts)
-        m = _matrix(rows, classes)
-        if r < rounds:
-            state = _exchange(rows, top, m, classes, core, r)
-            for x in _unpacked(state, True).toArrow().to_batches():  # at most ``often`` rows
-                cls[x.column(1).to_numpy()] = x.column(2).to_numpy()
-    words = cut_lineage(counts.join(_unpacked(state, False).select("h", "cls"), "h"))
+    pairs = _count_pairs(slim, top, parts)
+    apart = _near_matrix(pairs, cls, classes)
+    for r in range(rounds):
+        tried = _exchange(pairs, cls, _joined(apart), core, r, end)
+        found = _near_matrix(pairs, tried, classes)
+        if likelihood(_joined(found)) > likelihood(_joined(apart)):
+            cls, apart = tried, found
+    words, m = None, _joined(apart)
+    if v > len(h):
+        rows, beside = _rare_rows(slim, top, cls, classes, ends, parts)
+        for _ in range(rare_rounds):
+            tried = _exchange_rare(rows, beside, words, m, parts)
+            found = apart[:-1, :-1] + _rare_matrix(rows, beside, tried, classes, parts)
+            if words is None and likelihood(found) <= likelihood(m):  # each has its count in any case
+                tried, found = tried.withColumn("cls", F.lit(0)), m
+            if words is None or likelihood(found) > likelihood(m):
+                words, m = tried, found
     types = np.zeros((ends, classes))  # words of each ending and class
-    for r in words.where("e >= 0").groupBy("e", "cls").agg(F.count("*").alias("n")).collect():  # at most ends x classes rows
+    for r in words.groupBy("e", "cls").agg(F.count("*").alias("n")).collect() if words else ():  # at most ends x classes rows
         types[r["e"], r["cls"]] = r["n"]
+    some = most["e"] >= 0
+    np.add.at(types, (most["e"][some], cls[some]), 1)
     of_class = types.sum(0)
     of_class[-1] += v > 0  # the end
     end_cls = np.where(types.any(1), types.argmax(1), types.sum(0)[:-1].argmax())
@@ -467,8 +542,12 @@ def score(docs: DataFrame, model: ClassModel, id_col: str = "doc_id", text_col:
     Scores are log10 probabilities of the whole text with its end; perplexity is 10 ** (-score / n_tokens). Null and
     empty texts are their end alone; repeated rows are scored each; an empty table gives no rows, and without any
     training text all words are unknown; other columns are not read.
+
+    Frequent words are scored where they stand. Each other word is a row that meets the table of rare words once; two
+    of them beside each other are two more rows, which meet again when the rows of a text are summed.
     """
     shared = docs.sparkSession.sparkContext.broadcast(replace(model, words=None))
+    classes, unit = len(model.size), float(model.tokens + model.vocabulary + 1)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
 
@@ -480,53 +559,73 @@ def score(docs: DataFrame, model: ClassModel, id_col: str = "doc_id", text_col:
             texts = len(off) - 1
             h = _sequence(w.hash, w.first, END)
             at = m.often(h)
-            known = at >= 0
-            c = _sequence(m.end_cls[ending(w, len(m.end_cls))], w.first, len(m.size) - 1)  # of words that are not known
-            c[known] = m.cls[at[known]]
+            near = at >= 0
+            ends = _sequence(m.end_cls[ending(w, len(m.end_cls))], w.first, classes - 1)  # classes of words that are not known
+            cls, count = np.where(near, 0, ends), np.zeros(len(h), np.int64)
+            if len(m.cls):
+                cls[near], count[near] = m.cls[at[near]], m.often_counts[at[near]]
+            elif not m.tokens:
+                near |= h == END
             row = np.repeat(np.arange(texts), w.counts + 1)
-            both = known[:-1] & known[1:]
-            near, far = np.flatnonzero(both), np.flatnonzero(~both)
-            n = m.often_counts[at[1:][near]].astype(float) if len(m.often_counts) else np.zeros(0)
-            base = (n + 1) / (m.tokens + m.vocabulary + 1)
-            a = m.mix * m.step[c[:-1], c[1:]][near] / m.size[c[1:]][near]
-            sums = [np.bincount(row[near], x, texts) for x in (np.log10(base), np.log10((n + ADDED) * a + (1 - m.mix) * base), np.ones(len(n)))]
+            own, both = near[1:], near[:-1] & near[1:]
+            base = np.log10((count[1:] + 1) / unit)
+            pair = np.log10((count[1:] + ADDED) * m.mix * m.step[cls[:-1], cls[1:]] / m.size[cls[1:]] + (1 - m.mix) * (count[1:] + 1) / unit)
+            sums = [np.bincount(row[x], y[x], texts) for x, y in ((own, base), (both, pair), (own & (count[1:] > 0), np.ones(len(row))))]
             key = (np.int64(task) << 33) + done + np.arange(texts)
-            pad = lambda x, t: pa.concat_arrays([pa.array(x, t), pa.nulls(len(far), t)])
-            more = lambda x, t: pa.concat_arrays([pa.nulls(texts, t), pa.array(x, t)])
-            spread = mix(np.concatenate([key, key[row[far]] ^ (far << 20)]).astype(np.uint64))  # rows that need no join, evenly in it
-            keys = [np.where(np.append(np.ones(texts, bool), k[far]), spread, np.append(np.zeros(texts, np.uint64), x[far])) for k, x in ((known[:-1], h[:-1]), (known[1:], h[1:]))]
-            count = np.where(known, m.often_counts[at] if len(m.often_counts) else 0, -1)[1:]
+            done += texts
+            far = np.flatnonzero(~near)  # in h; never its first
+            two = far[~near[far - 1]]
+            last = far + 1 >= len(h)
+            after = np.minimum(far + 1, len(h) - 1)
+            after_near = near[after] & ~last
+            # x: one more than the class before, one more than that after (0: none or rare), and the class by the ending.
+            x = (np.where(near[far - 1], cls[far - 1] + 1, 0) * 4096 + np.where(after_near, cls[after] + 1, 0)) * 4096 + ends[far]
+            n = len(far) + 2 * len(two)
+            pad = lambda v, t: pa.concat_arrays([pa.array(v, t), pa.nulls(n, t)])
+            more = lambda v, t: pa.concat_arrays([pa.nulls(texts, t), pa.array(v, t)])
+            spread = mix(key.astype(np.uint64))  # rows that need no join, evenly in it
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([key, key[row[far]]])),
-                    *[pa.array(x.view(np.int64)) for x in keys],
-                    pa.concat_arrays([b.column(0), pa.nulls(len(far), b.column(0).type)]),
-                    more(np.where(known[far], c[far], -1 - c[far]), pa.int32()),
-                    more(c[1:][far], pa.int32()),
-                    more(count[far], pa.int64()),
+                    pa.array(np.concatenate([key, key[row[far - 1]], key[row[two - 1]], key[row[two - 1]]])),
+                    pa.array(np.concatenate([spread, h[far], h[two - 1], h[two]]).view(np.int64)),
+                    more(np.concatenate([np.full(len(far), -1), 2 * two, 2 * two + 1]), pa.int64()),
+                    more(np.concatenate([x, ends[two - 1], ends[two]]), pa.int64()),
+                    more(np.concatenate([np.where(after_near, count[after], 0), np.zeros(2 * len(two), np.int64)]), pa.int64()),
+                    pa.concat_arrays([b.column(0), pa.nulls(n, b.column(0).type)]),
                     pad(w.counts + 1, pa.int64()),
-                    *[pad(x, pa.float64()) for x in sums],
+                    *[pad(v, pa.float64()) for v in sums],
                 ],
-                ["key", "p", "h", "doc_id", "before", "cls", "count", "n_tokens", "base", "model", "known"],
+                ["key", "h", "pair", "x", "n", "doc_id", "n_tokens", "base", "model", "known"],
             )
-            done += texts
 
-    # ``before``, ``cls``: classes of a word and the next, of a word to be joined what its ending says (``before``: as -1 - class).
-    rows = slim.mapInArrow(run, f"key long, p long, h long, doc_id {kind}, before int, cls int, count long, n_tokens long, base double, model double, known double")
-    if model.words is None:
-        each = rows.withColumns({"pc": F.lit(None).cast("int"), "hc": F.lit(None).cast("int"), "hn": F.lit(None).cast("long")})
-    else:
-        each = rows.join(model.words.select(F.col("h").alias("p"), F.col("cls").alias("pc")), "p", "left").join(model.words.select("h", F.col("cls").alias("hc"), F.col("c").alias("hn")), "h", "left")
-    far = F.col("cls").isNotNull()
-    b = F.when(F.col("before") >= 0, F.col("before")).otherwise(F.coalesce("pc", -1 - F.col("before")))
-    joined = F.col("count") < 0
-    c = F.when(joined, F.coalesce("hc", "cls")).otherwise(F.col("cls"))
-    n = F.when(joined, F.coalesce("hn", F.lit(0))).otherwise(F.col("count"))
+    rows = slim.mapInArrow(run, f"key long, h long, pair long, x long, n long, doc_id {kind}, n_tokens long, base double, model double, known double")
+    held = rows.withColumns({"cls": F.lit(None).cast("int"), "c": F.lit(None).cast("long")}) if model.words is None else rows.join(model.words.select("h", "cls", "c"), "h", "left")
     step = F.array(*[F.lit(float(x)) for x in (model.mix * model.step / model.size).ravel()])
-    a = F.get(step, b * len(model.size) + c)
-    each = each.select("key", "doc_id", "n_tokens", "base", "model", "known", far.alias("far"), n.alias("n"), a.alias("a"))
-    n, far = F.col("n"), F.col("far")
-    unit = (n + 1) / F.lit(float(model.tokens + model.vocabulary + 1))
-    each = each.select("key", "doc_id", "n_tokens", F.when(far, F.log10(unit)).otherwise(F.col("base")).alias("base"), F.when(far, F.log10((n + F.lit(ADDED)) * F.col("a") + F.lit(1 - model.mix) * unit)).otherwise(F.col("model")).alias("model"), F.when(far, (n > 0).cast("double")).otherwise(F.col("known")).alias("known"))
-    out = each.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("known").cast("long").alias("n_known"), F.sum("base").alias("base_score"), F.sum("model").alias("score"))
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+
+    def log_p(before: Column, cls: Column, count: Column) -> Column:
+        return F.log10((count + F.lit(ADDED)) * F.get(step, (before * classes + cls).cast("int")) + F.lit(1 - model.mix) * (count + 1) / F.lit(unit))
+
+    x, word = F.col("x"), F.col("pair") == -1
+    ends = F.when(F.col("pair").isNotNull(), x % 4096)
+    c, cls = F.coalesce("c", F.lit(0)), F.coalesce(F.col("cls").cast("long"), ends)
+    before, after = F.floor(x / (4096 * 4096)) - 1, F.floor(x / 4096) % 4096 - 1
+    own = F.when(before >= 0, log_p(before, cls, c)).otherwise(0.0) + F.when(after >= 0, log_p(cls, after, F.col("n"))).otherwise(0.0)
+    second = F.col("pair") % 2 == 1
+    each = held.select(
+        "key",
+        F.when(~word, F.shiftright("pair", 1)).alias("pair"),
+        "doc_id",
+        "n_tokens",
+        F.when(word, F.log10((c + 1) / F.lit(unit))).otherwise(F.col("base")).alias("base"),
+        F.when(word, own).otherwise(F.col("model")).alias("model"),
+        F.when(word, (c > 0).cast("double")).otherwise(F.col("known")).alias("known"),
+        F.when(~word & ~second, cls).alias("p"),
+        F.when(~word & second, cls).alias("q"),
+        F.when(~word & second, c).alias("n"),
+    )
+    each = each.repartition("key")  # both sums are inside a text, so its rows meet once
+    sums = lambda: [F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *[F.sum(s).alias(s) for s in ("base", "model", "known")]]
+    pairs = each.groupBy("key", "pair").agg(*sums(), F.max("p").alias("p"), F.max("q").alias("q"), F.max("n").alias("n"))
+    pairs = pairs.withColumn("model", F.when(F.col("pair").isNull(), F.col("model")).otherwise(log_p(F.col("p"), F.col("q"), F.col("n"))))
+    out = pairs.groupBy("key").agg(*sums())
+    return out.select("doc_id", "n_tokens", F.col("known").cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"), F.pow(F.lit(10.0), -F.col("model") / F.col("n_tokens")).alias("perplexity"))
