@@ -2,19 +2,21 @@
 
 1. One pass over the texts: per text the size and a digest of its shingle set, and a sketch of bounded width with the
    shingles' frequencies. Texts with equal sets are one from here on.
-2. A second pass deals out each set's prefix: the |x| - ceil(t |x|) + l shingles that come first when rare ones come
-   first (by the sketch, then by hash; any common order is exact, this one keeps frequent passages out), l being a
-   fifth of the set. Two sets that are similar enough share the smaller l shingles of their prefixes. Per set the
-   shingles are counted that a set of fitting size shares; sets with too few can have no link and are done.
-3. The prefixes of the others are dealt once more; sets that share any shingle form clusters.
-4. Each cluster gets a signature tree: nodes hold the OR of their sets' bitmaps, the range of sizes and the most bits
-   that any of the sets lost to collisions. A traversal of pairs of nodes prunes by sizes and by the maximum possible
-   overlap, and skips pairs whose sets are already connected; what is left is verified exactly. A larger cluster is
-   cut by size into chunks, and pairs of chunks whose sizes fit are traversed, each by a task of its own. A cluster
-   too large for that goes shingle by shingle: first each set in two buckets only, twice, which connects nearly all,
-   then where different components still meet, by pairs of chunks of a bucket in order of sizes; each set leaves out
-   its most frequent buckets, one fewer than it shares with any similar set.
-5. Links (at most one fewer than a tree has sets) become components by alternating large-star and small-star.
+2. Shingles have a common order, rare ones first (by the sketch, then by hash; any common order is exact, this one keeps
+   frequent passages out). Two similar sets share at least l of the first |x| - ceil(t |x|) + l shingles, for every l.
+   A second pass takes a fifth of the set as l and counts per set the shingles that a set of fitting size shares; sets
+   with too few can have no link and are done.
+3. Of the others the shortest prefixes (l = 1) are dealt; sets that share any shingle of these form clusters.
+4. A cluster's sets are dealt into chunks of bounded size by a min-hash, so that like sets meet. Each chunk gets a
+   signature tree: nodes hold the OR of their sets' bitmaps, the range of sizes and the most bits that any of the sets
+   lost to collisions. A traversal of pairs of nodes prunes by sizes and by the maximum possible overlap, and skips pairs
+   whose sets are already connected; what is left is verified exactly. Most clusters are one chunk and are done.
+5. The sets of clusters with more chunks are dealt once more by another min-hash, which connects nearly all that is
+   alike. Where sets of different components still share a shingle of their shortest prefixes, they are compared by pairs
+   of chunks, in order of sizes, of those that share it.
+6. Links (at most one fewer than a tree has sets) become components by alternating large-star and small-star.
+
+Shingles so frequent that their sets would burden one task are dealt to several, whose smallest sets meet once more.
 """
 
 from __future__ import annotations
@@ -32,16 +34,18 @@ from cahier.llm.words import NOT_SPACE, U64, Words, grams, mix, text_blocks
 from cahier.session import cut_lineage
 
 PART_ENTRIES = 1 << 21
-#: Sets of a bucket that one task compares with each other.
+#: Sets with one shingle that go to one task, about; more are dealt to several.
+HOT_ENTRIES = 1 << 18
+#: Sets that one task compares with each other.
 CHUNK = 1500
 CHUNK_SHINGLES = 1 << 20
-#: Clusters of more chunks go shingle by shingle.
-CLUSTER_CHUNKS = 64
 TASK_BYTES = 16 << 20
 FAN_OUT = 8
-#: Ids up to this many are broadcast (16 bytes each); more are joined by shuffle.
+#: Tables of ids up to this many rows are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 SKETCH_BLOCKS = 64
+#: Stands for a row without an id: it comes last.
+NO_ID = (1 << 63) - 1
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -64,8 +68,9 @@ def _digest(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s).sum() + U64(len(s))], np.uint64)).view(np.int64)[0])
 
 
-def _prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + max(1, n // 5)
+def _prefix_length(n: int, percent: int, shared: int) -> int:
+    """Of two similar sets, one of size n, the prefixes of this length share so many shingles."""
+    return n - -(-percent * n // 100) + shared
 
 
 def _fewest_shared(n: Column, percent: int) -> Column:
@@ -74,7 +79,8 @@ def _fewest_shared(n: Column, percent: int) -> Column:
 
 
 def _scan(docs: DataFrame, k: int, bits: int) -> DataFrame:
-    """kind 0: doc_id, n, digest of every text. kind 1: block n of the sketch's counts, one row per task and block."""
+    """kind 0: id, t, n, digest of every text. kind 1: block n of the sketch's counts, one row per task and block."""
+    names = ["kind", "id", "t", "n", "digest", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = None
@@ -83,17 +89,23 @@ def _scan(docs: DataFrame, k: int, bits: int) -> DataFrame:
             sets = list(shingle_sets(data, off, k))
             np.add.at(counts, (np.concatenate(sets) >> U64(64 - bits)).astype(np.int64), np.uint32(1))
             n = [len(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), b.column(0), pa.array(n, pa.int64()), pa.array([_digest(s) for s in sets], pa.int64()), pa.nulls(len(n), pa.binary())], ["kind", "doc_id", "n", "digest", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array([_digest(s) for s in sets], pa.int64()), pa.nulls(len(n), pa.binary())], names)
         if counts is not None:
             small = np.minimum(counts, 255).astype(np.uint8).reshape(SKETCH_BLOCKS, -1)
-            yield pa.RecordBatch.from_arrays([pa.array([1] * SKETCH_BLOCKS, pa.int32()), pa.nulls(SKETCH_BLOCKS, pa.int64()), pa.array(range(SKETCH_BLOCKS), pa.int64()), pa.nulls(SKETCH_BLOCKS, pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in small], pa.binary())], ["kind", "doc_id", "n", "digest", "counts"])
+            none = pa.nulls(SKETCH_BLOCKS, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([1] * SKETCH_BLOCKS, pa.int32()), none, none, pa.array(range(SKETCH_BLOCKS), pa.int64()), none, pa.array([zlib.compress(x.tobytes(), 1) for x in small], pa.binary())], names)
 
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, digest long, counts binary")
+    return docs.mapInArrow(run, "kind int, id long, t long, n long, digest long, counts binary")
+
+
+def _usual(total: int, bits: int) -> float:
+    """Shingles of a sketch cell that is not frequent."""
+    return 4 * total / (1 << bits) + 8
 
 
 def _levels(scan: DataFrame, bits: int, total: int) -> np.ndarray:
     """How frequent the shingles of each sketch cell are: 0 for cells near the mean, else 1 + log2 of the excess."""
-    limit = 4 * total / (1 << bits) + 8
+    limit = _usual(total, bits)
 
     def add(table: pa.Table) -> pa.Table:
         counts = sum(np.frombuffer(zlib.decompress(x), np.uint8).astype(np.int64) for x in table["counts"].to_pylist())
@@ -106,14 +118,16 @@ def _levels(scan: DataFrame, bits: int, total: int) -> np.ndarray:
     return out.ravel()
 
 
-def _meet(docs: DataFrame, k: int, percent: int, shared: Broadcast, bits: int, entries: int, what: str) -> DataFrame:
+def _meet(docs: DataFrame, k: int, percent: int, shared: Broadcast, bits: int, usual: float, total: int, what: str) -> DataFrame:
     """The prefix shingles that at least two different sets of fitting sizes have, as
 
-    - counts: digest, n, c: how many each set has,
-    - edges: a, b: each set with the smallest of those that share one with it,
-    - rows: bucket, digest, n.
+    - counts: digest, n, c: how many of its longer prefix each set has; very frequent ones are taken as shared,
+    - edges: a, b: each set with the smallest of those that share one of the shortest prefix with it,
+    - rows: bucket, digest, n: those of the shortest prefixes; very frequent ones whether shared or not.
+
+    ``total``: shingles of all sets of ``docs``; ``usual``: what a sketch cell of level 0 has at most.
     """
-    part_bits = max(6, (entries // PART_ENTRIES).bit_length())
+    part_bits = max(6, (total * (120 - percent) // 100 // PART_ENTRIES).bit_length())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, off in text_blocks(batches, 2 << 20):
@@ -123,56 +137,80 @@ def _meet(docs: DataFrame, k: int, percent: int, shared: Broadcast, bits: int, e
                     continue
                 seen.add(d)
                 level = shared.value[(s >> U64(64 - bits)).astype(np.int64)]
-                p = _prefix_length(len(s), percent)
-                first = s[:p] if not level.any() else s[np.argsort(level, kind="stable")[:p]]
-                prefixes.append(first)
+                p = _prefix_length(len(s), percent, max(1, len(s) // 5) if what == "counts" else 1)
+                prefixes.append(s[:p] if not level.any() else s[np.argsort(level, kind="stable")[:p]])
                 digests.append(d)
                 sizes.append(len(s))
             if not prefixes:
                 continue
             h = np.concatenate(prefixes)
             owner = np.repeat(np.arange(len(prefixes)), [len(p) for p in prefixes])
-            part = (mix(h) >> U64(64 - part_bits)).astype(np.int64)  # small hashes come first, so they are mixed again
-            by = np.argsort(part * len(prefixes) + owner, kind="stable")
+            digests, sizes = np.array(digests, np.int64), np.array(sizes, np.int32)
+            level = shared.value[(h >> U64(64 - bits)).astype(np.int64)].astype(float)
+            shares = np.where(level > 0, np.ceil(usual * 2.0**level / HOT_ENTRIES), 1).astype(np.uint64)
+            hot = (level > 0) if what == "counts" else (shares > 1)
+            key = np.where(hot, mix(digests[owner].view(np.uint64)) if what == "counts" else mix(h) + mix(digests[owner].view(np.uint64)) % shares * U64(0x9E3779B97F4A7C15), mix(h))
+            part = (mix(key) >> U64(64 - part_bits)).astype(np.int64) * 2 + hot
+            by = np.lexsort((owner, part))
             h, owner, part = h[by], owner[by], part[by]
             cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(h))
-            digests, sizes = np.array(digests, np.int64), np.array(sizes, np.int32)
             rows = []
             for a, b in zip(cut[:-1], cut[1:]):
                 own, n = np.unique(owner[a:b], return_counts=True)
-                rows.append((int(part[a]), h[a:b].tobytes(), digests[own].tobytes(), sizes[own].tobytes(), n.astype(np.int32).tobytes()))
+                kept = b"" if what == "counts" and part[a] % 2 else h[a:b].tobytes()
+                rows.append((int(part[a]), kept, digests[own].tobytes(), sizes[own].tobytes(), n.astype(np.int32).tobytes()))
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["part", "h", "digest", "size", "n"])
 
     def meet(table: pa.Table) -> pa.Table:
         read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()])
-        n = read("n", np.int32)
-        h, d, size = read("h", np.uint64), np.repeat(read("digest", np.int64), n), np.repeat(read("size", np.int32), n)
-        by = np.argsort(h)
-        h = h[by]
-        again = np.append(False, h[1:] == h[:-1])
-        again |= np.append(again[1:], False)
-        h, d, size = h[again], d[by][again], size[by][again]
+        n, digest, size, hot = read("n", np.int32), read("digest", np.int64), read("size", np.int32), table["part"][0].as_py() % 2
+        if what == "counts" and hot:
+            digest, at = np.unique(digest, return_index=True)  # equal sets have equal numbers
+            return pa.table({"digest": pa.array(digest), "n": pa.array(size[at].astype(np.int64)), "c": pa.array(n[at].astype(np.int64))})
+        h, d, size = read("h", np.uint64), np.repeat(digest, n), np.repeat(size, n).astype(np.int64)
         by = np.lexsort((d, size, h))
         h, d, size = h[by], d[by], size[by]
         new = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))[: len(h)]  # equal sets are one
-        h, d, size = h[new], d[new], size[new].astype(np.int64)
-        fits = np.append(False, (h[1:] == h[:-1]) & (100 * size[:-1] >= percent * size[1:]))[: len(h)]
-        fits |= np.append(fits[1:], False)[: len(h)]
-        h, d, size = h[fits], d[fits], size[fits]
+        h, d, size = h[new], d[new], size[new]
+        if not hot:
+            fits = np.append(False, (h[1:] == h[:-1]) & (100 * size[:-1] >= percent * size[1:]))[: len(h)]
+            fits |= np.append(fits[1:], False)[: len(h)]
+            h, d, size = h[fits], d[fits], size[fits]
         if what == "rows":
             return pa.table({"bucket": pa.array(h.view(np.int64)), "digest": pa.array(d), "n": pa.array(size)})
         if what == "counts":
             d, at, c = np.unique(d, return_index=True, return_counts=True)
             return pa.table({"digest": pa.array(d), "n": pa.array(size[at]), "c": pa.array(c.astype(np.int64))})
         run = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (100 * size[:-1] < percent * size[1:]))[: len(h)])
-        hub = np.repeat(np.minimum.reduceat(d, run), np.diff(np.append(run, len(d)))) if len(d) else d
+        last = (np.append(run[1:], len(h)) - 1)[: len(run)]
+        least = np.minimum.reduceat(d, run) if len(d) else d
+        hub = np.repeat(least, np.diff(np.append(run, len(d)))) if len(d) else d
         pairs = np.unique(np.stack([d, hub], 1)[d != hub], axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
-    schema = {"counts": "digest long, n long, c long", "edges": "a long, b long", "rows": "bucket long, digest long, n long"}[what]
+        again = len(run) if hot else 0  # the hubs of a shingle that several tasks have meet once more
+        nulls = lambda n: pa.nulls(n, pa.int64())
+        return pa.table(
+            {
+                "a": pa.array(np.append(pairs[:, 0], least[:again])),
+                "b": pa.concat_arrays([pa.array(pairs[:, 1]), nulls(again)]),
+                "h": pa.concat_arrays([nulls(len(pairs)), pa.array(h[run][:again].view(np.int64))]),
+                "lo": pa.concat_arrays([nulls(len(pairs)), pa.array(size[run][:again])]),
+                "hi": pa.concat_arrays([nulls(len(pairs)), pa.array(size[last][:again])]),
+            }
+        )
+
+    schema = {"counts": "digest long, n long, c long", "edges": "a long, b long, h long, lo long, hi long", "rows": "bucket long, digest long, n long"}[what]
     dealt = docs.mapInArrow(deal, "part int, h binary, digest binary, size binary, n binary")
-    return dealt.groupBy("part").applyInArrow(meet, schema)
+    found = dealt.groupBy("part").applyInArrow(meet, schema)
+    if what != "edges":
+        return found
+    found = cut_lineage(found)
+    # Hubs of one shingle in order of sizes: one that fits to any before it is joined to the one with the largest of these.
+    by = Window.partitionBy("h").orderBy("lo", "hi", "a").rowsBetween(Window.unboundedPreceding, -1)
+    top = F.max(F.struct("hi", "a")).over(by)
+    hubs = found.where("h is not null").select("a", "lo", top.alias("top"))
+    hubs = hubs.where((100 * F.col("top.hi") >= percent * F.col("lo")) & (F.col("a") != F.col("top.a"))).select("a", F.col("top.a").alias("b"))
+    return found.where("h is null").select("a", "b").unionByName(hubs)
 
 
 class _Bucket:
@@ -272,54 +310,66 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.select("task", "bucket", "chunk", "digest", "label", "side", "shingles").groupBy("task").applyInArrow(run, "a long, b long")
 
 
+def _small(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_IDS else df
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of all nodes but the smallest of each component. ``edges``: a, b."""
+    """node, component (its smallest node) of all nodes but the smallest of each component. ``edges``: a, b.
+
+    The smallest neighbours are a table of their own, which is broadcast up to BROADCAST_IDS rows and else joined by
+    shuffles of plain rows, so that Spark can split a node with very many edges.
+    """
     e = cut_lineage(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
+    before, n = None, e.count()
+
+    def least(rows: DataFrame, m: Column) -> DataFrame:
+        found = rows.groupBy("u").agg(m.alias("m"))
+        return F.broadcast(found) if 2 * n <= BROADCAST_IDS else cut_lineage(found)
+
+    while n:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        large = both.where("v > u").join(least(both, F.least(F.first("u"), F.min("v"))), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = large if 2 * n <= BROADCAST_IDS else cut_lineage(large)
+        lowest = least(large, F.min("v"))
+        small = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
         e = cut_lineage(small.distinct())
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = now
+            break
+        before, n = now, now[0]
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _small(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_IDS else df
+def _chunks(n: str, words: str) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.col(n) / CHUNK), F.ceil(F.col(words) / CHUNK_SHINGLES)).cast("int")
+
+
+def _by_minhash(sets_: DataFrame, m: str) -> DataFrame:
+    """members: the sets of each cluster in chunks, those with equal min-hash together where they fit in one.
+    ``sets_``: cluster, chunks, digest, n, label and the min-hash."""
+    groups = sets_.where("chunks > 1").groupBy("cluster", m).agg(F.count("*").alias("c"), F.sum("n").alias("words"))
+    large = groups.where((F.col("c") > CHUNK) | (F.col("words") > CHUNK_SHINGLES)).select("cluster", m, _chunks("c", "words").alias("pieces"))
+    dealt = sets_.join(large, ["cluster", m], "left")
+    own = F.pmod(F.xxhash64("digest", F.lit(m)), F.col("pieces"))
+    chunk = F.when(F.col("chunks") == 1, F.lit(0).cast("long")).when(F.col("pieces").isNotNull(), F.xxhash64(m, own)).otherwise(F.pmod(F.col(m), F.col("chunks")).cast("long"))
+    return dealt.select(F.col("cluster").alias("bucket"), chunk.alias("chunk"), "digest", "n", "label", F.lit(0).alias("side"))
+
 
+def _labelled(rows: DataFrame, label: DataFrame, n: int) -> DataFrame:
+    """The rows of sets with their component as ``label``."""
+    known = label.select(F.col("node").alias("digest"), "component")
+    return rows.join(_small(known, n), "digest", "left").withColumn("label", F.coalesce("component", "digest")).drop("component")
 
-def _mixed(shared: DataFrame, label: DataFrame | None) -> DataFrame:
-    """bucket, digest, n, label, main, chunks: the buckets in which different components meet, the largest of them
-    (``main``), and into how many chunks the bucket has to be split."""
-    if label is None:
-        rest = shared.withColumn("label", F.col("digest"))
-    else:
-        rest = shared.join(label.select(F.col("node").alias("digest"), "component"), "digest", "left").select("bucket", "digest", "n", F.coalesce("component", "digest").alias("label"))
+
+def _mixed(rest: DataFrame) -> DataFrame:
+    """bucket, digest, n, label, other, chunks: the buckets in which different components meet; ``other``: 0 for the sets of
+    the largest of them, and into how many chunks the bucket has to be split."""
     groups = rest.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.sum("n").alias("words"))
     mixed = groups.groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("c"), F.sum("words").alias("words"), F.count("*").alias("labels")).where("labels > 1")
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("c") / CHUNK), F.ceil(F.col("words") / CHUNK_SHINGLES)).cast("int")
-    return rest.join(mixed.select("bucket", "main", "c", chunks.alias("chunks")), "bucket")
-
-
-def _chunk_pairs(sets_: DataFrame, percent: int) -> DataFrame:
-    """members of all pairs of chunks of each cluster whose sizes fit. ``sets_``: component, chunks, digest, n."""
-    # Within a cluster of at most CLUSTER_CHUNKS chunks; running sums of shingles keep chunks of long texts short.
-    by = Window.partitionBy("component").orderBy("n", "digest")
-    share = (F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)) / F.sum("n").over(Window.partitionBy("component")) + F.percent_rank().over(by)) / 2
-    own = sets_.withColumn("own", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * F.col("chunks")), F.col("chunks") - 1).cast("int"))
-    range_ = own.groupBy("component", "own").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    other = range_.select("component", F.col("own").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = range_.join(other, "component").where((F.col("own") <= F.col("other")) & (100 * F.col("hi") >= percent * F.col("lo2"))).select("component", "own", "other")
-    key = (F.col("own") * CLUSTER_CHUNKS + F.col("other")).alias("chunk")
-    first = pairs.select("component", "own", key, F.when(F.col("own") == F.col("other"), 0).otherwise(1).alias("side"))
-    second = pairs.where("own < other").select("component", F.col("other").alias("own"), key, F.lit(2).alias("side"))
-    members = own.join(first.unionByName(second), ["component", "own"])
-    return members.select(F.col("component").alias("bucket"), "chunk", "digest", "n", F.col("digest").alias("label"), "side")
+    mixed = cut_lineage(mixed.select("bucket", "main", _chunks("c", "words").alias("chunks")))
+    found = rest.join(_small(mixed, mixed.count()), "bucket")
+    return found.select("bucket", "digest", "n", "label", (F.col("label") != F.col("main")).cast("int").alias("other"), "chunks")
 
 
 def _bucket_pairs(rest: DataFrame, percent: int) -> DataFrame:
@@ -328,7 +378,7 @@ def _bucket_pairs(rest: DataFrame, percent: int) -> DataFrame:
     group, room = ["bucket", "other"], F.greatest(F.lit(1.0 / CHUNK), F.col("n") / CHUNK_SHINGLES)
     sizes = rest.groupBy(*group, "n").agg((F.count("*") * F.first(room)).alias("room"))
     before = Window.partitionBy(*group).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("at", F.coalesce(F.sum("room").over(before), F.lit(0.0)))
+    sizes = cut_lineage(sizes.withColumn("at", F.coalesce(F.sum("room").over(before), F.lit(0.0))))
     inside = F.pmod(F.xxhash64("digest"), F.lit(1 << 20)) / F.lit(1 << 20)  # sets of one size lie in the order of a hash
     own = cut_lineage(rest.join(sizes, [*group, "n"]).withColumn("own", F.floor(F.col("at") + F.col("room") * inside).cast("long")).drop("room", "at"))
     range_ = own.groupBy(*group, "own").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
@@ -343,86 +393,102 @@ def _bucket_pairs(rest: DataFrame, percent: int) -> DataFrame:
     return members.select("bucket", "chunk", "digest", "n", "label", "side")
 
 
-def _by_shingle(shared: DataFrame, made: DataFrame, percent: int) -> DataFrame:
-    """Links within clusters of any size. ``shared``: bucket, digest, n."""
-    links, label = [], None
-    for turn in range(2):  # each set in two buckets only
-        rest = _mixed(shared, label)
-        picked = rest.groupBy("digest").agg(*[F.min_by(F.struct("bucket", "chunks", "n", "label"), F.xxhash64("bucket", F.lit(2 * turn + i))).alias(f"p{i}") for i in (0, 1)])
-        picked = picked.select("digest", F.explode(F.array_distinct(F.array("p0", "p1"))).alias("p")).select("digest", "p.*")
-        picked = cut_lineage(picked.select("bucket", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int").alias("chunk"), "digest", "n", "label", F.lit(0).alias("side")))
-        links.append(cut_lineage(_links(picked, made, percent)))
-        label = components(links[0] if turn == 0 else links[0].unionByName(links[1]))
-    rest = _mixed(shared, label)
-    # Similar sets share at least so many buckets that the rarest of these is left when each drops one fewer of its most frequent.
-    rank = F.row_number().over(Window.partitionBy("digest").orderBy(F.desc("c"), F.desc("bucket")))
-    rest = rest.withColumn("rank", rank).where(F.col("rank") >= _fewest_shared(F.col("n"), percent))
-    rest = cut_lineage(rest.select("bucket", "digest", "n", "label", "chunks", (F.col("label") != F.col("main")).cast("int").alias("other")))
-    whole = rest.where("chunks = 1").select("bucket", F.lit(0).cast("long").alias("chunk"), "digest", "n", "label", F.lit(0).alias("side"))
-    rest = cut_lineage(whole.unionByName(_bucket_pairs(rest.where("chunks > 1"), percent)))
-    return cut_lineage(links[0].unionByName(links[1]).unionByName(_links(rest, made, percent)))
-
-
-def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, the smallest id reachable by links.
-
-    Texts are linked when the Jaccard index of their sets of ``words``-word shingles is at least percent / 100; A-Z
-    count as a-z. Null texts and texts without words have an empty set and are linked with nothing; a text with fewer
-    words is one shingle; equal texts are linked; repeated rows and ids each get a row; an empty table gives no rows;
-    other columns are not read. Ids are whole numbers; a row without one gets the component of an equal text that has
-    an id, or null.
-    """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _classes(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """id, t (a hash of the text), n, digest of every row (a row without an id has NO_ID), and digest, component (the smallest
+    digest that links reach) of the sets that have a link."""
+    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("t"))
     bits = min(24, max(16, (16 * slim.count()).bit_length()))
     scan = cut_lineage(_scan(slim, words, bits))
-    summary = scan.where("kind = 0").select("doc_id", "n", "digest")
+    summary = scan.where("kind = 0").select("id", "t", "n", "digest")
     total = summary.agg(F.sum("n")).first()[0] or 0
-    levels = slim.sparkSession.sparkContext.broadcast(_levels(scan, bits, total))  # 2**bits bytes
-    entries = total * (120 - percent) // 100
-    classes = summary.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-
-    counts = _meet(slim, words, percent, levels, bits, entries, "counts").groupBy("digest").agg(F.sum("c").alias("c"), F.first("n").alias("n"))
-    wanted = cut_lineage(counts.where(F.col("c") >= _fewest_shared(F.col("n"), percent)).select("digest", "n").join(classes, "digest"))
-    count, entries = wanted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    chosen = slim.join(_small(wanted.select(F.col("rep").alias("doc_id")), count), "doc_id", "left_semi")
-    cluster = components(_meet(chosen, words, percent, levels, bits, entries * (120 - percent) // 100, "edges"))
-    cluster = cluster.unionByName(cluster.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "digest")
-    sets_ = cut_lineage(wanted.join(cluster, "digest"))
+    levels, usual = slim.sparkSession.sparkContext.broadcast(_levels(scan, bits, total)), _usual(total, bits)  # 2**bits bytes
+
+    counts = _meet(slim, words, percent, levels, bits, usual, total, "counts").groupBy("digest").agg(F.sum("c").alias("c"), F.first("n").alias("n"))
+    wanted = counts.where(F.col("c") >= _fewest_shared(F.col("n"), percent)).select("digest", "n")
+    first = summary.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "t")).alias("row"))  # the row that stands for the set
+    wanted = cut_lineage(wanted.join(first, "digest").select("digest", "n", "row.id", "row.t"))
+
+    def rows_of(some: DataFrame) -> tuple[DataFrame, int]:
+        count, n = some.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        return slim.join(_small(some.select("id", "t"), count), ["id", "t"], "left_semi").select("id", "text"), n
+
+    chosen, total_wanted = rows_of(wanted)
+    cluster = components(_meet(chosen, words, percent, levels, bits, usual, total_wanted, "edges"))
+    cluster = cluster.unionByName(cluster.select(F.col("component").alias("node"), "component").distinct())
+    sets_ = cut_lineage(wanted.join(cluster.select(F.col("node").alias("digest"), F.col("component").alias("cluster")), "digest"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, off in text_blocks(batches, 1 << 20):
             found = [s for s in shingle_sets(data, off, words) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["digest", "shingles"])
+            least = [[int(mix(mix(s + U64(i + 1)).min()[None]).view(np.int64)[0]) for s in found] for i in range(2)]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), *[pa.array(m, pa.int64()) for m in least]], ["digest", "shingles", "m0", "m1"])
+
+    made = rows_of(sets_)[0].mapInArrow(sets, "digest long, shingles binary, m0 long, m1 long")
+    made = cut_lineage(made.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("shingles", "m0", "m1")]))  # rows with one id and text are one
+
+    sizes = sets_.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("words")).select("cluster", _chunks("c", "words").alias("chunks"))
+    sets_ = cut_lineage(sets_.join(sizes, "cluster").join(made.select("digest", "m0", "m1"), "digest").withColumn("label", F.col("digest")))
+    links = cut_lineage(_links(_by_minhash(sets_, "m0"), made, percent))
+    label = components(links)
+    large = sets_.where("chunks > 1").drop("label")
+    if not large.isEmpty():
+        again = _by_minhash(_labelled(large, label, label.count()), "m1")
+        links = links.unionByName(cut_lineage(_links(again, made, percent)))
+        label = components(links)
+        now = _labelled(large, label, label.count())
+        open_ = now.groupBy("cluster").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("cluster")
+        chosen, total_open = rows_of(cut_lineage(large.join(open_, "cluster", "left_semi")))
+        shared = _meet(chosen, words, percent, levels, bits, usual, total_open, "rows")
+        rest = cut_lineage(_mixed(_labelled(shared, label, label.count())))
+        whole = rest.where("chunks = 1").select("bucket", F.lit(0).cast("long").alias("chunk"), "digest", "n", "label", F.lit(0).alias("side"))
+        pairs = cut_lineage(whole.unionByName(_bucket_pairs(rest.where("chunks > 1"), percent)))
+        label = components(links.unionByName(_links(pairs, made, percent)))
+    label = label.unionByName(label.select(F.col("component").alias("node"), "component").distinct())
+    return summary, label.withColumnRenamed("node", "digest")
 
-    held = _small(sets_.select(F.col("rep").alias("doc_id")), count)
-    made = cut_lineage(slim.join(held, "doc_id", "left_semi").mapInArrow(sets, "digest long, shingles binary"))  # repeated rows may repeat a set
 
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("c") / CHUNK), F.ceil(F.col("words") / CHUNK_SHINGLES)).cast("int")
-    sizes = sets_.groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("words")).select("component", chunks.alias("chunks"))
-    sets_ = cut_lineage(sets_.join(sizes, "component"))
-    found = cut_lineage(_links(_chunk_pairs(sets_.where(F.col("chunks") <= CLUSTER_CHUNKS), percent), made, percent))
-    huge = sets_.where(F.col("chunks") > CLUSTER_CHUNKS).select("digest", F.col("rep").alias("doc_id"), "n")
-    n_huge, entries = huge.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    if n_huge:
-        chosen = slim.join(_small(huge.select("doc_id"), n_huge), "doc_id", "left_semi")
-        shared = cut_lineage(_meet(chosen, words, percent, levels, bits, entries * (120 - percent) // 100, "rows"))
-        found = found.unionByName(_by_shingle(shared, made, percent))
+def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, the smallest id reachable by links.
 
-    reps = lambda df: df.join(wanted.select(F.col("digest").alias("a"), F.col("rep").alias("ra")), "a").join(wanted.select(F.col("digest").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    joined = components(reps(found))
-    named = classes.join(joined, classes["rep"] == joined["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    full = summary.where("n > 0").join(named, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(summary.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    Texts are linked when the Jaccard index of their sets of ``words``-word shingles is at least percent / 100; A-Z
+    count as a-z. Null texts and texts without words have an empty set and are linked with nothing; a text with fewer
+    words is one shingle; equal texts are linked; repeated rows and ids each get a row, by its own text; an empty table
+    gives no rows; other columns are not read. Ids are whole numbers; a row without one is linked like any other, and its
+    component has null only if no row of it has an id.
+    """
+    summary, label = _classes(docs, percent, words, id_col, text_col)
+    ids = summary.where("n > 0").groupBy("digest").agg(F.min("id").alias("least"))
+    linked = cut_lineage(label.join(ids, "digest"))
+    count = linked.count()
+    of_component = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = linked.join(_small(of_component, count), "component").select("digest", "component_id")
+    every = cut_lineage(ids.join(_small(named, count), "digest", "left").select("digest", F.coalesce("component_id", "least").alias("component_id")))
+    full = summary.where("n > 0").join(every, "digest").select("id", "n", "component_id")
+    full = full.unionByName(summary.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return full.select(known("id").alias("doc_id"), F.col("n").alias("n_shingles"), known("component_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component; of rows with one id, one stays. Rows
-    without an id all stay. Columns unchanged."""
-    found = cut_lineage(near_duplicates(docs, percent, words, id_col, text_col))
-    gone = cut_lineage(found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).where("doc_id is not null and (c < doc_id or n > 1)"))
-    lost, twice = gone.agg(F.count_if(F.col("c") < F.col("doc_id")), F.count_if(F.col("n") > 1)).first()
-    drop = gone.where("c < doc_id").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(_small(drop, lost), F.col(id_col) == F.col("_gone"), "left_anti")
-    if not twice:
-        return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    """Of each component of near duplicates the row with the smallest id, columns unchanged.
+
+    Rows are judged by their own texts: of rows that share an id, each stays or goes with its text's component, so no
+    text is lost that nothing kept is like. Ties of ids go by a hash of the text; of rows equal in id and text one
+    stays (which one is open if other columns differ). Rows without an id come last in their component; rows without
+    words all stay; an empty table stays empty; columns may have any names.
+    """
+    summary, label = _classes(docs, percent, words, id_col, text_col)
+    count = label.count()
+    own = summary.where("n > 0").join(_small(label, count), "digest", "left").select("id", "t", F.coalesce("component", "digest").alias("component"))
+    own = cut_lineage(own.groupBy("component", "id", "t").agg(F.count("*").alias("n")))
+    kept = cut_lineage(own.groupBy("component").agg(F.min(F.struct("id", "t")).alias("row"), F.count("*").alias("rows")).where("rows > 1"))
+    gone = own.join(_small(kept, kept.count()), "component").where(F.struct("id", "t") != F.col("row")).select("id", "t")
+    twice = own.where("n > 1").select("id", "t")
+    gone, twice = cut_lineage(gone), cut_lineage(twice)
+    n_gone, n_twice = gone.count(), twice.count()
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns])
+    keyed = docs.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col(text_col)).alias("t"))
+    left = keyed.join(_small(gone, n_gone), ["id", "t"], "left_anti")
+    if n_twice:
+        left = left.join(_small(twice, n_twice), ["id", "t"], "left_anti").unionByName(left.join(_small(twice, n_twice), ["id", "t"], "left_semi").dropDuplicates(["id", "t"]))
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])
