@@ -3,26 +3,32 @@
 Spark deals the documents in shards of bounded size; each shard's words become numbers and its suffix array is built
 by sorting packed word tuples and refining ties (ranks of k words give ranks of 3k words) down to the window, deeper
 than which no search looks. Every suffix of every test item is binary-searched, all at once; the ranges found are the
-places of its first ``window`` words, and places that follow each other join to the longest verbatim matches.
+places of its first ``window`` words. Equal windows have equal ranges, so each place is looked at once for the words
+that are hit, and once per item that has the window; places that follow each other join to the longest verbatim matches,
+a bounded number of pairs (suffix, place) at a time.
 
-Test items are broadcast as word hashes in blocks of at most BLOCK_WORDS words (32 MB), so the driver never holds more
-than one; a larger benchmark has more blocks, searched one after another against the same suffix array. A worker holds
-8 bytes per word of the benchmark in all (100 blocks of 32 MB would be 400 million words; give such a benchmark in
-parts, whose results are joined by document).
+Test items are dealt by hash into blocks of at most about BLOCK_BYTES of text, counted by Spark. One block at a time comes
+to the driver and is broadcast; with several blocks the documents are searched for each, and what was found for a document
+is put together by one aggregation. So neither the driver nor a worker holds more than one block.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cahier.llm.words import ALNUM, Words, text_blocks
+from cahier.session import cut_lineage
 
-BLOCK_WORDS = 4_000_000
+BLOCK_BYTES = 8 << 20
+#: Pairs (suffix of an item, place in a text) that are joined to runs at once.
+RUN_PAIRS = 1 << 20
 SHARD_BYTES = 5 << 19
 _END = np.int32(-1)  # below every word: a suffix sorts behind its own prefix
 _TOP = np.int32((1 << 31) - 1)
@@ -93,43 +99,113 @@ class Items:
         self.names = [n for n, f in zip(names, full) if f]
         self.hash = w.hash
         self.first = np.append(w.first[:-1][full], len(w))
+        self.item = np.repeat(np.arange(len(self.names)), np.diff(self.first))
 
 
-def find(words: Words, order: np.ndarray, ids: np.ndarray, known: np.ndarray, items: Items, window: int) -> tuple[np.ndarray, ...]:
-    """Maximal runs of matching windows: (text, item, word in text from 0, word in item from 0, words)."""
+def _ranges(order: np.ndarray, ids: np.ndarray, known: np.ndarray, items: Items, window: int) -> tuple[np.ndarray, ...]:
+    """Suffixes of items (places in ``items.hash``) whose window occurs: suffix, words of the window, its range in ``order``."""
     lengths = np.diff(items.first)
-    longest = int(lengths.max())
     q = np.searchsorted(known, items.hash)
     q = np.where((q < len(known)) & (known[np.minimum(q, len(known) - 1)] == items.hash), q + 1, _END).astype(np.int32)
-    padded = np.append(q, np.full(longest + window, _END, np.int32))
-    item = np.repeat(np.arange(len(lengths)), lengths)
-    need = np.minimum(window, lengths)[item]
-    left = items.first[1:][item] - np.arange(len(q))  # words to the item's end
-    suffix = np.flatnonzero(left >= need)
-    table = padded[suffix[:, None] + np.arange(window)]
-    table[np.arange(window) >= need[suffix][:, None]] = _END
-    wholly = ((table != _END).sum(1)) == need[suffix]
-    suffix, table = suffix[wholly], table[wholly]
+    padded = np.append(q, np.full(window, _END, np.int32))
+    need = np.minimum(window, lengths)[items.item]
+    suffix = np.flatnonzero(items.first[1:][items.item] - np.arange(len(q)) >= need)
+    # A window with a word that no document of the shard has is not looked for.
+    unknown = np.concatenate([[0], np.cumsum(q == _END)])
+    suffix = suffix[unknown[suffix + need[suffix]] == unknown[suffix]]
+    out = []
     deep = np.append(ids, np.zeros(window, np.int32))
-    lo = _bound(deep, order, table)
-    above = table.copy()  # the least row above all suffixes that begin with the query
-    above[table[:, -1] != _END, -1] += 1
-    hi = _bound(deep, order, np.where(above == _END, _TOP, above))
-    many = hi - lo
-    hit = many > 0
-    suffix, lo, many = suffix[hit], lo[hit], many[hit]
-    which = np.repeat(np.arange(len(suffix)), many)
-    pos = order[np.repeat(lo, many) + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)]
-    suffix = suffix[which]
-    it, size = item[suffix], need[suffix]
-    doc = np.searchsorted(words.first, pos, "right") - 1
-    by = np.lexsort((pos, pos - suffix, it, doc))
-    doc, it, pos, suffix, size = doc[by], it[by], pos[by], suffix[by], size[by]
-    new = np.ones(len(pos), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (it[1:] != it[:-1]) | (pos[1:] != pos[:-1] + 1) | (suffix[1:] != suffix[:-1] + 1)
-    at = np.flatnonzero(new)
-    run = np.diff(np.append(at, len(pos)))
-    return doc[at], it[at], pos[at] - words.first[doc[at]], suffix[at] - items.first[it[at]], run - 1 + size[at]
+    step = max(1, RUN_PAIRS // window)
+    for some in np.split(suffix, range(step, len(suffix), step)):
+        table = padded[some[:, None] + np.arange(window)]
+        table[np.arange(window) >= need[some][:, None]] = _END
+        lo = _bound(deep, order, table)
+        above = table.copy()  # the least row above all suffixes that begin with the query
+        above[table[:, -1] != _END, -1] += 1
+        hi = _bound(deep, order, np.where(above == _END, _TOP, above))
+        out.append((some[hi > lo], need[some][hi > lo], lo[hi > lo], hi[hi > lo]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _union(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches that intervals cover, in order; intervals that touch are one."""
+    by = np.argsort(first)
+    first, reach = first[by], np.maximum.accumulate(end[by]) if len(end) else end
+    new = np.append(True, first[1:] > reach[:-1])[: len(first)]
+    return first[new], reach[np.append(new[1:], True)[: len(first)]]
+
+
+def _pieces(many: np.ndarray) -> list[np.ndarray]:
+    """Numbers of ranges, in order, in groups of about RUN_PAIRS places (or one larger range)."""
+    return np.split(np.arange(len(many)), np.flatnonzero(np.diff(np.cumsum(many) // RUN_PAIRS)) + 1)
+
+
+def _places(order: np.ndarray, lo: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ranges in ``order``: the number of the range and the place, for each place."""
+    which = np.repeat(np.arange(len(lo)), many)
+    return which, order[np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(len(which))]
+
+
+def find(order: np.ndarray, ids: np.ndarray, known: np.ndarray, items: Items, window: int) -> tuple[np.ndarray, Iterator[tuple]]:
+    """Which words of the shard are hit by any item; and, for a few items at a time, the stretches of the shard that an
+    item's windows cover: item, first word, words, words of the longest match that begins there, its first word in the item."""
+    suffix, need, lo, hi = _ranges(order, ids, known, items, window)
+    edge = np.zeros(len(ids) + 1, np.int64)
+    once = np.unique(np.stack([lo, hi, need]), axis=1)
+    for some in _pieces(once[1] - once[0]):
+        which, pos = _places(order, once[0][some], (once[1] - once[0])[some])
+        np.add.at(edge, pos, 1)
+        np.subtract.at(edge, pos + once[2][some][which], 1)
+
+    def stretches() -> Iterator[tuple]:
+        # Items with few places go together; each has its own copy of the shard's places, ``width`` behind that of the item before.
+        item, many, width = items.item[suffix], hi - lo, len(ids) + 1
+        total = np.cumsum(np.bincount(item, many, len(items.names)).astype(np.int64))[item] // RUN_PAIRS
+        for own in np.split(np.arange(len(suffix)), np.flatnonzero(total[1:] != total[:-1]) + 1) if len(suffix) else ():
+            first, end = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+            def places(some: np.ndarray) -> tuple[np.ndarray, ...]:
+                which, pos = _places(order, lo[own][some], many[own][some])
+                which = own[some][which]
+                return pos + item[which] * width, suffix[which], need[which]
+
+            pieces = _pieces(many[own])
+            for some in pieces:
+                pos, _, size = places(some)
+                first, end = _union(np.append(first, pos), np.append(end, pos + size))
+            longest, at = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+            carry = tuple(np.zeros(0, np.int64) for _ in range(4))  # runs that end at the last suffix: its place, the run's first, its word in the item, words of a window
+            last = -2
+            for some in pieces:
+                pos, s, size = places(some)
+                # Runs are along diagonals; those that go on from the piece before begin with its end.
+                before = carry if last == s.min() - 1 else tuple(x[:0] for x in carry)
+                d = np.concatenate([pos - s, before[0] - last])
+                p, q, size = np.concatenate([pos, before[0]]), np.concatenate([s, np.full(len(before[0]), last)]), np.concatenate([size, before[3]])
+                by = np.lexsort((p, d))
+                d, p, q, size = d[by], p[by], q[by], size[by]
+                head = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)))
+                tail = np.append(head[1:], len(d)) - 1
+                origin, word = p[head], q[head] - items.first[p[head] // width]
+                if len(before[0]):
+                    was = np.searchsorted(before[0], p[head])
+                    same = (q[head] == last) & (was < len(before[0]))
+                    same[same] = before[0][was[same]] == p[head][same]
+                    origin[same], word[same] = before[1][was[same]], before[2][was[same]]
+                length = p[tail] - origin + size[tail]
+                stretch = np.searchsorted(first, origin, "right") - 1
+                by = np.lexsort((-word, length, stretch))  # the last of a stretch is its longest, the first in the item of these
+                best = by[np.append(stretch[by][1:] != stretch[by][:-1], True)]
+                to = stretch[best]
+                better = best[(length[best] > longest[to]) | ((length[best] == longest[to]) & (word[best] < at[to]))]
+                longest[stretch[better]], at[stretch[better]] = length[better], word[better]
+                last = int(s.max())
+                on = np.flatnonzero(q[tail] == last)
+                on = on[np.argsort(p[tail][on])]
+                carry = (p[tail][on], origin[on], word[on], size[tail][on])
+            yield first // width, first % width, end - first, longest, at
+
+    return np.cumsum(edge)[:-1] > 0, stretches()
 
 
 def _shards(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, Words]]:
@@ -138,93 +214,129 @@ def _shards(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.R
         yield b, Words(data, off, ALNUM, lower=True)
 
 
-def _search(words: Words, blocks: list, window: int) -> list[tuple]:
-    """Matches of all blocks of items: (text, name of the item, word in text, word in item, words)."""
+def _search(words: Words, items: Items, window: int) -> tuple[np.ndarray, list[tuple]]:
+    """Which words are hit, and (text, name of the item, word in text, words, longest, word in item) for each stretch."""
     known, number = np.unique(words.hash, return_inverse=True)
     # 0 parts the texts: word j of text i stands at j + i.
-    apart = np.arange(len(words)) + words.doc()
+    doc = words.doc()
     ids = np.zeros(len(words) + len(words.first) - 1, np.int32)
+    apart = np.arange(len(words)) + doc
     ids[apart] = number + 1
-    blocks = [b.value for b in blocks]
-    order = suffix_array(ids, window)
-    words.first = words.first + np.arange(len(words.first))  # places with the parting zeros
+    hit, stretches = find(suffix_array(ids, window), ids, known, items, window)
+    first = words.first + np.arange(len(words.first))
     out = []
-    for items in blocks:
-        out += [(d, items.names[i], p, j, n) for d, i, p, j, n in zip(*(x.tolist() for x in find(words, order, ids, known, items, window)))]
-    return out
+    for it, at, size, longest, word in stretches:
+        d = np.searchsorted(first, at, "right") - 1
+        out += [(x[0], items.names[x[1]], *x[2:]) for x in zip(d.tolist(), it.tolist(), (at - first[d]).tolist(), size.tolist(), longest.tolist(), word.tolist())]
+    return hit[apart], out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list:
-    context, blocks, names, texts, size = benchmark.sparkSession.sparkContext, [], [], [], 0
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
+    """The items with words in blocks of about BLOCK_BYTES, one after the other; at least one block, maybe empty."""
+    slim = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null")
+    size = slim.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
+    blocks = -(-size // BLOCK_BYTES) or 1
+    for b in range(blocks):
+        rows = slim.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect() if blocks > 1 else slim.collect()  # about BLOCK_BYTES
+        yield Items([r["i"] for r in rows], [r["t"] for r in rows])
 
-    def close():
-        items = Items(names, texts)
-        if items.names:
-            blocks.append(context.broadcast(items))
 
-    for r in benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").toLocalIterator():
-        names.append(r["i"])
-        texts.append(r["t"])
-        size += len(r["t"]) // 2 + 1  # at most so many words
-        if size >= BLOCK_WORDS:
-            close()
-            names, texts, size = [], [], 0
-    close()
-    return blocks
+SPAN = pa.struct([("item_id", pa.string()), ("doc_word", pa.int32()), ("n_words", pa.int32()), ("longest", pa.int32()), ("item_word", pa.int32())])
 
 
-def _covered(spans: list[tuple]) -> int:
-    """Words in the union of (start, words)."""
-    total, end = 0, 0
-    for p, n in sorted(spans):
-        total += max(0, p + n - max(p, end))
-        end = max(end, p + n)
-    return total
+#: What is found in a text.
+FOUND = "n_words long, n_hit long, spans array<struct<item_id:string,doc_word:int,n_words:int,longest:int,item_word:int>>"
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_hit, spans (item_id, doc_word, item_word, n_words).
+def _judge(words: Words, items: Items, window: int) -> tuple[np.ndarray, np.ndarray, list[list[tuple]]]:
+    """Of each text of a shard: where its words begin in the marks of hit words, these marks, and its spans."""
+    n = len(words.first) - 1
+    hit, found = np.zeros(len(words), bool), [[] for _ in range(n)]
+    if items.names and len(words):
+        hit, spans = _search(words, items, window)
+        for d, name, p, size, longest, j in spans:
+            found[d].append((str(name), p, size, longest, j))
+    return np.concatenate([[0], np.cumsum(hit)])[words.first], hit, found
 
-    A span is a maximal verbatim run of at least ``window`` words of an item (all its words, if it has fewer), n_hit
-    the number of the document's words in any span. Null texts have no words; items without words match nothing; an
-    item given twice counts once in ``spans`` by id; repeated documents are each searched; empty tables are fine on
-    either side; other columns are not read. No shuffle.
-    """
-    blocks = _blocks(benchmark, item_col, text_col)
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    item = benchmark.schema[item_col].dataType.simpleString()
-    span = pa.struct([("item_id", pa.string()), ("doc_word", pa.int32()), ("item_word", pa.int32()), ("n_words", pa.int32())])
+
+def _spans(found: list[list[tuple]]) -> pa.Array:
+    return pa.array([[dict(zip(("item_id", "doc_word", "n_words", "longest", "item_word"), s)) for s in sorted(set(x))] for x in found], pa.list_(SPAN))
+
+
+def _each(docs: DataFrame, items: Items, window: int, marks: bool) -> DataFrame:
+    """``docs``: key, text. key, n_words, n_hit, spans and, if ``marks``, the words hit as bits."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, words in _shards(batches, 1):
-            counts = words.counts
-            found: list[list] = [[] for _ in counts]
-            if blocks and len(words):
-                for d, name, p, j, n in _search(words, blocks, window):
-                    found[d].append((str(name), p, j, n))
-            unique = [sorted(set(x)) for x in found]
-            rows = pa.array([[dict(zip(("item_id", "doc_word", "item_word", "n_words"), s)) for s in x] for x in unique], pa.list_(span))
-            hit = [_covered([(p, n) for _, p, _, n in x]) for x in unique]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), rows], ["doc_id", "n_words", "n_hit", "spans"])
+            upto, hit, found = _judge(words, shared.value, window)
+            bits = [np.packbits(hit[x:y]).tobytes() if marks and upto[i + 1] > upto[i] else None for i, (x, y) in enumerate(zip(words.first[:-1], words.first[1:]))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words.counts, pa.int64()), pa.array(np.diff(upto), pa.int64()), _spans(found), pa.array(bits, pa.binary())], ["key", "n_words", "n_hit", "spans", "bits"])
+
+    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, {FOUND}, bits binary")
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """What the blocks of items found in one text."""
+    n = table["n_words"][0].as_py()
+    hit = np.zeros(n, bool)
+    for bits in table["bits"].to_pylist():
+        if bits:
+            hit |= np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+    spans = [tuple(s.values()) for x in table["spans"].to_pylist() for s in x]
+    return pa.table({"key": table["key"][:1], "n_words": pa.array([n], pa.int64()), "n_hit": pa.array([int(hit.sum())], pa.int64()), "spans": _spans([spans])})
+
 
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    out = slim.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, spans array<struct<item_id:string,doc_word:int,item_word:int,n_words:int>>")
-    return out.withColumn("spans", F.col("spans").cast(f"array<struct<item_id:{item},doc_word:int,item_word:int,n_words:int>>")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+def _key(text: Column) -> Column:
+    """Equal texts have equal matches, so the text is the key under which its matches meet."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def _in_blocks(docs: DataFrame, blocks: Iterator[Items], window: int, text_col: str) -> DataFrame:
+    """key, n_words, n_hit, spans of each different text, searched for one block of items after another."""
+    texts = docs.select(_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    parts = [cut_lineage(_each(texts, items, window, True).dropDuplicates(["key"])) for items in blocks]
+    return cut_lineage(functools.reduce(DataFrame.unionByName, parts).groupBy("key").applyInArrow(_merge, f"key string, {FOUND}"))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, n_hit, spans (item_id, doc_word, n_words, longest, item_word), contaminated.
+
+    A span is a stretch of the text that is covered by windows of an item (``window`` words of it, or all, if it has
+    fewer): its first word, its words, and of the longest verbatim match that begins in it the words and the place in
+    the item. n_hit is the number of the document's words in any span. Null texts have no words; items without words
+    match nothing; an item given twice counts once in ``spans`` by id; repeated documents each get a row; empty tables
+    are fine on either side; other columns are not read. No shuffle, unless the benchmark has several blocks.
+    """
+    blocks = _blocks(benchmark, item_col, text_col)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        found = _each(docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")), first, window, False).withColumnRenamed("key", "doc_id")
+    else:
+        every = _in_blocks(docs, itertools.chain((first, second), blocks), window, text_col)
+        found = docs.select(F.col(id_col).alias("doc_id"), _key(F.col(text_col)).alias("key")).join(every, "key")
+    item = benchmark.schema[item_col].dataType.simpleString()
+    out = found.select("doc_id", "n_words", "n_hit", F.col("spans").cast(f"array<struct<item_id:{item},doc_word:int,n_words:int,longest:int,item_word:int>>").alias("spans"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The rows of ``docs`` of which less than a twentieth of the words is in a span; columns unchanged."""
+    """The rows of ``docs`` of which less than a twentieth of the words is in a span; columns unchanged, with any names.
+
+    Null and empty texts stay; repeated rows are judged each; an empty table stays empty, and without items all rows stay.
+    """
     blocks = _blocks(benchmark, item_col, text_col)
-    at = docs.columns.index(text_col)
+    first, second = next(blocks), next(blocks, None)
+    if second is not None:
+        bad = _in_blocks(docs, itertools.chain((first, second), blocks), window, text_col).where("n_hit > 0 and 20 * n_hit >= n_words").select("key")
+        row = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row")
+        kept = docs.select(row, _key(F.col(text_col)).alias("key")).join(bad, "key", "left_anti")
+        return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    at, shared = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, words in _shards(batches, at):
-            counts = words.counts
-            found: list[list] = [[] for _ in counts]
-            if blocks and len(words):
-                for d, _, p, _, n in _search(words, blocks, window):
-                    found[d].append((p, n))
-            hit = np.array([_covered(x) for x in found])
-            yield b.filter(pa.array((hit == 0) | (20 * hit < counts)))
+            n_hit = np.diff(_judge(words, shared.value, window)[0])
+            yield b.filter(pa.array((n_hit == 0) | (20 * n_hit < words.counts)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -224,8 +224,73 @@ def test_decontamination_in_blocks(spark, docs, monkeypatch):
 
     bench = docs.where("doc_id < 20").select(F.col("doc_id").alias("item_id"), "text")
     whole = listed(d.matches(docs, bench), "doc_id", "n_hit")
-    monkeypatch.setattr(d, "BLOCK_WORDS", 100)
-    assert len(d._blocks(bench, "item_id", "text")) > 3 and listed(d.matches(docs, bench), "doc_id", "n_hit") == whole
+    kept = listed(d.drop_contaminated(docs, bench), *docs.columns)
+    spans = [str(sorted(r["spans"])) for r in d.matches(docs, bench).orderBy("doc_id", "n_words").collect()]
+    monkeypatch.setattr(d, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(d, "RUN_PAIRS", 64)
+    assert len(list(d._blocks(bench, "item_id", "text"))) > 3 and listed(d.matches(docs, bench), "doc_id", "n_hit") == whole
+    assert listed(d.drop_contaminated(docs, bench), *docs.columns) == kept
+    assert [str(sorted(r["spans"])) for r in d.matches(docs, bench).orderBy("doc_id", "n_words").collect()] == spans
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([1, 7, 1 << 20]))
+def test_longest_matches(seed, pairs):
+    """Words hit, stretches and longest matches of few different words against brute force, in pieces of any size."""
+    import cahier.llm.decontamination as d
+
+    rng = np.random.default_rng(seed)
+    texts = [" ".join(rng.choice(list("abc"), rng.integers(0, 30))) for _ in range(3)]
+    items = [" ".join(rng.choice(list("abcd"), rng.integers(1, 14))) for _ in range(3)]
+    before, d.RUN_PAIRS = d.RUN_PAIRS, pairs
+    try:
+        raw = "".join(texts).encode()
+        w = d.Words(np.frombuffer(raw, np.uint8), np.cumsum([0, *[len(t) for t in texts]]), d.ALNUM, lower=True)
+        hit, found = d._search(w, d.Items([0, 1, 2], items), 4)
+    finally:
+        d.RUN_PAIRS = before
+    want, marks = set(), []
+    for i, t in enumerate(texts):
+        t = t.split()
+        every = [False] * len(t)
+        for k, x in enumerate(items):
+            x = x.split()
+            need, own, runs = min(4, len(x)), [False] * len(t), {}
+            for p in range(len(t) - need + 1):
+                for j in range(len(x) - need + 1):
+                    if t[p : p + need] == x[j : j + need]:
+                        own[p : p + need] = every[p : p + need] = [True] * need
+                        n = need
+                        while p + n < len(t) and j + n < len(x) and t[p + n] == x[j + n]:
+                            n += 1
+                        runs[p, j] = n
+            p = 0
+            while p < len(t):
+                if own[p]:
+                    q = p
+                    while q < len(t) and own[q]:
+                        q += 1
+                    n, j = max(((n, -j) for (a, j), n in runs.items() if p <= a < q))
+                    want.add((i, k, p, q - p, n, -j))
+                    p = q
+                p += 1
+        marks += every
+    assert hit.tolist() == marks and set(found) == want
+
+
+def test_repetitive_texts_are_searched_in_bounded_memory():
+    """One word a million times and an item of 300 of it: pairs of suffixes and places are never all held."""
+    import tracemalloc
+
+    import cahier.llm.decontamination as d
+
+    raw = np.frombuffer(b"ab " * 700_000, np.uint8)
+    w = d.Words(raw, np.array([0, len(raw)]), d.ALNUM, lower=True)
+    tracemalloc.start()
+    hit, found = d._search(w, d.Items([1], ["ab " * 300]), 13)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert hit.all() and found == [(0, 1, 0, 700_000, 300, 0)] and peak < 500 << 20
 
 
 # 5
