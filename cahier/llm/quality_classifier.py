@@ -86,7 +86,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, label_c
     share = min(1.0, max_labelled / max(1, total))
     shards = max(1, -(-min(total, max_labelled) // shard_rows))
     balance = (total / (2 * max(1.0, total - ones)), total / (2 * max(1.0, ones)))
-    y = y.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    y = y.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 62)) < int(share * (1 << 62)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(y), "doc_id")  # at most max_labelled rows
     rows = rows.select(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(shards)).cast("int").alias("shard"), "text", F.xxhash64("doc_id", F.lit(5)).alias("order"), "y")
 

@@ -11,11 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cahier.session import cut_lineage
+
 BREAKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]"
 WINDOW = 8
 #: Cutoffs of every rule: a document is rejected when its ratio is above. A fixed grid, so that it is not fitted to the holdout.
 CUTOFFS = (0.02, 0.03, 0.05, 0.08, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8)
+#: A table of strata up to this many rows is broadcast.
+BROADCAST_ROWS = 200_000
 RULES = ("symbol_ratio", "dup_line_words", "repeat_ratio", "mark_ratio")
 
 
@@ -46,7 +50,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     """doc_id, stratum and the counts that the rules use. A null text has no words; a null stratum is one of its own."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, BREAKS, "") != "")
-    step = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), text.alias("t"), words_of(text).alias("w"), lines.alias("lines"))
+    step = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), text.alias("t"), words_of(text).alias("w"), lines.alias("lines"))
     n = F.size("w")
     return step.select(
         "doc_id",
@@ -102,16 +106,18 @@ _LOG_FACTORIALS = [0.0, 0.0, 0.6931471805599453, 1.791759469228055, 3.1780538303
 def thresholds(feats: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """stratum, rule, cutoff, n_good, n_false: the strictest cutoff per stratum and rule that the labelled holdout allows.
 
-    The holdout is all labelled documents with label 1, of which a false rejection is a document above the cutoff; an
-    id that is labelled twice counts once, good if any label is. A cutoff passes when P(X <= n_false) <= delta / (strata x
-    rules) for X ~ Binomial(n_good, risk). No labels: no thresholds.
+    The holdout is all labelled documents with label 1, of which a false rejection is a document above the cutoff. An
+    id that is labelled twice is good if any label is; rows that share an id and a stratum are one document, above a
+    cutoff if any of them is; rows without an id are not in the holdout. A cutoff passes when P(X <= n_false) <= delta /
+    (strata x rules) for X ~ Binomial(n_good, risk). A null stratum is one of its own. No labels: no thresholds.
     """
     good = labels.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label_col)).alias("y")).where("y = 1").select("doc_id")
-    held = feats.join(good, "doc_id", "left_semi").select("stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), v.alias("ratio")) for r, v in ratios().items()])).alias("x"))
-    counts = held.groupBy("stratum", F.col("x.rule").alias("rule")).agg(F.count("*").alias("n_good"), *[F.count_if(F.col("x.ratio") > c).alias(f"above_{i}") for i, c in enumerate(CUTOFFS)])
-    strata = F.broadcast(counts.agg(F.count_distinct("stratum").alias("strata")))  # one row
-    each = counts.crossJoin(strata).select("stratum", "rule", "n_good", "strata", F.explode(F.array(*[F.struct(F.lit(c).alias("cutoff"), F.col(f"above_{i}").alias("n_false")) for i, c in enumerate(CUTOFFS)])).alias("x")).select("stratum", "rule", "n_good", "strata", "x.cutoff", "x.n_false")
-    level = F.log(F.lit(delta) / (F.col("strata") * len(RULES)))
+    once = feats.join(good, "doc_id", "left_semi").groupBy("stratum", "doc_id").agg(*[F.max(v).alias(r) for r, v in ratios().items()])
+    held = once.select("stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("ratio")) for r in RULES])).alias("x"))
+    counts = cut_lineage(held.groupBy("stratum", F.col("x.rule").alias("rule")).agg(F.count("*").alias("n_good"), *[F.count_if(F.col("x.ratio") > c).alias(f"above_{i}") for i, c in enumerate(CUTOFFS)]))
+    strata = counts.select("stratum").distinct().count()
+    each = counts.select("stratum", "rule", "n_good", F.explode(F.array(*[F.struct(F.lit(c).alias("cutoff"), F.col(f"above_{i}").alias("n_false")) for i, c in enumerate(CUTOFFS)])).alias("x")).select("stratum", "rule", "n_good", "x.cutoff", "x.n_false")
+    level = F.log(F.lit(delta / (max(1, strata) * len(RULES))))
     passed = each.where(log_binomial_cdf(F.col("n_false"), F.col("n_good"), risk) <= level)
     return passed.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"), F.min_by("n_good", "cutoff").alias("n_good"), F.min_by("n_false", "cutoff").alias("n_false"))
 
@@ -120,16 +126,15 @@ def apply_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: f
     """One row per row of ``docs``: the counts, base_failed, failed_rules, kept.
 
     Null and empty texts have no words and fail the base rule; repeated rows are judged each; an empty table gives no
-    rows; a stratum without thresholds keeps what the base rules keep; columns other than id, text and stratum are
-    not read. The table of thresholds has one row per stratum with at least one rule allowed; strata are few by
-    definition (their number divides the confidence), so Spark may broadcast it by its own size check.
+    rows; a stratum without thresholds (null is one of its own) keeps what the base rules keep; columns other than id,
+    text and stratum are not read. The table of thresholds has one row per stratum and is broadcast up to BROADCAST_ROWS
+    rows; beyond, it is joined by shuffle.
     """
-    from cahier.session import cut_lineage
-
     feats = cut_lineage(features(docs, id_col, text_col, stratum_col))
-    limits = thresholds(feats, labels, risk, delta, id_col).groupBy(F.col("stratum").alias("stratum")).pivot("rule", list(RULES)).agg(F.first("cutoff"))
-    limits = limits.select("stratum", *[F.col(r).alias(f"max_{r}") for r in RULES])
+    limits = thresholds(feats, labels, risk, delta, id_col).groupBy(F.col("stratum").alias("_stratum")).pivot("rule", list(RULES)).agg(F.first("cutoff"))
+    limits = cut_lineage(limits.select("_stratum", *[F.col(r).alias(f"max_{r}") for r in RULES]))
+    limits = F.broadcast(limits) if limits.count() <= BROADCAST_ROWS else limits
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     failed = F.filter(F.array(*[F.when(v > F.col(f"max_{r}"), F.lit(r)) for r, v in ratios().items()]), lambda x: x.isNotNull())
-    judged = feats.join(F.broadcast(limits), "stratum", "left").withColumn("base_failed", base).withColumn("failed_rules", failed)
+    judged = feats.join(limits, F.col("stratum").eqNullSafe(F.col("_stratum")), "left").withColumn("base_failed", base).withColumn("failed_rules", failed)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.array_join("failed_rules", ",").alias("failed_rules"), (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"))

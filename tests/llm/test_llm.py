@@ -114,9 +114,82 @@ def test_mixing(spark, docs, rows, none):
     assert repeat(docs).columns == docs.columns and mix(none).count() == 0 and repeat(none).count() == 0
 
 
+def test_mixing_of_ties_and_repeated_rows(spark, monkeypatch):
+    """One id or none with many texts, rows repeated hundreds of times, clashing names: reruns agree, targets are met."""
+    import cahier.llm.mixing as x
+
+    rows = [(7, f"w{i} " * (i % 9 + 1), "a") for i in range(600)] + [(None, f"v{i} " * (i % 7), "b") for i in range(300)]
+    rows += [(1, "the same row " * 3, "c")] * 400 + [(2, None, None), (3, "", None)] + [(i, "word " * 5, "d") for i in range(10, 400)]
+    df = spark.createDataFrame([(*r, 1, "x", "y") for r in rows], "doc_id long, text string, source string, _whole int, cut string, epochs string")
+    for limit in (x.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(x, "BROADCAST_ROWS", limit)
+        got = [listed(x.mix(df.repartition(n)), "doc_id", "size", "taken", "target") for n in (1, 3, 8)]
+        assert got[0] == got[1] == got[2]
+    for source in "abcd":
+        of = [r for r in x.mix(df.where(F.col("source") == source)).collect()]
+        assert sum(r["size"] for r in of) == of[0]["source_size"] == sum(r["taken"] for r in of)
+    taken, target = Counter(), {}
+    for r in x.mix(df).collect():
+        taken[r["source_size"]] += r["taken"]
+        target[r["source_size"]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 9 for s in target)
+    times = x.repeat(df)
+    assert times.columns == df.columns
+    assert Counter(r["doc_id"] for r in times.collect()) == Counter({k: v for k, v in Counter({r["doc_id"]: 0 for r in x.mix(df).collect()}).items()}) + Counter(r["doc_id"] for r in x.mix(df).collect() for _ in range(r["epochs"]))
+
+
 # 10
 
 
+def brute_kept(rows, labels, risk, delta):
+    """id -> kept, by exact binomial sums over the labelled holdout."""
+    from cahier.llm.quality_rules import CUTOFFS
+
+    def counts(t):
+        w, t = words(t), t or ""
+        seen = Counter(tuple(w[j : j + 8]) for j in range(len(w) - 7))
+        inside = {x for j in range(len(w) - 7) if seen[tuple(w[j : j + 8])] > 1 for x in range(j, j + 8)}
+        lines, chars = [x for x in t.split("\n") if words(x)], sum(map(len, w))
+        ratio = lambda a, b: a / b if b else 0.0
+        marks = sum(not (c.isalnum() or c in " \t\n\x0b\x0c\r") for c in t)
+        return len(w), len(inside), [ratio(len(re.findall(r"[#*$%&|<>]", t)), chars), ratio(len(lines) - len(set(lines)), len(lines)), ratio(len(inside), len(w)), ratio(marks, chars)]
+
+    good, worst = {i for i, y in labels if y == 1}, {}
+    for i, t, lang, _ in rows:
+        if i in good:
+            worst[lang, i] = [max(a, b) for a, b in zip(worst.get((lang, i), [0.0] * 4), counts(t)[2])]
+    strata, limit = {lang for lang, _ in worst}, {}
+    for lang in strata:
+        for k in range(4):
+            x = [r[k] for (stratum, _), r in worst.items() if stratum == lang]
+            for c in CUTOFFS:
+                bad = sum(v > c for v in x)
+                if sum(math.comb(len(x), j) * risk**j * (1 - risk) ** (len(x) - j) for j in range(bad + 1)) <= delta / (len(strata) * 4):
+                    limit[lang, k] = c
+                    break
+    out = []
+    for i, t, lang, _ in rows:
+        n, repeated, ratios = counts(t)
+        out.append((i, n >= 20 and 100 * repeated <= 30 * n and all(r <= limit.get((lang, k), 9) for k, r in enumerate(ratios))))
+    return out, limit
+
+
+def test_kept_is_what_exact_bounds_allow(spark):
+    """Null strata, repeated rows and ids, two labels for one id; against brute force."""
+    from cahier.llm.quality_rules import apply_rules
+
+    from .conftest import text
+
+    rows = [(i, text(i, 25) + " #" * (i % 50 == 0) + "\nline" * (i % 10), ["en", None, ""][i % 3], "s") for i in range(700)]
+    rows += [(3, text(1, 30) + " ####### !!!!!!", "en", "s")] * 40 + [(None, text(5, 30) + " $$$$$$$$$$$", "en", "s")] * 9
+    rows += [(1000 + i, text(i, 30) + " ###" * (i * 3), [None, "en", ""][i % 3], "s") for i in range(30)]
+    labels = [(i, 1) for i in range(700)] + [(5, 0), (1001, 0), (None, 1)]
+    want, limit = brute_kept(rows, labels, 0.05, 0.05)
+    got = apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert listed(got, "doc_id", "kept") == sorted(want, key=str)
+    assert {lang for lang, _ in limit} == {"en", None, ""} and any(not k for i, k in want if i and i >= 1000)
+
+
 def test_quality_features(spark, docs, rows, none):
     from cahier.llm.quality_rules import apply_rules
 
@@ -157,7 +230,8 @@ def test_thresholds_hold_the_risk(spark):
     labels = feats.select("doc_id", F.lit(1).alias("quality"))
     got = {r["rule"]: r["cutoff"] for r in thresholds(feats, labels, 0.05, 0.05).collect()}
     # 2 % of good documents have ratio 0.1: any cutoff passes. Marks are spread evenly: only cutoffs that leave 3.5 % or less above.
-    assert got["symbol_ratio"] == min(CUTOFFS) and "mark_ratio" not in got or got["mark_ratio"] >= 0.95
+    assert got["symbol_ratio"] == min(CUTOFFS)
+    assert "mark_ratio" not in got  # no cutoff of the grid leaves so few above
 
 
 # 6
