@@ -1,14 +1,16 @@
 """Substring dedup with repeated-phrase automata.
 
 1. Every window of ``window`` words holds the phrase (``phrase`` words) with the smallest hash in it; equal windows hold
-   equal ones. One pass deals out these phrases; where they meet, those of two or more documents are confirmed.
-   A document without a confirmed phrase has no repeated window and is left as it is.
-2. The other documents are dealt into shards of bounded size. Each shard compiles the confirmed phrases of its own
-   documents into one Aho-Corasick automaton (so automata grow with a shard, never with the corpus) and streams every
-   document of the shard through it, which gives all places of all phrases.
-3. Exact check: the windows around these places are hashed; per shard each different window goes out once, with the
-   smallest id, and comes back with the smallest id of the corpus. A window whose first document is a smaller one
-   covers words, which are removed. A passage that a third of all documents share is thus one row per shard.
+   equal ones. A first pass gives these phrases; those of two or more documents are confirmed as recurring.
+2. All documents are dealt into shards of bounded size. Each shard compiles the confirmed phrases of its own documents,
+   which come to it as texts, into one Aho-Corasick automaton (so automata grow with a shard, never with the corpus) and
+   streams every document of the shard through it, which locates every occurrence of every phrase, nothing else does.
+3. The windows around these places are verified: per shard each different one goes out once (as a 64-bit hash of its
+   words), with the smallest id, and comes back with the smallest id of the corpus. A window whose first document is a
+   smaller one covers words, which are removed.
+
+What very many documents share is one row per shard with map-side sums before; the rows of a window meet in groups of
+shards first, so no task gets them all.
 """
 
 from __future__ import annotations
@@ -17,17 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cahier.llm.words import NOT_SPACE, U64, Words, grams, mix, text_blocks
+from cahier.llm.words import NOT_SPACE, U64, Words, grams, text_blocks
 from cahier.session import cut_lineage
 
-BREAKS = r"[\x20\x09-\x0D]+"
 PART_ENTRIES = 1 << 19
 SHARD_BYTES = 4 << 20
-BROADCAST_IDS = 1_000_000
+#: Shards whose windows meet first.
+SHARD_GROUP = 4096
+#: Stands for a null id: it comes last.
 _LAST = np.iinfo(np.int64).max
 
 
@@ -54,78 +56,63 @@ def anchors(w: Words, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]
     return at, g[at]
 
 
-def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Null ids come last."""
-    return pc.fill_null(column, _LAST).to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else _ids(column.combine_chunks())
+def _read(table: pa.Table, column: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(x for x in table[column].to_pylist() if x is not None), kind)
 
 
-def _read(table: pa.Table, column: str, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(table[column].to_pylist()), kind)
+def _phrase(raw: bytes, w: Words, i: int, phrase: int) -> str:
+    return b" ".join(raw[a:b] for a, b in zip(w.start[i : i + phrase].tolist(), w.end[i : i + phrase].tolist())).decode()
 
 
-def _confirmed(docs: DataFrame, window: int, phrase: int, entries: int) -> DataFrame:
-    """doc_id, h: the chosen phrases that two or more documents have, with each of their documents."""
-    bits = max(6, (entries // PART_ENTRIES).bit_length())
+def _phrases(docs: DataFrame, window: int, phrase: int) -> DataFrame:
+    """shard, phrase: the chosen phrases of each shard that two or more documents of the corpus have. ``docs``: id, text, shard."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, off in text_blocks(batches, 3 << 20):
             w = Words(data, off, NOT_SPACE)
             at, h = anchors(w, window, phrase)
-            if not len(at):
-                continue
-            d = _ids(b.column(0))[np.searchsorted(w.first, at, "right") - 1]
+            d = b.column(0).to_numpy()[np.searchsorted(w.first, at, "right") - 1]
             by = np.lexsort((d, h))
             h, d = h[by], d[by]
-            new = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))
-            h, d = h[new], d[new]
-            part = (mix(h) >> U64(64 - bits)).astype(np.int64)  # the smallest hashes of windows are not spread evenly
-            by = np.argsort(part, kind="stable")
-            h, d, part = h[by], d[by], part[by]
-            cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(h))
-            rows = [(int(part[x]), h[x:y].tobytes(), d[x:y].tobytes()) for x, y in zip(cut[:-1], cut[1:])]
-            cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["part", "h", "d"])
-
-    def meet(table: pa.Table) -> pa.Table:
-        h, d = _read(table, "h", np.uint64), _read(table, "d", np.int64)
-        by = np.lexsort((d, h))
-        h, d = h[by], d[by]
-        new = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))
-        h, d = h[new], d[new]
-        again = np.append(False, h[1:] == h[:-1])
-        again |= np.append(again[1:], False)
-        return pa.table({"doc_id": pa.array(d[again]), "h": pa.array(h[again].view(np.int64))})
+            cut = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+            last = d[np.append(cut[1:], len(h)) - 1] if len(cut) else d
+            yield pa.RecordBatch.from_arrays([pa.array(h[cut].view(np.int64)), pa.array(d[cut]), pa.array(last)], ["h", "lo", "hi"])
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, data, off in text_blocks(batches, 3 << 20):
+            w = Words(data, off, NOT_SPACE)
+            at, h = anchors(w, window, phrase)
+            shard = b.column(2).to_numpy()[np.searchsorted(w.first, at, "right") - 1]
+            new = np.unique(np.stack([h.view(np.int64), shard.astype(np.int64)]), axis=1, return_index=True)[1]
+            raw = data.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(shard[new], pa.int32()), pa.array([_phrase(raw, w, i, phrase) for i in at[new].tolist()], pa.string())], ["h", "shard", "phrase"])
 
-    dealt = docs.mapInArrow(deal, "part int, h binary, d binary")
-    return dealt.groupBy("part").applyInArrow(meet, "doc_id long, h long")
+    seen = docs.select("id", "text").mapInArrow(met, "h long, lo long, hi long").groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    confirmed = cut_lineage(seen.where("lo < hi").select("h"))
+    return cut_lineage(docs.select("id", "text", "shard").mapInArrow(texts, "h long, shard int, phrase string").join(confirmed, "h").select("shard", "phrase").distinct())
 
 
 def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, bytes and offsets of a shard, by id."""
-    table = table.set_column(table.column_names.index("doc_id"), "doc_id", pa.array(_ids(table["doc_id"]))).sort_by("doc_id").combine_chunks()
-    ids = table["doc_id"].to_numpy()
-    blocks = [(data, off) for _, data, off in text_blocks([b.select(["doc_id", "text"]) for b in table.to_batches()], 1 << 60)]
+    """ids, bytes and offsets of a shard."""
+    table = table.combine_chunks()
+    blocks = [(data, off) for _, data, off in text_blocks([b.select(["id", "text"]) for b in table.to_batches()], 1 << 60)]
     if not blocks:
-        return ids, np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        return table["id"].to_numpy(), np.zeros(0, np.uint8), np.zeros(1, np.int64)
     sizes = np.concatenate([np.diff(off) for _, off in blocks])
-    return ids, np.concatenate([d for d, _ in blocks]), np.concatenate([[0], np.cumsum(sizes)])
+    return table["id"].to_numpy(), np.concatenate([d for d, _ in blocks]), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _locate(data: np.ndarray, off: np.ndarray, w: Words, wanted: np.ndarray, window: int, phrase: int) -> np.ndarray:
-    """Marks the words at which an occurrence of one of the shard's confirmed phrases starts."""
+def _locate(raw: bytes, off: np.ndarray, w: Words, phrases: list[str], phrase: int) -> np.ndarray:
+    """Marks the words at which an occurrence of one of the phrases starts."""
     import ahocorasick
 
-    at, h = anchors(w, window, phrase)
-    at, h = at[np.isin(h, wanted)], h[np.isin(h, wanted)]
-    at = at[np.unique(h, return_index=True)[1]]
     found = np.zeros(len(w) + 1, bool)
-    if not len(at):
+    if not phrases:
         return found
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for i in at.tolist():
-        automaton.add_word(" " + b" ".join(data[a:b].tobytes() for a, b in zip(w.start[i : i + phrase].tolist(), w.end[i : i + phrase].tolist())).decode() + " ")
+    for p in phrases:
+        automaton.add_word(f" {p} ")
     automaton.make_automaton()
-    raw = data.tobytes()
     for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
         text = " " + b" ".join(raw[a:b].split()).decode() + " "  # bytes.split() parts at \x20 and \x09-\x0D only
         ends = [e for e, _ in automaton.iter(text)]
@@ -153,79 +140,94 @@ def repeated_passages(docs: DataFrame, window: int = 50, phrase: int = 8, id_col
     nothing; equal rows with one id keep what only they repeat; a null id counts as the largest; an empty table gives
     no rows; other columns are not read. Ids are whole numbers.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    confirmed = cut_lineage(_confirmed(slim, window, phrase, total // 120))
-    ids = cut_lineage(confirmed.select("doc_id").distinct())
-    n_ids = ids.count()
-    small = F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids
-    keyed = slim.withColumn("_id", F.coalesce("doc_id", F.lit(_LAST)))
-    chosen = keyed.join(small.withColumnRenamed("doc_id", "_id"), "_id", "left_semi").select("doc_id", "text")
-    chosen_bytes = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(64, chosen_bytes // SHARD_BYTES)
-    bits = max(6, (chosen_bytes // 6 // PART_ENTRIES).bit_length())
-    shard = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(_LAST))), F.lit(shards)).cast("int")
-    texts = chosen.select(shard.alias("shard"), "doc_id", "text")
-    phrases = confirmed.select(shard.alias("shard"), "h").distinct()
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+    id_ = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    shards = max(64, total // SHARD_BYTES)
+    bits = max(6, (total // 12 // PART_ENTRIES).bit_length())
+    texts = docs.select(id_.alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_, F.col(text_col)), F.lit(shards)).cast("int").alias("shard"))
+    phrases = _phrases(texts, window, phrase)
+
+    def located(left: pa.Table, right: pa.Table) -> tuple:
+        """ids, bytes, offsets and words of a shard, the starts and hashes of the windows around the places found."""
         ids, data, off = _texts(left)
-        w = Words(data, off, NOT_SPACE)
-        found = _locate(data, off, w, right["h"].to_numpy().view(np.uint64), window, phrase)
-        start = _windows(w, found, window, phrase)
-        out = {k: [] for k in ("part", "shard", "h", "d", "many")}
-        if len(start):
-            h, d = grams(w.hash, window)[start], ids[np.searchsorted(w.first, start, "right") - 1]
-            by = np.lexsort((d, h))
-            h, d = h[by], d[by]
-            at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            last = d[np.append(at[1:], len(h)) - 1]
-            h, d = h[at], d[at]
-            many = (last > d).astype(np.uint8)
-            part = (h >> U64(64 - bits)).astype(np.int64)
-            cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(h))
-            for x, y in zip(cut[:-1], cut[1:]):
-                for k, v in zip(out, (int(part[x]), left["shard"][0].as_py(), h[x:y].tobytes(), d[x:y].tobytes(), many[x:y].tobytes())):
-                    out[k].append(v)
-        return pa.table({"part": pa.array(out["part"], pa.int32()), "shard": pa.array(out["shard"], pa.int32()), **{k: pa.array(out[k], pa.binary()) for k in ("h", "d", "many")}})
+        w, raw = Words(data, off, NOT_SPACE), data.tobytes()
+        start = _windows(w, _locate(raw, off, w, [p for p in right["phrase"].to_pylist() if p is not None], phrase), window, phrase)
+        return ids, raw, off, w, start, grams(w.hash, window)[start], ids[np.searchsorted(w.first, start, "right") - 1]
 
-    def first(table: pa.Table) -> pa.Table:
-        """The smallest id of each window, back to the shards with a later document that has it."""
-        n = np.array([len(x) // 8 for x in table["h"].to_pylist()])
-        shard = np.repeat(table["shard"].to_numpy(), n)
+    def packed(rows: list[tuple], names: dict) -> pa.Table:
+        cols = list(zip(*rows)) or [()] * len(names)
+        return pa.table({n: pa.array(c, t) for (n, t), c in zip(names.items(), cols)})
+
+    asked = {"part": pa.int32(), "meet": pa.int32(), "shard": pa.int32(), "h": pa.binary(), "d": pa.binary(), "many": pa.binary()}
+    ASKED = "part int, meet int, shard int, h binary, d binary, many binary"
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Each window found, with the smallest id and whether a later document of the shard has it."""
+        *_, h, d = located(left, right)
+        by = np.lexsort((d, h))
+        h, d = h[by], d[by]
+        at = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+        many = (d[np.append(at[1:], len(h)) - 1] > d[at]).astype(np.uint8) if len(at) else np.zeros(0, np.uint8)
+        h, d = h[at], d[at]
+        part = (h >> U64(64 - bits)).astype(np.int64)
+        cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)]), len(h))
+        shard = left["shard"][0].as_py() if len(left) else 0
+        return packed([(int(part[x]), shard // SHARD_GROUP, shard, h[x:y].tobytes(), d[x:y].tobytes(), many[x:y].tobytes()) for x, y in zip(cut[:-1], cut[1:])], asked)
+
+    def least(table: pa.Table) -> tuple[np.ndarray, ...]:
         h, d, many = _read(table, "h", np.uint64), _read(table, "d", np.int64), _read(table, "many", np.uint8)
         by = np.lexsort((d, h))
-        at = np.flatnonzero(np.append(True, h[by][1:] != h[by][:-1]))
-        size = np.diff(np.append(at, len(h)))
-        least = np.empty(len(h), np.int64)
-        least[by] = np.repeat(d[by][at], size)
-        group = np.empty(len(h), np.int64)
-        group[by] = np.repeat(size, size)
-        use = np.flatnonzero((many > 0) | ((group > 1) & (d > least)))
-        use = use[np.argsort(shard[use], kind="stable")]
-        cut = np.append(np.flatnonzero(np.append(True, shard[use][1:] != shard[use][:-1])), len(use)) if len(use) else [0]
-        rows = [(int(shard[use[x]]), h[use[x:y]].tobytes(), least[use[x:y]].tobytes()) for x, y in zip(cut[:-1], cut[1:])]
-        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "h": pa.array([r[1] for r in rows], pa.binary()), "first": pa.array([r[2] for r in rows], pa.binary())})
+        h, d, many = h[by], d[by], many[by]
+        at = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+        later = np.maximum.reduceat(many, at) | (d[np.append(at[1:], len(h)) - 1] > d[at])
+        return h[at], d[at], later.astype(np.uint8)
+
+    def together(table: pa.Table) -> pa.Table:
+        """The windows of a group of shards, as one shard would have them."""
+        h, d, many = least(table)
+        meet = table["meet"][0].as_py()
+        return packed([(table["part"][0].as_py(), meet, -1, h.tobytes(), d.tobytes(), many.tobytes())], asked)
+
+    def first(table: pa.Table) -> pa.Table:
+        """To each group of shards its windows that a document with a larger id than the smallest has, with that one."""
+        h, d, later = least(table)
+        rows = []
+        for one in table.to_pylist():
+            own = np.frombuffer(one["h"], np.uint64)
+            at = np.searchsorted(h, own)
+            use = later[at] > 0
+            rows.append((one["part"], one["meet"], own[use].tobytes(), d[at[use]].tobytes()))
+        return packed(rows, {"part": pa.int32(), "meet": pa.int32(), "h": pa.binary(), "first": pa.binary()})
+
+    def back(left: pa.Table, right: pa.Table) -> pa.Table:
+        """To each shard what it needs: windows that it has for an id larger than the first."""
+        h, least_id = _read(right, "h", np.uint64), _read(right, "first", np.int64)
+        by = np.argsort(h)
+        h, least_id = h[by], least_id[by]
+        rows = []
+        for one in left.to_pylist():
+            own, d, many = (np.frombuffer(one[c], t) for c, t in (("h", np.uint64), ("d", np.int64), ("many", np.uint8)))
+            at = np.minimum(np.searchsorted(h, own), max(0, len(h) - 1))
+            use = np.flatnonzero(h[at] == own) if len(h) else np.zeros(0, np.int64)
+            use = use[(many[use] > 0) | (d[use] > least_id[at[use]])]
+            rows.append((one["shard"], None, own[use].tobytes(), least_id[at[use]].tobytes()))
+        return packed([r for r in rows if r[2]], {"shard": pa.int32(), "phrase": pa.string(), "h": pa.binary(), "first": pa.binary()})
 
     span = pa.list_(pa.struct([("start", pa.int32()), ("n_words", pa.int32())]))
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, data, off = _texts(left)
-        w = Words(data, off, NOT_SPACE)
+        ids, raw, off, w, start, g, own = located(left, right)
         h, first_id = _read(right, "h", np.uint64), _read(right, "first", np.int64)
         by = np.argsort(h)
         h, first_id = h[by], first_id[by]
         cover = np.zeros(len(w) + 1, np.int64)
-        n = len(w) - window + 1
-        if len(h) and n > 0:
-            g = grams(w.hash, window)
+        if len(h) and len(start):
             p = np.minimum(np.searchsorted(h, g), len(h) - 1)
-            own = ids[np.searchsorted(w.first, np.arange(n), "right") - 1]
-            start = np.flatnonzero((w.room()[:n] >= window) & (h[p] == g) & (first_id[p] < own))
+            start = start[(h[p] == g) & (first_id[p] < own)]
             np.add.at(cover, start, 1)
             np.subtract.at(cover, start + window, 1)
         gone = np.cumsum(cover)[:-1] > 0
-        raw, removed, spans, kept = data.tobytes(), [], [], []
+        removed, spans, kept = [], [], []
         for i, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist())):
             words = raw[off[i] : off[i + 1]].split()
             x = gone[a:b]
@@ -236,10 +238,9 @@ def repeated_passages(docs: DataFrame, window: int = 50, phrase: int = 8, id_col
         back = [None if i == _LAST else i for i in ids.tolist()]
         return pa.table({"doc_id": pa.array(back, pa.int64()), "n_words": pa.array(w.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "removed": pa.array(spans, span), "kept_text": pa.array(kept, pa.string())})
 
-    seen = texts.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(search, "part int, shard int, h binary, d binary, many binary")
-    firsts = seen.groupBy("part").applyInArrow(first, "shard int, h binary, first binary")
-    done = texts.groupBy("shard").cogroup(firsts.groupBy("shard")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, removed array<struct<start:int,n_words:int>>, kept_text string")
-    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), BREAKS), "")
-    whole = keyed.join(small.withColumnRenamed("doc_id", "_id"), "_id", "left_anti").select("doc_id", words.alias("w"))
-    whole = whole.select("doc_id", F.size("w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:int,n_words:int>>").alias("removed"), F.array_join("w", " ").alias("kept_text"))
-    return done.unionByName(whole)
+    # One plan: texts and windows are shuffled once each and read twice.
+    seen = texts.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(search, ASKED)
+    met = seen.groupBy("part", "meet").applyInArrow(together, ASKED).groupBy("part").applyInArrow(first, "part int, meet int, h binary, first binary")
+    answers = seen.groupBy("part", "meet").cogroup(met.groupBy("part", "meet")).applyInArrow(back, "shard int, phrase string, h binary, first binary")
+    told = phrases.select("shard", "phrase", F.lit(None).cast("binary").alias("h"), F.lit(None).cast("binary").alias("first")).unionByName(answers)
+    return texts.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, removed array<struct<start:int,n_words:int>>, kept_text string")

@@ -503,26 +503,59 @@ def test_components(spark):
 # 3
 
 
-def test_substring_dedup(spark, docs, rows, none):
-    from cahier.llm.substring_dedup import repeated_passages
-
+def brute_removed(rows):
+    last = lambda i: math.inf if i is None else i
     first, kept = {}, []
-    for i, t, *_ in sorted(rows, key=lambda r: r[0]):
+    for i, t, *_ in sorted(rows, key=lambda r: last(r[0])):
         w = words(t)
         for j in range(len(w) - 49):
-            first.setdefault(tuple(w[j : j + 50]), i)
+            first.setdefault(tuple(w[j : j + 50]), last(i))
     for i, t, *_ in rows:
         w, gone = words(t), set()
         for j in range(len(w) - 49):
-            if first[tuple(w[j : j + 50])] < i:
+            if first[tuple(w[j : j + 50])] < last(i):
                 gone |= set(range(j, j + 50))
         kept.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    return kept
+
+
+def test_substring_dedup(spark, docs, rows, none):
+    from cahier.llm.substring_dedup import repeated_passages
+
+    kept = brute_removed(rows)
     got = repeated_passages(docs)
     assert listed(got, "doc_id", "n_words", "n_removed", "kept_text") == sorted(kept, key=str) and any(x[2] for x in kept)
     assert all(sum(s["n_words"] for s in r["removed"]) == r["n_removed"] for r in got.collect())
     assert repeated_passages(none).count() == 0
 
 
+def test_only_the_automata_find_places(spark, docs, monkeypatch):
+    """Without phrases nothing is removed; with them every occurrence is located, chosen phrase of its window or not."""
+    import cahier.llm.substring_dedup as d
+    from cahier.llm.words import Words
+
+    raw = "a b  c a b c\né c a b c a".encode() + b"x a b"
+    off = np.array([0, raw.index(b"x a b"), len(raw)])
+    w = Words(np.frombuffer(raw, np.uint8), off)
+    assert np.flatnonzero(d._locate(raw, off, w, ["a b c", "c a b"], 3)).tolist() == [0, 2, 3, 7, 8]
+    monkeypatch.setattr(d, "_phrases", lambda texts, *a: texts.sparkSession.createDataFrame([], "shard int, phrase string"))
+    assert d.repeated_passages(docs).agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_substring_dedup_in_groups_of_shards(spark, monkeypatch):
+    """Windows that meet in groups of shards first, one passage in all documents, rows without ids and with one id."""
+    import cahier.llm.substring_dedup as d
+
+    from .conftest import text
+
+    passage = text(77, 60)
+    rows = [(i, text(100 + i, 5 + i % 30) + " " + passage + (" tail" if i % 3 else "")) for i in range(2, 90)] + [(None, passage + f" n{i}") for i in range(20)] + [(1, passage), (1, passage + " again")]
+    monkeypatch.setattr(d, "SHARD_BYTES", 500)
+    monkeypatch.setattr(d, "SHARD_GROUP", 7)
+    got = d.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert listed(got, "doc_id", "n_words", "n_removed", "kept_text") == sorted(brute_removed(rows), key=str)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=60), st.integers(3, 9))
 def test_anchors_are_in_every_window(tokens, window):
