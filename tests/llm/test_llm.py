@@ -63,13 +63,18 @@ def test_sharding(spark, docs, rows, none):
     assert kd_shards(none, 5).count() == 0
 
 
-def test_sharding_balances_hot_values(spark):
+def test_sharding_balances_hot_values(spark, monkeypatch):
+    import cahier.llm.sharding as sharding
     from cahier.llm.sharding import kd_shards
 
     hot = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same text")).otherwise(F.repeat(F.lit("ab"), (F.col("id") % 40).cast("int"))).alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 9).cast("string"))).alias("source"))
     sizes = [r["b"] for r in kd_shards(hot, 24).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
     assert len(sizes) == 24 and max(sizes) - min(sizes) <= 0.01 * sum(sizes) / 24 + 200
     assert kd_shards(hot, target_bytes=sum(sizes) // 7).agg(F.max("shard")).first()[0] == 7
+    # Many small leaves, tables of nodes joined by shuffle.
+    monkeypatch.setattr(sharding, "BROADCAST_ROWS", 0)
+    many = kd_shards(hot, target_bytes=20000).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.max("slot").alias("s")).collect()
+    assert len(many) == -(-sum(sizes) // 20000) and max(r["b"] for r in many) <= 20000 * 1.1 and all(r["s"] == r["n"] - 1 for r in many)
 
 
 # 9
