@@ -12,8 +12,9 @@
    lost to collisions. A traversal of pairs of nodes prunes by sizes and by the maximum possible overlap, and skips pairs
    whose sets are already connected; what is left is verified exactly. Most clusters are one chunk and are done.
 5. The sets of clusters with more chunks are dealt once more by another min-hash, which connects nearly all that is
-   alike. Where sets of different components still share a shingle of their shortest prefixes, they are compared by pairs
-   of chunks, in order of sizes, of those that share it.
+   alike. Where sets of different components are left, those outside the largest are compared with it and each other by
+   pairs of chunks, in order of sizes: of the whole cluster, or, where that would be more to ship, of those sets that
+   share a shingle of their shortest prefixes. Both ways are exact.
 6. Links (at most one fewer than a tree has sets) become components by alternating large-star and small-star.
 
 Shingles so frequent that their sets would burden one task are dealt to several, whose smallest sets meet once more.
@@ -393,6 +394,14 @@ def _bucket_pairs(rest: DataFrame, percent: int) -> DataFrame:
     return members.select("bucket", "chunk", "digest", "n", "label", "side")
 
 
+def _cheap(rest: DataFrame, percent: int) -> DataFrame:
+    """bucket: the clusters in which pairs of chunks of the whole cluster are less to ship than the sets' prefix shingles."""
+    room = F.greatest(F.lit(1.0 / CHUNK), F.col("n") / CHUNK_SHINGLES)
+    of = lambda other: F.ceil(F.sum(F.when(F.col("other") == other, room).otherwise(0.0)))
+    sizes = rest.groupBy("bucket").agg(of(0).alias("main"), of(1).alias("others"), F.sum("n").alias("words"))
+    return sizes.where((F.col("main") + F.col("others")) * F.col("others") * 2 * CHUNK <= F.col("words") * (101 - percent) / 100).select("bucket")
+
+
 def _classes(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """id, t (a hash of the text), n, digest of every row (a row without an id has NO_ID), and digest, component (the smallest
     digest that links reach) of the sets that have a link."""
@@ -435,14 +444,21 @@ def _classes(docs: DataFrame, percent: int, words: int, id_col: str, text_col: s
         again = _by_minhash(_labelled(large, label, label.count()), "m1")
         links = links.unionByName(cut_lineage(_links(again, made, percent)))
         label = components(links)
-        now = _labelled(large, label, label.count())
-        open_ = now.groupBy("cluster").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("cluster")
-        chosen, total_open = rows_of(cut_lineage(large.join(open_, "cluster", "left_semi")))
-        shared = _meet(chosen, words, percent, levels, bits, usual, total_open, "rows")
-        rest = cut_lineage(_mixed(_labelled(shared, label, label.count())))
-        whole = rest.where("chunks = 1").select("bucket", F.lit(0).cast("long").alias("chunk"), "digest", "n", "label", F.lit(0).alias("side"))
-        pairs = cut_lineage(whole.unionByName(_bucket_pairs(rest.where("chunks > 1"), percent)))
-        label = components(links.unionByName(_links(pairs, made, percent)))
+        now = _labelled(large, label, label.count()).select(F.col("cluster").alias("bucket"), "digest", "n", "label")
+        rest = cut_lineage(_mixed(now))
+        cheap = cut_lineage(_cheap(rest, percent))
+        count = cheap.count()
+        pairs = cut_lineage(_bucket_pairs(rest.join(_small(cheap, count), "bucket", "left_semi"), percent))
+        links = links.unionByName(cut_lineage(_links(pairs, made, percent)))
+        dear = rest.join(_small(cheap, count), "bucket", "left_anti").select("digest")
+        chosen, total_open = rows_of(cut_lineage(large.join(dear, "digest", "left_semi")))
+        if total_open:
+            shared = _meet(chosen, words, percent, levels, bits, usual, total_open, "rows")
+            rest = cut_lineage(_mixed(_labelled(shared, label, label.count())))
+            whole = rest.where("chunks = 1").select("bucket", F.lit(0).cast("long").alias("chunk"), "digest", "n", "label", F.lit(0).alias("side"))
+            pairs = cut_lineage(whole.unionByName(_bucket_pairs(rest.where("chunks > 1"), percent)))
+            links = links.unionByName(_links(pairs, made, percent))
+        label = components(links)
     label = label.unionByName(label.select(F.col("component").alias("node"), "component").distinct())
     return summary, label.withColumnRenamed("node", "digest")
 

@@ -407,6 +407,7 @@ def test_near_duplicates(spark, docs, rows, none, path, monkeypatch):
     if path == "hot":  # all shingles of a set that two sets have are taken as frequent and dealt to several tasks
         monkeypatch.setattr(j, "_usual", lambda total, bits: 1.5)
         monkeypatch.setattr(j, "HOT_ENTRIES", 2)
+        monkeypatch.setattr(j, "_cheap", lambda rest, percent: rest.select("bucket").where("false"))
     base, more = words(text(5, 60)), []
     for k in range(25):  # a family around the threshold
         w = list(base)
