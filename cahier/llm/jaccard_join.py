@@ -44,6 +44,8 @@ TASK_BYTES = 16 << 20
 FAN_OUT = 8
 #: Tables of ids up to this many rows are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Edges of a task when components are found.
+TASK_EDGES = 200_000
 SKETCH_BLOCKS = 64
 #: Stands for a row without an id: it comes last.
 NO_ID = (1 << 63) - 1
@@ -323,18 +325,20 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = cut_lineage(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before, n = None, e.count()
+    tasks = 1 + n // TASK_EDGES  # few edges need few tasks, whatever the number of shuffle partitions
+    e = e.coalesce(tasks)
 
     def least(rows: DataFrame, m: Column) -> DataFrame:
-        found = rows.groupBy("u").agg(m.alias("m"))
+        found = rows.groupBy("u").agg(m.alias("m")).coalesce(tasks)
         return F.broadcast(found) if 2 * n <= BROADCAST_IDS else cut_lineage(found)
 
     while n:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.where("v > u").join(least(both, F.least(F.first("u"), F.min("v"))), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least(both, F.least(F.first("u"), F.min("v"))), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks)
         large = large if 2 * n <= BROADCAST_IDS else cut_lineage(large)
         lowest = least(large, F.min("v"))
         small = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
-        e = cut_lineage(small.distinct())
+        e = cut_lineage(small.distinct().coalesce(tasks))
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before:
             break
