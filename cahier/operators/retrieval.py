@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cahier.functions.text import tokens
 from cahier.operators.seams import token_counts
 
 TOP_K = 5
@@ -28,6 +29,30 @@ def rank_topk(scored: DataFrame, k: int = TOP_K, keys: tuple[str, ...] = ("doc_i
     return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
+def query_vectors(catalog: DataFrame) -> DataFrame:
+    """question, token, qtf, qnorm2: the sparse vectors of the retrieval texts and their squared norms."""
+    asked = token_counts(catalog, ["question"], "query").withColumn("norm2", F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy("question")))
+    return asked.select("question", "token", F.col("tf").alias("qtf"), F.col("norm2").alias("qnorm2"))
+
+
+def response_scores(rows: DataFrame, catalog: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` (keys, question, response) with score: cosine of the term frequencies of the question's retrieval text and
+    the response; null if one has no token.
+
+    Only the responses are taken apart; the questions' vectors meet them by broadcast below a checked size, so that sums
+    are made before the one exchange by the rows' keys.
+    """
+    asked = query_vectors(catalog)
+    norms = asked.groupBy("question").agg(F.first("qnorm2").alias("_xx"))
+    broadcast = F.broadcast if asked.count() <= BROADCAST_ROWS else lambda df: df
+    words = rows.select(*keys, F.explode(tokens("response")).alias("token"))
+    dots = words.join(broadcast(asked.select("question", "token", "qtf")), ["question", "token"]).groupBy(*keys).agg(F.sum("qtf").alias("_dot"))
+    # The sum of squared frequencies; the array around the tokens binds them once.
+    same = F.transform(F.array(tokens("response")), lambda own: F.aggregate(own, F.lit(0).cast("long"), lambda n, t: n + F.size(F.filter(own, lambda u: u == t))))[0]
+    scored = rows.withColumn("_yy", F.nullif(same, F.lit(0).cast("long"))).join(broadcast(norms), "question", "left").join(dots, keys, "left")
+    return scored.withColumn("score", score_of("_dot", "_xx", "_yy")).drop("_dot", "_xx", "_yy")
+
+
 def sparse_scores(summaries: DataFrame, catalog: DataFrame, text: str = "summary") -> DataFrame:
     """doc_id, chunk_id, question, score: cosine of term frequencies, for every pair (0 where no token is shared).
 
@@ -35,8 +60,7 @@ def sparse_scores(summaries: DataFrame, catalog: DataFrame, text: str = "summary
     partial before the one exchange by (chunk, question).
     """
     own = token_counts(summaries, ["doc_id", "chunk_id"], text)
-    asked = token_counts(catalog, ["question"], "query").withColumn("norm2", F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy("question")))
-    asked = asked.select("question", "token", F.col("tf").alias("qtf"), F.col("norm2").alias("qnorm2"))
+    asked = query_vectors(catalog)
     norms = own.groupBy("doc_id", "chunk_id").agg(F.sum(F.col("tf") * F.col("tf")).alias("norm2"))
     side = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
     dots = own.join(side, "token").groupBy("doc_id", "chunk_id", "question").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"), F.first("qnorm2").alias("qnorm2"))

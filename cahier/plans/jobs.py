@@ -11,7 +11,7 @@ from cahier.functions.text import clean_pages
 from cahier.operators import answers as a
 from cahier.operators import projects as p
 from cahier.operators.chunks import MAX_CHARS, chunk_pages
-from cahier.operators.retrieval import TOP_K, doc_query_pairs, text_cosine, topk_chunks
+from cahier.operators.retrieval import TOP_K, doc_query_pairs, response_scores, topk_chunks
 from cahier.operators.seams import FAILED, Generator, extract_answer, extract_summary, generate
 from cahier.operators.summaries import global_text, summary_prompt, summary_rows, usable_summary
 from cahier.session import cut_lineage
@@ -38,7 +38,7 @@ def answer_catalog(pages: DataFrame, summaries: DataFrame, catalog: DataFrame, g
     else:
         made = generate(hits.withColumn("_p", a.qa_prompt(F.col("summary"), F.col("query"))), "_p", generator, "response")
     made = cut_lineage(a.abstain_filter(made, abstain))
-    scored = made.join(text_cosine(made, [*keys, "rank"], "query", "response"), [*keys, "rank"])
+    scored = response_scores(made, catalog, [*keys, "rank"])
     return a.nest_results(pairs, a.with_raw_page(a.score_guard(scored), pages))
 
 

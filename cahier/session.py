@@ -32,10 +32,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder in ``spark.checkpoint.dir``; only where it is unset, a temporary one (local runs)."""
+    """Use the shared folder in ``spark.checkpoint.dir``; where it is unset, a temporary one in local runs only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is unset; a cluster needs a folder there that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cahier-checkpoint-"))
 
 
