@@ -24,9 +24,10 @@ def no_feedback(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.lit("no_feedback_file").alias("status"), F.lit(0).cast("bigint").alias("count"))
 
 
-def training_pairs(feedback: DataFrame, valid_only: bool = False) -> DataFrame:
+def training_pairs(feedback: DataFrame, valid_only: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """texts, label, and the columns named in ``keep``: one row per line of feedback."""
     rows = feedback.where(in_domain()) if valid_only else feedback
-    return rows.select(F.array("question", "response").alias("texts"), F.col("score").alias("label"))
+    return rows.select(*keep, F.array("question", "response").alias("texts"), F.col("score").alias("label"))
 
 
 def shuffle_key(*cols: str, seed: int = 0) -> Column:

@@ -98,6 +98,16 @@ def project_history(queries: DataFrame, answers: DataFrame) -> DataFrame:
     return joined.select("project_id", "question", "best_answer", F.coalesce("alternatives", F.array().cast(lists.schema["alternatives"].dataType)).alias("alternatives"))
 
 
+def history_of(requests: DataFrame, projects: DataFrame, queries: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(histories of the requested projects (project_id), the requests for unknown ones with an error). Only the
+    questions and answers of requested projects are read."""
+    ids = projects.select(F.col("id").alias("project_id"))
+    known = requests.select("project_id").distinct().join(ids, "project_id", "left_semi")
+    unknown = requests.join(ids, "project_id", "left_anti").withColumn("error", F.lit("unknown project"))
+    asked = queries.join(known, "project_id", "left_semi")
+    return project_history(asked, answers.join(asked.select(F.col("id").alias("query_id")), "query_id", "left_semi")), unknown
+
+
 def drop_project(gone: DataFrame, projects: DataFrame, queries: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three tables without the projects in ``gone`` (id), their questions and the answers to these."""
     ids = gone.select(F.col("id").alias("_id"))

@@ -6,16 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cahier.functions.text import tokens
-from cahier.operators.seams import token_counts
+from cahier.functions.vectors import cosine, dense_topk
+from cahier.operators.seams import Generator, encode, token_counts
 
 TOP_K = 5
 #: A catalogue with more token rows than this is joined by shuffle.
 BROADCAST_ROWS = 500_000
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """Broadcast up to BROADCAST_ROWS rows, left to Spark beyond."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def doc_query_pairs(docs: DataFrame, catalog: DataFrame) -> DataFrame:
     """Every question for every requested document: the stated questions, of which there are a few, on each row."""
-    return docs.select("doc_id").distinct().crossJoin(F.broadcast(catalog.select("question", "query")))
+    return docs.select("doc_id").distinct().crossJoin(bounded(catalog.select("question", "query")))
 
 
 def adhoc_pairs(requests: DataFrame) -> DataFrame:
@@ -77,12 +83,44 @@ def topk_chunks(summaries: DataFrame, catalog: DataFrame, k: int = TOP_K) -> Dat
     # Zero scores: only pairs with fewer hits than chunks (or k) need them, and only each document's first chunks can be among them.
     first = summaries.select("doc_id", "chunk_id").withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id"))).where(F.col("_r") <= 2 * k).drop("_r")
     have = ranked.groupBy("doc_id", "question").agg(F.count("*").alias("_have"))
-    pairs = first.groupBy("doc_id").agg(F.count("*").alias("_chunks")).crossJoin(F.broadcast(catalog.select("question")))
+    pairs = first.groupBy("doc_id").agg(F.count("*").alias("_chunks")).crossJoin(bounded(catalog.select("question")))
     short = pairs.join(have, ["doc_id", "question"], "left").where(F.coalesce("_have", F.lit(0)) < F.least("_chunks", F.lit(k))).select("doc_id", "question")
     zero = short.join(first, "doc_id").join(ranked.select("doc_id", "chunk_id", "question"), ["doc_id", "chunk_id", "question"], "left_anti").withColumn("score", F.lit(0.0))
     return rank_topk(ranked.drop("rank").unionByName(zero.select("doc_id", "chunk_id", "question", "score")), k)
 
 
+def dense_chunks(summaries: DataFrame, catalog: DataFrame, encoder: Generator, k: int = TOP_K) -> DataFrame:
+    """As ``topk_chunks`` by the cosine of an encoder's vectors. Each summary is encoded once, and only the k best per
+    Arrow batch, document and question leave the task."""
+    items = encode(summaries.select("doc_id", "chunk_id", "summary"), "summary", encoder, "_v")
+    asked = encode(catalog.select("question", "query"), "query", encoder, "_v")
+    return rank_topk(dense_topk(items, asked, k, "doc_id", "chunk_id", "question", "_v"), k)
+
+
+def dense_response_scores(rows: DataFrame, catalog: DataFrame, encoder: Generator) -> DataFrame:
+    """``rows`` with score: cosine of the encoder's vectors of the question's retrieval text and the response."""
+    asked = bounded(encode(catalog.select("question", "query"), "query", encoder, "_q").select("question", "_q"))
+    return encode(rows, "response", encoder, "_v").join(asked, "question").withColumn("score", cosine("_v", "_q")).drop("_v", "_q")
+
+
+def asked_topk(summaries: DataFrame, pairs: DataFrame, k: int = TOP_K, encoder: Generator | None = None) -> DataFrame:
+    """As ``topk_chunks`` for stated pairs (doc_id, question, query) alone: only their documents are read and scored."""
+    pairs = pairs.dropDuplicates(["doc_id", "question"])
+    own = summaries.select("doc_id", "chunk_id", "summary").join(pairs.select("doc_id"), "doc_id", "left_semi")
+    if encoder is not None:
+        asked = encode(pairs.select("doc_id", "question", "query"), "query", encoder, "_q").drop("query")
+        scored = encode(own, "summary", encoder, "_v").join(asked, "doc_id").withColumn("score", cosine("_v", "_q"))
+        return rank_topk(scored.select("doc_id", "question", "chunk_id", "score"), k)
+    keys = ["doc_id", "chunk_id", "question"]
+    norm2 = F.sum(F.col("tf") * F.col("tf"))
+    counts = token_counts(own, ["doc_id", "chunk_id"], "summary")
+    asked = token_counts(pairs, ["doc_id", "question"], "query")
+    dots = counts.join(asked.withColumnRenamed("tf", "qtf"), ["doc_id", "token"]).groupBy(*keys).agg(F.sum(F.col("tf") * F.col("qtf")).alias("_dot"))
+    scored = own.select("doc_id", "chunk_id").join(pairs.select("doc_id", "question"), "doc_id").join(dots, keys, "left")
+    scored = scored.join(counts.groupBy("doc_id", "chunk_id").agg(norm2.alias("_yy")), ["doc_id", "chunk_id"], "left").join(asked.groupBy("doc_id", "question").agg(norm2.alias("_xx")), ["doc_id", "question"], "left")
+    return rank_topk(scored.select(*keys, F.coalesce(score_of("_dot", "_xx", "_yy"), F.lit(0.0)).alias("score")), k)
+
+
 def hit_rows(hits: DataFrame, summaries: DataFrame) -> DataFrame:
     """Hits with the columns of their summaries."""
     return hits.join(summaries, ["doc_id", "chunk_id"])

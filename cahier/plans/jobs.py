@@ -1,20 +1,46 @@
-"""The three workloads: ingest a corpus, answer a catalogue, save and read back."""
+"""The workloads: index files, ingest a corpus, answer a catalogue or single requests, save and read back."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cahier.functions.text import clean_pages
 from cahier.operators import answers as a
 from cahier.operators import projects as p
 from cahier.operators.chunks import MAX_CHARS, chunk_pages
-from cahier.operators.retrieval import TOP_K, doc_query_pairs, response_scores, topk_chunks
-from cahier.operators.seams import FAILED, Generator, extract_answer, extract_summary, generate
+from cahier.operators.ingest import dup_docs, new_docs, require_doc
+from cahier.operators.retrieval import TOP_K, adhoc_pairs, asked_topk, bounded, dense_chunks, dense_response_scores, doc_query_pairs, response_scores, topk_chunks
+from cahier.operators.seams import FAILED, Generator, extract, extract_answer, extract_summary, generate
 from cahier.operators.summaries import global_text, summary_prompt, summary_rows, usable_summary
 from cahier.session import cut_lineage
+from cahier.sources.files import classify, decode_text, extract_guard, keep_original
+
+
+def index_files(raw: DataFrame, index: DataFrame, extractor: Callable[[str, bytes], list[dict]] | None = None, generator: Generator | None = None, originals: str | None = None, max_chars: int = MAX_CHARS) -> tuple[DataFrame, DataFrame]:
+    """raw files (doc_id, doc_name, content) -> (the index of the new ones, the rejected: doc_id, doc_name, error).
+
+    Files of documents in ``index`` are rejected, and of several files with one id all but the first by name. Text is
+    decoded, everything else is the extractor's; a file that cannot be read becomes a page that says so. The bytes of
+    the new files are kept below ``originals``.
+    """
+    fresh = new_docs(raw, index, arrival="doc_name")
+    names = raw.select("doc_id", "doc_name")
+    later = new_docs(names, index).withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_name"))).where("_n > 1").drop("_n")
+    rejected = dup_docs(names, index).unionByName(later.withColumn("error", F.lit("document given twice")))
+    if originals is not None:
+        keep_original(fresh, originals)
+    kinds = classify(fresh)
+    other = kinds.where("kind <> 'text'")
+    if extractor is None:
+        read = other.select("doc_id", "doc_name", F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("string").alias("text"), F.concat(F.lit("no extractor for "), "kind").alias("error"))
+    else:
+        read = extract(other, extractor)
+    pages = extract_guard(decode_text(kinds.where("kind = 'text'"), divert=True).unionByName(read))
+    return ingest(pages, generator, max_chars), rejected
 
 
 def ingest(pages: DataFrame, generator: Generator | None = None, max_chars: int = MAX_CHARS) -> DataFrame:
@@ -28,17 +54,32 @@ def ingest(pages: DataFrame, generator: Generator | None = None, max_chars: int
     return summary_rows(usable_summary(rows))
 
 
-def answer_catalog(pages: DataFrame, summaries: DataFrame, catalog: DataFrame, generator: Generator | None = None, k: int = TOP_K, abstain: str = "substring") -> DataFrame:
-    """doc_id, question, best_answer, alternatives for every indexed document and every question."""
-    keys = ["doc_id", "question"]
+def answer_catalog(pages: DataFrame, summaries: DataFrame, catalog: DataFrame, generator: Generator | None = None, k: int = TOP_K, abstain: str = "substring", encoder: Generator | None = None) -> DataFrame:
+    """doc_id, question, best_answer, alternatives for every indexed document and every question. Chunks are ranked and
+    answers scored by the encoder's vectors, or by term frequencies without one."""
     pairs = doc_query_pairs(summaries, catalog)
-    hits = topk_chunks(summaries, catalog, k).drop("score").join(summaries, ["doc_id", "chunk_id"]).join(F.broadcast(catalog.select("question", "query")), "question")
+    hits = topk_chunks(summaries, catalog, k) if encoder is None else dense_chunks(summaries, catalog, encoder, k)
+    return _answers(pairs, hits, pages, summaries, catalog, generator, abstain, encoder)
+
+
+def answer_requests(requests: DataFrame, pages: DataFrame, summaries: DataFrame, generator: Generator | None = None, k: int = TOP_K, abstain: str = "substring", encoder: Generator | None = None) -> tuple[DataFrame, DataFrame]:
+    """(results as of ``answer_catalog``, the rejected with an error) for single questions on single documents
+    (doc_id, question): a question is its own retrieval text, and only the documents asked about are worked on."""
+    known, unknown = require_doc(requests.select("doc_id", "question").distinct(), summaries)
+    pairs = cut_lineage(adhoc_pairs(known))
+    hits = asked_topk(summaries, pairs, k, encoder)
+    return _answers(pairs, hits, pages, summaries, pairs.select("question", "query").distinct(), generator, abstain, encoder), unknown
+
+
+def _answers(pairs: DataFrame, hits: DataFrame, pages: DataFrame, summaries: DataFrame, catalog: DataFrame, generator: Generator | None, abstain: str, encoder: Generator | None) -> DataFrame:
+    keys = ["doc_id", "question"]
+    hits = hits.drop("score").join(summaries, ["doc_id", "chunk_id"]).join(bounded(catalog.select("question", "query")), "question")
     if generator is None:
         made = extract_answer(hits, keys)
     else:
         made = generate(hits.withColumn("_p", a.qa_prompt(F.col("summary"), F.col("query"))), "_p", generator, "response")
     made = cut_lineage(a.abstain_filter(made, abstain))
-    scored = response_scores(made, catalog, [*keys, "rank"])
+    scored = response_scores(made, catalog, [*keys, "rank"]) if encoder is None else dense_response_scores(made, catalog, encoder)
     return a.nest_results(pairs, a.with_raw_page(a.score_guard(scored), pages))
 
 
@@ -50,17 +91,18 @@ class Saved:
     rejected: DataFrame
 
 
-def save(records: DataFrame, projects: DataFrame, summaries: DataFrame, first_query: int = 0, first_answer: int = 0, strict: bool = False) -> Saved:
+def save(records: DataFrame, projects: DataFrame, summaries: DataFrame, first_query: int = 0, first_answer: int = 0, strict: bool = False, generator: Generator | None = None) -> Saved:
     """Rows to append to the three tables. ``records``: doc_id, name, uploaded_at, results (JSON).
 
     Incomplete and malformed records are rejected with an error; of a project that exists nothing is saved. The
-    project's summary is the summary of all its chunks' summaries, null without any.
+    project's summary is the summary of all its chunks' summaries, the generator's if one is given; null without any.
     """
     checked = p.parse_results(p.required_fields(records, "doc_id", "name", "results"))
     checked = cut_lineage(checked.withColumn("error", F.when(F.col("error").isNull() & F.col("malformed"), "malformed results").otherwise(F.col("error"))))
     fresh = p.save_project(checked.where("error is null").withColumn("id", F.col("doc_id")), projects)
     text = global_text(summaries).select("doc_id", "text").withColumn("chunk_id", F.lit(0))
-    condensed = extract_summary(text).select(F.col("doc_id").alias("id"), "summary")
+    made = extract_summary(text) if generator is None else generate(text.withColumn("_p", summary_prompt("text")), "_p", generator, "summary", FAILED)
+    condensed = made.select(F.col("doc_id").alias("id"), "summary")
     rows = fresh.join(condensed, "id", "left").select("id", "name", "uploaded_at", "summary", F.lit(None).cast("string").alias("csv"))
     queries = cut_lineage(p.surrogate_ids(p.flatten_queries(fresh), "project_id", ["query_ord"], first_query))
     answers = p.surrogate_ids(p.flatten_answers(queries, strict), "query_id", ["pos"], first_answer)

@@ -146,6 +146,17 @@ def project_history(spark, sf_dir):
     return history.select("project_id", "question", "best_answer", F.size("alternatives").cast("bigint").alias("n_answers"), total.alias("total"), listed.alias("listed"))
 
 
+@query(f"""WITH {SQL_TABLES}, rq AS (SELECT DISTINCT user_id::VARCHAR AS project_id FROM events)
+SELECT project_id, question, count(an.id) AS n_answers, NULL AS error FROM rq JOIN lq USING (project_id) LEFT JOIN an ON an.query_id = lq.id GROUP BY project_id, question
+UNION ALL SELECT project_id, NULL, NULL, 'unknown project' FROM rq WHERE project_id NOT IN (SELECT id FROM pr)""")
+def history_of(spark, sf_dir):
+    """The users of events as requested projects, most of which are unknown."""
+    asked = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("project_id")).distinct()
+    found, unknown = p.history_of(asked, projects(spark, sf_dir), queries(spark, sf_dir), answers(spark, sf_dir))
+    shown = found.select("project_id", "question", F.size("alternatives").cast("bigint").alias("n_answers"), F.lit(None).cast("string").alias("error"))
+    return shown.unionByName(unknown, allowMissingColumns=True)
+
+
 @query(f"""WITH {SQL_TABLES}, gone AS (SELECT id FROM pr WHERE id::INT % 4 = 0), ql AS (SELECT * FROM qu WHERE project_id NOT IN (SELECT id FROM gone))
 SELECT 'projects' AS tab, count(*) AS n FROM pr WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'queries', count(*) FROM ql
 UNION ALL SELECT 'answers', count(*) FROM an WHERE query_id NOT IN (SELECT id FROM qu WHERE project_id IN (SELECT id FROM gone))""")
@@ -205,9 +216,8 @@ def feedback_gate(spark, sf_dir):
 
 @query("SELECT doc_id, source AS question, text AS response, quality::DOUBLE AS label FROM labels JOIN documents USING (doc_id)")
 def training_pairs(spark, sf_dir):
-    rows = feedback(spark, sf_dir)
-    pairs = fb.training_pairs(rows)
-    return rows.select("doc_id", "question", F.col("response").alias("r")).join(pairs.select(F.col("texts")[0].alias("q"), F.col("texts")[1].alias("response"), "label"), (F.col("q") == F.col("question")) & (F.col("r") == F.col("response"))).select("doc_id", "question", "response", "label").distinct()
+    pairs = fb.training_pairs(feedback(spark, sf_dir), keep=("doc_id",))
+    return pairs.select("doc_id", F.col("texts")[0].alias("question"), F.col("texts")[1].alias("response"), "label")
 
 
 @query("""WITH k AS (SELECT doc_id, ('0x' || substr(md5('0|' || doc_id), 1, 15))::BIGINT AS k FROM labels JOIN documents USING (doc_id)),

@@ -445,12 +445,11 @@ def topk_dense(spark, sf_dir):
     return retrieval.rank_topk(best, 5, ("doc_id", "query_id"), "vec_id").select("doc_id", "query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(f"{sql_chunks(SQL_PAGES)}, {SQL_SUMMARY} SELECT doc_id, least(5, count(*))::BIGINT AS k FROM ix GROUP BY doc_id")
+@query(f"{sql_chunks(SQL_PAGES)}, {SQL_SUMMARY} SELECT doc_id, 'q' || item_id AS question, least(5, count(*))::BIGINT AS k FROM ix CROSS JOIN benchmark GROUP BY doc_id, item_id")
 def clamp_k(spark, sf_dir):
-    """How many hits a question gets: five, or as many as there are summaries."""
-    summaries_ = cut_lineage(index(spark, sf_dir))
-    one = questions(spark, sf_dir).orderBy("question").limit(1)
-    return retrieval.topk_chunks(summaries_, one).groupBy("doc_id").agg(F.count("*").alias("k"))
+    """How many hits each question gets: five, or as many as there are summaries."""
+    hits = retrieval.topk_chunks(cut_lineage(index(spark, sf_dir)), questions(spark, sf_dir))
+    return hits.groupBy("doc_id", "question").agg(F.count("*").alias("k"))
 
 
 @query(f"{sql_chunks(SQL_CONV)}, {SQL_SUMMARY}, {SQL_TOPK} SELECT doc_id, question, chunk_id, rank::INT AS rank, round(score, 6) AS score, page_number, summary FROM tk JOIN ix USING (doc_id, chunk_id)")
@@ -472,7 +471,7 @@ def qa_prompt(spark, sf_dir):
 def answer(spark, sf_dir):
     summaries_ = cut_lineage(index(spark, sf_dir, conv_pages))
     asked = questions(spark, sf_dir)
-    hits = retrieval.topk_chunks(summaries_, asked).join(summaries_, ["doc_id", "chunk_id"]).join(F.broadcast(asked), "question")
+    hits = retrieval.topk_chunks(summaries_, asked).join(summaries_, ["doc_id", "chunk_id"]).join(retrieval.bounded(asked), "question")
     return seams.extract_answer(hits, ["doc_id", "question", "rank"]).select("doc_id", "question", "rank", "response")
 
 
@@ -582,3 +581,82 @@ def catalogue_answers(spark, sf_dir):
     pages = doc_pages(spark, sf_dir)
     results = jobs.answer_catalog(pages, cut_lineage(jobs.ingest(pages)), questions(spark, sf_dir))
     return results.select("doc_id", "question", "best_answer", F.size("alternatives").alias("n_alternatives"))
+
+
+SQL_ASKED = f"""{sql_chunks(SQL_CONV)}, {SQL_SUMMARY},
+rq AS (SELECT DISTINCT conv_id AS doc_id, text AS question FROM conversations WHERE role = 'user' AND conv_id IN (SELECT doc_id FROM ix)),
+rt AS (SELECT doc_id, question, token, count(*) AS qtf FROM (SELECT doc_id, question, unnest({sql_tokens('question')}) AS token FROM rq) GROUP BY ALL),
+rn AS (SELECT doc_id, question, sum(qtf * qtf) AS q2 FROM rt GROUP BY ALL),
+st AS (SELECT doc_id, chunk_id, token, count(*) AS tf FROM (SELECT doc_id, chunk_id, unnest({sql_tokens('summary')}) AS token FROM ix) GROUP BY ALL),
+sn AS (SELECT doc_id, chunk_id, sum(tf * tf) AS c2 FROM st GROUP BY ALL),
+dt AS (SELECT doc_id, chunk_id, question, sum(tf * qtf) AS dot FROM st JOIN rt USING (doc_id, token) GROUP BY ALL),
+sc AS (SELECT doc_id, chunk_id, question, summary, coalesce(dot / (sqrt(c2::DOUBLE) * sqrt(q2::DOUBLE)), 0) AS score
+       FROM ix JOIN rq USING (doc_id) LEFT JOIN dt USING (doc_id, chunk_id, question) LEFT JOIN sn USING (doc_id, chunk_id) LEFT JOIN rn USING (doc_id, question)),
+tk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, question ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 5),
+hs AS (SELECT doc_id, question, rank, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, question, rank, {sql_sentences('summary')} AS x FROM tk)),
+hn AS (SELECT *, len(list_intersect(list_distinct({sql_tokens('s')}), list_distinct({sql_tokens('question')}))) AS n FROM hs),
+an AS (SELECT doc_id, question, rank, CASE WHEN max(n) > 0 THEN arg_max(s, (n, -i)) ELSE 'RAS' END AS response FROM hn GROUP BY ALL),
+ok AS (SELECT * FROM an WHERE response <> '' AND NOT contains(lower(response), 'ras')), {sql_cosine('ok', 'question', 'response', 'doc_id, question, rank')},
+ba AS (SELECT doc_id, question, arg_max(response, (score, -rank)) AS best, count(*) AS n FROM ok JOIN co USING (doc_id, question, rank) WHERE score IS NOT NULL GROUP BY ALL)"""
+
+
+@query(f"""{SQL_ASKED} SELECT doc_id, md5(question) AS request, coalesce(best, 'Non trouvé') AS best_answer, coalesce(n, 0)::INT AS n_alternatives, NULL AS error FROM rq LEFT JOIN ba USING (doc_id, question)
+UNION ALL SELECT DISTINCT -conv_id - 1, md5(text), NULL, NULL::INT, 'unknown document' FROM conversations WHERE role = 'user'""")
+def adhoc_answer(spark, sf_dir):
+    """Every user turn as a question on its own conversation, and on one that is unknown."""
+    pages = conv_pages(spark, sf_dir)
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("doc_id"), F.col("text").alias("question"))
+    asked = turns.unionByName(turns.withColumn("doc_id", -F.col("doc_id") - 1))
+    results, unknown = jobs.answer_requests(asked, pages, cut_lineage(jobs.ingest(pages)))
+    shown = results.select("doc_id", F.md5("question").alias("request"), "best_answer", F.size("alternatives").alias("n_alternatives"), F.lit(None).cast("string").alias("error"))
+    return shown.unionByName(unknown.select("doc_id", F.md5("question").alias("request"), "error"), allowMissingColumns=True)
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_vectors(batches):
+    """A stand-in for a sentence encoder that SQL knows as well: how often each letter occurs."""
+    for texts in batches:
+        yield texts.fillna("").map(lambda s: [float(s.count(x)) for x in LETTERS])
+
+
+def sql_letters(x: str) -> str:
+    return f"[{', '.join(f'length({x}) - length(replace({x}, {c!r}, {chr(39) * 2}))' for c in LETTERS)}]::DOUBLE[]"
+
+
+def sql_letter_cosine(x: str, y: str) -> str:
+    return f"coalesce(list_dot_product({x}, {y}) / (greatest(sqrt(list_dot_product({x}, {x})), 1e-12) * greatest(sqrt(list_dot_product({y}, {y})), 1e-12)), 0)"
+
+
+SQL_DENSE = f"""{sql_chunks(SQL_CONV)}, {SQL_SUMMARY},
+cq AS (SELECT 'q' || item_id AS question, text AS query, {sql_letters('text')} AS qv FROM benchmark),
+iv AS (SELECT doc_id, chunk_id, {sql_letters('summary')} AS v FROM ix),
+sc AS (SELECT doc_id, chunk_id, question, {sql_letter_cosine('v', 'qv')} AS score FROM iv CROSS JOIN cq),
+tk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, question ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 5), {SQL_ANSWERS},
+sa AS (SELECT ok.*, {sql_letter_cosine(sql_letters('response'), 'qv')} AS score FROM ok JOIN cq USING (question)),
+nb AS (SELECT doc_id, question, round(max(score), 6) AS best_score, count(*) AS n FROM sa GROUP BY ALL)"""
+
+
+@query(f"{SQL_DENSE} SELECT doc_id, question, best_score, coalesce(n, 0)::INT AS n_alternatives FROM (SELECT DISTINCT doc_id FROM ix) CROSS JOIN cq LEFT JOIN nb USING (doc_id, question)")
+def dense_answers(spark, sf_dir):
+    """The whole catalogue over the conversations, ranked and scored by an encoder's vectors."""
+    pages, asked = conv_pages(spark, sf_dir), questions(spark, sf_dir)
+    results = jobs.answer_catalog(pages, cut_lineage(jobs.ingest(pages)), asked, encoder=letter_vectors)
+    best = results.select("doc_id", "question", F.col("best_answer").alias("response"), F.size("alternatives").alias("n_alternatives"))
+    scored = retrieval.dense_response_scores(best, asked, letter_vectors)
+    return scored.select("doc_id", "question", F.when(F.col("n_alternatives") > 0, F.round("score", 6)).alias("best_score"), "n_alternatives")
+
+
+def one_page(name: str, content: bytes):
+    """A stand-in for a parser of files."""
+    return [{"page_number": 1, "text": content.decode()}]
+
+
+@query(f"""{sql_chunks(SQL_PAGES)}, {SQL_SUMMARY} SELECT doc_id, count(*) AS segments, NULL AS error FROM ix WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY doc_id
+UNION ALL SELECT doc_id, NULL, 'document already indexed' FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)""")
+def index_files(spark, sf_dir):
+    """All documents as files of seven types, indexed but for those that are indexed already."""
+    raw = doc_pages(spark, sf_dir).select("doc_id", "doc_name", F.encode("text", "UTF-8").alias("content"))
+    made, rejected = jobs.index_files(raw, table(spark, sf_dir, "labels").select("doc_id"), one_page)
+    return c.segment_count(made).withColumn("error", F.lit(None).cast("string")).unionByName(rejected.select("doc_id", "error"), allowMissingColumns=True)
