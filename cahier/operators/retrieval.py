@@ -41,22 +41,25 @@ def query_vectors(catalog: DataFrame) -> DataFrame:
     return asked.select("question", "token", F.col("tf").alias("qtf"), F.col("norm2").alias("qnorm2"))
 
 
-def response_scores(rows: DataFrame, catalog: DataFrame, keys: list[str]) -> DataFrame:
+def response_scores(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """``rows`` (keys, question, response) with score: cosine of the term frequencies of the question's retrieval text and
     the response; null if one has no token.
 
-    Only the responses are taken apart; the questions' vectors meet them by broadcast below a checked size, so that sums
-    are made before the one exchange by the rows' keys.
+    Each row is worked on by itself: the questions' vectors meet the rows as maps, broadcast below a checked size, and
+    a response's own frequencies are the lengths of the runs of its sorted tokens.
     """
-    asked = query_vectors(catalog)
-    norms = asked.groupBy("question").agg(F.first("qnorm2").alias("_xx"))
-    broadcast = F.broadcast if asked.count() <= BROADCAST_ROWS else lambda df: df
-    words = rows.select(*keys, F.explode(tokens("response")).alias("token"))
-    dots = words.join(broadcast(asked.select("question", "token", "qtf")), ["question", "token"]).groupBy(*keys).agg(F.sum("qtf").alias("_dot"))
-    # The sum of squared frequencies; the array around the tokens binds them once.
-    same = F.transform(F.array(tokens("response")), lambda own: F.aggregate(own, F.lit(0).cast("long"), lambda n, t: n + F.size(F.filter(own, lambda u: u == t))))[0]
-    scored = rows.withColumn("_yy", F.nullif(same, F.lit(0).cast("long"))).join(broadcast(norms), "question", "left").join(dots, keys, "left")
-    return scored.withColumn("score", score_of("_dot", "_xx", "_yy")).drop("_dot", "_xx", "_yy")
+    tf = F.map_from_entries(F.collect_list(F.struct("token", "qtf"))).alias("_tf")
+    asked = bounded(query_vectors(catalog).groupBy("question").agg(tf, F.first("qnorm2").alias("_xx")))
+    zero = F.lit(0).cast("long")
+
+    def run(at: Column, token: Column) -> Column:
+        n = F.when(at["token"] == token, at["n"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(token.alias("token"), n.alias("n"), (at["yy"] + 2 * n - 1).alias("yy"), (at["dot"] + F.coalesce(F.col("_tf")[token], zero)).alias("dot"))
+
+    begin = F.struct(F.lit("").alias("token"), zero.alias("n"), zero.alias("yy"), zero.alias("dot"))
+    scored = rows.join(asked, "question", "left").withColumn("_sum", F.aggregate(F.array_sort(tokens("response")), begin, run))
+    scored = scored.withColumn("_dot", F.col("_sum.dot")).withColumn("_yy", F.nullif("_sum.yy", zero))
+    return scored.withColumn("score", score_of("_dot", "_xx", "_yy")).drop("_tf", "_xx", "_sum", "_dot", "_yy")
 
 
 def sparse_scores(summaries: DataFrame, catalog: DataFrame, text: str = "summary") -> DataFrame:

@@ -73,10 +73,20 @@ def extract_summary(chunks: DataFrame, keep: int = 3, keys: tuple[str, ...] = ("
     return ranked.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", "sentence")))["sentence"], " ").alias("summary"))
 
 
-def extract_answer(hits: DataFrame, keys: list[str], query: str = "query", summary: str = "summary") -> DataFrame:
-    """hits + response: the summary's sentence that shares most different tokens with the question, the first on a
-    tie; ABSTAIN when none shares any. Each row is worked on by itself."""
-    asked = F.array_distinct(tokens(query))
-    scored = F.transform(sentences(summary), lambda s, i: F.struct(F.size(F.array_intersect(F.array_distinct(tokens(s)), asked)).alias("n"), (-i).alias("i"), s.alias("s")))
-    best = F.array_max(scored)
-    return hits.withColumn("response", F.when(best["n"] > 0, best["s"]).otherwise(F.lit(ABSTAIN)))
+def with_sentences(rows: DataFrame, summary: str = "summary") -> DataFrame:
+    """rows + _sentences: the summary's sentences with their different tokens, taken apart once per summary."""
+    return rows.withColumn("_sentences", F.transform(sentences(summary), lambda s: F.struct(s.alias("s"), F.array_distinct(tokens(s)).alias("t"))))
+
+
+def with_asked(rows: DataFrame, query: str = "query") -> DataFrame:
+    """rows + _asked: the different tokens of the question's retrieval text, taken apart once per question."""
+    return rows.withColumn("_asked", F.array_distinct(tokens(query)))
+
+
+def extract_answer(hits: DataFrame) -> DataFrame:
+    """hits (with ``_sentences`` and ``_asked``) + response: the summary's sentence that shares most different tokens with
+    the question, the first on a tie; ABSTAIN when none shares any. Each row is worked on by itself."""
+    scored = F.transform("_sentences", lambda x, i: F.struct(F.size(F.array_intersect(x["t"], F.col("_asked"))).alias("n"), (-i).alias("i")))
+    best = hits.withColumn("_best", F.array_max(scored))
+    found = F.get("_sentences", -F.col("_best.i"))["s"]
+    return best.withColumn("response", F.when(F.col("_best.n") > 0, found).otherwise(F.lit(ABSTAIN))).drop("_best", "_sentences", "_asked")

@@ -14,7 +14,7 @@ from cahier.operators import projects as p
 from cahier.operators.chunks import MAX_CHARS, chunk_pages
 from cahier.operators.ingest import dup_docs, new_docs, require_doc
 from cahier.operators.retrieval import TOP_K, adhoc_pairs, asked_topk, bounded, dense_chunks, dense_response_scores, doc_query_pairs, response_scores, topk_chunks
-from cahier.operators.seams import FAILED, Generator, extract, extract_answer, extract_summary, generate
+from cahier.operators.seams import FAILED, Generator, extract, extract_answer, extract_summary, generate, with_asked, with_sentences
 from cahier.operators.summaries import global_text, summary_prompt, summary_rows, usable_summary
 from cahier.session import cut_lineage
 from cahier.sources.files import classify, decode_text, extract_guard, keep_original
@@ -72,14 +72,14 @@ def answer_requests(requests: DataFrame, pages: DataFrame, summaries: DataFrame,
 
 
 def _answers(pairs: DataFrame, hits: DataFrame, pages: DataFrame, summaries: DataFrame, catalog: DataFrame, generator: Generator | None, abstain: str, encoder: Generator | None) -> DataFrame:
-    keys = ["doc_id", "question"]
-    hits = hits.drop("score").join(summaries, ["doc_id", "chunk_id"]).join(bounded(catalog.select("question", "query")), "question")
+    hits, asked = hits.drop("score"), catalog.select("question", "query")
     if generator is None:
-        made = extract_answer(hits, keys)
+        made = extract_answer(hits.join(with_sentences(summaries), ["doc_id", "chunk_id"]).join(bounded(with_asked(asked)), "question"))
     else:
+        hits = hits.join(summaries, ["doc_id", "chunk_id"]).join(bounded(asked), "question")
         made = generate(hits.withColumn("_p", a.qa_prompt(F.col("summary"), F.col("query"))), "_p", generator, "response")
     made = cut_lineage(a.abstain_filter(made, abstain))
-    scored = response_scores(made, catalog, [*keys, "rank"]) if encoder is None else dense_response_scores(made, catalog, encoder)
+    scored = response_scores(made, catalog) if encoder is None else dense_response_scores(made, catalog, encoder)
     return a.nest_results(pairs, a.with_raw_page(a.score_guard(scored), pages))
 
 

@@ -471,8 +471,8 @@ def qa_prompt(spark, sf_dir):
 def answer(spark, sf_dir):
     summaries_ = cut_lineage(index(spark, sf_dir, conv_pages))
     asked = questions(spark, sf_dir)
-    hits = retrieval.topk_chunks(summaries_, asked).join(summaries_, ["doc_id", "chunk_id"]).join(retrieval.bounded(asked), "question")
-    return seams.extract_answer(hits, ["doc_id", "question", "rank"]).select("doc_id", "question", "rank", "response")
+    hits = retrieval.topk_chunks(summaries_, asked).join(seams.with_sentences(summaries_), ["doc_id", "chunk_id"]).join(retrieval.bounded(seams.with_asked(asked)), "question")
+    return seams.extract_answer(hits).select("doc_id", "question", "rank", "response")
 
 
 @query(f"WITH {SQL_QA} SELECT doc_id, rank, response FROM qa WHERE response <> '' AND NOT contains(lower(response), 'ras')")
