@@ -25,6 +25,11 @@ def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def _few(df: DataFrame, n: int) -> DataFrame:
+    """A table of about ``n`` nodes in at most ``n`` tasks, whatever the number of shuffle partitions."""
+    return df.coalesce(max(1, n))
+
+
 def _ordered(value: Column, tie: Column) -> Column:
     """A 48-bit key: 16 bits of value over 32 bits that break ties, so that a hot value can be cut too."""
     return F.shiftleft(value.cast("long"), 32).bitwiseOR(tie)
@@ -76,10 +81,10 @@ def build_tree(points: DataFrame, leaves: int) -> tuple[DataFrame, list[tuple[Da
         of = lambda n: F.get(F.array(*[F.col(f"{n}{i}") for i in dims]), F.col("dim"))
         target = F.col("bytes") * F.floor(F.col("room") / 2) / F.col("room")
         nodes = stats.withColumn("dim", widest).select("leaf", "dim", F.lit(0).cast("long").alias("below"), target.alias("target"), (TOLERANCE * F.col("bytes") / F.col("room")).alias("slack"), of("lo").alias("lo"), of("hi").alias("hi"))
-        nodes, done = cut_lineage(nodes), []
+        nodes, done = cut_lineage(_few(nodes, 1 << len(levels))), []  # a level has at most twice the nodes of the one above
         n = n_nodes = nodes.count()
         while n:
-            nodes = cut_lineage(_narrow(points, nodes, n))
+            nodes = cut_lineage(_few(_narrow(points, nodes, n), n))
             on = (F.col("rows") > 1) & (F.col("weight") > F.col("slack")) & (F.col("lo") < F.col("hi"))
             done.append(nodes.where(~on))
             nodes = nodes.where(on).drop("weight", "rows")
@@ -88,7 +93,7 @@ def build_tree(points: DataFrame, leaves: int) -> tuple[DataFrame, list[tuple[Da
         for more in done[1:]:
             level = level.unionByName(more)
         over = F.col("below") + F.col("weight") - F.col("target")
-        level = cut_lineage(level.select("leaf", "dim", F.when(over <= F.col("target") - F.col("below"), F.col("hi") + 1).otherwise(F.col("lo")).alias("cut")))
+        level = cut_lineage(_few(level, n_nodes).select("leaf", "dim", F.when(over <= F.col("target") - F.col("below"), F.col("hi") + 1).otherwise(F.col("lo")).alias("cut")))
         levels.append((level, n_nodes))
         points = cut_lineage(_go_down(points, level, n_nodes))
         room -= room // 2
