@@ -82,3 +82,50 @@ def test_ingest_and_answer_with_own_generator(spark):
     results = jobs.answer_catalog(pages, jobs.ingest(pages), catalog)
     assert {r["doc_id"]: r["best_answer"] for r in results.select("doc_id", "best_answer").collect()} == {"d": "The frame is blue.", "e": "Non trouvé"}
     assert results.where(F.size("alternatives") == 1).count() == 1
+
+
+def letters(batches):
+    for s in batches:
+        yield s.map(lambda x: [float(x.count(c)) for c in "abc"])
+
+
+def test_encoder_ranks_and_scores(spark):
+    s = spark.createDataFrame([("d", 0, "aa"), ("d", 1, "ab"), ("d", 2, "c"), ("e", 0, "b")], "doc_id string, chunk_id int, summary string")
+    c = spark.createDataFrame([("q", "a")], "question string, query string")
+    assert [list(r["_v"]) for r in seams.encode(s.limit(1), "summary", letters, "_v").collect()] == [[2.0, 0.0, 0.0]]
+    got = sorted((r["doc_id"], r["rank"], r["chunk_id"]) for r in retrieval.dense_chunks(s, c, letters, 2).collect())
+    assert got == [("d", 1, 0), ("d", 2, 1), ("e", 1, 0)]
+    rows = spark.createDataFrame([("d", "q", "aaa"), ("d", "q", "c")], "doc_id string, question string, response string")
+    assert {r["response"]: r["score"] for r in retrieval.dense_response_scores(rows, c, letters).collect()} == {"aaa": 1.0, "c": 0.0}
+    asked = spark.createDataFrame([("d", "q", "a"), ("d", "q", "a")], "doc_id string, question string, query string")
+    for encoder in (None, letters):
+        top = sorted((r["doc_id"], r["rank"], r["chunk_id"]) for r in retrieval.asked_topk(s, asked, 2, encoder).collect())
+        assert top == [("d", 1, 0), ("d", 2, 1)]
+
+
+def test_response_scores_in_the_row(spark):
+    c = spark.createDataFrame([("q", "a a b"), ("none", "?")], "question string, query string")
+    rows = spark.createDataFrame([("q", "b a b c"), ("q", ""), ("q", None), ("none", "a")], "question string, response string")
+    got = {(r["question"], r["response"]): r["score"] for r in retrieval.response_scores(rows, c).collect()}
+    assert abs(got.pop(("q", "b a b c")) - 4 / (5 * 6) ** 0.5) < 1e-12
+    assert set(got.values()) == {None}
+
+
+def test_index_files(spark):
+    raw = spark.createDataFrame([("1", "a.txt", bytearray("Un texte.".encode())), ("2", "b.pdf", bytearray(b"x")), ("3", "c.txt", bytearray(b"\xff")), ("4", "d.txt", bytearray(b"known")), ("1", "z.txt", bytearray(b"again"))], "doc_id string, doc_name string, content binary")
+    made, rejected = jobs.index_files(raw, spark.createDataFrame([("4",)], "doc_id string"))
+    got = {r["doc_id"]: r["summary"] for r in made.collect()}
+    assert set(got) == {"1", "2", "3"} and got["1"] == "Un texte." and "no extractor for pdf" in got["2"] and "not UTF-8" in got["3"]
+    assert sorted((r["doc_id"], r["error"]) for r in rejected.collect()) == [("1", "document given twice"), ("4", "document already indexed")]
+
+
+def test_save_with_own_generator(spark):
+    records = spark.createDataFrame([("d", "n", None, "{}")], "doc_id string, name string, uploaded_at timestamp, results string")
+    summaries = spark.createDataFrame([("d", 0, "One."), ("d", 1, "Two.")], "doc_id string, chunk_id int, summary string")
+
+    def last(batches):
+        for s in batches:
+            yield s.map(lambda x: x[-9:])
+
+    saved = jobs.save(records, spark.createDataFrame([], "id string"), summaries, generator=last)
+    assert [r["summary"] for r in saved.projects.collect()] == ["One.\nTwo."]
