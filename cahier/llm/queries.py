@@ -85,6 +85,30 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cahier.llm.language_id import predict, train
+
+    docs = _table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = train(docs, fold != 0)
+    return predict(docs, model, keep=((fold == 0).alias("held_out"),)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cahier.llm.fill_in_middle import restore, transform
+
+    made = transform(_table(spark, sf_dir, "documents"), seed=1, plain_percent=10, spm_percent=20)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restore("output", "form"), 256).alias("restored_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cahier.llm.hard_negatives import hard_negatives
+
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", label), F.col("id") % 100 == 0, positives=5, negatives=10, low=30, high=90)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,10 +116,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sharding, op2_lm_scoring, op3_substring_dedup, op4_license_scan, op5_jaccard_join, op6_token_counts, op7_quality_classifier, op8_decontamination, op9_mixing, op10_quality_rules, pipeline)}
+    return {f.__name__: f for f in (op1_sharding, op2_lm_scoring, op3_substring_dedup, op4_license_scan, op5_jaccard_join, op6_token_counts, op7_quality_classifier, op8_decontamination, op9_mixing, op10_quality_rules, op11_language_id, op12_fill_in_middle, op13_hard_negatives, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from cahier.llm import license_scan, mixing
+    from cahier.llm import fill_in_middle, hard_negatives, license_scan, mixing
 
-    return {"op4_license_scan": license_scan.oracle(), "op9_mixing": mixing.ORACLE}
+    return {"op4_license_scan": license_scan.oracle(), "op9_mixing": mixing.ORACLE, "op12_fill_in_middle": fill_in_middle.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
