@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cahier.functions.text import tokens
 from cahier.functions.vectors import cosine, dense_topk
-from cahier.operators.seams import Generator, encode, token_counts
+from cahier.operators.calls import Generator
+from cahier.operators.seams import encode, token_counts
 
 TOP_K = 5
+#: A document's chunks that one task ranks; more are ranked in parts that are merged.
+CHUNKS_PER_TASK = 4096
+#: Scores that a task holds at once.
+SCORES = 1_000_000
 #: A catalogue with more token rows than this is joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -62,34 +73,160 @@ def response_scores(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     return scored.withColumn("score", score_of("_dot", "_xx", "_yy")).drop("_tf", "_xx", "_sum", "_dot", "_yy")
 
 
-def sparse_scores(summaries: DataFrame, catalog: DataFrame, text: str = "summary") -> DataFrame:
-    """doc_id, chunk_id, question, score: cosine of term frequencies, for every pair (0 where no token is shared).
-
-    The catalogue's tokens are broadcast below a checked size, so the corpus is never shuffled by token; sums are
-    partial before the one exchange by (chunk, question).
-    """
+def sparse_scores(summaries: DataFrame, asked: DataFrame, text: str = "summary") -> DataFrame:
+    """doc_id, chunk_id, question, score: cosine of term frequencies of all pairs that share a token, by a join of tokens
+    with ``asked`` (of ``query_vectors``): the way for catalogues of any size."""
     own = token_counts(summaries, ["doc_id", "chunk_id"], text)
-    asked = query_vectors(catalog)
     norms = own.groupBy("doc_id", "chunk_id").agg(F.sum(F.col("tf") * F.col("tf")).alias("norm2"))
-    side = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
-    dots = own.join(side, "token").groupBy("doc_id", "chunk_id", "question").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"), F.first("qnorm2").alias("qnorm2"))
+    dots = own.join(asked, "token").groupBy("doc_id", "chunk_id", "question").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"), F.first("qnorm2").alias("qnorm2"))
     shared = dots.join(norms, ["doc_id", "chunk_id"])
-    score = F.col("dot") / (F.sqrt(F.col("norm2").cast("double")) * F.sqrt(F.col("qnorm2").cast("double")))
-    return shared.select("doc_id", "chunk_id", "question", score.alias("score"))
+    return shared.select("doc_id", "chunk_id", "question", score_of("dot", "norm2", "qnorm2").alias("score"))
 
 
-def topk_chunks(summaries: DataFrame, catalog: DataFrame, k: int = TOP_K) -> DataFrame:
-    """doc_id, question, chunk_id, score, rank. Chunks that share no token with a question score 0 and fill up the
-    ranks that are left, in the order of their ids."""
-    scored = sparse_scores(summaries, catalog)
-    ranked = rank_topk(scored, k)
+def topk_by_shuffle(summaries: DataFrame, asked: DataFrame, catalog: DataFrame, k: int = TOP_K) -> DataFrame:
+    """As ``topk_chunks``, with nothing broadcast but what is small."""
+    ranked = rank_topk(sparse_scores(summaries, asked), k)
     # Zero scores: only pairs with fewer hits than chunks (or k) need them, and only each document's first chunks can be among them.
     first = summaries.select("doc_id", "chunk_id").withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id"))).where(F.col("_r") <= 2 * k).drop("_r")
     have = ranked.groupBy("doc_id", "question").agg(F.count("*").alias("_have"))
     pairs = first.groupBy("doc_id").agg(F.count("*").alias("_chunks")).crossJoin(bounded(catalog.select("question")))
     short = pairs.join(have, ["doc_id", "question"], "left").where(F.coalesce("_have", F.lit(0)) < F.least("_chunks", F.lit(k))).select("doc_id", "question")
     zero = short.join(first, "doc_id").join(ranked.select("doc_id", "chunk_id", "question"), ["doc_id", "chunk_id", "question"], "left_anti").withColumn("score", F.lit(0.0))
-    return rank_topk(ranked.drop("rank").unionByName(zero.select("doc_id", "chunk_id", "question", "score")), k)
+    return rank_topk(ranked.drop("rank").unionByName(zero.select("doc_id", "chunk_id", "question", "score")), k).select("doc_id", "question", "chunk_id", "score", "rank")
+
+
+@dataclass
+class SparseCatalog:
+    """A catalogue as a compressed sparse matrix: per token (``tokens``) the questions that hold it (``question``, ``tf``,
+    from ``first[i]`` to ``first[i + 1]``), and the questions' norms."""
+
+    names: pa.Array
+    tokens: pa.Array
+    first: np.ndarray
+    question: np.ndarray
+    tf: np.ndarray
+    norm: np.ndarray
+
+    @classmethod
+    def of(cls, catalog: DataFrame, asked: DataFrame) -> SparseCatalog:
+        names = sorted(r["question"] for r in catalog.select("question").distinct().collect())
+        t = asked.toArrow().combine_chunks()
+        tokens, token = np.unique(t["token"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True) if t.num_rows else (np.array([], str), np.zeros(0, int))
+        at = {n: i for i, n in enumerate(names)}
+        question = np.array([at[q] for q in t["question"].to_pylist()], np.int64)
+        order = np.argsort(token, kind="stable")
+        norm2 = np.zeros(len(names))
+        norm2[question] = t["qnorm2"].to_numpy()
+        first = np.searchsorted(token[order], np.arange(len(tokens) + 1))
+        return cls(pa.array(names, pa.string()), pa.array(tokens.tolist(), pa.string()), first, question[order], t["qtf"].to_numpy()[order].astype(float), np.sqrt(norm2))
+
+    def scores(self, words: pa.ListArray) -> np.ndarray:
+        """Cosines of the term frequencies of each row's tokens with all questions, 0 where a side has none."""
+        n, asked = len(words), len(self.names)
+        row = np.repeat(np.arange(n), np.asarray(pc.fill_null(pc.list_value_length(words), 0)))
+        coded = words.flatten().dictionary_encode()
+        size = max(len(coded.dictionary), 1)
+        key, tf = np.unique(row * size + np.asarray(coded.indices), return_counts=True)
+        row, code = key // size, key % size
+        norm = np.sqrt(np.bincount(row, tf * tf, n))
+        known = np.asarray(pc.fill_null(pc.index_in(coded.dictionary, value_set=self.tokens), -1))[code]
+        row, tf, known = row[known >= 0], tf[known >= 0], known[known >= 0]
+        length = self.first[known + 1] - self.first[known]
+        at = np.repeat(self.first[known] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        dots = np.bincount(np.repeat(row, length) * asked + self.question[at], np.repeat(tf, length) * self.tf[at], n * asked).reshape(n, asked)
+        return dots / np.maximum(norm[:, None] * self.norm, 1e-300)
+
+
+class _Ranks:
+    """The k best chunks of one document for every question, of rows that come in parts."""
+
+    def __init__(self, doc, k: int):
+        self.doc, self.k, self.ids, self.scores = doc, k, None, None
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        ids = np.broadcast_to(ids[:, None], scores.shape)
+        if self.ids is not None:
+            ids, scores = np.concatenate([self.ids, ids]), np.concatenate([self.scores, scores])
+        order = np.lexsort((ids, -np.round(scores, 9)), axis=0)[: self.k]
+        self.ids, self.scores = np.take_along_axis(ids, order, 0), np.take_along_axis(scores, order, 0)
+
+
+def _ranked(sorted_rows: DataFrame, cat: SparseCatalog, k: int, block: int) -> DataFrame:
+    """doc_id, question, chunk_id, score, rank from doc_id, chunk_id, tokens, where a document's rows of one task are
+    neighbours: the best of each run."""
+    doc_type, id_type = (sorted_rows.schema[c].dataType.simpleString() for c in ("doc_id", "chunk_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = len(cat.names)
+        kinds: list[pa.DataType] = []
+
+        def emit(docs: pa.Array, ids: np.ndarray, scores: np.ndarray, ranks: np.ndarray) -> pa.RecordBatch:
+            """``ids``, ``scores`` (rows, questions) of one document's name for each row."""
+            names = cat.names.take(pa.array(np.tile(np.arange(asked), len(ids))))
+            who = docs.take(pa.array(np.repeat(np.arange(len(ids)), asked)))
+            rank = np.repeat(ranks, asked).astype(np.int32)
+            return pa.RecordBatch.from_arrays([who, names, pa.array(ids.ravel()).cast(kinds[1]), pa.array(scores.ravel()), pa.array(rank)], ["doc_id", "question", "chunk_id", "score", "rank"])
+
+        def close(r: _Ranks) -> pa.RecordBatch:
+            n = len(r.ids)
+            return emit(pa.array([r.doc] * n, kinds[0]), r.ids, r.scores, np.arange(1, n + 1))
+
+        open_: _Ranks | None = None
+        for b in batches:
+            kinds = [b.schema.field(0).type, b.schema.field(1).type]
+            for i in range(0, b.num_rows, block):
+                part = b.slice(i, block)
+                docs, ids, scores = part.column(0), part.column(1).to_numpy(), cat.scores(part.column(2))
+                code = np.asarray(docs.dictionary_encode().indices)
+                cuts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]]))
+                if open_ is not None and docs[0].as_py() != open_.doc:
+                    yield close(open_)
+                    open_ = None
+                # Runs of one row that end here are done as they are; the last run may go on.
+                alone = np.flatnonzero(np.diff(cuts) == 1)
+                alone = alone[(alone < len(cuts) - 2) & ((alone > 0) | (open_ is None))]
+                at = cuts[alone]
+                if len(at):
+                    yield emit(docs.take(pa.array(at)), np.broadcast_to(ids[at, None], (len(at), asked)), scores[at], np.ones(len(at), int))
+                for j in np.setdiff1d(np.arange(len(cuts) - 1), alone):
+                    if open_ is not None and j > 0:
+                        yield close(open_)
+                        open_ = None
+                    open_ = open_ or _Ranks(docs[int(cuts[j])].as_py(), k)
+                    open_.add(ids[cuts[j] : cuts[j + 1]], scores[cuts[j] : cuts[j + 1]])
+        if open_ is not None:
+            yield close(open_)
+
+    return sorted_rows.mapInArrow(run, f"doc_id {doc_type}, question string, chunk_id {id_type}, score double, rank int")
+
+
+def topk_chunks(summaries: DataFrame, catalog: DataFrame, k: int = TOP_K) -> DataFrame:
+    """doc_id, question, chunk_id, score, rank: the k best chunks of every document for every question by the cosine of
+    term frequencies, ties by chunk id. Chunks that share no token with a question score 0.
+
+    The catalogue is a sparse matrix in every task, below a checked size, and is multiplied with batches of summaries. Only
+    the summaries are dealt, by document, so that a task ranks a document's chunks itself and what the product yields is
+    never shuffled; documents of more than CHUNKS_PER_TASK chunks are dealt in parts, whose k best are merged.
+    """
+    asked = query_vectors(catalog)
+    if asked.count() > BROADCAST_ROWS or catalog.count() > BROADCAST_ROWS:
+        return topk_by_shuffle(summaries, asked, catalog, k)
+    cat = SparseCatalog.of(catalog, asked)
+    if not len(cat.names):
+        return rank_topk(sparse_scores(summaries, asked), k).select("doc_id", "question", "chunk_id", "score", "rank")
+    n = int(summaries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = min(256, max(1, SCORES // len(cat.names)))
+    slim = summaries.select("doc_id", "chunk_id", "summary")
+    long = slim.groupBy("doc_id").agg(F.count("*").alias("_n")).where(F.col("_n") > CHUNKS_PER_TASK).select("doc_id")
+
+    def ranked(rows: DataFrame, *by: Column | str) -> DataFrame:
+        dealt = rows.repartition(n, *by).sortWithinPartitions("doc_id")
+        return _ranked(dealt.select("doc_id", "chunk_id", tokens("summary").alias("t")), cat, k, block)
+
+    if long.isEmpty():
+        return ranked(slim, "doc_id")
+    parts = ranked(slim.join(long, "doc_id", "left_semi"), "doc_id", F.xxhash64("chunk_id") % F.lit(n)).drop("rank")
+    return ranked(slim.join(long, "doc_id", "left_anti"), "doc_id").unionByName(rank_topk(parts, k))
 
 
 def dense_chunks(summaries: DataFrame, catalog: DataFrame, encoder: Generator, k: int = TOP_K) -> DataFrame:

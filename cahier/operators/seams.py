@@ -1,59 +1,77 @@
 """The pluggable model calls, as vectorised functions, and deterministic baselines in plain Spark.
 
-A generator maps prompts to texts (or null), an encoder texts to vectors, an extractor (name, bytes) to pages. They
-are given as functions from an iterator of pandas Series to an iterator of results, so that a client or a model is
-made once per task. The baselines here are ours and need no model.
+A generator maps prompts to texts (or null; see ``calls``), an encoder texts to vectors, an extractor (name, bytes) to
+pages. Generators and encoders are given as functions from an iterator of pandas Series to an iterator of results, so that
+a client or a model is made once per task. The baselines here are ours and need no model.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cahier.functions.text import sentences, tokens
+from cahier.operators.calls import Generator
 
-Generator = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
 ABSTAIN = "RAS"
 FAILED = "Erreur"
 
 
-def generate(df: DataFrame, prompt: str, generator: Generator, out: str, on_failure: str | None = None, partitions: int | None = None) -> DataFrame:
-    """One generated text per different prompt, joined back; a null result becomes ``on_failure``.
-
-    Calls are the slowest step there is: equal prompts are sent once, and ``partitions`` spreads the calls.
-    """
-    asked = df.select(F.col(prompt).alias("_prompt")).distinct()
-    asked = asked.repartition(partitions) if partitions else asked
-    udf = F.pandas_udf(generator, "string", F.PandasUDFType.SCALAR_ITER)
-    made = asked.withColumn(out, F.coalesce(udf("_prompt"), F.lit(on_failure).cast("string")))
-    return df.join(made, df[prompt].eqNullSafe(made["_prompt"]), "left").drop("_prompt")
-
-
 def encode(df: DataFrame, text: str, encoder: Generator, out: str) -> DataFrame:
     return df.withColumn(out, F.pandas_udf(encoder, "array<float>", F.PandasUDFType.SCALAR_ITER)(text))
 
 
-def extract(raw_files: DataFrame, extractor: Callable[[str, bytes], list[dict]]) -> DataFrame:
-    """doc_id, doc_name, page_number, text, error: what the extractor returns for each file, failures as error rows."""
+#: Bytes of page text that an extractor's task holds before it hands them on.
+HELD_BYTES = 4 << 20
+EXTRACTED = "page_number int, text string, error string"
 
-    @F.pandas_udf("array<struct<page_number:int,text:string,error:string>>")
-    def run(names: pd.Series, contents: pd.Series) -> pd.Series:
-        def pages(name, content):
-            got = []
-            try:
-                for p in extractor(name, content):
-                    got.append({"page_number": p.get("page_number"), "text": p.get("text"), "error": None})
-            except Exception as e:  # a broken file is a row of its own, after the pages already read
-                got.append({"page_number": None, "text": None, "error": str(e)})
-            return got
 
-        return pd.Series([pages(n, c) for n, c in zip(names, contents)])
+def extract(raw_files: DataFrame, extractor: Callable[[str, bytes], Iterable[dict]], held_bytes: int = HELD_BYTES) -> DataFrame:
+    """doc_id, doc_name, page_number, text, error: the pages that the extractor yields for each file.
 
-    each = raw_files.select("doc_id", "doc_name", F.explode(run("doc_name", "content")).alias("p"))
-    return each.select("doc_id", "doc_name", "p.page_number", "p.text", "p.error")
+    Pages leave the task as they come, in batches of at most ``held_bytes`` of text (or one larger page), so a task never
+    holds a file's pages together with those of others. What an extractor raises becomes a row of its own, behind the
+    pages already read. A page that has no number or text has null there.
+    """
+    slim = raw_files.select("doc_id", "doc_name", "content")
+    kind = slim.schema["doc_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+        schema = None
+
+        def emit() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+        for b in batches:
+            schema = pa.schema([b.schema.field(0), ("doc_name", pa.string()), ("page_number", pa.int32()), ("text", pa.string()), ("error", pa.string())])
+            for i in range(b.num_rows):
+                key, name = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                for number, text, error in _pages(extractor, name, b.column(2)[i].as_py()):
+                    rows.append((key, name, number, text, error))
+                    held += 100 + len(text or "") + len(error or "")
+                    if held >= held_bytes:
+                        yield emit()
+                        rows, held = [], 0
+            if rows:
+                yield emit()
+                rows, held = [], 0
+
+    return slim.mapInArrow(run, f"doc_id {kind.simpleString()}, doc_name string, {EXTRACTED}")
+
+
+def _pages(extractor: Callable[[str, bytes], Iterable[dict]], name: str, content: bytes) -> Iterator[tuple]:
+    try:
+        for p in extractor(name, content):
+            yield p.get("page_number"), p.get("text"), None
+    except Exception as e:  # a broken file is a row of its own, after the pages already read
+        yield None, None, str(e)
 
 
 def token_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -61,16 +79,40 @@ def token_counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return df.select(*keys, F.explode(tokens(text)).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
 
 
-def extract_summary(chunks: DataFrame, keep: int = 3, keys: tuple[str, ...] = ("doc_id", "chunk_id")) -> DataFrame:
-    """keys, summary: the ``keep`` sentences with the largest sum of chunk term frequencies over their different
-    tokens (the earlier on a tie), in their order, joined by blanks."""
-    keys = list(keys)
-    each = chunks.select(*keys, F.posexplode(sentences("text")).alias("pos", "sentence"))
-    words = each.select(*keys, "pos", F.explode(tokens("sentence")).alias("token")).groupBy(*keys, "token", "pos").agg(F.count("*").alias("n"))
-    tf = words.withColumn("tf", F.sum("n").over(Window.partitionBy(*keys, "token")))
-    weight = tf.groupBy(*keys, "pos").agg(F.sum("tf").alias("weight"))
-    ranked = each.join(weight, [*keys, "pos"], "left").withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.coalesce("weight", F.lit(0)).desc(), "pos"))).where(F.col("r") <= keep)
-    return ranked.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", "sentence")))["sentence"], " ").alias("summary"))
+def _heaviest(keep: int):
+    """Per row the places of the ``keep`` sentences with the largest sum of the row's term frequencies over their different
+    tokens, the earlier on a tie, in their order."""
+
+    def run(tokens_of: pa.Array) -> pa.Array:
+        per_row = np.asarray(pc.fill_null(pc.list_value_length(tokens_of), 0))
+        each = tokens_of.flatten()
+        row = np.repeat(np.arange(len(per_row)), per_row)
+        sentence = np.repeat(np.arange(len(row)), np.asarray(pc.list_value_length(each)))
+        code = np.asarray(each.flatten().dictionary_encode().indices)
+        size = int(code.max(initial=0)) + 1
+        _, of, tf = np.unique(row[sentence] * size + code, return_inverse=True, return_counts=True)
+        _, first = np.unique(sentence * size + code, return_index=True)
+        weight = np.bincount(sentence[first], tf[of[first]], len(row))
+        begin = np.cumsum(per_row) - per_row
+        place = np.arange(len(row)) - begin[row]
+        order = np.lexsort((place, -weight, row))
+        best = np.sort(order[place < keep])  # sorted by row, so the place is the rank as well
+        return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.minimum(per_row, keep))]).astype(np.int32), pa.array(place[best].astype(np.int32)))
+
+    return F.arrow_udf(run, "array<int>")
+
+
+def extract_summary(chunks: DataFrame, keep: int = 3, text: str = "text") -> DataFrame:
+    """``chunks`` + summary: the ``keep`` sentences with the largest sum of the chunk's term frequencies over their
+    different tokens (the earlier on a tie), in their order, joined by blanks; null for a null text.
+
+    Each chunk is worked on by itself, with no exchange: sentences and tokens are cut in the JVM, only the weights are
+    summed over Arrow batches.
+    """
+    cut = chunks.withColumn("_s", sentences(text))
+    best = _heaviest(keep)(F.transform("_s", tokens))
+    joined = F.array_join(F.transform(F.col("_best"), lambda i: F.get("_s", i)), " ")
+    return cut.withColumn("_best", best).withColumn("summary", F.when(F.col("_s").isNotNull(), joined)).drop("_s", "_best")
 
 
 def with_sentences(rows: DataFrame, summary: str = "summary") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -14,25 +14,45 @@ from cahier.operators import projects as p
 from cahier.operators.chunks import MAX_CHARS, chunk_pages
 from cahier.operators.ingest import dup_docs, new_docs, require_doc
 from cahier.operators.retrieval import TOP_K, adhoc_pairs, asked_topk, bounded, dense_chunks, dense_response_scores, doc_query_pairs, response_scores, topk_chunks
-from cahier.operators.seams import FAILED, Generator, extract, extract_answer, extract_summary, generate, with_asked, with_sentences
+from cahier.operators.calls import Generator, generate
+from cahier.operators.seams import FAILED, extract, extract_answer, extract_summary, with_asked, with_sentences
 from cahier.operators.summaries import global_text, summary_prompt, summary_rows, usable_summary
 from cahier.session import cut_lineage
 from cahier.sources.files import classify, decode_text, extract_guard, keep_original
 
 
-def index_files(raw: DataFrame, index: DataFrame, extractor: Callable[[str, bytes], list[dict]] | None = None, generator: Generator | None = None, originals: str | None = None, max_chars: int = MAX_CHARS) -> tuple[DataFrame, DataFrame]:
-    """raw files (doc_id, doc_name, content) -> (the index of the new ones, the rejected: doc_id, doc_name, error).
+def first_files(raw: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the files to index, the rejected: doc_id, doc_name, error). Files of documents in ``index`` are rejected, and of
+    several files with one id all but the first by name (of equal names, by digest).
 
-    Files of documents in ``index`` are rejected, and of several files with one id all but the first by name. Text is
-    decoded, everything else is the extractor's; a file that cannot be read becomes a page that says so. The bytes of
-    the new files are kept below ``originals``.
+    Ids and names alone decide; the bytes stay where they are, but for files that come twice under one id and name.
     """
-    fresh = new_docs(raw, index, arrival="doc_name")
     names = raw.select("doc_id", "doc_name")
-    later = new_docs(names, index).withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_name"))).where("_n > 1").drop("_n")
+    each = new_docs(names, index)
+    first = each.groupBy("doc_id").agg(F.min(F.coalesce("doc_name", F.lit(""))).alias("_name"))
+    at = F.coalesce("doc_name", F.lit("")).alias("_name")
+    picked = cut_lineage(each.select("doc_id", at).join(first, ["doc_id", "_name"]).groupBy("doc_id", "_name").agg(F.count("*").alias("_n")))
+    later = each.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_name"))).where("_n > 1").drop("_n")
     rejected = dup_docs(names, index).unionByName(later.withColumn("error", F.lit("document given twice")))
+    named = raw.select("doc_id", "doc_name", "content", at)
+    fresh = named.join(picked.where("_n = 1"), ["doc_id", "_name"], "left_semi")
+    twice = picked.where("_n > 1")
+    if not twice.isEmpty():
+        again = named.join(twice, ["doc_id", "_name"], "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("doc_name", "content", "_name"), F.sha2("content", 256)).alias("f"))
+        fresh = fresh.unionByName(again.select("doc_id", "f.*").select(*fresh.columns))
+    return fresh.select("doc_id", "doc_name", "content"), rejected
+
+
+def index_files(raw: DataFrame, index: DataFrame, extractor: Callable[[str, bytes], Iterable[dict]] | None = None, generator: Generator | None = None, originals: str | None = None, max_chars: int = MAX_CHARS, store: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """raw files (doc_id, doc_name, content) -> (the index of the new ones, the rejected: doc_id, doc_name, error).
+
+    Text is decoded, everything else is the extractor's; a file that cannot be read becomes a page that says so. The bytes
+    of the new files are kept below ``originals``, and are read from there again if that is given.
+    """
+    fresh, rejected = first_files(raw, index)
     if originals is not None:
         keep_original(fresh, originals)
+        fresh = raw.sparkSession.read.parquet(originals).join(fresh.select("doc_id"), "doc_id", "left_semi").select("doc_id", "doc_name", "content")
     kinds = classify(fresh)
     other = kinds.where("kind <> 'text'")
     if extractor is None:
@@ -40,44 +60,46 @@ def index_files(raw: DataFrame, index: DataFrame, extractor: Callable[[str, byte
     else:
         read = extract(other, extractor)
     pages = extract_guard(decode_text(kinds.where("kind = 'text'"), divert=True).unionByName(read))
-    return ingest(pages, generator, max_chars), rejected
+    return ingest(pages, generator, max_chars, store), rejected
 
 
-def ingest(pages: DataFrame, generator: Generator | None = None, max_chars: int = MAX_CHARS) -> DataFrame:
+def ingest(pages: DataFrame, generator: Generator | None = None, max_chars: int = MAX_CHARS, store: str | None = None) -> DataFrame:
     """pages -> the index of summaries. Chunks are cut from the raw text and cleaned afterwards; the shuffle by
-    document numbers them."""
-    chunks = cut_lineage(clean_pages(chunk_pages(pages, max_chars)))
+    document numbers them. ``store``: where a generator's results are kept, so that a rerun does not ask again."""
+    chunks = clean_pages(chunk_pages(pages, max_chars))
     if generator is None:
-        rows = chunks.join(extract_summary(chunks), ["doc_id", "chunk_id"], "left")
-    else:
-        rows = generate(chunks.withColumn("_p", summary_prompt("text")), "_p", generator, "summary", FAILED)
-    return summary_rows(usable_summary(rows))
+        return summary_rows(usable_summary(extract_summary(chunks)))
+    asked = cut_lineage(chunks).withColumn("_p", summary_prompt("text"))
+    return summary_rows(usable_summary(generate(asked, "_p", generator, "summary", FAILED, store=store)))
 
 
-def answer_catalog(pages: DataFrame, summaries: DataFrame, catalog: DataFrame, generator: Generator | None = None, k: int = TOP_K, abstain: str = "substring", encoder: Generator | None = None) -> DataFrame:
+def answer_catalog(pages: DataFrame, summaries: DataFrame, catalog: DataFrame, generator: Generator | None = None, k: int = TOP_K, abstain: str = "substring", encoder: Generator | None = None, store: str | None = None) -> DataFrame:
     """doc_id, question, best_answer, alternatives for every indexed document and every question. Chunks are ranked and
-    answers scored by the encoder's vectors, or by term frequencies without one."""
+    answers scored by the encoder's vectors, or by term frequencies without one. The index is kept for the job's length,
+    a generator's results in ``store``."""
+    summaries = cut_lineage(summaries)
     pairs = doc_query_pairs(summaries, catalog)
     hits = topk_chunks(summaries, catalog, k) if encoder is None else dense_chunks(summaries, catalog, encoder, k)
-    return _answers(pairs, hits, pages, summaries, catalog, generator, abstain, encoder)
+    return _answers(pairs, hits, pages, summaries, catalog, generator, abstain, encoder, store)
 
 
-def answer_requests(requests: DataFrame, pages: DataFrame, summaries: DataFrame, generator: Generator | None = None, k: int = TOP_K, abstain: str = "substring", encoder: Generator | None = None) -> tuple[DataFrame, DataFrame]:
+def answer_requests(requests: DataFrame, pages: DataFrame, summaries: DataFrame, generator: Generator | None = None, k: int = TOP_K, abstain: str = "substring", encoder: Generator | None = None, store: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(results as of ``answer_catalog``, the rejected with an error) for single questions on single documents
     (doc_id, question): a question is its own retrieval text, and only the documents asked about are worked on."""
+    summaries = cut_lineage(summaries)
     known, unknown = require_doc(requests.select("doc_id", "question").distinct(), summaries)
     pairs = cut_lineage(adhoc_pairs(known))
     hits = asked_topk(summaries, pairs, k, encoder)
-    return _answers(pairs, hits, pages, summaries, pairs.select("question", "query").distinct(), generator, abstain, encoder), unknown
+    return _answers(pairs, hits, pages, summaries, pairs.select("question", "query").distinct(), generator, abstain, encoder, store), unknown
 
 
-def _answers(pairs: DataFrame, hits: DataFrame, pages: DataFrame, summaries: DataFrame, catalog: DataFrame, generator: Generator | None, abstain: str, encoder: Generator | None) -> DataFrame:
+def _answers(pairs: DataFrame, hits: DataFrame, pages: DataFrame, summaries: DataFrame, catalog: DataFrame, generator: Generator | None, abstain: str, encoder: Generator | None, store: str | None) -> DataFrame:
     hits, asked = hits.drop("score"), catalog.select("question", "query")
     if generator is None:
         made = extract_answer(hits.join(with_sentences(summaries), ["doc_id", "chunk_id"]).join(bounded(with_asked(asked)), "question"))
     else:
         hits = hits.join(summaries, ["doc_id", "chunk_id"]).join(bounded(asked), "question")
-        made = generate(hits.withColumn("_p", a.qa_prompt(F.col("summary"), F.col("query"))), "_p", generator, "response")
+        made = generate(hits.withColumn("_p", a.qa_prompt(F.col("summary"), F.col("query"))), "_p", generator, "response", store=store)
     made = cut_lineage(a.abstain_filter(made, abstain))
     scored = response_scores(made, catalog) if encoder is None else dense_response_scores(made, catalog, encoder)
     return a.nest_results(pairs, a.with_raw_page(a.score_guard(scored), pages))
@@ -91,7 +113,7 @@ class Saved:
     rejected: DataFrame
 
 
-def save(records: DataFrame, projects: DataFrame, summaries: DataFrame, first_query: int = 0, first_answer: int = 0, strict: bool = False, generator: Generator | None = None) -> Saved:
+def save(records: DataFrame, projects: DataFrame, summaries: DataFrame, first_query: int = 0, first_answer: int = 0, strict: bool = False, generator: Generator | None = None, store: str | None = None) -> Saved:
     """Rows to append to the three tables. ``records``: doc_id, name, uploaded_at, results (JSON).
 
     Incomplete and malformed records are rejected with an error; of a project that exists nothing is saved. The
@@ -101,7 +123,7 @@ def save(records: DataFrame, projects: DataFrame, summaries: DataFrame, first_qu
     checked = cut_lineage(checked.withColumn("error", F.when(F.col("error").isNull() & F.col("malformed"), "malformed results").otherwise(F.col("error"))))
     fresh = p.save_project(checked.where("error is null").withColumn("id", F.col("doc_id")), projects)
     text = global_text(summaries).select("doc_id", "text").withColumn("chunk_id", F.lit(0))
-    made = extract_summary(text) if generator is None else generate(text.withColumn("_p", summary_prompt("text")), "_p", generator, "summary", FAILED)
+    made = extract_summary(text) if generator is None else generate(text.withColumn("_p", summary_prompt("text")), "_p", generator, "summary", FAILED, store=store)
     condensed = made.select(F.col("doc_id").alias("id"), "summary")
     rows = fresh.join(condensed, "id", "left").select("id", "name", "uploaded_at", "summary", F.lit(None).cast("string").alias("csv"))
     queries = cut_lineage(p.surrogate_ids(p.flatten_queries(fresh), "project_id", ["query_ord"], first_query))

@@ -364,7 +364,7 @@ def summary_prompt(spark, sf_dir):
 
 @query(f"{sql_chunks(SQL_PAGES)}, {SQL_SUMMARY} SELECT doc_id, chunk_id, summary FROM sm")
 def summarize(spark, sf_dir):
-    return seams.extract_summary(cut_lineage(t.clean_pages(c.chunk_pages(doc_pages(spark, sf_dir)))))
+    return seams.extract_summary(t.clean_pages(c.chunk_pages(doc_pages(spark, sf_dir)))).select("doc_id", "chunk_id", "summary")
 
 
 _MARKED = "CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN ' NON Pertinent ' WHEN 2 THEN 'Erreur' ELSE '' END"
@@ -393,7 +393,7 @@ def global_text(spark, sf_dir):
 @query(f"WITH ch AS (SELECT conv_id AS doc_id, 0 AS chunk_id, string_agg(text, chr(10) ORDER BY turn) AS text, '' AS doc_name, 0 AS page_number, 0 AS pn, 0 AS start_char, 0 AS end_char FROM conversations GROUP BY conv_id), {SQL_SUMMARY} SELECT doc_id, summary FROM sm")
 def global_summary(spark, sf_dir):
     joined = summaries.global_text(table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "doc_id"), order="turn", text="text")
-    return seams.extract_summary(joined.withColumn("chunk_id", F.lit(0))).select("doc_id", "summary")
+    return seams.extract_summary(joined).select("doc_id", "summary")
 
 
 # Retrieval.
@@ -551,7 +551,7 @@ def _flat(results: DataFrame) -> DataFrame:
 
 def conv_results(spark, sf_dir) -> DataFrame:
     pages = conv_pages(spark, sf_dir)
-    return jobs.answer_catalog(pages, cut_lineage(jobs.ingest(pages)), questions(spark, sf_dir))
+    return jobs.answer_catalog(pages, jobs.ingest(pages), questions(spark, sf_dir))
 
 
 @query(f"{SQL_NESTED} SELECT * FROM nr")
@@ -579,7 +579,7 @@ SELECT d.doc_id, cq.question, coalesce(best, 'Non trouvé') AS best_answer, coal
 def catalogue_answers(spark, sf_dir):
     """The flagship: all documents ingested and asked all questions."""
     pages = doc_pages(spark, sf_dir)
-    results = jobs.answer_catalog(pages, cut_lineage(jobs.ingest(pages)), questions(spark, sf_dir))
+    results = jobs.answer_catalog(pages, jobs.ingest(pages), questions(spark, sf_dir))
     return results.select("doc_id", "question", "best_answer", F.size("alternatives").alias("n_alternatives"))
 
 
@@ -607,7 +607,7 @@ def adhoc_answer(spark, sf_dir):
     pages = conv_pages(spark, sf_dir)
     turns = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("doc_id"), F.col("text").alias("question"))
     asked = turns.unionByName(turns.withColumn("doc_id", -F.col("doc_id") - 1))
-    results, unknown = jobs.answer_requests(asked, pages, cut_lineage(jobs.ingest(pages)))
+    results, unknown = jobs.answer_requests(asked, pages, jobs.ingest(pages))
     shown = results.select("doc_id", F.md5("question").alias("request"), "best_answer", F.size("alternatives").alias("n_alternatives"), F.lit(None).cast("string").alias("error"))
     return shown.unionByName(unknown.select("doc_id", F.md5("question").alias("request"), "error"), allowMissingColumns=True)
 
@@ -642,7 +642,7 @@ nb AS (SELECT doc_id, question, round(max(score), 6) AS best_score, count(*) AS
 def dense_answers(spark, sf_dir):
     """The whole catalogue over the conversations, ranked and scored by an encoder's vectors."""
     pages, asked = conv_pages(spark, sf_dir), questions(spark, sf_dir)
-    results = jobs.answer_catalog(pages, cut_lineage(jobs.ingest(pages)), asked, encoder=letter_vectors)
+    results = jobs.answer_catalog(pages, jobs.ingest(pages), asked, encoder=letter_vectors)
     best = results.select("doc_id", "question", F.col("best_answer").alias("response"), F.size("alternatives").alias("n_alternatives"))
     scored = retrieval.dense_response_scores(best, asked, letter_vectors)
     return scored.select("doc_id", "question", F.when(F.col("n_alternatives") > 0, F.round("score", 6)).alias("best_score"), "n_alternatives")

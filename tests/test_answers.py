@@ -2,7 +2,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from cahier.operators import answers as a
-from cahier.operators import retrieval, seams
+from cahier.operators import calls, retrieval, seams
 from cahier.operators.summaries import is_usable
 from cahier.plans import jobs
 
@@ -53,7 +53,7 @@ def test_generator_is_asked_once_per_prompt(spark):
             yield s.map(lambda x: None if x == "b" else x.upper())
 
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "i int, p string")
-    got = {r["i"]: r["out"] for r in seams.generate(df, "p", shout, "out", "Erreur").collect()}
+    got = {r["i"]: r["out"] for r in calls.generate(df, "p", shout, "out", "Erreur").collect()}
     assert got == {1: "A", 2: "A", 3: "Erreur"} and seen.value == 2
 
 
