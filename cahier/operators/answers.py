@@ -34,7 +34,7 @@ def best_answer(pairs: DataFrame, rows: DataFrame, keys: tuple[str, ...] = ("doc
     """keys, best_answer: the response with the largest unrounded score above -1, the first rank on a tie; a pair
     without answers gets NOT_FOUND."""
     best = rows.where("score > -1").groupBy(*keys).agg(F.max_by("response", F.struct("score", -F.col("rank"))).alias("best_answer"))
-    return pairs.select(*keys).join(best, list(keys), "left").withColumn("best_answer", F.coalesce("best_answer", F.lit(NOT_FOUND)))
+    return pairs.select(*keys).join(best.hint("merge"), list(keys), "left").withColumn("best_answer", F.coalesce("best_answer", F.lit(NOT_FOUND)))
 
 
 def drop_blank_excerpt(rows: DataFrame, raw: str = "raw_text") -> DataFrame:
@@ -51,19 +51,56 @@ def with_raw_page(rows: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.join(raw, (rows["doc_id"] == raw["_d"]) & rows["page_number"].eqNullSafe(raw["_p"]), "left").drop("_d", "_p")
 
 
-def alternatives(rows: DataFrame) -> Column:
+def page_key(page_number: str = "page_number") -> Column:
+    """A page's name within its document; unnumbered pages have the empty one."""
+    return F.coalesce(F.col(page_number).cast("string"), F.lit(""))
+
+
+def with_page_facts(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """rows + _length, _blank of their pages: what ranking needs to know of a page. The page itself stays where it is.
+    The rows are many more than Spark takes them for and must not be broadcast, hence the hint."""
+    facts = pages.select(F.col("doc_id").alias("_d"), page_key().alias("_p"), F.length("text").alias("_length"), is_blank("text").alias("_blank"))
+    return rows.join(facts.hint("merge"), (rows["doc_id"] == facts["_d"]) & (page_key() == facts["_p"]), "left").drop("_d", "_p")
+
+
+FIELDS = ("response", "summary", "score", "doc_name", "page_number", "chunk_id", "excerpt", "start_char", "end_char")
+
+
+def alternatives(rows: DataFrame, fields: tuple[str, ...] = FIELDS) -> Column:
     """An aggregate: the answers by score, highest first, retrieval order on ties, scores rounded to 3 places last."""
-    fields = ("response", "summary", "score", "doc_name", "page_number", "chunk_id", "excerpt", "start_char", "end_char")
     packed = F.struct((-F.col("score")).alias("by"), F.col("rank").alias("then"), F.struct(*[F.round("score", 3).alias("score") if f == "score" else F.col(f) for f in fields]).alias("a"))
     return F.sort_array(F.collect_list(packed))["a"]
 
 
-def nest_results(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """doc_id, question, best_answer, alternatives. ``rows``: scored answers with raw_text and the hit's columns."""
+def with_excerpts(results: DataFrame, shown: DataFrame, pages: DataFrame) -> DataFrame:
+    """``results`` whose alternatives get their pages as excerpts. Of the pages only those in ``shown`` (doc_id,
+    page_number) are read on; each is shuffled once, to the list of its document's pages that are shown."""
+    used = shown.select(F.col("doc_id").alias("_d"), page_key().alias("_p")).distinct()
+    each = pages.select("doc_id", page_key().alias("key"), "text")
+    kept = each.join(used, (each["doc_id"] == used["_d"]) & (each["key"] == used["_p"]), "left_semi")
+    texts = kept.groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_list(F.struct("key", "text"))).alias("_pages"))
+    joined = results.join(texts, results["doc_id"] == texts["_doc"], "left")
+
+    def full(x: Column) -> Column:
+        key = F.coalesce(x["page_number"].cast("string"), F.lit(""))
+        excerpt = F.get("_pages", (F.array_position(F.col("_pages.key"), key) - 1).cast("int"))["text"]
+        return F.struct(*[excerpt.alias("excerpt") if f == "excerpt" else x[f].alias(f) for f in FIELDS])
+
+    return joined.withColumn("alternatives", F.transform("alternatives", full)).drop("_doc", "_pages")
+
+
+def nest_results(pairs: DataFrame, rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, question, best_answer, alternatives. ``rows``: scored answers with the hit's columns.
+
+    Answers are filtered, cut to their pages' lengths and collected by keys and offsets; the raw pages join last, once per
+    page and document.
+    """
     keys = ["doc_id", "question"]
-    shown = clamp_span(drop_blank_excerpt(rows)).withColumn("excerpt", F.col("raw_text"))
-    lists = shown.groupBy(*keys).agg(alternatives(shown).alias("alternatives"))
-    return best_answer(pairs, rows).join(lists, keys, "left").withColumn("alternatives", F.coalesce("alternatives", F.array().cast(lists.schema["alternatives"].dataType)))
+    facts = with_page_facts(rows, pages)
+    shown = facts.where(~F.coalesce("_blank", F.lit(True))).withColumn("start_char", F.least("start_char", "_length")).withColumn("end_char", F.least("end_char", "_length"))
+    lists = shown.groupBy(*keys).agg(alternatives(shown, tuple(f for f in FIELDS if f != "excerpt")).alias("alternatives"))
+    nested = best_answer(pairs, rows).join(lists.hint("merge"), keys, "left").withColumn("alternatives", F.coalesce("alternatives", F.array().cast(lists.schema["alternatives"].dataType)))
+    return with_excerpts(nested, shown, pages)
 
 
 def results_json(results: DataFrame) -> DataFrame:

@@ -11,10 +11,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cahier.functions.text import tokens
+from cahier.functions.text import sentences, tokens
 from cahier.functions.vectors import cosine, dense_topk
 from cahier.operators.calls import Generator
-from cahier.operators.seams import encode, token_counts
+from cahier.operators.seams import ABSTAIN, encode, in_row_answer, token_counts, with_asked, with_sentences
+from cahier.session import cut_lineage
 
 TOP_K = 5
 #: A document's chunks that one task ranks; more are ranked in parts that are merged.
@@ -23,6 +24,8 @@ CHUNKS_PER_TASK = 4096
 SCORES = 1_000_000
 #: A catalogue with more token rows than this is joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Texts that are broadcast have no more bytes than this together.
+BROADCAST_BYTES = 16 << 20
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -56,21 +59,54 @@ def response_scores(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """``rows`` (keys, question, response) with score: cosine of the term frequencies of the question's retrieval text and
     the response; null if one has no token.
 
-    Each row is worked on by itself: the questions' vectors meet the rows as maps, broadcast below a checked size, and
-    a response's own frequencies are the lengths of the runs of its sorted tokens.
+    Each row is worked on by itself: below a checked size the questions are a sparse matrix in every task, of which a row
+    takes its question's entries for its own tokens; a larger catalogue is joined by token.
     """
-    tf = F.map_from_entries(F.collect_list(F.struct("token", "qtf"))).alias("_tf")
-    asked = bounded(query_vectors(catalog).groupBy("question").agg(tf, F.first("qnorm2").alias("_xx")))
-    zero = F.lit(0).cast("long")
+    asked = query_vectors(catalog)
+    if asked.count() > BROADCAST_ROWS or catalog.count() > BROADCAST_ROWS:
+        return _response_scores_by_join(rows, asked)
+    cat = SparseCatalog.of(catalog, asked)
+
+    @F.arrow_udf("double")
+    def score(question: pa.Array, words: pa.Array) -> pa.Array:
+        return pa.array(cat.row_scores(question, words), from_pandas=True)
+
+    return rows.withColumn("score", score("question", tokens("response")))
+
+
+def extract_answer(hits: DataFrame, summaries: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``hits`` (doc_id, question, chunk_id) with their summaries' columns + response: the summary's sentence that shares
+    most different tokens with the question's retrieval text, the first on a tie; ABSTAIN when none shares any.
+
+    Summaries are taken apart before they meet the hits, and below a checked size of the catalogue only the places of
+    their tokens in it go on."""
+    asked = query_vectors(catalog)
+    if asked.count() > BROADCAST_ROWS or catalog.count() > BROADCAST_ROWS:
+        return in_row_answer(hit_rows(hits, with_sentences(summaries)).join(with_asked(catalog.select("question", "query")), "question")).drop("query")
+    cat = SparseCatalog.of(catalog, asked)
+
+    @F.arrow_udf("array<array<int>>")
+    def places(words: pa.Array) -> pa.Array:
+        return cat.token_places(words)
+
+    @F.arrow_udf("int")
+    def best(question: pa.Array, places_: pa.Array) -> pa.Array:
+        return pa.array(cat.best_sentence(question, places_), pa.int32())
 
-    def run(at: Column, token: Column) -> Column:
-        n = F.when(at["token"] == token, at["n"] + 1).otherwise(F.lit(1).cast("long"))
-        return F.struct(token.alias("token"), n.alias("n"), (at["yy"] + 2 * n - 1).alias("yy"), (at["dot"] + F.coalesce(F.col("_tf")[token], zero)).alias("dot"))
+    cut = summaries.withColumn("_s", sentences("summary"))
+    found = hit_rows(hits, cut.withColumn("_t", places(F.transform("_s", tokens)))).withColumn("_at", best("question", "_t"))
+    return found.withColumn("response", F.when(F.col("_at") >= 0, F.get("_s", "_at")).otherwise(F.lit(ABSTAIN))).drop("_s", "_t", "_at")
 
-    begin = F.struct(F.lit("").alias("token"), zero.alias("n"), zero.alias("yy"), zero.alias("dot"))
-    scored = rows.join(asked, "question", "left").withColumn("_sum", F.aggregate(F.array_sort(tokens("response")), begin, run))
-    scored = scored.withColumn("_dot", F.col("_sum.dot")).withColumn("_yy", F.nullif("_sum.yy", zero))
-    return scored.withColumn("score", score_of("_dot", "_xx", "_yy")).drop("_tf", "_xx", "_sum", "_dot", "_yy")
+
+def _response_scores_by_join(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The same by joins: each different (question, response) is scored once."""
+    each = rows.select("question", "response").where("question is not null and response is not null").distinct()
+    own = token_counts(each, ["question", "response"], "response")
+    norms = own.groupBy("question", "response").agg(F.sum(F.col("tf") * F.col("tf")).alias("_yy"))
+    dots = own.join(asked, ["question", "token"]).groupBy("question", "response").agg(F.sum(F.col("tf") * F.col("qtf")).alias("_dot"))
+    xx = asked.groupBy("question").agg(F.first("qnorm2").alias("_xx"))
+    scored = norms.join(xx, "question").join(dots, ["question", "response"], "left")
+    return rows.join(scored.select("question", "response", score_of("_dot", "_xx", "_yy").alias("score")), ["question", "response"], "left")
 
 
 def sparse_scores(summaries: DataFrame, asked: DataFrame, text: str = "summary") -> DataFrame:
@@ -124,12 +160,11 @@ class SparseCatalog:
         """Cosines of the term frequencies of each row's tokens with all questions, 0 where a side has none."""
         n, asked = len(words), len(self.names)
         row = np.repeat(np.arange(n), np.asarray(pc.fill_null(pc.list_value_length(words), 0)))
-        coded = words.flatten().dictionary_encode()
-        size = max(len(coded.dictionary), 1)
-        key, tf = np.unique(row * size + np.asarray(coded.indices), return_counts=True)
+        code, size, place = self.known(words.flatten())
+        key, tf = np.unique(row * size + code, return_counts=True)
         row, code = key // size, key % size
         norm = np.sqrt(np.bincount(row, tf * tf, n))
-        known = np.asarray(pc.fill_null(pc.index_in(coded.dictionary, value_set=self.tokens), -1))[code]
+        known = place[code]
         row, tf, known = row[known >= 0], tf[known >= 0], known[known >= 0]
         length = self.first[known + 1] - self.first[known]
         at = np.repeat(self.first[known] - (np.cumsum(length) - length), length) + np.arange(length.sum())
@@ -137,6 +172,68 @@ class SparseCatalog:
         return dots / np.maximum(norm[:, None] * self.norm, 1e-300)
 
 
+    def entries(self, row_question: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places among ``known`` and ``row_question``, entries of the matrix) of those tokens that their questions hold."""
+        if not len(self.question):
+            return np.zeros(0, int), np.zeros(0, int)
+        held = np.repeat(np.arange(len(self.tokens)), np.diff(self.first)) * len(self.names) + self.question
+        order = np.argsort(held)
+        wanted = np.where((known >= 0) & (row_question >= 0), known * len(self.names) + row_question, -1)
+        at = order[np.minimum(np.searchsorted(held, wanted, sorter=order), len(held) - 1)]
+        there = np.flatnonzero(held[at] == wanted)
+        return there, at[there]
+
+    def known(self, tokens_: pa.StringArray) -> tuple[np.ndarray, int, np.ndarray]:
+        """(code of each token, number of codes, each code's place in the catalogue or -1)."""
+        coded = tokens_.dictionary_encode()
+        place = np.asarray(pc.fill_null(pc.index_in(coded.dictionary, value_set=self.tokens), -1))
+        return np.asarray(coded.indices), max(len(coded.dictionary), 1), place
+
+    def token_places(self, sentences_: pa.ListArray) -> pa.ListArray:
+        """Per row and sentence (a list of tokens) the places in the catalogue of its different tokens, those that have one."""
+        length = np.asarray(pc.fill_null(pc.list_value_length(sentences_), 0))
+        each = sentences_.flatten()
+        sentence = np.repeat(np.arange(len(each)), np.asarray(pc.list_value_length(each)))
+        code, size, place = self.known(each.flatten())
+        key = np.unique(sentence * size + code)
+        sentence, place = key // size, place[key % size]
+        sentence, place = sentence[place >= 0], place[place >= 0]
+        inner = pa.ListArray.from_arrays(np.searchsorted(sentence, np.arange(len(each) + 1)).astype(np.int32), pa.array(place.astype(np.int32)))
+        return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]).astype(np.int32), inner)
+
+    def best_sentence(self, question: pa.Array, places: pa.ListArray) -> np.ndarray:
+        """Per row the sentence (of ``token_places``) that shares most different tokens with the row's question, the first
+        on a tie; -1 where none shares any."""
+        n = len(places)
+        asked = np.asarray(pc.fill_null(pc.index_in(question, value_set=self.names), -1))
+        length = np.asarray(pc.fill_null(pc.list_value_length(places), 0))
+        row = np.repeat(np.arange(n), length)
+        each = places.flatten()
+        sentence = np.repeat(np.arange(len(row)), np.asarray(pc.list_value_length(each)))
+        shared, _ = self.entries(asked[row[sentence]], np.asarray(each.flatten()))
+        count = np.bincount(sentence[shared], minlength=len(row))
+        begin = np.cumsum(length) - length
+        order = np.lexsort((np.arange(len(row)), -count, row))
+        out = np.full(n, -1)
+        some = np.flatnonzero(length)
+        top = order[begin[some]]
+        out[some] = np.where(count[top] > 0, top - begin[some], -1)
+        return out
+
+    def row_scores(self, question: pa.Array, words: pa.ListArray) -> np.ndarray:
+        """The cosine of each row's tokens with the row's own question; NaN where one of the two has no token."""
+        n = len(words)
+        asked = np.asarray(pc.fill_null(pc.index_in(question, value_set=self.names), -1))
+        row = np.repeat(np.arange(n), np.asarray(pc.fill_null(pc.list_value_length(words), 0)))
+        code, size, place = self.known(words.flatten())
+        key, tf = np.unique(row * size + code, return_counts=True)
+        row, code = key // size, key % size
+        norm = np.sqrt(np.bincount(row, tf * tf, n)) * np.where(asked >= 0, np.append(self.norm, 0)[asked], 0)
+        mine, entry = self.entries(asked[row], place[code])
+        dots = np.bincount(row[mine], tf[mine] * self.tf[entry], n)
+        return np.where(norm > 0, dots / np.where(norm > 0, norm, 1), np.nan)
+
+
 class _Ranks:
     """The k best chunks of one document for every question, of rows that come in parts."""
 
@@ -230,10 +327,10 @@ def topk_chunks(summaries: DataFrame, catalog: DataFrame, k: int = TOP_K) -> Dat
 
 
 def dense_chunks(summaries: DataFrame, catalog: DataFrame, encoder: Generator, k: int = TOP_K) -> DataFrame:
-    """As ``topk_chunks`` by the cosine of an encoder's vectors. Each summary is encoded once, and only the k best per
-    Arrow batch, document and question leave the task."""
-    items = encode(summaries.select("doc_id", "chunk_id", "summary"), "summary", encoder, "_v")
-    asked = encode(catalog.select("question", "query"), "query", encoder, "_v")
+    """As ``topk_chunks`` by the cosine of an encoder's vectors. Each summary is encoded once, and only the k best of each
+    document and question leave a task. Texts that the encoder has no usable vector for are not ranked."""
+    items = cut_lineage(encode(summaries.select("doc_id", "chunk_id", "summary"), "summary", encoder, "_v"))
+    asked = cut_lineage(encode(catalog.select("question", "query"), "query", encoder, "_v"))
     return rank_topk(dense_topk(items, asked, k, "doc_id", "chunk_id", "question", "_v"), k)
 
 
@@ -262,8 +359,14 @@ def asked_topk(summaries: DataFrame, pairs: DataFrame, k: int = TOP_K, encoder:
 
 
 def hit_rows(hits: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Hits with the columns of their summaries."""
-    return hits.join(summaries, ["doc_id", "chunk_id"])
+    """Hits with the columns of their summaries.
+
+    Hits are many more than Spark takes them for (it knows nothing of what ``mapInArrow`` adds), so they must not be the
+    side that is broadcast: small summaries are, by their counted bytes; else both sides are shuffled and sorted.
+    """
+    size = summaries.agg(F.count("*"), F.sum(F.octet_length("summary"))).first()
+    small = size[0] <= BROADCAST_ROWS and (size[1] or 0) <= BROADCAST_BYTES
+    return hits.join(F.broadcast(summaries) if small else summaries.hint("merge"), ["doc_id", "chunk_id"])
 
 
 def text_cosine(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:

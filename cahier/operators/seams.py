@@ -125,9 +125,8 @@ def with_asked(rows: DataFrame, query: str = "query") -> DataFrame:
     return rows.withColumn("_asked", F.array_distinct(tokens(query)))
 
 
-def extract_answer(hits: DataFrame) -> DataFrame:
-    """hits (with ``_sentences`` and ``_asked``) + response: the summary's sentence that shares most different tokens with
-    the question, the first on a tie; ABSTAIN when none shares any. Each row is worked on by itself."""
+def in_row_answer(hits: DataFrame) -> DataFrame:
+    """hits (with ``_sentences`` and ``_asked``) + response, as ``retrieval.extract_answer`` for catalogues of any size."""
     scored = F.transform("_sentences", lambda x, i: F.struct(F.size(F.array_intersect(x["t"], F.col("_asked"))).alias("n"), (-i).alias("i")))
     best = hits.withColumn("_best", F.array_max(scored))
     found = F.get("_sentences", -F.col("_best.i"))["s"]

@@ -13,9 +13,9 @@ from cahier.operators import answers as a
 from cahier.operators import projects as p
 from cahier.operators.chunks import MAX_CHARS, chunk_pages
 from cahier.operators.ingest import dup_docs, new_docs, require_doc
-from cahier.operators.retrieval import TOP_K, adhoc_pairs, asked_topk, bounded, dense_chunks, dense_response_scores, doc_query_pairs, response_scores, topk_chunks
+from cahier.operators.retrieval import TOP_K, adhoc_pairs, asked_topk, bounded, dense_chunks, dense_response_scores, doc_query_pairs, extract_answer, hit_rows, response_scores, topk_chunks
 from cahier.operators.calls import Generator, generate
-from cahier.operators.seams import FAILED, extract, extract_answer, extract_summary, with_asked, with_sentences
+from cahier.operators.seams import FAILED, extract, extract_summary
 from cahier.operators.summaries import global_text, summary_prompt, summary_rows, usable_summary
 from cahier.session import cut_lineage
 from cahier.sources.files import classify, decode_text, extract_guard, keep_original
@@ -94,15 +94,15 @@ def answer_requests(requests: DataFrame, pages: DataFrame, summaries: DataFrame,
 
 
 def _answers(pairs: DataFrame, hits: DataFrame, pages: DataFrame, summaries: DataFrame, catalog: DataFrame, generator: Generator | None, abstain: str, encoder: Generator | None, store: str | None) -> DataFrame:
-    hits, asked = hits.drop("score"), catalog.select("question", "query")
+    hits = hits.drop("score")
     if generator is None:
-        made = extract_answer(hits.join(with_sentences(summaries), ["doc_id", "chunk_id"]).join(bounded(with_asked(asked)), "question"))
+        made = extract_answer(hits, summaries, catalog)
     else:
-        hits = hits.join(summaries, ["doc_id", "chunk_id"]).join(bounded(asked), "question")
+        hits = hit_rows(hits, summaries).join(bounded(catalog.select("question", "query")), "question")
         made = generate(hits.withColumn("_p", a.qa_prompt(F.col("summary"), F.col("query"))), "_p", generator, "response", store=store)
     made = cut_lineage(a.abstain_filter(made, abstain))
     scored = response_scores(made, catalog) if encoder is None else dense_response_scores(made, catalog, encoder)
-    return a.nest_results(pairs, a.with_raw_page(a.score_guard(scored), pages))
+    return a.nest_results(pairs, cut_lineage(a.score_guard(scored)), pages)
 
 
 @dataclass

@@ -181,15 +181,16 @@ def report_rows(spark, sf_dir):
 
 
 @query(f"""{sql_chunks(SQL_CONV, 120)}, rq AS (SELECT doc_id, chunk_id FROM ch UNION ALL SELECT doc_id, 100000 FROM pg WHERE pn = 1 UNION ALL SELECT -doc_id - 1, 0 FROM pg WHERE pn = 1),
-sp AS (SELECT rq.doc_id, rq.chunk_id, ch.page_number, CASE WHEN start_char >= 0 THEN substr(text_, start_char + 1, end_char - start_char) END AS span, text_ FROM rq LEFT JOIN ch USING (doc_id, chunk_id) LEFT JOIN (SELECT doc_id, pn, text AS text_ FROM pg) g ON g.doc_id = ch.doc_id AND g.pn = ch.pn)
-SELECT doc_id, chunk_id, page_number, md5(span) AS span, CASE WHEN span = '' THEN 0 ELSE (length(text_) - length(replace(text_, span, ''))) // length(span) END::INT AS occurrences,
-CASE WHEN doc_id < 0 THEN 'unknown document' WHEN page_number IS NULL THEN 'unknown chunk' WHEN span = '' THEN 'not found' END AS error FROM sp""")
+sp AS (SELECT rq.doc_id, rq.chunk_id, ch.page_number, CASE WHEN start_char >= 0 THEN substr(text_, start_char + 1, end_char - start_char) END AS span, text_ FROM rq LEFT JOIN ch USING (doc_id, chunk_id) LEFT JOIN (SELECT doc_id, pn, text AS text_ FROM pg) g ON g.doc_id = ch.doc_id AND g.pn = ch.pn),
+pl AS (SELECT *, CASE WHEN text_ IS NULL THEN NULL WHEN coalesce(span, '') = '' THEN [] ELSE list_filter(range(1, length(text_) - length(span) + 2), lambda i: substr(text_, i, length(span)) = span) END AS places FROM sp)
+SELECT doc_id, chunk_id, page_number, md5(span) AS span, len(places)::INT AS occurrences, array_to_string(places, ',') AS places,
+CASE WHEN doc_id < 0 THEN 'unknown document' WHEN page_number IS NULL THEN 'unknown chunk' WHEN coalesce(len(places), 0) = 0 THEN 'not found' END AS error FROM pl""")
 def locate_span(spark, sf_dir):
     pages = conv_pages(spark, sf_dir)
     made = cut_lineage(c.chunk_pages(pages, 120))
     docs = pages.select("doc_id").distinct()
     asked = made.select("doc_id", "chunk_id").unionByName(docs.select("doc_id", F.lit(100000).alias("chunk_id"))).unionByName(docs.select((-F.col("doc_id") - 1).alias("doc_id"), F.lit(0).alias("chunk_id")))
-    return locate(asked, made, pages).select("doc_id", "chunk_id", "page_number", F.md5("span_text").alias("span"), "occurrences", "error")
+    return locate(asked, made, pages).select("doc_id", "chunk_id", "page_number", F.md5("span_text").alias("span"), "occurrences", F.array_join("places", ",").alias("places"), "error")
 
 
 # Feedback.

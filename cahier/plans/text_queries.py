@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cahier.functions import text as t
-from cahier.functions.vectors import cosine, dense_topk
+from cahier.functions.vectors import dense_topk
 from cahier.operators import answers as a
 from cahier.operators import chunks as c
 from cahier.operators import ingest, retrieval, seams, summaries
@@ -420,9 +420,10 @@ def adhoc_query(spark, sf_dir):
 
 @query("SELECT a.vec_id, b.vec_id AS query_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0")
 def cosine_dense(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return vectors.crossJoin(asked).select("vec_id", "query_id", F.round(cosine("embedding", "q"), 6).alias("score"))
+    """The stated queries, ids divisible by 50, against all rows."""
+    vectors = table(spark, sf_dir, "embeddings").withColumn("one", F.lit(0))
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return dense_topk(vectors, asked, None, "one", "vec_id", "query_id", "embedding").select("vec_id", "query_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {SQL_QA}, {sql_cosine('qa', 'query', 'response', 'doc_id, rank')} SELECT doc_id, rank, round(score, 6) AS score FROM co")
@@ -471,8 +472,8 @@ def qa_prompt(spark, sf_dir):
 def answer(spark, sf_dir):
     summaries_ = cut_lineage(index(spark, sf_dir, conv_pages))
     asked = questions(spark, sf_dir)
-    hits = retrieval.topk_chunks(summaries_, asked).join(seams.with_sentences(summaries_), ["doc_id", "chunk_id"]).join(retrieval.bounded(seams.with_asked(asked)), "question")
-    return seams.extract_answer(hits).select("doc_id", "question", "rank", "response")
+    hits = retrieval.topk_chunks(summaries_, asked)
+    return retrieval.extract_answer(hits, summaries_, asked).select("doc_id", "question", "rank", "response")
 
 
 @query(f"WITH {SQL_QA} SELECT doc_id, rank, response FROM qa WHERE response <> '' AND NOT contains(lower(response), 'ras')")

@@ -38,10 +38,10 @@ def test_blank_page_keeps_the_answer_and_loses_the_alternative(spark):
     pages = spark.createDataFrame([("d", "n", None, "  "), ("d", "n", 1, "Short.")], "doc_id string, doc_name string, page_number int, text string")
     rows = spark.createDataFrame([("d", "q", 1, "best", 0.9, "s", "n", None, 0, 0, 50), ("d", "q", 2, "other", 0.12345, "s", "n", 1, 1, 2, 50)], "doc_id string, question string, rank int, response string, score double, summary string, doc_name string, page_number int, chunk_id int, start_char int, end_char int")
     pairs = spark.createDataFrame([("d", "q")], "doc_id string, question string")
-    r = a.nest_results(pairs, a.with_raw_page(rows, pages)).first()
-    assert r["best_answer"] == "best"
+    r = a.nest_results(pairs, rows, pages).first()
+    assert r["best_answer"] == "best" and [x["excerpt"] for x in r["alternatives"]] == ["Short."]
     assert [(x["response"], x["score"], x["start_char"], x["end_char"]) for x in r["alternatives"]] == [("other", 0.123, 2, 6)]
-    assert '"q":{"question":"q","best_answer":"best"' in a.results_json(a.nest_results(pairs, a.with_raw_page(rows, pages))).first()["results"]
+    assert '"q":{"question":"q","best_answer":"best"' in a.results_json(a.nest_results(pairs, rows, pages)).first()["results"]
 
 
 def test_generator_is_asked_once_per_prompt(spark):
