@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,15 +50,14 @@ def spaced_marks(c: Column | str, keep_numbers: bool = False) -> Column:
     return F.regexp_replace(col(c), before + r"([.,;:!?])(?=[\p{L}\p{N}_])", "$1 ")
 
 
-def _nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for t in texts:
-        yield t.str.normalize("NFKC")
+def _nfkc(texts: pa.Array) -> pa.Array:
+    return pa.array([t and unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
 def nfkc(df: DataFrame, name: str = "text") -> DataFrame:
-    """Unicode NFKC of one column. Only rows with other than ASCII characters make the trip through Python."""
-    other = F.coalesce(F.col(name).rlike(r"[^\x00-\x7F]"), F.lit(False))
-    return df.where(~other).unionByName(df.where(other).withColumn(name, F.pandas_udf(_nfkc, "string")(name)))
+    """Unicode NFKC of one column, in one pass: texts of ASCII alone are kept as they are and go through Python as null."""
+    other = F.when(F.col(name).rlike(r"[^\x00-\x7F]"), F.col(name))
+    return df.withColumn(name, F.coalesce(F.arrow_udf(_nfkc, "string")(other), F.col(name)))
 
 
 def clean_text(c: Column | str, keep_numbers: bool = False) -> Column:

@@ -178,11 +178,16 @@ ok AS (SELECT an.*, query FROM an JOIN cq USING (question) WHERE response <> ''
 # Sources.
 
 
-@query()
+@query("SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS length, md5(coalesce(text, '') || chr(10)) AS digest, (octet_length(encode(coalesce(text, ''))) // 8192 + 1)::BIGINT AS parts FROM documents")
 def src_files(spark, sf_dir):
-    """The files of the table of documents as bytes, with their names and digests."""
-    raw = files.read_files(spark, f"{sf_dir}/documents.parquet")
-    return raw.select("doc_name", F.length("content").cast("bigint").alias("length"), F.md5("content").alias("digest"))
+    """A file for each document, read whole and by ranges of 8,192 bytes."""
+    path = scratch(spark, "files")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs.repartition(4 * spark.sparkContext.defaultParallelism, "doc_id").write.partitionBy("doc_id").text(path)
+    whole = files.read_files(spark, path).select("doc_id", F.md5("content").alias("digest"))
+    parts = files.range_digests(files.read_ranges(files.list_files(spark, path), 8192)).select("doc_id", "length", "parts")
+    own = F.regexp_extract("doc_id", "doc_id=([0-9]+)/", 1).cast("bigint").alias("doc_id")
+    return parts.join(whole, "doc_id").select(own, "length", "digest", "parts")
 
 
 @query(f"SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'pdf' WHEN doc_id % 7 = 1 THEN 'docx' WHEN doc_id % 7 < 6 THEN 'image' ELSE 'text' END AS kind FROM documents")

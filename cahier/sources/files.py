@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,56 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select(F.col("path").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("doc_name"), "content")
 
 
+#: Bytes of a file that one row holds at most when files are read by ranges.
+RANGE_BYTES = 64 << 20
+
+
+def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """doc_id (the path), doc_name, length: no byte of a file is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    return files.select(F.col("path").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("doc_name"), "length")
+
+
+def _open(path: str):
+    """A file that executors reach: by the file system if it is mounted there, else by Arrow's (HDFS, S3, GCS)."""
+    if path.startswith("file:"):
+        return open(unquote(urlsplit(path).path), "rb")
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path)
+    return store.open_input_file(inner)
+
+
+def read_ranges(files: DataFrame, size: int = RANGE_BYTES) -> DataFrame:
+    """doc_id, doc_name, part, start, content for each range of ``size`` bytes of each of ``files`` (doc_id, doc_name,
+    length as of ``list_files``).
+
+    For files that are too large for one row or one task: ranges are rows of their own before a byte is read, dealt over
+    the cluster, and a task holds one range at a time. An empty file is one empty range.
+    """
+    parts = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size)))
+    ranges = files.select("doc_id", "doc_name", F.explode(parts).alias("part")).withColumn("start", F.col("part") * size)
+    dealt = ranges.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "part").select("doc_id", "doc_name", "part", "start")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                with _open(b.column(0)[i].as_py()) as f:
+                    f.seek(b.column(3)[i].as_py())
+                    content = f.read(size)
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in b.columns), pa.array([content], pa.binary())], [*b.schema.names, "content"])
+
+    return dealt.mapInArrow(run, "doc_id string, doc_name string, part long, start long, content binary")
+
+
+def range_digests(ranges: DataFrame) -> DataFrame:
+    """doc_id, length, parts, digest: SHA-256 of the ranges' SHA-256 in their order. Only digests leave the tasks, so a
+    file of any size is known by its content without being held anywhere."""
+    each = ranges.select("doc_id", "part", F.length("content").cast("long").alias("n"), F.sha2("content", 256).alias("d"))
+    order = F.array_join(F.sort_array(F.collect_list(F.struct("part", "d")))["d"], "")
+    return each.groupBy("doc_id").agg(F.sum("n").alias("length"), F.count("*").alias("parts"), F.sha2(order, 256).alias("digest"))
+
+
 def kind_of(name: Column) -> Column:
     """pdf, docx, image or text, by the name's ending in any case."""
     low = F.lower(name)
@@ -36,10 +90,9 @@ def decode_text(raw_files: DataFrame, divert: bool = False) -> DataFrame:
 
 def join_paragraphs(paragraphs: DataFrame, key: str = "doc_id", order: str = "pos", text: str = "text") -> DataFrame:
     """One unnumbered page per document from its paragraphs that are not blank, joined by line ends in their order."""
-    kept = paragraphs.where(~is_blank(text)).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, text))).alias("p"))
-    joined = kept.select(F.col(key).alias("_key"), F.array_join(F.col(f"p.{text}"), "\n").alias("text"))
-    keys = paragraphs.select(F.col(key)).distinct()
-    return keys.join(joined, keys[key] == joined["_key"], "left").select(key, F.lit(None).cast("int").alias("page_number"), F.coalesce("text", F.lit("")).alias("text"))
+    kept = F.collect_list(F.when(~is_blank(text), F.struct(order, text)))
+    joined = F.array_join(F.sort_array(kept)[text], "\n")
+    return paragraphs.groupBy(key).agg(joined.alias("text")).select(key, F.lit(None).cast("int").alias("page_number"), "text")
 
 
 def number_pages(pages: DataFrame, key: str = "doc_id", order: str = "pos", text: str = "text") -> DataFrame:
