@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cahier.functions.text import is_blank
+from cahier.sources.buckets import replace_documents
 
 NOT_FOUND = "Non trouvé"
 PROMPT = "Excerpt of a tender:\n%s\n\nAnswer from this excerpt only, in a few words, or with RAS if it does not say.\nQuestion: %s"
@@ -112,5 +113,5 @@ def results_json(results: DataFrame) -> DataFrame:
 
 
 def index_results(results: DataFrame, path: str) -> None:
-    """The latest results of each document, one folder each; a rerun replaces those of its own documents only."""
-    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
+    """The latest results of each document, in a table of hash buckets; a rerun replaces those of its own documents only."""
+    replace_documents(results, path)

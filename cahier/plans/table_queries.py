@@ -5,7 +5,7 @@ Customers stand for projects, orders for questions (so questions repeat), line i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cahier import schemas
@@ -254,22 +254,39 @@ def table_sink(spark, sf_dir):
     return pr.join(n, pr["id"] == n["project_id"], "left").select("id", "name", F.coalesce("n_queries", F.lit(0)).alias("n_queries"))
 
 
-@query("SELECT event_type AS question, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+@query("""SELECT event_type AS question, count(*) AS n, round(sum(value), 4) AS total, CASE WHEN sum(count(*)) OVER () < 100 THEN 'not_enough_feedback' ELSE 'ok' END AS status, sum(count(*)) OVER ()::BIGINT AS every, sum(count(*)) OVER () >= 100 AS opened FROM events GROUP BY event_type""")
 def feedback_stream(spark, sf_dir):
-    """The log as a stream of files, two at a time, with running counts per question."""
-    path, out = scratch(spark, "feedback"), scratch(spark, "counts")
+    """The log as a stream of files, two at a time, with running counts per question and the gate over all of them."""
+    path, out, gate = scratch(spark, "feedback"), scratch(spark, "counts"), scratch(spark, "gate")
     event_feedback(spark, sf_dir).repartition(4).write.json(path)
-    feeds.run_counts(feeds.feedback_counts(spark, path, 2), out, scratch(spark, "state")).awaitTermination()
-    return spark.read.parquet(out).select("question", "n", F.round("total", 4).alias("total"))
+    feeds.run_counts(feeds.feedback_counts(spark, path, 2), out, scratch(spark, "state"), gate).awaitTermination()
+    status = spark.read.parquet(f"{gate}/status").select("status", F.col("count").alias("every"))
+    opened = feeds.read_if_there(spark, f"{gate}/opened", feeds.GATE).agg((F.count("*") == 1).alias("opened"))
+    counts = spark.read.parquet(out).select("question", "n", F.round("total", 4).alias("total"))
+    return counts.crossJoin(F.broadcast(status)).crossJoin(F.broadcast(opened))
 
 
-@query(f"{sql_chunks(SQL_CONV)} SELECT doc_id, count(*) AS n_chunks FROM ch GROUP BY doc_id")
+@query(f"{sql_chunks(SQL_CONV)} SELECT doc_id, count(*) AS n_chunks, md5(string_agg(raw_chunk, '|' ORDER BY chunk_id)) AS texts, CASE WHEN doc_id % 3 = 0 THEN (SELECT count(*) FROM conversations c WHERE c.conv_id = ch.doc_id) ELSE 0 END AS n_late FROM ch GROUP BY doc_id")
 def ingest_stream(spark, sf_dir):
-    """Conversations as documents that arrive in files; documents seen before are left out."""
+    """Conversations whose pages arrive in three files; every other one says how many pages it has, the others wait for the
+    end. Every third comes once more when it is in the index, and is found among the late pages."""
     path, out, state = scratch(spark, "pages"), scratch(spark, "index"), scratch(spark, "state")
     pages = conv_pages(spark, sf_dir)
-    pages.repartition(3, "doc_id").write.parquet(path)
-    pages.where("doc_id % 2 = 0").repartition(1).write.mode("append").parquet(path)  # these come once more
-    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    feeds.run_ingest(stream, out, c.chunk_pages, state).awaitTermination()
-    return spark.read.parquet(out).groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+    n = F.when(F.col("doc_id") % 2 == 0, F.count("*").over(Window.partitionBy("doc_id")).cast("int"))
+    pages = cut_lineage(pages.withColumn("n_pages", n))
+
+    def arrive(rows):
+        rows.coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        feeds.run_ingest(stream, out, c.chunk_pages, state, "n_pages", patience=2).awaitTermination()
+
+    for part in range(3):
+        arrive(pages.where(F.col("page_number") % 3 == part))
+    for _ in range(2):
+        arrive(pages.where("false"))
+    arrive(pages.where("doc_id % 3 = 0"))
+    feeds.finish_ingest(spark, out, pages.schema, c.chunk_pages)
+    late = feeds.read_if_there(spark, f"{out}/late", pages.schema).groupBy("doc_id").agg(F.count("*").alias("n_late"))
+    texts = F.md5(F.array_join(F.sort_array(F.collect_list(F.struct("chunk_id", "text")))["text"], "|")).alias("texts")
+    made = feeds.read_index(spark, out).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), texts)
+    return made.join(late, "doc_id", "left").withColumn("n_late", F.coalesce("n_late", F.lit(0)))

@@ -16,6 +16,7 @@ from cahier.plans import jobs
 from cahier.session import cut_lineage, ensure_checkpoint_dir
 from cahier.sources import catalog as cat
 from cahier.sources import files
+from cahier.sources.buckets import open_table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -572,7 +573,7 @@ def index_results(spark, sf_dir):
     path, results = scratch(spark, "results"), cut_lineage(conv_results(spark, sf_dir))
     a.index_results(results, path)
     a.index_results(results.where("doc_id % 2 = 0").withColumn("best_answer", F.lit("rerun")), path)
-    return spark.read.parquet(path).select(F.col("doc_id").cast("bigint").alias("doc_id"), "question", "best_answer")
+    return open_table(spark, path).select("doc_id", "question", "best_answer")
 
 
 SQL_FLAGSHIP = f"""{sql_chunks(SQL_PAGES)}, {SQL_SUMMARY}, {SQL_TOPK}, {SQL_ANSWERS},
