@@ -51,14 +51,18 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def balls(m: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """(rows, unit centre, angle of the farthest row) of groups of at most BALL rows, halved along the widest axis."""
+    """(rows, unit centre, angle of the farthest row) of groups of at most BALL rows: larger ones are split between two
+    rows that lie far apart, or in the middle where that would leave one side with little."""
     todo = [rows]
     while todo:
         at = todo.pop()
         if len(at) > BALL:
-            axis = m[at].var(0).argmax()
-            order = at[np.argsort(m[at, axis], kind="stable")]
-            todo += [order[: len(at) // 2], order[len(at) // 2 :]]
+            one = m[at[(m[at] @ m[at[0]]).argmin()]]
+            side = m[at] @ (one - m[at[(m[at] @ one).argmin()]])
+            order = np.argsort(side, kind="stable")
+            cut = int((side < 0).sum())
+            cut = cut if len(at) // 16 <= cut <= len(at) - len(at) // 16 and 0 < cut < len(at) else len(at) // 2
+            todo += [at[order[:cut]], at[order[cut:]]]
             continue
         centre = m[at].sum(0)
         length = np.linalg.norm(centre)
@@ -69,34 +73,34 @@ def balls(m: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndar
 
 
 class _Owner:
-    """The k best items of one owner for every query of a task."""
+    """The k best items of one owner for every query of a task; -inf where there are fewer so far."""
 
     def __init__(self, queries: np.ndarray, k: int):
         self.queries, self.k = queries, k
-        self.scores, self.ids = np.zeros((len(queries), 0)), np.zeros((len(queries), 0), np.int64)
+        self.scores, self.ids = np.full((len(queries), k), -np.inf), np.zeros((len(queries), k), np.int64)
         self.pairs = self.pruned = 0
 
     def see(self, m: np.ndarray, ids: np.ndarray) -> None:
-        for at, centre, radius in balls(m, np.arange(len(m))):
-            self.pairs += len(self.queries)
-            asking = np.arange(len(self.queries))
-            if self.scores.shape[1] >= self.k:
-                away = np.arccos(np.clip(_product(self.queries, centre[None])[:, 0], -1, 1))
-                most = np.cos(np.maximum(away - radius, 0)) + SLACK
-                asking = np.flatnonzero(most >= self.scores[:, self.k - 1] - SLACK)
-                self.pruned += len(self.queries) - len(asking)
-            if len(asking):
-                self.add(asking, _product(self.queries[asking], m[at]), ids[at])
-
-    def add(self, asking: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        scores = np.concatenate([self.scores[asking], scores], 1)
+        """Every query meets its nearest ball first, which gives it a bound for all others."""
+        every = list(balls(m, np.arange(len(m))))
+        self.pairs += len(self.queries) * len(every)
+        away = np.arccos(np.clip(_product(self.queries, np.array([centre for _, centre, _ in every])), -1, 1))
+        most = np.cos(np.maximum(away - np.array([radius for *_, radius in every]), 0)) + SLACK
+        nearest = away.argmin(1)
+        for j, (at, *_) in enumerate(every):
+            self.add(np.flatnonzero(nearest == j), m[at], ids[at])
+        for j, (at, *_) in enumerate(every):
+            asking = (nearest != j) & (most[:, j] >= self.scores[:, -1] - SLACK)
+            self.pruned += int(((nearest != j) & ~asking).sum())
+            self.add(np.flatnonzero(asking), m[at], ids[at])
+
+    def add(self, asking: np.ndarray, m: np.ndarray, ids: np.ndarray) -> None:
+        if not len(asking):
+            return
+        scores = np.concatenate([self.scores[asking], _product(self.queries[asking], m)], 1)
         ids = np.concatenate([self.ids[asking], np.broadcast_to(ids, (len(asking), len(ids)))], 1)
         best = np.lexsort((ids, -np.round(scores, 9)), axis=1)[:, : self.k]
-        scores, ids = np.take_along_axis(scores, best, 1), np.take_along_axis(ids, best, 1)
-        if scores.shape[1] != self.scores.shape[1]:  # only while there are fewer than k, when all are asking
-            self.scores, self.ids = scores, ids
-        else:
-            self.scores[asking], self.ids[asking] = scores, ids
+        self.scores[asking], self.ids[asking] = np.take_along_axis(scores, best, 1), np.take_along_axis(ids, best, 1)
 
 
 def dense_topk(items: DataFrame, queries: DataFrame, k: int | None, owner: str, item: str, query: str, vector: str, pruned: Accumulator | None = None, pairs: Accumulator | None = None) -> DataFrame:
@@ -141,8 +145,8 @@ def dense_topk(items: DataFrame, queries: DataFrame, k: int | None, owner: str,
             return pa.concat_arrays(names), np.concatenate([np.pad(v, ((0, 0), (0, width - v.shape[1]))) for v in vectors])
 
         def emit(o, scores: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-            n, m = scores.shape
-            return pa.RecordBatch.from_arrays([pa.array([o], owner_type).take(pa.array(np.zeros(n * m, int))), held[0].take(pa.array(np.repeat(np.arange(n), m))), pa.array(ids.ravel()).cast(id_type), pa.array(scores.ravel())], [owner, query, item, "score"])
+            row, col = np.nonzero(scores > -np.inf)
+            return pa.RecordBatch.from_arrays([pa.array([o], owner_type).take(pa.array(np.zeros(len(row), int))), held[0].take(pa.array(row)), pa.array(ids[row, col]).cast(id_type), pa.array(scores[row, col])], [owner, query, item, "score"])
 
         def close() -> Iterator[pa.RecordBatch]:
             if at is not None:
@@ -150,8 +154,7 @@ def dense_topk(items: DataFrame, queries: DataFrame, k: int | None, owner: str,
                     pairs.add(at.pairs)
                 if pruned is not None:
                     pruned.add(at.pruned)
-                if at.scores.shape[1]:
-                    yield emit(who, at.scores, at.ids)
+                yield emit(who, at.scores, at.ids)
 
         for b in batches:
             id_type, owner_type = b.schema.field("i").type, b.schema.field("o").type

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cahier.session import cut_lineage
+
 MINIMUM = 100
 BATCH = 8
 
@@ -35,12 +37,20 @@ def shuffle_key(*cols: str, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols])), 1, 15), 16, 10).cast("bigint")
 
 
-def training_batches(rows: DataFrame, keys: tuple[str, ...], batch: int = BATCH, seed: int = 0, lanes: int = 16) -> DataFrame:
-    """rows + lane, batch, at: one epoch, shuffled by hash and cut into batches inside each of ``lanes`` lanes.
+def training_batches(rows: DataFrame, keys: tuple[str, ...], batch: int = BATCH, seed: int = 0, rows_per_task: int = 1_000_000) -> DataFrame:
+    """rows + batch, at: one epoch, shuffled by hash and cut into batches of ``batch`` rows, all full but the last.
 
-    A lane is what one reader takes; lanes are dealt by the same hash, so none needs all rows and a batch is full but
-    for the last of its lane.
+    Rows are dealt by ranges of the hash, as many as their number asks for, and sorted in their range; a row's place in
+    the epoch is its place in the range and the sizes of those before, so no task orders more than a range.
     """
-    keyed = rows.withColumn("_k", shuffle_key(*keys, seed=seed)).withColumn("lane", F.pmod("_k", F.lit(lanes)).cast("int"))
-    at = F.row_number().over(Window.partitionBy("lane").orderBy("_k", *keys)) - 1
-    return keyed.withColumn("_at", at).withColumn("batch", F.floor(F.col("_at") / batch).cast("int")).withColumn("at", (F.col("_at") % batch).cast("int")).drop("_k", "_at")
+    keyed = rows.withColumn("_k", shuffle_key(*keys, seed=seed))
+    parts = max(-(-keyed.count() // rows_per_task), rows.sparkSession.sparkContext.defaultParallelism)
+    ranged = keyed.repartitionByRange(parts, "_k", *keys).sortWithinPartitions("_k", *keys)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = cut_lineage(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", place))  # places must not be worked out again
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # one row per range
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    at = F.col("_start") + F.col("_row")
+    placed = ranged.join(F.broadcast(starts), "_part").withColumn("batch", F.floor(at / batch)).withColumn("at", (at % batch).cast("int"))
+    return placed.drop("_k", "_part", "_row", "_start")

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cahier import schemas
 from cahier.functions.text import clean_pages
 from cahier.operators import answers as a
 from cahier.operators import projects as p
@@ -25,7 +26,8 @@ def first_files(raw: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]
     """(the files to index, the rejected: doc_id, doc_name, error). Files of documents in ``index`` are rejected, and of
     several files with one id all but the first by name (of equal names, by digest).
 
-    Ids and names alone decide; the bytes stay where they are, but for files that come twice under one id and name.
+    Ids and names alone decide, and come back to the files by broadcast below a checked number; the bytes then stay where
+    they are, but for files that come twice under one id and name.
     """
     names = raw.select("doc_id", "doc_name")
     each = new_docs(names, index)
@@ -35,10 +37,10 @@ def first_files(raw: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]
     later = each.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_name"))).where("_n > 1").drop("_n")
     rejected = dup_docs(names, index).unionByName(later.withColumn("error", F.lit("document given twice")))
     named = raw.select("doc_id", "doc_name", "content", at)
-    fresh = named.join(picked.where("_n = 1"), ["doc_id", "_name"], "left_semi")
+    fresh = named.join(bounded(picked.where("_n = 1")), ["doc_id", "_name"], "left_semi")
     twice = picked.where("_n > 1")
     if not twice.isEmpty():
-        again = named.join(twice, ["doc_id", "_name"], "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("doc_name", "content", "_name"), F.sha2("content", 256)).alias("f"))
+        again = named.join(bounded(twice), ["doc_id", "_name"], "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("doc_name", "content", "_name"), F.sha2("content", 256)).alias("f"))
         fresh = fresh.unionByName(again.select("doc_id", "f.*").select(*fresh.columns))
     return fresh.select("doc_id", "doc_name", "content"), rejected
 
@@ -52,7 +54,7 @@ def index_files(raw: DataFrame, index: DataFrame, extractor: Callable[[str, byte
     fresh, rejected = first_files(raw, index)
     if originals is not None:
         keep_original(fresh, originals)
-        fresh = raw.sparkSession.read.parquet(originals).join(fresh.select("doc_id"), "doc_id", "left_semi").select("doc_id", "doc_name", "content")
+        fresh = raw.sparkSession.read.parquet(originals).join(bounded(fresh.select("doc_id")), "doc_id", "left_semi").select("doc_id", "doc_name", "content")
     kinds = classify(fresh)
     other = kinds.where("kind <> 'text'")
     if extractor is None:
@@ -129,3 +131,33 @@ def save(records: DataFrame, projects: DataFrame, summaries: DataFrame, first_qu
     queries = cut_lineage(p.surrogate_ids(p.flatten_queries(fresh), "project_id", ["query_ord"], first_query))
     answers = p.surrogate_ids(p.flatten_answers(queries, strict), "query_id", ["pos"], first_answer)
     return Saved(rows, queries.select("id", "project_id", "question", "best_answer"), answers.select("id", "query_id", "response", "score", "summary", "doc_name", "page_number", "chunk_id", "excerpt"), checked.where("error is not null"))
+
+
+@dataclass
+class Added:
+    queries: DataFrame
+    answers: DataFrame
+    rejected: DataFrame
+
+
+def add_questions(requests: DataFrame, projects: DataFrame, queries: DataFrame, answers: DataFrame, order: str, strict: bool = False) -> Added:
+    """Rows to append for questions that are added to saved projects. ``requests``: project_id, question, result (JSON of
+    one result) and ``order``, a column that tells which comes first.
+
+    Requests with a field that is null or empty, with a result that is no JSON, or for an unknown project are rejected
+    with an error. Questions are numbered on after the largest id in ``queries``, by project and then by ``order``, their
+    answers after that in ``answers``; equal questions are not merged.
+    """
+    checked = p.required_fields(requests, "project_id", "question", "result").withColumn("parsed", F.from_json("result", schemas.SAVED_RESULT[:-1] + ",_corrupt_record:string>"))
+    known = projects.select(F.col("id").alias("project_id"), F.lit(True).alias("_known")).distinct()
+    checked = checked.join(known, "project_id", "left")
+    error = F.coalesce("error", F.when(F.col("parsed").isNull() | F.col("parsed._corrupt_record").isNotNull(), "malformed result"), F.when(F.col("_known").isNull(), "unknown project"))
+    checked = cut_lineage(checked.withColumn("error", error).drop("_known"))
+    each = checked.where("error is null").select(order, "project_id", "question", F.col("parsed.best_answer").alias("best_answer"), F.col("parsed.alternatives").alias("alternatives"))
+
+    def largest(table: DataFrame) -> int:
+        return table.agg(F.max("id")).first()[0] or 0
+
+    numbered = cut_lineage(p.surrogate_ids(each, "project_id", [order], largest(queries)))
+    rows = p.surrogate_ids(p.flatten_answers(numbered, strict), "query_id", ["pos"], largest(answers))
+    return Added(numbered.drop("alternatives"), rows.drop("pos"), checked.where("error is not null").drop("parsed"))

@@ -13,6 +13,7 @@ from cahier.operators import chunks as c
 from cahier.operators import feedback as fb
 from cahier.operators import projects as p
 from cahier.operators.spans import locate_span as locate
+from cahier.plans import jobs
 from cahier.plans.text_queries import SQL_CONV, conv_pages, scratch, sql_chunks, table
 from cahier.session import cut_lineage
 from cahier.sources import tables
@@ -122,6 +123,25 @@ def add_query(spark, sf_dir):
     return good.withColumn("error", F.lit(None).cast("string")).unionByName(bad).select("id", "project_id", "error")
 
 
+@query(f"""WITH rq AS (SELECT o_orderkey AS request_id, o_custkey::VARCHAR AS project_id, o_orderkey % 5 AS kind, o_orderstatus AS status, o_orderpriority AS question FROM orders),
+ck AS (SELECT *, CASE WHEN kind = 1 THEN 'missing: result' WHEN kind = 0 THEN 'malformed result' WHEN project_id NOT IN (SELECT c_custkey::VARCHAR FROM customer WHERE c_mktsegment <> 'BUILDING') THEN 'unknown project' END AS error FROM rq),
+nm AS (SELECT request_id, (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY project_id, request_id) AS id FROM ck WHERE error IS NULL)
+SELECT request_id, id, CASE WHEN error IS NULL THEN status END AS best_answer, CASE WHEN error IS NULL THEN kind - 2 END::BIGINT AS n_answers,
+CASE WHEN error IS NULL AND kind > 2 THEN 1000 + sum(CASE WHEN error IS NULL THEN kind - 2 END) OVER (ORDER BY id NULLS LAST) END::BIGINT AS last_answer, error FROM ck LEFT JOIN nm USING (request_id)""")
+def add_question(spark, sf_dir):
+    """Orders as requests to add a question with its result, some without one, some malformed, with up to two answers;
+    numbered on after the saved questions and after a saved answer with the number 1000."""
+    kind = F.col("o_orderkey") % 5
+    alternative = F.struct(F.lit("r").alias("response"), F.lit(0.5).alias("score"))
+    result = F.to_json(F.struct(F.col("o_orderstatus").alias("best_answer"), F.array_repeat(alternative, (kind - 2).cast("int")).alias("alternatives")))
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").cast("string").alias("project_id"), F.col("o_orderpriority").alias("question"), F.when(kind == 0, "{").when(kind > 1, result).alias("result"))
+    known = table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").cast("string").alias("id"))
+    made = jobs.add_questions(asked, known, queries(spark, sf_dir), spark.range(1000, 1001), "request_id")
+    n = made.answers.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n_answers"), F.max("id").alias("last_answer"))
+    good = made.queries.join(n, "id", "left").select("request_id", "id", "best_answer", F.coalesce("n_answers", F.lit(0)).alias("n_answers"), "last_answer")
+    return good.withColumn("error", F.lit(None).cast("string")).unionByName(made.rejected.select("request_id", "error"), allowMissingColumns=True)
+
+
 @query("SELECT event_id AS id, event_type AS name, CASE WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS uploaded_at FROM events UNION ALL SELECT o_orderkey, 'order', strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') FROM orders")
 def list_projects(spark, sf_dir):
     """Times with fractions from events and without from orders."""
@@ -222,9 +242,9 @@ def training_pairs(spark, sf_dir):
 
 
 @query("""WITH k AS (SELECT doc_id, ('0x' || substr(md5('0|' || doc_id), 1, 15))::BIGINT AS k FROM labels JOIN documents USING (doc_id)),
-n AS (SELECT doc_id, (k % 16)::INT AS lane, row_number() OVER (PARTITION BY k % 16 ORDER BY k, doc_id) - 1 AS r FROM k) SELECT doc_id, lane, (r // 8)::INT AS batch, (r % 8)::INT AS "at" FROM n""")
+n AS (SELECT doc_id, row_number() OVER (ORDER BY k, doc_id) - 1 AS r FROM k) SELECT doc_id, (r // 8)::BIGINT AS batch, (r % 8)::INT AS "at" FROM n""")
 def training_batches(spark, sf_dir):
-    return fb.training_batches(feedback(spark, sf_dir), ("doc_id",)).select("doc_id", "lane", "batch", "at")
+    return fb.training_batches(feedback(spark, sf_dir), ("doc_id",)).select("doc_id", "batch", "at")
 
 
 @query("SELECT event_type AS question, props AS response, value AS score FROM events")

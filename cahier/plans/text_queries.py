@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from cahier.functions.vectors import dense_topk
 from cahier.operators import answers as a
 from cahier.operators import chunks as c
 from cahier.operators import ingest, retrieval, seams, summaries
+from cahier.operators.calls import Calls, generate
 from cahier.plans import jobs
 from cahier.session import cut_lineage, ensure_checkpoint_dir
 from cahier.sources import catalog as cat
@@ -482,6 +485,34 @@ def answer(spark, sf_dir):
     return retrieval.extract_answer(hits, summaries_, asked).select("doc_id", "question", "rank", "response")
 
 
+def unsteady(marker: str, calls_: Calls) -> Calls:
+    """A stand-in for a model behind a network: it fails on some prompts, hangs on others, and returns nothing to some."""
+
+    def call(prompt: str) -> str | None:
+        if len(prompt) % 7 == 0:
+            raise ConnectionError("refused")
+        if len(prompt) % 101 == 1:
+            time.sleep(1.5)
+        return None if len(prompt) % 11 == 0 else f"{marker} {prompt[:20]}"
+
+    return replace(calls_, call=call)
+
+
+@query("""WITH p AS (SELECT conv_id, turn, coalesce(text, '') AS t, text IS NULL AS no FROM conversations)
+SELECT conv_id, turn, CASE WHEN no OR length(t) % 7 = 0 OR length(t) % 101 = 1 OR length(t) % 11 = 0 THEN 'Erreur' ELSE 'first ' || substr(t, 1, 20) END AS made,
+CASE WHEN no THEN NULL WHEN length(t) % 7 = 0 THEN 'ConnectionError: refused' WHEN length(t) % 101 = 1 THEN 'no answer in 0.3 s' END AS error FROM p""")
+def generator_calls(spark, sf_dir):
+    """All turns as prompts to a generator that fails on some; a second run over the same table of results sends nothing,
+    or its texts would differ."""
+    store, turns = scratch(spark, "calls"), table(spark, sf_dir, "conversations")
+    how = Calls(lambda p: None, concurrent=16, timeout=0.3, retries=1, pause=0.01)
+    n = 4 * spark.sparkContext.defaultParallelism
+    first = generate(turns, "text", unsteady("first", how), "made", seams.FAILED, n, store, error="error")
+    first.write.format("noop").mode("overwrite").save()
+    again = generate(turns, "text", unsteady("second", how), "made", seams.FAILED, n, store, error="error")
+    return again.select("conv_id", "turn", "made", "error")
+
+
 @query(f"WITH {SQL_QA} SELECT doc_id, rank, response FROM qa WHERE response <> '' AND NOT contains(lower(response), 'ras')")
 def abstain_filter(spark, sf_dir):
     return a.abstain_filter(answer_rows(spark, sf_dir)).select("doc_id", "rank", "response")

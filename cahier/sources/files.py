@@ -23,7 +23,7 @@ RANGE_BYTES = 64 << 20
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """doc_id (the path), doc_name, length: no byte of a file is read."""
+    """doc_id (the path), doc_name, length: no byte of a file is read. Spark's reader passes over empty files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     return files.select(F.col("path").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("doc_name"), "length")
 
@@ -43,7 +43,7 @@ def read_ranges(files: DataFrame, size: int = RANGE_BYTES) -> DataFrame:
     length as of ``list_files``).
 
     For files that are too large for one row or one task: ranges are rows of their own before a byte is read, dealt over
-    the cluster, and a task holds one range at a time. An empty file is one empty range.
+    the cluster, and a task holds one range at a time.
     """
     parts = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size)))
     ranges = files.select("doc_id", "doc_name", F.explode(parts).alias("part")).withColumn("start", F.col("part") * size)

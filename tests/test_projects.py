@@ -63,9 +63,10 @@ def test_gate(spark, n, status):
 
 def test_batches(spark):
     rows = spark.range(500).withColumnRenamed("id", "doc_id")
-    got = fb.training_batches(rows, ("doc_id",), 8, 3, 4).groupBy("lane", "batch").agg(F.count("*").alias("n"), F.max("at").alias("top")).collect()
-    full = [r for r in got if r["n"] == 8]
-    assert len(got) - len(full) <= 4 and all(r["top"] == r["n"] - 1 for r in got)
+    got = [(r["batch"], r["at"], r["doc_id"]) for r in fb.training_batches(rows, ("doc_id",), 8, 3, 40).collect()]
+    assert sorted(x[:2] for x in got) == [(i // 8, i % 8) for i in range(500)] and len({x[2] for x in got}) == 500
+    assert sorted(got) == sorted((r["batch"], r["at"], r["doc_id"]) for r in fb.training_batches(rows.repartition(3), ("doc_id",), 8, 3).collect())
+    assert fb.training_batches(rows.where("false"), ("doc_id",)).collect() == []
 
 
 def test_feedback_log(spark, tmp_path):
