@@ -15,6 +15,7 @@ is put together by one aggregation. So neither the driver nor a worker holds mor
 from __future__ import annotations
 
 import functools
+import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cahier.llm.words import ALNUM, Words, text_blocks
+from cahier.llm.words import ALNUM, Words, grams, mix, text_blocks
 from cahier.session import cut_lineage
 
 BLOCK_BYTES = 8 << 20
@@ -101,15 +102,63 @@ class Items:
         self.first = np.append(w.first[:-1][full], len(w))
         self.item = np.repeat(np.arange(len(self.names)), np.diff(self.first))
 
-
-def _ranges(order: np.ndarray, ids: np.ndarray, known: np.ndarray, items: Items, window: int) -> tuple[np.ndarray, ...]:
-    """Suffixes of items (places in ``items.hash``) whose window occurs: suffix, words of the window, its range in ``order``."""
+    def windows(self, window: int) -> Windows:
+        """Worked out once per worker, not sent along."""
+        if getattr(self, "_windows", None) is None or self._windows.size != window:
+            self._windows = Windows(self, window)
+        return self._windows
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_windows"}
+
+
+class Windows:
+    """The different windows of a block of items: for each one suffix that begins with it (``suffix``), and the number of
+    the set of ids of all items that have it (``set``). However many items share a window, it is searched once, and their
+    ids are held once (``ids``, from ``first[i]`` to ``first[i + 1]`` for set i, as places in ``names``, which are sorted)."""
+
+    def __init__(self, items: Items, window: int):
+        self.size = window
+        need = np.minimum(window, np.diff(items.first))[items.item]
+        suffix = np.flatnonzero(items.first[1:][items.item] - np.arange(len(items.hash)) >= need)
+        key = np.zeros(len(suffix), np.uint64)
+        for n in np.unique(need):
+            mine = need[suffix] == n
+            key[mine] = mix(grams(items.hash, int(n))[suffix[mine]] + np.uint64(n))
+        _, first, of = np.unique(key, return_index=True, return_inverse=True)
+        self.suffix = suffix[first]
+        self.names, name = np.unique(np.array([str(n) for n in items.names], object), return_inverse=True) if items.names else (np.zeros(0, object), np.zeros(0, int))
+        pair = np.unique(of * max(len(self.names), 1) + name[items.item[suffix]])
+        window_of, ids = pair // max(len(self.names), 1), pair % max(len(self.names), 1)
+        begin = np.searchsorted(window_of, np.arange(len(first)))
+        # Equal sets by a sum of hashes of their ids and by their size.
+        total = np.add.reduceat(mix(ids.astype(np.uint64) + np.uint64(1)), begin) if len(begin) else np.zeros(0, np.uint64)
+        size = np.diff(np.append(begin, len(pair)))
+        _, one, self.set = np.unique(mix(total) + size.astype(np.uint64), return_index=True, return_inverse=True)
+        self.first = np.concatenate([[0], np.cumsum(size[one])]).astype(np.int64)
+        self.ids = np.concatenate([ids[begin[i] : begin[i] + size[i]] for i in one]) if len(one) else np.zeros(0, np.int64)
+        self.known: dict[bytes, tuple[int, str]] = {}
+
+    def digest(self, sets: np.ndarray) -> tuple[int, str]:
+        """(number of ids in the union of these sets, SHA-256 of them, sorted and joined by commas); once per union."""
+        at = sets.astype(np.int64).tobytes()
+        if at not in self.known:
+            if len(self.known) > 10_000:
+                self.known.clear()
+            every = np.unique(np.concatenate([self.ids[self.first[i] : self.first[i + 1]] for i in sets])) if len(sets) else np.zeros(0, np.int64)
+            self.known[at] = (len(every), hashlib.sha256(",".join(self.names[every]).encode()).hexdigest())
+        return self.known[at]
+
+
+def _ranges(order: np.ndarray, ids: np.ndarray, known: np.ndarray, items: Items, window: int, suffix: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Suffixes of items (places in ``items.hash``; those given, or all) whose window occurs: suffix, words of the window,
+    its range in ``order``."""
     lengths = np.diff(items.first)
     q = np.searchsorted(known, items.hash)
     q = np.where((q < len(known)) & (known[np.minimum(q, len(known) - 1)] == items.hash), q + 1, _END).astype(np.int32)
     padded = np.append(q, np.full(window, _END, np.int32))
     need = np.minimum(window, lengths)[items.item]
-    suffix = np.flatnonzero(items.first[1:][items.item] - np.arange(len(q)) >= need)
+    suffix = np.flatnonzero(items.first[1:][items.item] - np.arange(len(q)) >= need) if suffix is None else suffix
     # A window with a word that no document of the shard has is not looked for.
     unknown = np.concatenate([[0], np.cumsum(q == _END)])
     suffix = suffix[unknown[suffix + need[suffix]] == unknown[suffix]]
@@ -127,6 +176,22 @@ def _ranges(order: np.ndarray, ids: np.ndarray, known: np.ndarray, items: Items,
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def find_sets(order: np.ndarray, ids: np.ndarray, known: np.ndarray, items: Items, window: int, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which words of the shard are hit by any item; and (text, set of ``items.windows``) pairs, sorted, for the texts that
+    begin at ``begins``. A place has one window of each length, so there are no more pairs than places and lengths."""
+    w = items.windows(window)
+    suffix, need, lo, hi = _ranges(order, ids, known, items, window, w.suffix)
+    back = np.argsort(w.suffix)
+    number = w.set[back[np.searchsorted(w.suffix, suffix, sorter=back)]]
+    edge, pairs, sets = np.zeros(len(ids) + 1, np.int64), np.zeros(0, np.int64), len(w.first)
+    for some in _pieces(hi - lo):
+        which, pos = _places(order, lo[some], (hi - lo)[some])
+        np.add.at(edge, pos, 1)
+        np.subtract.at(edge, pos + need[some][which], 1)
+        pairs = np.unique(np.append(pairs, (np.searchsorted(begins, pos, "right") - 1) * sets + number[some][which]))
+    return np.cumsum(edge)[:-1] > 0, pairs // sets, pairs % sets
+
+
 def _union(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches that intervals cover, in order; intervals that touch are one."""
     by = np.argsort(first)
@@ -214,16 +279,20 @@ def _shards(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.R
         yield b, Words(data, off, ALNUM, lower=True)
 
 
-def _search(words: Words, items: Items, window: int) -> tuple[np.ndarray, list[tuple]]:
-    """Which words are hit, and (text, name of the item, word in text, words, longest, word in item) for each stretch."""
+def _apart(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(different hashes, numbers of the words with 0 between texts, where each word stands there, where each text begins)."""
     known, number = np.unique(words.hash, return_inverse=True)
-    # 0 parts the texts: word j of text i stands at j + i.
-    doc = words.doc()
+    # Word j of text i stands at j + i.
     ids = np.zeros(len(words) + len(words.first) - 1, np.int32)
-    apart = np.arange(len(words)) + doc
+    apart = np.arange(len(words)) + words.doc()
     ids[apart] = number + 1
+    return known, ids, apart, words.first + np.arange(len(words.first))
+
+
+def _search(words: Words, items: Items, window: int) -> tuple[np.ndarray, list[tuple]]:
+    """Which words are hit, and (text, name of the item, word in text, words, longest, word in item) for each stretch."""
+    known, ids, apart, first = _apart(words)
     hit, stretches = find(suffix_array(ids, window), ids, known, items, window)
-    first = words.first + np.arange(len(words.first))
     out = []
     for it, at, size, longest, word in stretches:
         d = np.searchsorted(first, at, "right") - 1
@@ -259,6 +328,19 @@ def _judge(words: Words, items: Items, window: int) -> tuple[np.ndarray, np.ndar
     return np.concatenate([[0], np.cumsum(hit)])[words.first], hit, found
 
 
+def _sets(words: Words, items: Items, window: int) -> tuple[np.ndarray, list[tuple[int, str]]]:
+    """Of each text of a shard: how many of its words are hit, and (number, digest) of the items whose windows it has."""
+    n = len(words.first) - 1
+    w = items.windows(window)
+    if not items.names or not len(words):
+        return np.zeros(n, np.int64), [w.digest(np.zeros(0, np.int64))] * n
+    known, ids, apart, begins = _apart(words)
+    hit, text, number = find_sets(suffix_array(ids, window), ids, known, items, window, begins)
+    at = np.searchsorted(text, np.arange(n + 1))
+    upto = np.concatenate([[0], np.cumsum(hit[apart])])[words.first]
+    return np.diff(upto), [w.digest(number[a:z]) for a, z in zip(at[:-1], at[1:])]
+
+
 def _spans(found: list[list[tuple]]) -> pa.Array:
     return pa.array([[dict(zip(("item_id", "doc_word", "n_words", "longest", "item_word"), s)) for s in sorted(set(x))] for x in found], pa.list_(SPAN))
 
@@ -320,6 +402,31 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def matched_items(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated: as of ``matches``, with the
+    ids of the items that match a text counted and digested (sorted as strings, joined by commas) in place of their spans.
+
+    Every different window of the items is searched once, and texts refer to sets of items by number, so memory does not
+    grow with the number of (text, item) pairs, however many items share a window.
+    """
+    blocks = _blocks(benchmark, item_col, text_col)
+    first, second = next(blocks), next(blocks, None)
+    if second is not None:
+        found = matches(docs, benchmark, window, id_col, text_col, item_col)
+        items = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item_id"].cast("string"))))
+        return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated")
+    slim, shared = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), docs.sparkSession.sparkContext.broadcast(first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, words in _shards(batches, 1):
+            n_hit, items = _sets(words, shared.value, window)
+            count, digest = zip(*items)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
+
+    found = slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string")
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The rows of ``docs`` of which less than a twentieth of the words is in a span; columns unchanged, with any names.
 
@@ -336,7 +443,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, words in _shards(batches, at):
-            n_hit = np.diff(_judge(words, shared.value, window)[0])
+            n_hit = _sets(words, shared.value, window)[0]
             yield b.filter(pa.array((n_hit == 0) | (20 * n_hit < words.counts)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -66,11 +66,9 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cahier.llm.decontamination import matches
+    from cahier.llm.decontamination import matched_items
 
-    found = matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13)
-    items = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item_id"].cast("string"))))
-    return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated")
+    return matched_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

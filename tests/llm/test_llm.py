@@ -271,7 +271,7 @@ def test_suffix_array():
 
 
 def test_decontamination(spark, docs, rows, none):
-    from cahier.llm.decontamination import drop_contaminated, matches
+    from cahier.llm.decontamination import drop_contaminated, matched_items, matches
 
     from .conftest import text
 
@@ -294,6 +294,10 @@ def test_decontamination(spark, docs, rows, none):
         want.append((i, len(w), len(hit), sorted(found), bool(hit and 20 * len(hit) >= len(w))))
     got = [(r["doc_id"], r["n_words"], r["n_hit"], sorted({s["item_id"] for s in r["spans"]}), r["contaminated"]) for r in matches(docs, bench).collect()]
     assert sorted(got) == sorted(want) and any(x[4] for x in want)
+    digest = lambda found: hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
+    sets = [(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in matched_items(docs, bench).collect()]
+    assert sorted(sets) == sorted((i, n, h, len(f), digest(f), c) for i, n, h, f, c in want)
+    assert matched_items(none, bench).count() == 0 and matched_items(docs, bench.where("false")).where("n_items > 0").count() == 0
     assert sorted(r["doc_id"] for r in drop_contaminated(docs, bench).collect()) == sorted(x[0] for x in want if not x[4])
     assert matches(none, bench).count() == 0 and matches(docs, bench.where("false")).where("n_hit > 0").count() == 0
 
@@ -304,9 +308,11 @@ def test_decontamination_in_blocks(spark, docs, monkeypatch):
     bench = docs.where("doc_id < 20").select(F.col("doc_id").alias("item_id"), "text")
     whole = listed(d.matches(docs, bench), "doc_id", "n_hit")
     kept = listed(d.drop_contaminated(docs, bench), *docs.columns)
+    sets = listed(d.matched_items(docs, bench), "doc_id", "n_items", "items_sha256")
     spans = [str(sorted(r["spans"])) for r in d.matches(docs, bench).orderBy("doc_id", "n_words").collect()]
     monkeypatch.setattr(d, "BLOCK_BYTES", 3000)
     monkeypatch.setattr(d, "RUN_PAIRS", 64)
+    assert listed(d.matched_items(docs, bench), "doc_id", "n_items", "items_sha256") == sets
     assert len(list(d._blocks(bench, "item_id", "text"))) > 3 and listed(d.matches(docs, bench), "doc_id", "n_hit") == whole
     assert listed(d.drop_contaminated(docs, bench), *docs.columns) == kept
     assert [str(sorted(r["spans"])) for r in d.matches(docs, bench).orderBy("doc_id", "n_words").collect()] == spans
@@ -357,6 +363,25 @@ def test_longest_matches(seed, pairs):
     assert hit.tolist() == marks and set(found) == want
 
 
+def test_many_items_with_one_window_in_bounded_memory():
+    """A hundred thousand items that share a window, and four hundred texts that have it: no (text, item) pair is held."""
+    import tracemalloc
+
+    import cahier.llm.decontamination as d
+
+    shared = "a b c d e f g h i j k l m"
+    items = d.Items(list(range(100_000)), [f"x{i} {shared} y{i % 7}" for i in range(100_000)])
+    raw = " . ".join([shared, "z"] * 400).encode()
+    ends = np.cumsum([0, *[len(f"{shared} . z . ")] * 399, len(f"{shared} . z")])
+    words_ = d.Words(np.frombuffer(raw, np.uint8), ends, d.ALNUM, lower=True)
+    tracemalloc.start()
+    n_hit, found = d._sets(words_, items, 13)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = hashlib.sha256(",".join(sorted(map(str, range(100_000)))).encode()).hexdigest()
+    assert n_hit.tolist() == [13] * 400 and set(found) == {(100_000, want)} and peak < 600 << 20
+
+
 def test_repetitive_texts_are_searched_in_bounded_memory():
     """One word a million times and an item of 300 of it: pairs of suffixes and places are never all held."""
     import tracemalloc
