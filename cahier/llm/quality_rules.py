@@ -1,14 +1,17 @@
 """Quality rules with risk-controlled thresholds.
 
-Labelled holdouts decide, per stratum, how strict each rule may be: a cutoff is allowed when the exact binomial bound
-says that it falsely rejects at most ``risk`` of the good documents. Multiple testing: Bonferroni over strata and
-rules; the cutoffs of a rule are tested in a fixed sequence from the most lenient on, which needs no further
-correction (the p-values rise along it, so it ends at the strictest cutoff that passes). A rule without one never fires. Everything is DataFrame expressions; all per-document work happens inside the document's own row.
+Labelled holdouts decide, per stratum, how strict the rules may be together: of the good documents of a stratum at most
+``risk`` may be rejected by any rule, the base rules included. One half of a stratum's holdout, by hash of the id, puts
+all (rule, cutoff) pairs in one order, those that reject fewest first. The other half then tests that order step by step:
+a step is allowed when the exact binomial bound says that all rules up to it, and the base rules, falsely reject at most
+``risk``. The order is fixed before the test and ends at the first step that fails (a fixed sequence), so the steps need no
+correction; the strata have Bonferroni's. Where even the base rules alone fail the test, or the holdout is too small, no
+rule fires. Everything is DataFrame expressions; all per-document work happens inside the document's own row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cahier.session import cut_lineage
@@ -103,23 +106,64 @@ def log_binomial_cdf(k: Column, n: Column, p: float) -> Column:
 _LOG_FACTORIALS = [0.0, 0.0, 0.6931471805599453, 1.791759469228055, 3.1780538303479458, 4.787491742782046, 6.579251212010101, 8.525161361065415, 10.60460290274525, 12.801827480081469]
 
 
-def thresholds(feats: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """stratum, rule, cutoff, n_good, n_false: the strictest cutoff per stratum and rule that the labelled holdout allows.
+def base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
+#: All steps that a stratum's order has: (rule, cutoff), by rule and from the lowest cutoff on.
+STEPS = [(r, c) for r in RULES for c in CUTOFFS]
+
+
+def _order(half: DataFrame) -> DataFrame:
+    """stratum, order: for each of STEPS its place (from 1) in the stratum's order, by the good documents of this half that
+    it rejects beyond the base rules, then the higher cutoff, then the rule. Along a rule cutoffs fall."""
+    counts = half.groupBy("stratum").agg(*[F.count_if(~F.col("base") & (F.col(r) > c)).alias(f"n_{i}") for i, (r, c) in enumerate(STEPS)])
+    keyed = F.array_sort(F.array(*[F.struct(F.col(f"n_{i}").alias("n"), F.lit(-c).alias("c"), F.lit(i).alias("i")) for i, (_, c) in enumerate(STEPS)]))
+    places = F.sort_array(F.transform(keyed, lambda x, at: F.struct(x["i"].alias("i"), (at + 1).alias("at"))))
+    return counts.select(F.col("stratum").alias("_s"), F.transform(places, lambda x: x["at"]).alias("order"))
 
-    The holdout is all labelled documents with label 1, of which a false rejection is a document above the cutoff. An
-    id that is labelled twice is good if any label is; rows that share an id and a stratum are one document, above a
-    cutoff if any of them is; rows without an id are not in the holdout. A cutoff passes when P(X <= n_false) <= delta /
-    (strata x rules) for X ~ Binomial(n_good, risk). A null stratum is one of its own. No labels: no thresholds.
+
+def _first_step() -> Column:
+    """The place of the first step that rejects a document: 0 if the base rules do, null if none does. A rule's first is
+    that of the largest cutoff below its ratio."""
+    at = []
+    for k, r in enumerate(RULES):
+        below = sum((F.when(F.col(r) > c, 1).otherwise(0) for c in CUTOFFS[1:]), F.when(F.col(r) > CUTOFFS[0], 1).otherwise(0))
+        at.append(F.when(below > 0, F.element_at("order", (below + k * len(CUTOFFS)).cast("int"))))
+    return F.when(F.col("base"), F.lit(0)).otherwise(F.least(*at))
+
+
+def thresholds(feats: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """stratum, rule, cutoff, n_good, n_false: the strictest cutoffs of each stratum that the labelled holdout allows
+    together, with the size of the half that tested them and its documents that all of them and the base rules reject.
+
+    The holdout is all labelled documents with label 1. An id that is labelled twice is good if any label is; rows that
+    share an id and a stratum are one document, rejected if any of them is; rows without an id are not in the holdout. A
+    step passes when P(X <= n_false) <= delta / strata for X ~ Binomial(n_good, risk); with probability 1 - delta no
+    stratum whose rules fire rejects more than ``risk`` of its good documents. A null stratum is one of its own. No
+    labels: no thresholds. Strata are few rows; they are broadcast up to BROADCAST_ROWS and joined by shuffle beyond.
     """
     good = labels.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label_col)).alias("y")).where("y = 1").select("doc_id")
-    once = feats.join(good, "doc_id", "left_semi").groupBy("stratum", "doc_id").agg(*[F.max(v).alias(r) for r, v in ratios().items()])
-    held = once.select("stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("ratio")) for r in RULES])).alias("x"))
-    counts = cut_lineage(held.groupBy("stratum", F.col("x.rule").alias("rule")).agg(F.count("*").alias("n_good"), *[F.count_if(F.col("x.ratio") > c).alias(f"above_{i}") for i, c in enumerate(CUTOFFS)]))
-    strata = counts.select("stratum").distinct().count()
-    each = counts.select("stratum", "rule", "n_good", F.explode(F.array(*[F.struct(F.lit(c).alias("cutoff"), F.col(f"above_{i}").alias("n_false")) for i, c in enumerate(CUTOFFS)])).alias("x")).select("stratum", "rule", "n_good", "x.cutoff", "x.n_false")
-    level = F.log(F.lit(delta / (max(1, strata) * len(RULES))))
+    rated = feats.withColumn("base", base_failed()).select("stratum", "doc_id", "base", *[v.alias(r) for r, v in ratios().items()])
+    once = rated.join(good, "doc_id", "left_semi").groupBy("stratum", "doc_id").agg(F.max("base").alias("base"), *[F.max(r).alias(r) for r in RULES])
+    once = cut_lineage(once.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2))))
+    order = cut_lineage(_order(once.where("half = 0")))
+    strata = once.select("stratum").distinct().count()
+    small = F.broadcast(order) if strata <= BROADCAST_ROWS else order
+    tested = once.where("half = 1").join(small, F.col("stratum").eqNullSafe(F.col("_s"))).select("stratum", _first_step().alias("at"))
+    n_good = tested.groupBy(F.col("stratum").alias("_s")).agg(F.count("*").alias("n_good"))
+    rejected = tested.where("at is not null").groupBy(F.col("stratum").alias("_r"), "at").agg(F.count("*").alias("n"))
+    steps = n_good.select("_s", "n_good", F.explode(F.sequence(F.lit(0), F.lit(len(STEPS)))).alias("step"))
+    each = steps.join(rejected, F.col("_s").eqNullSafe(F.col("_r")) & (F.col("step") == F.col("at")), "left")
+    upto = Window.partitionBy("_s").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # one row per step
+    each = each.select("_s", "step", "n_good", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("n_false"))
+    level = F.log(F.lit(delta / max(1, strata)))
     passed = each.where(log_binomial_cdf(F.col("n_false"), F.col("n_good"), risk) <= level)
-    return passed.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"), F.min_by("n_good", "cutoff").alias("n_good"), F.min_by("n_false", "cutoff").alias("n_false"))
+    # More rejected never pass where fewer did not, so what passes is a beginning of the order.
+    last = passed.groupBy(F.col("_s").alias("stratum")).agg(F.max("step").alias("last"), F.max_by("n_good", "step").alias("n_good"), F.max_by("n_false", "step").alias("n_false"))
+    named = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff")) for r, c in STEPS])
+    allowed = last.join(order, F.col("stratum").eqNullSafe(F.col("_s"))).select("stratum", "last", "n_good", "n_false", F.explode(F.arrays_zip(named.alias("step"), F.col("order").alias("place"))).alias("x")).where("x.place <= last")
+    return allowed.groupBy("stratum", F.col("x.step.rule").alias("rule")).agg(F.min("x.step.cutoff").alias("cutoff"), F.first("n_good").alias("n_good"), F.first("n_false").alias("n_false"))
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
@@ -134,7 +178,6 @@ def apply_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: f
     limits = thresholds(feats, labels, risk, delta, id_col).groupBy(F.col("stratum").alias("_stratum")).pivot("rule", list(RULES)).agg(F.first("cutoff"))
     limits = cut_lineage(limits.select("_stratum", *[F.col(r).alias(f"max_{r}") for r in RULES]))
     limits = F.broadcast(limits) if limits.count() <= BROADCAST_ROWS else limits
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     failed = F.filter(F.array(*[F.when(v > F.col(f"max_{r}"), F.lit(r)) for r, v in ratios().items()]), lambda x: x.isNotNull())
-    judged = feats.join(limits, F.col("stratum").eqNullSafe(F.col("_stratum")), "left").withColumn("base_failed", base).withColumn("failed_rules", failed)
+    judged = feats.join(limits, F.col("stratum").eqNullSafe(F.col("_stratum")), "left").withColumn("base_failed", base_failed()).withColumn("failed_rules", failed)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.array_join("failed_rules", ",").alias("failed_rules"), (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"))

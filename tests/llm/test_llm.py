@@ -146,8 +146,8 @@ def test_mixing_of_ties_and_repeated_rows(spark, monkeypatch):
 # 10
 
 
-def brute_kept(rows, labels, risk, delta):
-    """id -> kept, by exact binomial sums over the labelled holdout."""
+def brute_kept(rows, labels, risk, delta, halves):
+    """id -> kept, by exact binomial sums over the tested half of the labelled holdout."""
     from cahier.llm.quality_rules import CUTOFFS
 
     def counts(t):
@@ -159,23 +159,31 @@ def brute_kept(rows, labels, risk, delta):
         marks = sum(not (c.isalnum() or c in " \t\n\x0b\x0c\r") for c in t)
         return len(w), len(inside), [ratio(len(re.findall(r"[#*$%&|<>]", t)), chars), ratio(len(lines) - len(set(lines)), len(lines)), ratio(len(inside), len(w)), ratio(marks, chars)]
 
-    good, worst = {i for i, y in labels if y == 1}, {}
+    def base(t):
+        n, repeated, _ = counts(t)
+        return n < 20 or 100 * repeated > 30 * n
+
+    good, worst = {i for i, y in labels if y == 1 and i is not None}, {}
     for i, t, lang, _ in rows:
         if i in good:
-            worst[lang, i] = [max(a, b) for a, b in zip(worst.get((lang, i), [0.0] * 4), counts(t)[2])]
+            was = worst.get((lang, i), (False, [0.0] * 4))
+            worst[lang, i] = was[0] or base(t), [max(a, b) for a, b in zip(was[1], counts(t)[2])]
     strata, limit = {lang for lang, _ in worst}, {}
     for lang in strata:
-        for k in range(4):
-            x = [r[k] for (stratum, _), r in worst.items() if stratum == lang]
-            for c in CUTOFFS:
-                bad = sum(v > c for v in x)
-                if sum(math.comb(len(x), j) * risk**j * (1 - risk) ** (len(x) - j) for j in range(bad + 1)) <= delta / (len(strata) * 4):
-                    limit[lang, k] = c
-                    break
+        half = [[v for (stratum, i), v in worst.items() if stratum == lang and halves[i] == h] for h in (0, 1)]
+        steps = sorted((sum(not b and r[k] > c for b, r in half[0]), -c, k) for k in range(4) for c in CUTOFFS)
+        n, allowed = len(half[1]), {}
+        for at in range(len(steps) + 1):
+            if at:
+                allowed = {**allowed, steps[at - 1][2]: -steps[at - 1][1]}
+            bad = sum(b or any(r[k] > c for k, c in allowed.items()) for b, r in half[1])
+            if sum(math.comb(n, j) * risk**j * (1 - risk) ** (n - j) for j in range(bad + 1)) > delta / len(strata):
+                break
+            limit.update({(lang, k): c for k, c in allowed.items()})
     out = []
     for i, t, lang, _ in rows:
         n, repeated, ratios = counts(t)
-        out.append((i, n >= 20 and 100 * repeated <= 30 * n and all(r <= limit.get((lang, k), 9) for k, r in enumerate(ratios))))
+        out.append((i, not base(t) and all(r <= limit.get((lang, k), 9) for k, r in enumerate(ratios))))
     return out, limit
 
 
@@ -189,7 +197,8 @@ def test_kept_is_what_exact_bounds_allow(spark):
     rows += [(3, text(1, 30) + " ####### !!!!!!", "en", "s")] * 40 + [(None, text(5, 30) + " $$$$$$$$$$$", "en", "s")] * 9
     rows += [(1000 + i, text(i, 30) + " ###" * (i * 3), [None, "en", ""][i % 3], "s") for i in range(30)]
     labels = [(i, 1) for i in range(700)] + [(5, 0), (1001, 0), (None, 1)]
-    want, limit = brute_kept(rows, labels, 0.05, 0.05)
+    halves = dict(spark.createDataFrame([(i,) for i, *_ in rows if i is not None], "i long").distinct().select("i", F.pmod(F.xxhash64("i"), F.lit(2))).collect())
+    want, limit = brute_kept(rows, labels, 0.05, 0.05, halves)
     got = apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels, "doc_id long, quality int"))
     assert listed(got, "doc_id", "kept") == sorted(want, key=str)
     assert {lang for lang, _ in limit} == {"en", None, ""} and any(not k for i, k in want if i and i >= 1000)
@@ -227,16 +236,41 @@ def test_binomial_bound(spark, p):
         assert abs(r["x"] - (top + math.log(sum(math.exp(v - top) for v in logs)))) < 1e-6 * max(1, abs(r["x"]))
 
 
+def plain_feats(df):
+    return df.select("doc_id", "stratum", F.col("n_words").cast("int").alias("n_words"), F.lit(100).alias("word_chars"), "n_symbols", "n_dup_lines", F.lit(100).alias("n_lines"), "n_marks", F.lit(0).alias("n_repeat_words"))
+
+
 def test_thresholds_hold_the_risk(spark):
     from cahier.llm.quality_rules import CUTOFFS, thresholds
 
-    n = 2000
-    feats = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("en").alias("stratum"), F.lit(100).alias("n_words"), F.lit(100).alias("word_chars"), F.when(F.col("id") < 40, 10).otherwise(0).alias("n_symbols"), F.lit(0).alias("n_dup_lines"), F.lit(1).alias("n_lines"), (F.col("id") % 100).alias("n_marks"), F.lit(0).alias("n_repeat_words"))
-    labels = feats.select("doc_id", F.lit(1).alias("quality"))
-    got = {r["rule"]: r["cutoff"] for r in thresholds(feats, labels, 0.05, 0.05).collect()}
-    # 2 % of good documents have ratio 0.1: any cutoff passes. Marks are spread evenly: only cutoffs that leave 3.5 % or less above.
-    assert got["symbol_ratio"] == min(CUTOFFS)
-    assert "mark_ratio" not in got  # no cutoff of the grid leaves so few above
+    n = 4000
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("en").alias("stratum"), F.lit(100).alias("n_words"), F.when(F.col("id") < 40, 10).otherwise(0).alias("n_symbols"), F.lit(0).alias("n_dup_lines"), (F.col("id") % 100).alias("n_marks"))
+    labels = rows.select("doc_id", F.lit(1).alias("quality"))
+    got = {r["rule"]: r["cutoff"] for r in thresholds(plain_feats(rows), labels, 0.05, 0.05).collect()}
+    # 1 % of good documents have symbols in a tenth of their characters: any cutoff passes. Marks are spread evenly, a fifth and more above any cutoff.
+    assert got["symbol_ratio"] == got["dup_line_words"] == min(CUTOFFS) and "mark_ratio" not in got
+    # Base rules that reject 6 % by themselves leave room for no rule.
+    short = rows.withColumn("n_words", F.when(F.col("doc_id") % 17 == 0, 5).otherwise(100))
+    assert thresholds(plain_feats(short), labels, 0.05, 0.05).collect() == []
+
+
+def test_all_rules_of_a_stratum_together_hold_the_risk(spark):
+    """300 strata of which the truth is known: good documents drawn at random, four rules and the base rules each near the
+    risk. That any of the fired sets rejects more than the risk of all good documents has a chance of delta at most."""
+    from cahier.llm.quality_rules import thresholds
+
+    rng, risk, delta, strata, n = np.random.default_rng(11), 0.05, 0.05, 300, 500
+    share = rng.uniform(0, 0.03, (strata, 5))  # of good documents that base, symbols, lines, marks reject at any cutoff below 0.9
+    drawn = rng.random((strata, n, 5)) < share[:, None]
+    rows = [(s * n + i, str(s), 5 if d[0] else 100, 90 * int(d[1]), 90 * int(d[2]), 90 * int(d[3])) for s in range(strata) for i, d in enumerate(drawn[s])]
+    df = spark.createDataFrame(rows, "doc_id long, stratum string, n_words int, n_symbols int, n_dup_lines int, n_marks int").repartition(4)
+    got = thresholds(plain_feats(df), df.select("doc_id", F.lit(1).alias("quality")), risk, delta).collect()
+    fired = defaultdict(set)
+    for r in got:
+        fired[int(r["stratum"])].add(r["rule"])
+    place = {"symbol_ratio": 1, "dup_line_words": 2, "mark_ratio": 3}
+    truth = {s: 1 - np.prod([1 - share[s, 0], *[1 - share[s, place[r]] for r in rules if r in place]]) for s, rules in fired.items()}
+    assert len(fired) > 20 and max(truth.values()) <= risk
 
 
 # 6
