@@ -73,8 +73,7 @@ RULES = [
     ("Unlicense", ["Public:domain"]),
     *[(name, [f"{name}:named"]) for name in NAMES],
 ]
-# What the scan knows of GPL notices, piece by piece: their first pieces are the same once normalised, the versions tell
-# them apart. (The SQL's catalogue has the notices whole.)
+# GPL notices, piece by piece: their first pieces are the same once normalised, the versions tell them apart.
 GPL_WHOLE = ("GPL2:later", "GPL3:later")
 GPL_GRANT = "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"
 GPL_PIECES = {
@@ -110,17 +109,6 @@ def pieces(sentence: str) -> list[str]:
     return [normalise(s) for s in re.split(r"(?<=[.!?;:])[\x20\t\n]+", sentence)]
 
 
-def catalogue() -> dict[str, str]:
-    """Normalised sentence -> identifier."""
-    known = {normalise(f"licensed under {text}"): f"{name}:named" for name, texts in NAMES.items() for text in texts}
-    for i, text in SENTENCES.items():
-        first, *more = pieces(text)
-        known[first] = i
-        for part in more:  # the rest of a sentence with a semicolon or colon adds nothing
-            known.setdefault(part, "")
-    return known
-
-
 def known_sentences(sentences: dict[str, str]) -> dict[str, str]:
     """Normalised sentence -> identifier, of the names and ``sentences``; one sentence with two identifiers is an error."""
     known: dict[str, str] = {}
@@ -142,11 +130,16 @@ def known_sentences(sentences: dict[str, str]) -> dict[str, str]:
     return known
 
 
-def pattern_parts(rules: list[tuple[str, list[str]]] = RULES) -> list[str]:
+def pattern_parts(rules: list[tuple[str, list[str]]] = SCAN_RULES) -> list[str]:
     """The rules, in order, as patterns over '<id>' sequences."""
     return ["".join(f"(?:<{re.escape(i.rstrip('?'))}>)" + ("?" if i.endswith("?") else "") for i in ids) for _, ids in rules]
 
 
+def full_catalogue() -> dict[str, str]:
+    """What the scan and its SQL know."""
+    return known_sentences({i: t for i, t in SENTENCES.items() if i not in GPL_WHOLE} | GPL_PIECES)
+
+
 def _identify(text: Column, cut: str, known: Column) -> Column:
     normal = F.transform(F.split(text, cut), lambda s: F.regexp_replace(F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")), NOTICE, "under "))
     worth = F.filter(normal, lambda s: s.rlike("|".join(KEYWORDS)))
@@ -160,7 +153,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Null and empty texts hold nothing; texts are scanned whole; repeated rows are scanned each; an empty table gives
     no rows; other columns are not read.
     """
-    table = known_sentences({i: t for i, t in SENTENCES.items() if i not in GPL_WHOLE} | GPL_PIECES)
+    table = full_catalogue()
     known = F.map_from_arrays(F.array(*[F.lit(s) for s in table]), F.array(*[F.lit(i) for i in table.values()]))
     text = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "\r\n?", "\n"), COMMENT, "")
     text = F.regexp_replace(text, SPDX, "\n\nLicensed under $1\n\n")
@@ -168,29 +161,34 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     none = F.array().cast("array<string>")
     found = worth.select("doc_id", *[F.when(F.col("t") == "", none).otherwise(_identify(t, cut, known)).alias(n) for n, t, cut in (("a", F.col("t"), LINE_CUT), ("b", F.regexp_replace("t", COPYRIGHT, "\n\n"), TEXT_CUT))])
     found = found.select("doc_id", F.when(F.size("a") >= F.size("b"), F.col("a")).otherwise(F.col("b")).alias("sentence_ids"))
-    pattern = "|".join(f"(?:{p})" for p in pattern_parts(SCAN_RULES))
+    pattern = "|".join(f"(?:{p})" for p in pattern_parts())
     chain = F.array_join(F.transform("sentence_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
     taken = F.regexp_extract_all(chain, F.lit(f"({pattern})"), F.lit(1))
-    licence = lambda m: F.coalesce(*[F.when(m.rlike("^" + p + "$"), F.lit(name)) for (name, _), p in zip(SCAN_RULES, pattern_parts(SCAN_RULES))])
+    licence = lambda m: F.coalesce(*[F.when(m.rlike("^" + p + "$"), F.lit(name)) for (name, _), p in zip(SCAN_RULES, pattern_parts())])
     out = found.select("doc_id", "sentence_ids", taken.alias("m"))
     left = F.size("sentence_ids") - F.aggregate("m", F.lit(0), lambda n, m: n + F.length(m) - F.length(F.replace(m, F.lit("<"), F.lit(""))))
     return out.select("doc_id", "sentence_ids", F.transform("m", licence).alias("licences"), left.alias("n_unmatched"))
 
 
+COPYRIGHT_HEAD = r"(?i)^[\t ]*(?:copyright[\t ]+(?:\(c\)|©|[0-9]{4})|\(c\)[\t ]*(?:copyright|[0-9]{4})|©)"
+
+
 def oracle() -> str:
-    """The same scan as DuckDB SQL, with the catalogue and the rules in it."""
+    """The same scan as DuckDB SQL, with the same catalogue and rules in it."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    table = catalogue()
+    table = full_catalogue()
     keys, ids = ", ".join(map(quote, table)), ", ".join(map(quote, table.values()))
     pattern = "|".join(f"(?:{p})" for p in pattern_parts())
-    licence = " ".join(f"WHEN regexp_full_match(m, {quote(p)}) THEN {quote(name)}" for (name, _), p in zip(RULES, pattern_parts()))
+    licence = " ".join(f"WHEN regexp_full_match(m, {quote(p)}) THEN {quote(name)}" for (name, _), p in zip(SCAN_RULES, pattern_parts()))
     comment = quote(r"(^|\n)[\t ]*(?://+|#+|\*+|;+|--+|%+)[\t ]*")
-    cut = lambda text, also: f"string_split_regex(regexp_replace({text}, '([.!?;:])[\\x20\\t{also}]+', '\\1' || chr(1), 'g'), '[\\x01{also or chr(92) + 'n'}]')"
-    line, whole = cut("t", ""), f"string_split(regexp_replace(t, '([.!?;:])[\\x20\\t\\n]+', '\\1' || chr(1), 'g'), chr(1))"
+    line = r"string_split_regex(regexp_replace(t, '([.!?;:])[\x20\t]+', '\1' || chr(1), 'g'), '[\x01\n]')"
+    # No lookahead there: copyright lines are cut line by line, up to a claim to all rights.
+    blanked = f"array_to_string([CASE WHEN regexp_matches(l, {quote(COPYRIGHT_HEAD)}) THEN chr(10) || chr(10) || regexp_extract(l, '(?i)all rights reserved.*') ELSE l END FOR l IN string_split(t, chr(10))], chr(10))"
+    whole = rf"string_split(regexp_replace(regexp_replace({blanked}, '([.!?;:])[\x20\t\n]+', '\1' || chr(1), 'g'), '\n[\x20\t]*\n[\x20\t\n]*', chr(1), 'g'), chr(1))"
     ids_of = lambda parts: f"list_filter([known[regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), {quote(NOTICE)}, 'under ')] FOR s IN {parts}], lambda i: i <> '')"
     return f"""
 WITH k AS (SELECT map([{keys}], [{ids}]) AS known),
-c AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), {comment}, '\\1', 'g') AS t FROM documents
+c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), {comment}, '\\1', 'g'), {quote(SPDX)}, chr(10) || chr(10) || 'Licensed under \\1' || chr(10) || chr(10), 'g') AS t FROM documents
       WHERE regexp_matches(text, '(?i){"|".join(KEYWORDS)}')),
 f AS (SELECT doc_id, {ids_of(line)} AS a, {ids_of(whole)} AS b FROM c, k),
 i AS (SELECT doc_id, CASE WHEN len(a) >= len(b) THEN a ELSE b END AS ids FROM f),

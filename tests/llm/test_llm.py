@@ -818,6 +818,19 @@ def test_whole_wrapped_licence_files(spark):
     got = {r["doc_id"]: r for r in scan(df).collect()}
     assert {i: r["licences"] for i, r in got.items()} == {i: x for i, (_, x) in cases.items()}
     assert got[8]["sentence_ids"] == ["Rights:reserved"]
+    # The SQL knows what the scan knows: every sentence and SPDX name, whole files, notices of both versions.
+    import duckdb
+
+    from cahier.llm.license_scan import GPL_WHOLE, SCAN_RULES, oracle
+
+    texts = [t for t, _ in cases.values()] + [f"/* SPDX-License-Identifier: {name} */" for name, _ in SCAN_RULES] + [None, "", "all rights reserved", "a\r\nCopyright 2020 X\r\n\r\nUnder the MIT License."]
+    texts += [file("Notice", [t + ". " + SENTENCES["MIT:grant"] + ":"], mark) for t in SENTENCES.values() for mark in ("", "# ")] + [SENTENCES[i] + ". " + SENTENCES["GPL:warranty"] + "." for i in GPL_WHOLE if "GPL:warranty" in SENTENCES]
+    every = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ours = sorted((r["doc_id"], len(r["sentence_ids"]), ",".join(r["sentence_ids"]), ",".join(r["licences"]), r["n_unmatched"]) for r in scan(every).collect())
+    db = duckdb.connect()
+    db.register("documents", every.toArrow())
+    found = db.execute(f"SELECT doc_id, n_sentences, sentence_ids, licences, n_unmatched FROM ({oracle()})").fetchall()
+    assert sorted(found) == ours and {x[3] for x in ours} >= {"GPL-2.0-or-later", "GPL-3.0-or-later", "MIT", "Apache-2.0"}
 
 
 def test_gpl_notices(spark):
