@@ -265,22 +265,6 @@ def test_matrix_of_uneven_lists():
     assert matrix(col).tolist() == [[1, 2], [0, 0], [3, 0]] and matrix(col.slice(1)).tolist() == [[0], [3]]
 
 
-@pytest.mark.parametrize("name", ["op12_fill_in_middle", "op13_hard_negatives"])
-def test_registered_queries_against_their_sql(spark, name):
-    import duckdb
-
-    import __spark_entry__ as driver
-
-    db = duckdb.connect()
-    for t in ("documents", "embeddings"):
-        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{driver.SMALL}/{t}.parquet'")
-    result = db.execute(driver.oracle_sql()[name])
-    cols = [c[0] for c in result.description]
-    ours = driver.queries()[name](spark, driver.SMALL)
-    assert sorted(ours.columns) == sorted(cols)
-    assert sorted(map(repr, (tuple(r) for r in ours.select(*cols).collect()))) == sorted(map(repr, result.fetchall()))
-
-
 def test_registered_language_query(spark):
     import __spark_entry__ as driver
 
