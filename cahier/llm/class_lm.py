@@ -8,14 +8,14 @@ likelihood of the class bigrams most. The model is
 
 with c(w) the exact count of each word in all training texts.
 
-1. The ``often`` most frequent words (a fixed number, broadcast) are exchanged first, while all rarer words stand
-   together in class 0. The pairs of words are counted once and dealt by word, so a round is one pass over them inside
-   their parts: a word's row says how often it stands before and after each class. Half of the words may move in a round.
-2. The rarer words follow: their rows (classes of the words beside them) are summed per word by shuffle, and each moves
-   to its own best class; pairs of two rare words are joined with the classes of both.
-
-A round counts only if the likelihood rose with it. Only words that are not in the training texts get a class by their
-endings. Classes and counts of rare words are a table that is joined to the tokens that need it, so nothing on the driver
+1. Units are exchanged first: the ``core`` most frequent words, and the endings of all others (a fixed number). A unit's row
+   says how often it stands before and after each class; half of the units may move in a round.
+2. Every other word starts in its ending's class and then has two turns to move by its own contexts. The pairs of the
+   ``often`` most frequent words (a fixed number, broadcast) are dealt by word, so a round is one pass over them inside
+   their parts. The rows of the rarer words (classes of the words beside them) are summed per word by shuffle, and pairs
+   of two rare words are joined with the classes of both.
+
+A round counts only if the likelihood rose with it. Words that are not in the training texts get a class by their endings. Classes and counts of rare words are a table that is joined to the tokens that need it, so nothing on the driver
 or in a broadcast grows with the corpus.
 """
 
@@ -40,6 +40,8 @@ END = U64(0x0123456789ABCDEF)
 ADDED = 1.0
 #: Pairs that a part of the words has, about.
 PART_PAIRS = 1 << 20
+#: Parts of the units, whose number is fixed.
+UNIT_PARTS = 32
 #: Classes next to words that are weighed at once.
 STEP_ROWS = 1 << 14
 
@@ -177,33 +179,37 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return key[by][at], np.add.reduceat(n[by], at) if len(at) else n
 
 
-def _count_pairs(docs: DataFrame, top: Broadcast, parts: int) -> DataFrame:
-    """The pairs of frequent words, by part of the word: x is the other word's index if it stands after, and ``all`` more
-    if it stands before. All rarer words are one, with the last index."""
+def _count_pairs(docs: DataFrame, top: Broadcast, core: int, ends: int, parts: int) -> DataFrame:
+    """The pairs of words, by part of the word: x is the other word's index if it stands after, and the number of indices
+    more if it stands before. Rarer words are their endings, with the indices after those of the frequent words. In the
+    parts from ``parts`` on are the pairs of units: all words but the ``core`` most frequent ones are their endings there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = top.value[0]
-        width, held = often.n + 1, []
+        few = min(core, often.n)
+        kinds = [(often.n + ends, 0, parts, []), (few + ends, parts, UNIT_PARTS, [])]
 
-        def deal() -> pa.RecordBatch:
-            key, n = held[0]
-            held.clear()
+        def deal(width: int, first: int, of: int, held: list) -> pa.RecordBatch:
+            key, n = held.pop()
             u, v = np.divmod(key, width)
             w, x = np.concatenate([u, v]).astype(np.int32), np.concatenate([v, u + width]).astype(np.int32)
-            return _dealt(w % parts, w, x, np.concatenate([n, n]))
+            return _dealt(first + w % of, w, x, np.concatenate([n, n]))
 
         for _, data, off in text_blocks(batches):
             words = Words(data, off, NOT_SPACE, lower=True)
-            i = often(_sequence(words.hash, words.first, END))
-            i[i < 0] = often.n
-            held.append(np.unique(i[:-1].astype(np.int64) * width + i[1:], return_counts=True))
-            if sum(len(k) for k, _ in held) > 1_200_000:
-                held = [_merged(held)]
-                if len(held[0][0]) > 600_000:
-                    yield deal()
-        if held:
-            held = [_merged(held)]
-            yield deal()
+            i = often(_sequence(words.hash, words.first, END)).astype(np.int64)
+            e = _sequence(ending(words, ends), words.first, 0)
+            for kind, index in zip(kinds, (np.where(i < 0, often.n + e, i), np.where((i < 0) | (i >= few), few + e, i))):
+                width, held = kind[0], kind[-1]
+                held.append(np.unique(index[:-1] * width + index[1:], return_counts=True))
+                if sum(len(k) for k, _ in held) > 1_200_000:
+                    held[:] = [_merged(held)]
+                    if len(held[0][0]) > 600_000:
+                        yield deal(*kind)
+        for kind in kinds:
+            if kind[-1]:
+                kind[-1][:] = [_merged(kind[-1])]
+                yield deal(*kind)
 
     return cut_lineage(docs.mapInArrow(run, PACKED).groupBy("part").applyInArrow(_adder(np.int32, np.int32), PACKED))
 
@@ -280,9 +286,9 @@ def _summed_matrix(rows: DataFrame, run, width: int) -> np.ndarray:
     return out
 
 
-def _near_matrix(pairs: DataFrame, cls: np.ndarray, classes: int) -> np.ndarray:
-    """Class bigrams; the rarer words are a class of their own, the last."""
-    now = pairs.sparkSession.sparkContext.broadcast(np.append(cls, classes))
+def _matrix(pairs: DataFrame, cls: np.ndarray, width: int) -> np.ndarray:
+    """Class bigrams of ``pairs``, by the class of each index."""
+    now = pairs.sparkSession.sparkContext.broadcast(cls)
 
     def run(b: pa.RecordBatch, m: np.ndarray) -> None:
         c = now.value
@@ -291,16 +297,13 @@ def _near_matrix(pairs: DataFrame, cls: np.ndarray, classes: int) -> np.ndarray:
             after = x < len(c)
             m += np.bincount(c[w][at[after]] * len(m) + c[x[after]], n[after], m.size).reshape(m.shape)
 
-    return _summed_matrix(pairs, run, classes + 1)
+    return _summed_matrix(pairs, run, width)
 
 
 def _joined(m: np.ndarray) -> np.ndarray:
-    """The matrix with its last class put into class 0."""
-    out = m[:-1, :-1].copy()
-    out[0] += m[-1, :-1]
-    out[:, 0] += m[:-1, -1]
-    out[0, 0] += m[-1, -1]
-    return out
+    """The matrix in which rarer words had classes of their own, numbered alike, with both in one."""
+    k = len(m) // 2
+    return m.reshape(2, k, 2, k).sum((0, 2))
 
 
 def _in_steps(words: np.ndarray, alone: np.ndarray, at: np.ndarray, side: np.ndarray, n: np.ndarray, own: np.ndarray, cls: np.ndarray, m: np.ndarray) -> None:
@@ -317,27 +320,27 @@ def _in_steps(words: np.ndarray, alone: np.ndarray, at: np.ndarray, side: np.nda
         cls[some] = _step(full[:, :classes], full[:, classes:], own[some].astype(float), cls[some], m)
 
 
-def _exchange(pairs: DataFrame, cls: np.ndarray, m: np.ndarray, core: int, r: int, end: int) -> np.ndarray:
-    """The classes of the frequent words after round ``r``, in which half of them may move: the ``core`` most frequent ones
-    one after the other, all others a few at once; each part of the words on its own copy of ``m``."""
-    shared = pairs.sparkSession.sparkContext.broadcast((np.append(cls, 0), m))
+def _exchange(pairs: DataFrame, cls: np.ndarray, m: np.ndarray, alone: int, movable: int, r: int) -> np.ndarray:
+    """The classes of the indices after round ``r``, in which every other one below ``movable`` may move: those below
+    ``alone`` one after the other, all others a few at once; each part on its own copy of ``m``. Index 0 is the end."""
+    shared = pairs.sparkSession.sparkContext.broadcast((cls, m))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, before = shared.value
-        classes, rare = len(before), len(c) - 1
+        classes = len(before)
         for b in batches:
             for row in b.to_pylist():
                 w, at, x, n = _unpack(row, np.int32, np.int32)
                 side = np.where(x < len(c), c[x % len(c)], classes + c[x % len(c)])
                 own = np.bincount(at, np.where(x == w[at], n, 0), len(w))
-                turn = np.flatnonzero((mix(w.astype(np.uint64) + U64(r << 32)) % U64(2) == 0) & (w != end) & (w != rare))
+                turn = np.flatnonzero((mix(w.astype(np.uint64)) % U64(2) == U64(r % 2)) & (w > 0) & (w < movable))
                 now = c[w]
-                _in_steps(turn, w[turn] < core, at, side, n, own, now, before.copy())
+                _in_steps(turn, w[turn] < alone, at, side, n, own, now, before.copy())
                 moved = np.flatnonzero(now != c[w])
                 yield pa.RecordBatch.from_arrays([pa.array(w[moved], pa.int32()), pa.array(now[moved], pa.int32())], ["w", "cls"])
 
     out = cls.copy()
-    t = pairs.mapInArrow(run, "w int, cls int").toArrow()  # at most ``often`` rows
+    t = pairs.mapInArrow(run, "w int, cls int").toArrow()  # at most ``movable`` rows
     out[t["w"].to_numpy()] = t["cls"].to_numpy()
     return out
 
@@ -386,14 +389,12 @@ def _rare_rows(docs: DataFrame, top: Broadcast, cls: np.ndarray, classes: int, e
     return packed, cut_lineage(docs.mapInArrow(beside, "u long, v long").groupBy("u", "v").agg(F.count("*").alias("n")))
 
 
-def _exchange_rare(rows: DataFrame, beside: DataFrame, words: DataFrame | None, m: np.ndarray, parts: int) -> DataFrame:
-    """h, c, e, cls of each rare word: its count, ending and best class, given those in ``words`` (none: all in class 0)."""
+def _exchange_rare(rows: DataFrame, beside: DataFrame, words: DataFrame, m: np.ndarray, parts: int) -> DataFrame:
+    """h, c, e, cls of each rare word: its count, ending and best class, given those in ``words``."""
     shared, classes = rows.sparkSession.sparkContext.broadcast(m), len(m)
 
     def of(w: str, x: str, before: int) -> DataFrame:
         pairs = beside.select(F.col(w).alias("w"), F.col(x).alias("h"), "n")
-        if words is None:
-            return pairs.select("w", F.lit(before * classes).alias("x"), "n", (F.col("w") == F.col("h")).alias("own"))
         return pairs.join(words.select("h", "cls"), "h").select("w", (F.col("cls") + before * classes).alias("x"), "n", (F.col("w") == F.col("h")).alias("own"))
 
     # The part of a word is a hash that the packed rows know, too; here it comes from a small helper on the pairs.
@@ -403,9 +404,8 @@ def _exchange_rare(rows: DataFrame, beside: DataFrame, words: DataFrame | None,
             yield pa.RecordBatch.from_arrays([pa.array((mix(w) % U64(parts)).astype(np.int32)), *b.columns], ["part", *b.schema.names])
 
     near = of("u", "v", 0).unionByName(of("v", "u", 1)).mapInArrow(number, "part int, w long, x int, n long, own boolean")
-    if words is not None:
-        held = words.select(F.col("h").alias("w"), F.col("cls").alias("x"), F.lit(-1).cast("long").alias("n"), F.lit(False).alias("own"))
-        near = near.unionByName(held.mapInArrow(number, "part int, w long, x int, n long, own boolean"))
+    held = words.select(F.col("h").alias("w"), F.col("cls").alias("x"), F.lit(-1).cast("long").alias("n"), F.lit(False).alias("own"))
+    near = near.unionByName(held.mapInArrow(number, "part int, w long, x int, n long, own boolean"))
 
     def step(left: pa.Table, right: pa.Table) -> pa.Table:
         w, at, x, n = _unpack(left.to_pylist()[0], np.uint64, np.int32)
@@ -473,11 +473,12 @@ class ClassModel:
     vocabulary: int
     mix: float
     words: DataFrame | None = None
+    moved: float = 0.0  # share of the words beyond the core that left their ending's class
 
 
-def _most_frequent(counts: DataFrame, most: int) -> dict[str, np.ndarray]:
-    """h, c, e of at most ``most`` words, by count: those above a limit that is found from the sizes of a few hundred
-    classes of counts (eight to a doubling), so no task or driver sorts the vocabulary."""
+def _most_frequent(counts: DataFrame, most: int) -> tuple[dict[str, np.ndarray], DataFrame]:
+    """h, c, e of the end and at most ``most`` words, by count: those above a limit that is found from the sizes of a few
+    hundred classes of counts (eight to a doubling), so no task or driver sorts the vocabulary; and the table of the rest."""
     size = F.floor(F.log2(F.col("c").cast("double")) * 8)
     limit, held = 1 << 30, 0
     for r in counts.groupBy(size.alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("s")).collect():
@@ -485,55 +486,70 @@ def _most_frequent(counts: DataFrame, most: int) -> dict[str, np.ndarray]:
         if held > most:
             break
         limit = r["s"]
-    t = counts.where((size >= limit) | (F.col("h") == int(END.view(np.int64)))).toArrow()
+    often = (size >= limit) | (F.col("h") == int(END.view(np.int64)))
+    t = counts.where(often).toArrow()
     h, c, e = (t[x].to_numpy() for x in ("h", "c", "e"))
-    by = np.lexsort((h, -c))
-    return {"h": h[by], "c": c[by], "e": e[by]}
+    by = np.lexsort((h, -c, h != END.view(np.int64)))
+    return {"h": h[by], "c": c[by], "e": e[by]}, counts.where(~often)
 
 
-def fit(docs: DataFrame, use: Column | None = None, classes: int = 48, core: int = 2000, ends: int = 512, rounds: int = 8, rare_rounds: int = 2, often: int = 1 << 18, mixed: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> ClassModel:
-    """Learns from the rows of ``docs`` for which ``use`` (an expression of doc_id) holds; a null text is empty."""
+def fit(docs: DataFrame, use: Column | None = None, classes: int = 48, core: int = 2000, ends: int = 512, rounds: int = 8, turns: int = 2, often: int = 1 << 18, mixed: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> ClassModel:
+    """Learns from the rows of ``docs`` for which ``use`` (an expression of doc_id) holds. A null text is empty;
+    repeated rows count each; other columns are not read; without any row all words are unknown. ``rounds`` for the units,
+    then ``turns`` of every other word, frequent or rare."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if use is not None:
         slim = slim.where(use)
     slim = slim.select("doc_id", "text")
     counts = cut_lineage(_count_words(slim, ends))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    most = _most_frequent(counts, often)
-    h = most["h"].view(np.uint64)
+    most, rest = _most_frequent(counts, often)
+    h, e = most["h"].view(np.uint64), most["e"]
     top = slim.sparkSession.sparkContext.broadcast((Lookup(h), most["c"]))
-    end = int(np.flatnonzero(h == END)[0]) if len(h) else -1
-    cls = np.where(np.arange(len(h)) < core, np.arange(len(h)) % (classes - 1), 0)
-    cls[h == END] = classes - 1
     parts = max(32, 2 * int(n) // PART_PAIRS)
-    pairs = _count_pairs(slim, top, parts)
-    apart = _near_matrix(pairs, cls, classes)
+    every = _count_pairs(slim, top, core, ends, parts)
+    units, pairs = every.where(F.col("part") >= parts), every.where(F.col("part") < parts)
+    few = min(core, len(h))
+    unit = np.append(np.arange(few), np.arange(ends)) % (classes - 1)
+    if few:
+        unit[0] = classes - 1  # the end
+    m = _matrix(units, unit, classes)
     for r in range(rounds):
-        tried = _exchange(pairs, cls, _joined(apart), core, r, end)
-        found = _near_matrix(pairs, tried, classes)
+        tried = _exchange(units, unit, m, len(unit), len(unit), r)
+        found = _matrix(units, tried, classes)
+        if likelihood(found) > likelihood(m):
+            unit, m = tried, found
+    start = unit[few:]
+    cls = np.where(np.arange(len(h)) < few, np.resize(unit[:few], len(h)), start[e])
+    apart = _matrix(pairs, np.append(cls, classes + start), 2 * classes)
+    for r in range(2 * turns):
+        tried = _exchange(pairs, np.append(cls, start), _joined(apart), core, len(h), r)[: len(h)]
+        found = _matrix(pairs, np.append(tried, classes + start), 2 * classes)
         if likelihood(_joined(found)) > likelihood(_joined(apart)):
             cls, apart = tried, found
     words, m = None, _joined(apart)
     if v > len(h):
         rows, beside = _rare_rows(slim, top, cls, classes, ends, parts)
-        for _ in range(rare_rounds):
+        words = rest.withColumn("cls", F.get(F.array(*[F.lit(int(x)) for x in start]), F.col("e")))
+        for _ in range(turns):
             tried = _exchange_rare(rows, beside, words, m, parts)
-            found = apart[:-1, :-1] + _rare_matrix(rows, beside, tried, classes, parts)
-            if words is None and likelihood(found) <= likelihood(m):  # each has its count in any case
-                tried, found = tried.withColumn("cls", F.lit(0)), m
-            if words is None or likelihood(found) > likelihood(m):
+            found = apart[:classes, :classes] + _rare_matrix(rows, beside, tried, classes, parts)
+            if likelihood(found) > likelihood(m):
                 words, m = tried, found
     types = np.zeros((ends, classes))  # words of each ending and class
     for r in words.groupBy("e", "cls").agg(F.count("*").alias("n")).collect() if words else ():  # at most ends x classes rows
         types[r["e"], r["cls"]] = r["n"]
-    some = most["e"] >= 0
-    np.add.at(types, (most["e"][some], cls[some]), 1)
+    beyond = np.arange(len(h)) >= few
+    np.add.at(types, (e[beyond], cls[beyond]), 1)
+    moved = 1 - types[np.arange(ends), start].sum() / max(1, types.sum())
+    some = ~beyond & (e >= 0)
+    np.add.at(types, (e[some], cls[some]), 1)
     of_class = types.sum(0)
     of_class[-1] += v > 0  # the end
     end_cls = np.where(types.any(1), types.argmax(1), types.sum(0)[:-1].argmax())
     smooth = m + 0.5
     size = m.sum(0) + ADDED * (of_class + 1)  # every token ends one pair
-    return ClassModel(Lookup(h), most["c"], cls, end_cls, smooth / smooth.sum(1, keepdims=True), size, int(n), int(v), mixed, words)
+    return ClassModel(Lookup(h), most["c"], cls, end_cls, smooth / smooth.sum(1, keepdims=True), size, int(n), int(v), mixed, words, moved)
 
 
 def score(docs: DataFrame, model: ClassModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
