@@ -9,13 +9,14 @@ likelihood of the class bigrams most. The model is
 with c(w) the exact count of each word in all training texts.
 
 1. Units are exchanged first: the ``core`` most frequent words, and the endings of all others (a fixed number). A unit's row
-   says how often it stands before and after each class; half of the units may move in a round.
+   says how often it stands before and after each class.
 2. Every other word starts in its ending's class and then has two turns to move by its own contexts. The pairs of the
    ``often`` most frequent words (a fixed number, broadcast) are dealt by word, so a round is one pass over them inside
    their parts. The rows of the rarer words (classes of the words beside them) are summed per word by shuffle, and pairs
    of two rare words are joined with the classes of both.
 
-A round counts only if the likelihood rose with it. Words that are not in the training texts get a class by their endings. Classes and counts of rare words are a table that is joined to the tokens that need it, so nothing on the driver
+A round counts only if the likelihood rose with it; after one that does not, since too many moved at once, half as many may
+move in the next. Words that are not in the training texts get a class by their endings. Classes and counts of rare words are a table that is joined to the tokens that need it, so nothing on the driver
 or in a broadcast grows with the corpus.
 """
 
@@ -320,8 +321,8 @@ def _in_steps(words: np.ndarray, alone: np.ndarray, at: np.ndarray, side: np.nda
         cls[some] = _step(full[:, :classes], full[:, classes:], own[some].astype(float), cls[some], m)
 
 
-def _exchange(pairs: DataFrame, cls: np.ndarray, m: np.ndarray, alone: int, movable: int, r: int) -> np.ndarray:
-    """The classes of the indices after round ``r``, in which every other one below ``movable`` may move: those below
+def _exchange(pairs: DataFrame, cls: np.ndarray, m: np.ndarray, alone: int, movable: int, r: int, share: int) -> np.ndarray:
+    """The classes of the indices after round ``r``, in which one of ``share`` below ``movable`` may move: those below
     ``alone`` one after the other, all others a few at once; each part on its own copy of ``m``. Index 0 is the end."""
     shared = pairs.sparkSession.sparkContext.broadcast((cls, m))
 
@@ -333,7 +334,7 @@ def _exchange(pairs: DataFrame, cls: np.ndarray, m: np.ndarray, alone: int, mova
                 w, at, x, n = _unpack(row, np.int32, np.int32)
                 side = np.where(x < len(c), c[x % len(c)], classes + c[x % len(c)])
                 own = np.bincount(at, np.where(x == w[at], n, 0), len(w))
-                turn = np.flatnonzero((mix(w.astype(np.uint64)) % U64(2) == U64(r % 2)) & (w > 0) & (w < movable))
+                turn = np.flatnonzero(((mix(w.astype(np.uint64)) + U64(r)) % U64(share) == 0) & (w > 0) & (w < movable))
                 now = c[w]
                 _in_steps(turn, w[turn] < alone, at, side, n, own, now, before.copy())
                 moved = np.flatnonzero(now != c[w])
@@ -389,8 +390,8 @@ def _rare_rows(docs: DataFrame, top: Broadcast, cls: np.ndarray, classes: int, e
     return packed, cut_lineage(docs.mapInArrow(beside, "u long, v long").groupBy("u", "v").agg(F.count("*").alias("n")))
 
 
-def _exchange_rare(rows: DataFrame, beside: DataFrame, words: DataFrame, m: np.ndarray, parts: int) -> DataFrame:
-    """h, c, e, cls of each rare word: its count, ending and best class, given those in ``words``."""
+def _exchange_rare(rows: DataFrame, beside: DataFrame, words: DataFrame, m: np.ndarray, parts: int, r: int, share: int) -> DataFrame:
+    """h, c, e, cls of each rare word: its count, ending and, for one of ``share``, its best class, given those in ``words``."""
     shared, classes = rows.sparkSession.sparkContext.broadcast(m), len(m)
 
     def of(w: str, x: str, before: int) -> DataFrame:
@@ -422,7 +423,8 @@ def _exchange_rare(rows: DataFrame, beside: DataFrame, words: DataFrame, m: np.n
         own = np.bincount(place[pairs & own_pair & (code < classes)], k[pairs & own_pair & (code < classes)], len(w))
         at, x, n = np.concatenate([at[direct], place[pairs]]), np.concatenate([x[direct], code[pairs]]), np.concatenate([n[direct], k[pairs]])
         by = np.argsort(at, kind="stable")
-        _in_steps(np.arange(len(w)), np.zeros(len(w), bool), at[by], x[by], n[by], own, cls, shared.value.copy())
+        turn = np.flatnonzero((mix(mix(w)) + U64(r)) % U64(share) == 0)
+        _in_steps(turn, np.zeros(len(turn), bool), at[by], x[by], n[by], own, cls, shared.value.copy())
         return pa.table({"h": pa.array(w.view(np.int64)), "c": pa.array(count), "e": pa.array(e.astype(np.int32)), "cls": pa.array(cls.astype(np.int32))})
 
     return cut_lineage(rows.groupBy("part").cogroup(near.groupBy("part")).applyInArrow(step, "h long, c long, e int, cls int"))
@@ -514,28 +516,35 @@ def fit(docs: DataFrame, use: Column | None = None, classes: int = 48, core: int
     if few:
         unit[0] = classes - 1  # the end
     m = _matrix(units, unit, classes)
+    share = 2
     for r in range(rounds):
-        tried = _exchange(units, unit, m, len(unit), len(unit), r)
+        tried = _exchange(units, unit, m, len(unit), len(unit), r, share)
         found = _matrix(units, tried, classes)
         if likelihood(found) > likelihood(m):
             unit, m = tried, found
+        else:
+            share *= 2
     start = unit[few:]
     cls = np.where(np.arange(len(h)) < few, np.resize(unit[:few], len(h)), start[e])
-    apart = _matrix(pairs, np.append(cls, classes + start), 2 * classes)
+    apart, share = _matrix(pairs, np.append(cls, classes + start), 2 * classes), 2
     for r in range(2 * turns):
-        tried = _exchange(pairs, np.append(cls, start), _joined(apart), core, len(h), r)[: len(h)]
+        tried = _exchange(pairs, np.append(cls, start), _joined(apart), core, len(h), r, share)[: len(h)]
         found = _matrix(pairs, np.append(tried, classes + start), 2 * classes)
         if likelihood(_joined(found)) > likelihood(_joined(apart)):
             cls, apart = tried, found
-    words, m = None, _joined(apart)
+        else:
+            share *= 2
+    words, m, share = None, _joined(apart), 1
     if v > len(h):
         rows, beside = _rare_rows(slim, top, cls, classes, ends, parts)
         words = rest.withColumn("cls", F.get(F.array(*[F.lit(int(x)) for x in start]), F.col("e")))
-        for _ in range(turns):
-            tried = _exchange_rare(rows, beside, words, m, parts)
+        for r in range(turns):
+            tried = _exchange_rare(rows, beside, words, m, parts, r, share)
             found = apart[:classes, :classes] + _rare_matrix(rows, beside, tried, classes, parts)
             if likelihood(found) > likelihood(m):
                 words, m = tried, found
+            else:
+                share *= 2
     types = np.zeros((ends, classes))  # words of each ending and class
     for r in words.groupBy("e", "cls").agg(F.count("*").alias("n")).collect() if words else ():  # at most ends x classes rows
         types[r["e"], r["cls"]] = r["n"]
