@@ -510,7 +510,8 @@ def fit(docs: DataFrame, use: Column | None = None, classes: int = 48, core: int
     top = slim.sparkSession.sparkContext.broadcast((Lookup(h), most["c"]))
     parts = max(32, 2 * int(n) // PART_PAIRS)
     every = _count_pairs(slim, top, core, ends, parts)
-    units, pairs = every.where(F.col("part") >= parts), every.where(F.col("part") < parts)
+    pairs = every.where(F.col("part") < parts)
+    units = cut_lineage(every.where(F.col("part") >= parts).repartition(UNIT_PARTS, "part"))  # small, so a round reads no more
     few = min(core, len(h))
     unit = np.append(np.arange(few), np.arange(ends)) % (classes - 1)
     if few:
