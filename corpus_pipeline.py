@@ -48,7 +48,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
 
-#: A trained classifier has no SQL; the tests hold every stage against a brute-force version instead.
+#: A trained classifier has no SQL. The tests hold the stages against brute force, quality and sharding by their laws only.
 ORACLE_SQL = None
 
 
