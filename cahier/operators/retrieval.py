@@ -158,6 +158,10 @@ class SparseCatalog:
 
     def scores(self, words: pa.ListArray) -> np.ndarray:
         """Cosines of the term frequencies of each row's tokens with all questions, 0 where a side has none."""
+        return self.scores_and_shared(words)[0]
+
+    def scores_and_shared(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """(``scores``, numbers of different tokens shared) of each row with all questions."""
         n, asked = len(words), len(self.names)
         row = np.repeat(np.arange(n), np.asarray(pc.fill_null(pc.list_value_length(words), 0)))
         code, size, place = self.known(words.flatten())
@@ -168,9 +172,9 @@ class SparseCatalog:
         row, tf, known = row[known >= 0], tf[known >= 0], known[known >= 0]
         length = self.first[known + 1] - self.first[known]
         at = np.repeat(self.first[known] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-        dots = np.bincount(np.repeat(row, length) * asked + self.question[at], np.repeat(tf, length) * self.tf[at], n * asked).reshape(n, asked)
-        return dots / np.maximum(norm[:, None] * self.norm, 1e-300)
-
+        cell = np.repeat(row, length) * asked + self.question[at]
+        dots = np.bincount(cell, np.repeat(tf, length) * self.tf[at], n * asked).reshape(n, asked)
+        return dots / np.maximum(norm[:, None] * self.norm, 1e-300), np.bincount(cell, minlength=n * asked).reshape(n, asked)
 
     def entries(self, row_question: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places among ``known`` and ``row_question``, entries of the matrix) of those tokens that their questions hold."""
