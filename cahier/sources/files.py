@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 from urllib.parse import unquote, urlsplit
 
@@ -18,8 +20,49 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select(F.col("path").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("doc_name"), "content")
 
 
+def write_files(texts: DataFrame, path: str, folders: int = 256) -> None:
+    """A file ``path``/folder/``doc_id``.txt for each row of ``texts`` (doc_id, text), its text and a line end.
+
+    Tasks write the files under their own names, so no committer moves a folder per file, and the few folders that they are
+    dealt to are all that a reader has to list. A file is put in place whole; a task that is run again writes the same.
+    """
+    folder = F.lower(F.hex(F.pmod(F.xxhash64("doc_id"), F.lit(folders))))
+    rows = texts.select(F.concat_ws("/", F.lit(path), folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("to"), F.encode(F.concat(F.coalesce("text", F.lit("")), F.lit("\n")), "UTF-8").alias("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for to, content in zip(b.column(0).to_pylist(), b.column(1)):
+                _put(to, content.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    rows.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def _put(path: str, content) -> None:
+    if not path.startswith("file:"):
+        from pyarrow import fs
+
+        store, inner = fs.FileSystem.from_uri(path)
+        store.create_dir(inner.rsplit("/", 1)[0])
+        with store.open_output_stream(inner) as f:
+            f.write(content)
+        return
+    to = unquote(urlsplit(path).path)
+    part = f"{to.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+    try:
+        f = open(part, "wb")
+    except FileNotFoundError:
+        os.makedirs(to.rsplit("/", 1)[0], exist_ok=True)
+        f = open(part, "wb")
+    with f:
+        f.write(content)
+    os.replace(part, to)
+
+
 #: Bytes of a file that one row holds at most when files are read by ranges.
 RANGE_BYTES = 64 << 20
+#: Bytes of small ranges that leave a task together.
+HELD_BYTES = 1 << 20
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -43,7 +86,7 @@ def read_ranges(files: DataFrame, size: int = RANGE_BYTES) -> DataFrame:
     length as of ``list_files``).
 
     For files that are too large for one row or one task: ranges are rows of their own before a byte is read, dealt over
-    the cluster, and a task holds one range at a time.
+    the cluster, and a task holds one range at a time, or HELD_BYTES of smaller ones.
     """
     parts = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size)))
     ranges = files.select("doc_id", "doc_name", F.explode(parts).alias("part")).withColumn("start", F.col("part") * size)
@@ -51,11 +94,14 @@ def read_ranges(files: DataFrame, size: int = RANGE_BYTES) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            first, held = 0, []
             for i in range(b.num_rows):
                 with _open(b.column(0)[i].as_py()) as f:
                     f.seek(b.column(3)[i].as_py())
-                    content = f.read(size)
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in b.columns), pa.array([content], pa.binary())], [*b.schema.names, "content"])
+                    held.append(f.read(size))
+                if i + 1 == b.num_rows or sum(map(len, held)) + size > HELD_BYTES:
+                    yield pa.RecordBatch.from_arrays([*(c.slice(first, len(held)) for c in b.columns), pa.array(held, pa.binary())], [*b.schema.names, "content"])
+                    first, held = i + 1, []
 
     return dealt.mapInArrow(run, "doc_id string, doc_name string, part long, start long, content binary")
 

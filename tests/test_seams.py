@@ -371,3 +371,12 @@ def test_documents_are_replaced_in_their_shards(spark, tmp_path):
         assert hits.count("Exchange hash") == 1
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_files_are_written_by_name_to_few_folders(spark, tmp_path):
+    rows = [(i, "é" * (i % 7) + "\n" * (i % 3)) for i in range(300)]
+    path = f"file:{tmp_path}/new files"
+    files.write_files(spark.createDataFrame(rows, "doc_id long, text string"), path, 4)
+    files.write_files(spark.createDataFrame(rows, "doc_id long, text string"), path, 4)  # a rerun writes the same
+    assert len(list((tmp_path / "new files").iterdir())) == 4
+    assert {p.name: p.read_bytes() for p in (tmp_path / "new files").glob("*/*")} == {f"{i}.txt": f"{t}\n".encode() for i, t in rows}
