@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 GROUP_ITEMS, BLOCK_QUERIES = 16384, 4096
 #: Rows of a ball, the unit that a bound speaks of.
 BALL = 64
-#: Numbers of a score matrix that a task holds.
-SCORES = 2_000_000
+#: Pairs that leave a task in one batch where all are asked for.
+PAIRS = 100_000
 #: Cosines are trusted to this much.
 SLACK = 1e-9
 
@@ -148,6 +148,15 @@ def dense_topk(items: DataFrame, queries: DataFrame, k: int | None, owner: str,
             row, col = np.nonzero(scores > -np.inf)
             return pa.RecordBatch.from_arrays([pa.array([o], owner_type).take(pa.array(np.zeros(len(row), int))), held[0].take(pa.array(row)), pa.array(ids[row, col]).cast(id_type), pa.array(scores[row, col])], [owner, query, item, "score"])
 
+        def every(o, m: np.ndarray, ids: pa.Array) -> Iterator[pa.RecordBatch]:
+            """All pairs of some items with the queries held, at most PAIRS (or one item's) at a time."""
+            for i in range(0, len(held[1]), PAIRS):
+                scores = _product(held[1][i : i + PAIRS], m).T
+                n, queries_ = len(scores), held[0].slice(i, PAIRS)
+                at_item = pa.array(np.repeat(np.arange(n, dtype=np.int32), scores.shape[1]))
+                at_query = pa.array(np.tile(np.arange(scores.shape[1], dtype=np.int32), n))
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(o, owner_type), scores.size), queries_.take(at_query), ids.take(at_item), pa.array(scores.ravel())], [owner, query, item, "score"])
+
         def close() -> Iterator[pa.RecordBatch]:
             if at is not None:
                 if pairs is not None:
@@ -176,9 +185,9 @@ def dense_topk(items: DataFrame, queries: DataFrame, k: int | None, owner: str,
                 held = held or matrix()
                 ids, m = part.column(4).to_numpy(), _units(part.column(5))
                 if k is None:
-                    step = max(1, SCORES // len(held[1]))
+                    step = max(1, PAIRS // len(held[1]))
                     for j in range(0, len(m), step):
-                        yield emit(part.column(3)[0].as_py(), _product(held[1], m[j : j + step]), np.broadcast_to(ids[j : j + step], (len(held[1]), len(m[j : j + step]))))
+                        yield from every(part.column(3)[0].as_py(), m[j : j + step], part.column(4).slice(j, step))
                     continue
                 o = part.column(3)[0].as_py()
                 if at is None or o != who:

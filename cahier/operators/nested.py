@@ -17,7 +17,8 @@ from cahier.functions.vectors import usable
 from cahier.operators.answers import FIELDS, NOT_FOUND, answered, page_key
 from cahier.operators.calls import Generator
 from cahier.operators.retrieval import SCORES, SparseCatalog
-from cahier.operators.seams import encode
+from cahier.operators.seams import encode, in_blocks
+from cahier.session import small_batches
 
 #: Per question a list of the document's answers, best first: places of chunk and sentence, and the score.
 PLACES = "array<array<struct<c:int,s:int,score:double>>>"
@@ -72,17 +73,6 @@ def places(owner: np.ndarray, n_owners: int, first: np.ndarray, usable: np.ndarr
     return pa.ListArray.from_arrays(pa.array(np.arange(n_owners + 1) * asked, pa.int32()), pa.ListArray.from_arrays(pa.array(inner, pa.int32()), items))
 
 
-def in_blocks(weight: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Runs of rows whose weights sum up to ``most`` at most, or of one row."""
-    out, begin, held = [], 0, 0
-    for i, w in enumerate(weight):
-        if held + w > most and i > begin:
-            out.append((begin, i))
-            begin, held = i, 0
-        held += int(w)
-    return out + [(begin, len(weight))]
-
-
 def by_block(function, most: int):
     """``function`` of Arrow columns, of which the first holds a list of lists per row, on runs of rows with at most ``most``
     inner lists."""
@@ -162,6 +152,7 @@ def dense_places(cat: SparseCatalog, vectors: np.ndarray, encoder: Generator, k:
 def document_rows(summaries: DataFrame, pages: DataFrame, abstain: str) -> DataFrame:
     """doc_id, _c (the chunks by id), _s (sentences of each), _may (which of these may answer), _pages (key, text of the
     pages that are not blank). Summaries and pages are shuffled once, together."""
+    small_batches(summaries.sparkSession)
     kept = [c for c in ("chunk_id", "doc_name", "page_number", "summary", "start_char", "end_char") if c in summaries.columns]
     c, p = F.struct(*kept).alias("c"), F.struct(page_key().alias("key"), "text").alias("p")
     shown = pages.where(~is_blank("text")).select("doc_id", p)
