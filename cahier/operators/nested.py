@@ -107,7 +107,7 @@ def sparse_places(cat: SparseCatalog, k: int):
         score, shared = cat.scores_and_shared(of_sentence)
         return places(owner, len(words), first, flags(may), cat.scores(of_chunk).T, shared.T, score.T, k)
 
-    run = by_block(block, max(1, SCORES // max(1, len(cat.names))))
+    run = by_block(block, max(1, SCORES // 8 // max(1, len(cat.names))))
 
     @F.arrow_udf(PLACES)
     def made(words: pa.Array, may: pa.Array) -> pa.Array:
@@ -140,7 +140,7 @@ def dense_places(cat: SparseCatalog, vectors: np.ndarray, encoder: Generator, k:
         _, shared = cat.scores_and_shared(of_sentence)
         return places(owner, len(words), first, flags(may), cosines(summaries.flatten()).T, shared.T, np.where(score > -np.inf, score, np.nan).T, k, 12)
 
-    run = by_block(block, max(1, SCORES // max(1, len(cat.names))))
+    run = by_block(block, max(1, SCORES // 8 // max(1, len(cat.names))))
 
     @F.arrow_udf(PLACES)
     def made(summaries: pa.Array, sentences_: pa.Array, words: pa.Array, may: pa.Array) -> pa.Array:

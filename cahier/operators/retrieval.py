@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 from cahier.functions.text import sentences, tokens
 from cahier.functions.vectors import cosine, dense_topk
 from cahier.operators.calls import Generator
-from cahier.operators.seams import ABSTAIN, encode, in_row_answer, token_counts, with_asked, with_sentences
-from cahier.session import cut_lineage
+from cahier.operators.seams import ABSTAIN, encode, in_blocks, in_row_answer, token_counts, with_asked, with_sentences
+from cahier.session import cut_lineage, small_batches
 
 TOP_K = 5
 #: A document's chunks that one task ranks; more are ranked in parts that are merged.
 CHUNKS_PER_TASK = 4096
 #: Scores that a task holds at once.
 SCORES = 1_000_000
+#: Products of a row's and a question's token that a task holds at once, or those of one row.
+ENTRIES = 200_000
 #: A catalogue with more token rows than this is joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: Texts that are broadcast have no more bytes than this together.
@@ -171,10 +173,16 @@ class SparseCatalog:
         known = place[code]
         row, tf, known = row[known >= 0], tf[known >= 0], known[known >= 0]
         length = self.first[known + 1] - self.first[known]
-        at = np.repeat(self.first[known] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-        cell = np.repeat(row, length) * asked + self.question[at]
-        dots = np.bincount(cell, np.repeat(tf, length) * self.tf[at], n * asked).reshape(n, asked)
-        return dots / np.maximum(norm[:, None] * self.norm, 1e-300), np.bincount(cell, minlength=n * asked).reshape(n, asked)
+        dots, shared = np.zeros(n * asked), np.zeros(n * asked, np.int32)
+        # Rows are multiplied in runs of about ENTRIES entries of the product, each with its own part of the result.
+        for i, z in in_blocks(np.bincount(row, length, n).astype(np.int64), ENTRIES):
+            mine = slice(*np.searchsorted(row, [i, z]))
+            own, begin = length[mine], self.first[known[mine]]
+            at = np.repeat(begin - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            cell = np.repeat(row[mine] - i, own) * asked + self.question[at]
+            dots[i * asked : z * asked] = np.bincount(cell, np.repeat(tf[mine], own) * self.tf[at], (z - i) * asked)
+            shared[i * asked : z * asked] = np.bincount(cell, minlength=(z - i) * asked)
+        return dots.reshape(n, asked) / np.maximum(norm[:, None] * self.norm, 1e-300), shared.reshape(n, asked)
 
     def entries(self, row_question: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places among ``known`` and ``row_question``, entries of the matrix) of those tokens that their questions hold."""
@@ -309,6 +317,7 @@ def topk_chunks(summaries: DataFrame, catalog: DataFrame, k: int = TOP_K) -> Dat
     the summaries are dealt, by document, so that a task ranks a document's chunks itself and what the product yields is
     never shuffled; documents of more than CHUNKS_PER_TASK chunks are dealt in parts, whose k best are merged.
     """
+    small_batches(summaries.sparkSession)
     asked = query_vectors(catalog)
     if asked.count() > BROADCAST_ROWS or catalog.count() > BROADCAST_ROWS:
         return topk_by_shuffle(summaries, asked, catalog, k)

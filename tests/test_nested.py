@@ -2,9 +2,13 @@
 
 import re
 
+import numpy as np
 import pandas as pd
 import pytest
 
+from cahier.functions import vectors
+from cahier.operators import retrieval, seams
+from cahier.operators.chunks import chunk_pages
 from cahier.plans import jobs
 from cahier.plans.text_queries import letter_vectors
 
@@ -37,3 +41,38 @@ def test_pairs_and_hits_are_not_shuffled(spark):
     results = jobs.answer_catalog(pages, jobs.ingest(pages), asked)
     exchanges = re.findall(r"hashpartitioning\([^\n]*", results._jdf.queryExecution().executedPlan().toString())
     assert exchanges and not any("doc_id" in x and "question" in x for x in exchanges)
+
+
+def test_python_gets_few_rows_of_texts_at_once(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    chunk_pages(corpus(spark)[0])
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 16 << 20
+
+
+def test_summaries_in_blocks(spark, monkeypatch):
+    chunks = chunk_pages(corpus(spark)[0])
+    whole = seams.extract_summary(chunks).orderBy("doc_id", "chunk_id").collect()
+    monkeypatch.setattr(seams, "HELD_TOKENS", 5)
+    assert seams.extract_summary(chunks).orderBy("doc_id", "chunk_id").collect() == whole
+
+
+@pytest.mark.parametrize("pairs", [100_000, 7])
+def test_all_cosines_in_small_batches(spark, monkeypatch, pairs):
+    monkeypatch.setattr(vectors, "PAIRS", pairs)
+    m = np.random.default_rng(2).normal(size=(60, 5))
+    items = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(m)], "one int, i long, v array<double>")
+    asked = spark.createDataFrame([(j, m[j].tolist()) for j in range(20)], "q long, v array<double>")
+    got = {(r["q"], r["i"]): r["score"] for r in vectors.dense_topk(items, asked, None, "one", "i", "q", "v").collect()}
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    assert len(got) == 1200 and all(abs(s - unit[q] @ unit[i]) < 1e-12 for (q, i), s in got.items())
+
+
+def test_products_in_runs_of_rows(spark, monkeypatch):
+    pages, asked = corpus(spark)
+    index = jobs.ingest(pages)
+    want = plain(jobs.answer_catalog(pages, index, asked))
+    hits = sorted(map(tuple, retrieval.topk_chunks(index, asked).collect()))
+    monkeypatch.setattr(retrieval, "ENTRIES", 3)
+    assert sorted(map(tuple, retrieval.topk_chunks(index, asked).collect())) == hits
+    pd.testing.assert_frame_equal(plain(jobs.answer_catalog(pages, index, asked)), want)
