@@ -112,6 +112,7 @@ def results_json(results: DataFrame) -> DataFrame:
     return results.groupBy("doc_id").agg(F.to_json(F.map_from_entries(typed)).alias("results"))
 
 
-def index_results(results: DataFrame, path: str) -> None:
-    """The latest results of each document, in a table of hash buckets; a rerun replaces those of its own documents only."""
-    replace_documents(results, path)
+def index_results(documents: DataFrame, path: str) -> None:
+    """The latest results of each document (rows of ``jobs.answer_documents``), in a table of hash buckets; a rerun replaces
+    those of its own documents only. Chunks and pages are kept once per document; ``nested.unfold`` shows the results."""
+    replace_documents(documents, path)

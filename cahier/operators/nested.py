@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cahier.functions.text import is_blank, sentences, tokens
@@ -22,6 +22,8 @@ from cahier.session import small_batches
 
 #: Per question a list of the document's answers, best first: places of chunk and sentence, and the score.
 PLACES = "array<array<struct<c:int,s:int,score:double>>>"
+#: What is kept of a question: the alternatives by their places, and texts only where they are not what lies there.
+RESULT = "struct<question:string,best_answer:string,alternatives:array<struct<c:int,s:int,score:double,response:string>>>"
 #: Documents with more chunks than this are no single row.
 CHUNKS_PER_ROW = 1024
 #: Scores of a document's chunks that a task holds at once; documents with more are no single row.
@@ -149,6 +151,10 @@ def dense_places(cat: SparseCatalog, vectors: np.ndarray, encoder: Generator, k:
     return made
 
 
+def summary_sentences(chunk: Column) -> Column:
+    return F.coalesce(sentences(chunk["summary"]), F.array(F.lit("")))
+
+
 def document_rows(summaries: DataFrame, pages: DataFrame, abstain: str) -> DataFrame:
     """doc_id, _c (the chunks by id), _s (sentences of each), _may (which of these may answer), _pages (key, text of the
     pages that are not blank). Summaries and pages are shuffled once, together."""
@@ -158,7 +164,7 @@ def document_rows(summaries: DataFrame, pages: DataFrame, abstain: str) -> DataF
     shown = pages.where(~is_blank("text")).select("doc_id", p)
     both = summaries.select("doc_id", c).unionByName(shown, allowMissingColumns=True)
     docs = both.groupBy("doc_id").agg(F.sort_array(F.collect_list("c")).alias("_c"), F.sort_array(F.collect_list("p")).alias("_pages")).where(F.size("_c") > 0)
-    docs = docs.withColumn("_s", F.transform("_c", lambda c: F.coalesce(sentences(c["summary"]), F.array(F.lit("")))))
+    docs = docs.withColumn("_s", F.transform("_c", summary_sentences))
     return docs.withColumn("_may", F.transform("_s", lambda s: F.transform(s, lambda x: answered(x, abstain))))
 
 
@@ -183,13 +189,34 @@ def question_vectors(catalog: DataFrame, cat: SparseCatalog, encoder: Generator)
     return np.array([at[n] if len(at.get(n, ())) == width else [np.nan] * width for n in cat.names.to_pylist()], float)
 
 
-def unfold(docs: DataFrame, questions: DataFrame) -> DataFrame:
-    """doc_id, question, best_answer, alternatives of ``docs`` with _a; ``questions``: _q (place in _a), question. What is
-    shown of a document's pages is looked up in its row."""
-    each = docs.select("doc_id", "_c", "_s", "_pages", F.posexplode("_a").alias("_q", "_x")).join(F.broadcast(questions), "_q")
+def pack(docs: DataFrame, questions: DataFrame) -> DataFrame:
+    """doc_id, _c, _pages and ``results``, the RESULTS of ``docs`` with _a; ``questions``: _q (place in _a), question."""
+    listed = questions.agg(F.sort_array(F.collect_list(F.struct("_q", "question"))).alias("_asked"))
+    kind = RESULT[RESULT.index("alternatives:") + 13 : -1]
+    alternatives = lambda x: F.transform(x, lambda p: F.struct(p["c"], p["s"], p["score"], F.lit(None).cast("string").alias("response"))).cast(kind)
+    made = F.transform("_asked", lambda n: F.struct(n["question"].alias("question"), F.lit(None).cast("string").alias("best_answer"), alternatives(F.get("_a", n["_q"])).alias("alternatives")))
+    return docs.crossJoin(F.broadcast(listed)).select("doc_id", "_c", "_pages", made.alias("results"))
+
+
+def pack_hits(flat: DataFrame, docs: DataFrame) -> DataFrame:
+    """As ``pack``, of results that were made by hits: what is shown of chunks and pages is left to ``docs`` (of
+    ``document_rows``), only responses and scores are shuffled."""
+    kept = F.transform("alternatives", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["score"].alias("score"), x["response"].alias("response")))
+    lists = flat.groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_list(F.struct("question", "best_answer", kept.alias("alternatives")))).alias("_r"))
+    joined = lists.join(docs, lists["_doc"] == docs["doc_id"])
+    at = lambda x: F.struct((F.array_position(F.col("_c.chunk_id"), x["chunk_id"]) - 1).cast("int").alias("c"), F.lit(-1).alias("s"), x["score"].alias("score"), x["response"].alias("response"))
+    made = F.transform("_r", lambda r: F.struct(r["question"].alias("question"), r["best_answer"].alias("best_answer"), F.transform(r["alternatives"], at).alias("alternatives")))
+    return joined.select("doc_id", "_c", "_pages", made.alias("results"))
+
+
+def unfold(packed: DataFrame) -> DataFrame:
+    """doc_id, question, best_answer, alternatives of rows of ``pack``. What is shown of a document's chunks and pages is
+    looked up in its row; a best answer or response that is not stated is the sentence at its place."""
+    cut_ = packed.withColumn("_s", F.transform("_c", summary_sentences))
+    each = cut_.select("doc_id", "_c", "_s", "_pages", F.explode("results").alias("_r")).withColumn("_x", F.col("_r.alternatives"))
 
     def response(x):
-        return F.get(F.get("_s", x["c"]), x["s"])
+        return F.coalesce(x["response"], F.get(F.get("_s", x["c"]), x["s"]))
 
     def page(x):
         return F.array_position(F.col("_pages.key"), F.coalesce(F.get("_c", x["c"])["page_number"].cast("string"), F.lit("")))
@@ -205,6 +232,6 @@ def unfold(docs: DataFrame, questions: DataFrame) -> DataFrame:
         return F.least(chunk[name], F.length(text)) if name in ("start_char", "end_char") else chunk[name]
 
     best = F.get(F.filter("_x", lambda x: x["score"] > -1), 0)
-    found = F.filter(F.transform("_x", lambda x: F.struct(x["c"].alias("c"), x["s"].alias("s"), x["score"].alias("score"), page(x).alias("p"))), lambda x: x["p"] > 0)
+    found = F.filter(F.transform("_x", lambda x: F.struct(*[x[f].alias(f) for f in ("c", "s", "score", "response")], page(x).alias("p"))), lambda x: x["p"] > 0)
     alternatives = F.transform(found, lambda x: F.struct(*[field(x, f).alias(f) for f in FIELDS]))
-    return each.select("doc_id", "question", F.coalesce(response(best), F.lit(NOT_FOUND)).alias("best_answer"), alternatives.alias("alternatives"))
+    return each.select("doc_id", F.col("_r.question").alias("question"), F.coalesce("_r.best_answer", response(best), F.lit(NOT_FOUND)).alias("best_answer"), alternatives.alias("alternatives"))

@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cahier.session import cut_lineage
+from cahier.session import keep
 
 SHARDS, BUCKETS = 16, 16
 
@@ -53,14 +53,14 @@ def replace_documents(rows: DataFrame, path: str, key: str = "doc_id") -> None:
     other documents of those shards are kept, other shards are not touched. ``rows`` must not be without its documents'
     other rows: what is not in it is gone."""
     spark = rows.sparkSession
-    rows = cut_lineage(rows)
     table = open_table(spark, path, key)
     if table is None:
         _dealt(rows, key).write.partitionBy("shard").bucketBy(BUCKETS, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name_of(path))
         return
+    rows = keep(rows)
     touched = [r[0] for r in rows.select(shard_of(F.col(key))).distinct().collect()]
     kept = table.where(F.col("shard").isin(touched)).join(rows.select(key).distinct(), key, "left_anti")
-    every = cut_lineage(kept.drop("shard").select(*rows.columns).unionByName(rows))
+    every = keep(kept.drop("shard").select(*rows.columns).unionByName(rows))
     columns = [c for c in table.columns if c != "shard"]
     before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")  # the writer's own option does not reach tables
