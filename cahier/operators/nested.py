@@ -22,8 +22,6 @@ from cahier.session import small_batches
 
 #: Per question a list of the document's answers, best first: places of chunk and sentence, and the score.
 PLACES = "array<array<struct<c:int,s:int,score:double>>>"
-#: What is kept of a question: the alternatives by their places, and texts only where they are not what lies there.
-RESULT = "struct<question:string,best_answer:string,alternatives:array<struct<c:int,s:int,score:double,response:string>>>"
 #: Documents with more chunks than this are no single row.
 CHUNKS_PER_ROW = 1024
 #: Scores of a document's chunks that a task holds at once; documents with more are no single row.
@@ -181,6 +179,30 @@ def dense_answers(docs: DataFrame, cat: SparseCatalog, vectors: np.ndarray, enco
     return docs.withColumn("_a", dense_places(cat, vectors, encoder, k)(F.transform("_c", lambda c: c["summary"]), F.col("_s"), words, F.col("_may")))
 
 
+def own_places(k: int):
+    """As ``sparse_places``, of documents that have questions of their own (tokens of each)."""
+
+    def document(words: pa.Array, may: pa.Array, asked: pa.Array) -> pa.ListArray:
+        owner, first, of_sentence, of_chunk = cut(words)
+        cat = SparseCatalog.of_tokens(asked.flatten())
+        score, shared = cat.scores_and_shared(of_sentence)
+        return places(owner, 1, first, flags(may), cat.scores(of_chunk).T, shared.T, score.T, k)
+
+    @F.arrow_udf(PLACES)
+    def made(words: pa.Array, may: pa.Array, asked: pa.Array) -> pa.Array:
+        return pa.concat_arrays([document(*(x.slice(i, 1) for x in (words, may, asked))) for i in range(len(words))])
+
+    return made
+
+
+def own_answers(docs: DataFrame, k: int) -> DataFrame:
+    """As ``pack`` of ``docs`` with _q, the different questions of each document, by term frequencies."""
+    tokens_ = F.transform("_s", lambda s: F.transform(s, tokens))
+    made = docs.withColumn("_a", own_places(k)(tokens_, F.col("_may"), F.transform("_q", tokens)))
+    results = F.transform("_q", lambda q, i: packed_result(q, F.get("_a", i)))
+    return made.select("doc_id", "_c", "_pages", results.alias("results"))
+
+
 def question_vectors(catalog: DataFrame, cat: SparseCatalog, encoder: Generator) -> np.ndarray:
     """The encoder's vectors of the retrieval texts, in the order of ``cat``; NaN where a question has none."""
     asked = encode(catalog.select("question", "query"), "query", encoder, "_v").where(usable("_v")).select("question", "_v").dropDuplicates(["question"])
@@ -189,12 +211,18 @@ def question_vectors(catalog: DataFrame, cat: SparseCatalog, encoder: Generator)
     return np.array([at[n] if len(at.get(n, ())) == width else [np.nan] * width for n in cat.names.to_pylist()], float)
 
 
+def packed_result(question: Column, at: Column) -> Column:
+    """One of ``results`` that states nothing but places."""
+    none = F.lit(None).cast("string")
+    alternatives = F.transform(at, lambda p: F.struct(p["c"].alias("c"), p["s"].alias("s"), p["score"].alias("score"), none.alias("response")))
+    return F.struct(question.alias("question"), none.alias("best_answer"), alternatives.alias("alternatives"))
+
+
 def pack(docs: DataFrame, questions: DataFrame) -> DataFrame:
-    """doc_id, _c, _pages and ``results``, the RESULTS of ``docs`` with _a; ``questions``: _q (place in _a), question."""
+    """doc_id, _c, _pages and ``results`` of ``docs`` with _a: of each question the alternatives by their places, and texts
+    (best_answer, response) only where they are not what lies there. ``questions``: _q (place in _a), question."""
     listed = questions.agg(F.sort_array(F.collect_list(F.struct("_q", "question"))).alias("_asked"))
-    kind = RESULT[RESULT.index("alternatives:") + 13 : -1]
-    alternatives = lambda x: F.transform(x, lambda p: F.struct(p["c"], p["s"], p["score"], F.lit(None).cast("string").alias("response"))).cast(kind)
-    made = F.transform("_asked", lambda n: F.struct(n["question"].alias("question"), F.lit(None).cast("string").alias("best_answer"), alternatives(F.get("_a", n["_q"])).alias("alternatives")))
+    made = F.transform("_asked", lambda n: packed_result(n["question"], F.get("_a", n["_q"])))
     return docs.crossJoin(F.broadcast(listed)).select("doc_id", "_c", "_pages", made.alias("results"))
 
 

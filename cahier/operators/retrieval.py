@@ -158,6 +158,17 @@ class SparseCatalog:
         first = np.searchsorted(token[order], np.arange(len(tokens) + 1))
         return cls(pa.array(names, pa.string()), pa.array(tokens.tolist(), pa.string()), first, question[order], t["qtf"].to_numpy()[order].astype(float), np.sqrt(norm2))
 
+    @classmethod
+    def of_tokens(cls, words: pa.ListArray) -> SparseCatalog:
+        """Of a few questions that are given by their tokens, named by their places."""
+        n = np.asarray(pc.fill_null(pc.list_value_length(words), 0))
+        coded = words.flatten().dictionary_encode()
+        key, tf = np.unique(np.asarray(coded.indices).astype(np.int64) * max(len(n), 1) + np.repeat(np.arange(len(n)), n), return_counts=True)
+        token, question = np.divmod(key, max(len(n), 1))
+        first = np.searchsorted(token, np.arange(len(coded.dictionary) + 1))
+        names = pa.array([str(i) for i in range(len(n))], pa.string())
+        return cls(names, coded.dictionary, first, question, tf.astype(float), np.sqrt(np.bincount(question, tf * tf, len(n))))
+
     def scores(self, words: pa.ListArray) -> np.ndarray:
         """Cosines of the term frequencies of each row's tokens with all questions, 0 where a side has none."""
         return self.scores_and_shared(words)[0]
