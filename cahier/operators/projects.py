@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cahier import schemas
+from cahier.operators.retrieval import bounded
 from cahier.session import cut_lineage
 
 
@@ -35,8 +36,10 @@ def surrogate_ids(rows: DataFrame, owner: str, order: list[str], start: int = 0)
     """rows + id: consecutive from ``start`` + 1 in the order of owner, then ``order``.
 
     Rows are counted per owner and the counts summed up in ranges of owners, so no window spans the table: first
-    within a range, then over the few ranges, then within an owner.
+    within a range, then over the few ranges, then within an owner. What ``rows`` takes is worked out once and kept, where
+    it lies as it was dealt: rows that are dealt by owner are not shuffled again.
     """
+    rows = cut_lineage(rows)
     per = rows.groupBy(owner).agg(F.count("*").alias("_n"))
     parts = max(1, rows.sparkSession.sparkContext.defaultParallelism)
     ranged = per.repartitionByRange(parts, owner).withColumn("_part", F.spark_partition_id())
@@ -46,7 +49,7 @@ def surrogate_ids(rows: DataFrame, owner: str, order: list[str], start: int = 0)
     starts = sums.select("_part", upto(Window.orderBy("_part")).alias("_start"))  # one row per range
     within = ranged.join(F.broadcast(starts), "_part").select(owner, (F.col("_start") + upto(Window.partitionBy("_part").orderBy(owner))).alias("_base"))
     at = F.row_number().over(Window.partitionBy(owner).orderBy(*order))
-    return rows.join(within, owner).withColumn("id", (F.lit(start) + F.col("_base") + at).cast("bigint")).drop("_base")
+    return rows.join(bounded(within), owner).withColumn("id", (F.lit(start) + F.col("_base") + at).cast("bigint")).drop("_base")
 
 
 def flatten_queries(parsed: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def save_project(spark, sf_dir):
 
 
 def saved_queries(spark, sf_dir) -> DataFrame:
-    return cut_lineage(p.surrogate_ids(p.flatten_queries(p.parse_results(records(spark, sf_dir))), "project_id", ["query_ord"]))
+    return p.surrogate_ids(p.flatten_queries(p.parse_results(records(spark, sf_dir))), "project_id", ["query_ord"])
 
 
 SQL_SAVED = """sq AS (SELECT row_number() OVER (ORDER BY o_custkey::VARCHAR, o_orderpriority || ' ' || o_orderkey) AS id, o_custkey::VARCHAR AS project_id, o_orderkey,
