@@ -128,9 +128,12 @@ def _meet(docs: DataFrame, k: int, percent: int, shared: Broadcast, bits: int, u
     - edges: a, b: each set with the smallest of those that share one of the shortest prefix with it,
     - rows: bucket, digest, n: those of the shortest prefixes; very frequent ones whether shared or not.
 
+    Counts ship half of each hash: shingles of a part that look alike raise a count, which no link is lost by, and what is
+    left over is compared exactly later.
+
     ``total``: shingles of all sets of ``docs``; ``usual``: what a sketch cell of level 0 has at most.
     """
-    part_bits = max(6, (total * (120 - percent) // 100 // PART_ENTRIES).bit_length())
+    part_bits = max(5 if what == "counts" else 6, (total * (120 - percent) // 100 // PART_ENTRIES).bit_length())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, off in text_blocks(batches, 2 << 20):
@@ -160,8 +163,8 @@ def _meet(docs: DataFrame, k: int, percent: int, shared: Broadcast, bits: int, u
             rows = []
             for a, b in zip(cut[:-1], cut[1:]):
                 own, n = np.unique(owner[a:b], return_counts=True)
-                kept = b"" if what == "counts" and part[a] % 2 else h[a:b].tobytes()
-                rows.append((int(part[a]), kept, digests[own].tobytes(), sizes[own].tobytes(), n.astype(np.int32).tobytes()))
+                kept = h[a:b] if what != "counts" else h[a:b].astype(np.uint32) if part[a] % 2 == 0 else h[:0]
+                rows.append((int(part[a]), kept.tobytes(), digests[own].tobytes(), sizes[own].tobytes(), n.astype(np.int32).tobytes()))
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["part", "h", "digest", "size", "n"])
 
@@ -171,11 +174,17 @@ def _meet(docs: DataFrame, k: int, percent: int, shared: Broadcast, bits: int, u
         if what == "counts" and hot:
             digest, at = np.unique(digest, return_index=True)  # equal sets have equal numbers
             return pa.table({"digest": pa.array(digest), "n": pa.array(size[at].astype(np.int64)), "c": pa.array(n[at].astype(np.int64))})
-        h, d, size = read("h", np.uint64), np.repeat(digest, n), np.repeat(size, n).astype(np.int64)
+        h, d, size = read("h", np.uint32 if what == "counts" else np.uint64), np.repeat(digest, n), np.repeat(size, n).astype(np.int64)
+        if what == "counts":  # equal sets are one, by their first rows: their shingles may look alike
+            one = np.zeros(len(digest), bool)
+            one[np.unique(digest, return_index=True)[1]] = True
+            one = np.repeat(one, n)
+            h, d, size = h[one], d[one], size[one]
         by = np.lexsort((d, size, h))
         h, d, size = h[by], d[by], size[by]
-        new = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))[: len(h)]  # equal sets are one
-        h, d, size = h[new], d[new], size[new]
+        if what != "counts":
+            new = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))[: len(h)]  # equal sets are one
+            h, d, size = h[new], d[new], size[new]
         if not hot:
             fits = np.append(False, (h[1:] == h[:-1]) & (100 * size[:-1] >= percent * size[1:]))[: len(h)]
             fits |= np.append(fits[1:], False)[: len(h)]
