@@ -106,8 +106,10 @@ def _count_words(docs: DataFrame, ends: int) -> DataFrame:
 
         for _, data, off in text_blocks(batches):
             w = Words(data, off, NOT_SPACE, lower=True)
-            h, at, n = np.unique(np.append(w.hash, np.full(len(off) - 1, END)), return_index=True, return_counts=True)
-            held.append((h, n, np.append(ending(w, ends), np.full(len(off) - 1, -1))[at]))
+            h = np.append(w.hash, np.full(len(off) - 1, END))
+            by = np.argsort(h)  # any place of a word will do for its ending
+            at = np.flatnonzero(np.append(True, h[by][1:] != h[by][:-1])[: len(h)])
+            held.append((h[by][at], np.diff(np.append(at, len(h))), np.append(ending(w, ends), np.full(len(off) - 1, -1))[by[at]]))
             if sum(len(x[0]) for x in held) > 1_200_000:  # what a task holds is bounded
                 held = [merged()]
                 if len(held[0][0]) > 600_000:
@@ -146,8 +148,14 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("w", "size", "x", "n")]]))
 
 
+def _order(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Order by ``w``, then ``x`` (neither negative); equal rows in any order. Two short numbers are one."""
+    return np.argsort(w.astype(np.int64) << 32 | x) if w.dtype == np.int32 else np.lexsort((x, w))
+
+
 def _dealt(part: np.ndarray, w: np.ndarray, x: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    by = np.lexsort((x, w, part))
+    by = _order(x, w)
+    by = by[np.argsort(part[by], kind="stable")]
     part, w, x, n = part[by], w[by], x[by], n[by]
     cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)]), len(part))
     return _batch([_packed(int(part[i]), w[i:j], x[i:j], n[i:j]) for i, j in zip(cut[:-1], cut[1:])])
@@ -164,7 +172,7 @@ def _adder(w: type, x: type):
             xs.append(about)
             ns.append(n)
         ws, xs, ns = np.concatenate(ws), np.concatenate(xs), np.concatenate(ns)
-        by = np.lexsort((xs, ws))
+        by = _order(xs, ws)
         ws, xs, ns = ws[by], xs[by], ns[by]
         cut = np.flatnonzero(np.append(True, (ws[1:] != ws[:-1]) | (xs[1:] != xs[:-1]))[: len(ws)])
         return pa.Table.from_batches([_batch([_packed(table["part"][0].as_py(), ws[cut], xs[cut], np.add.reduceat(ns, cut) if len(cut) else ns)])])
@@ -180,41 +188,63 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return key[by][at], np.add.reduceat(n[by], at) if len(at) else n
 
 
-def _count_pairs(docs: DataFrame, top: Broadcast, core: int, ends: int, parts: int) -> DataFrame:
+def _count_pairs(docs: DataFrame, top: Broadcast, ends: int, parts: int) -> DataFrame:
     """The pairs of words, by part of the word: x is the other word's index if it stands after, and the number of indices
-    more if it stands before. Rarer words are their endings, with the indices after those of the frequent words. In the
-    parts from ``parts`` on are the pairs of units: all words but the ``core`` most frequent ones are their endings there."""
+    more if it stands before. Rarer words are their endings, with the indices after those of the frequent words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = top.value[0]
-        few = min(core, often.n)
-        kinds = [(often.n + ends, 0, parts, []), (few + ends, parts, UNIT_PARTS, [])]
+        often, held = top.value[0], []
+        width = often.n + ends
 
-        def deal(width: int, first: int, of: int, held: list) -> pa.RecordBatch:
+        def deal() -> pa.RecordBatch:
             key, n = held.pop()
             u, v = np.divmod(key, width)
             w, x = np.concatenate([u, v]).astype(np.int32), np.concatenate([v, u + width]).astype(np.int32)
-            return _dealt(first + w % of, w, x, np.concatenate([n, n]))
+            return _dealt(w % parts, w, x, np.concatenate([n, n]))
 
         for _, data, off in text_blocks(batches):
             words = Words(data, off, NOT_SPACE, lower=True)
             i = often(_sequence(words.hash, words.first, END)).astype(np.int64)
-            e = _sequence(ending(words, ends), words.first, 0)
-            for kind, index in zip(kinds, (np.where(i < 0, often.n + e, i), np.where((i < 0) | (i >= few), few + e, i))):
-                width, held = kind[0], kind[-1]
-                held.append(np.unique(index[:-1] * width + index[1:], return_counts=True))
-                if sum(len(k) for k, _ in held) > 1_200_000:
-                    held[:] = [_merged(held)]
-                    if len(held[0][0]) > 600_000:
-                        yield deal(*kind)
-        for kind in kinds:
-            if kind[-1]:
-                kind[-1][:] = [_merged(kind[-1])]
-                yield deal(*kind)
+            index = np.where(i < 0, often.n + _sequence(ending(words, ends), words.first, 0), i)
+            held.append(np.unique(index[:-1] * width + index[1:], return_counts=True))
+            if sum(len(k) for k, _ in held) > 1_200_000:
+                held[:] = [_merged(held)]
+                if len(held[0][0]) > 600_000:
+                    yield deal()
+        if held:
+            held[:] = [_merged(held)]
+            yield deal()
 
     return cut_lineage(docs.mapInArrow(run, PACKED).groupBy("part").applyInArrow(_adder(np.int32, np.int32), PACKED))
 
 
+def _unit_pairs(pairs: DataFrame, unit: np.ndarray, width: int) -> DataFrame:
+    """The same of units, from the words' pairs; ``unit``: that of each index."""
+    shared = pairs.sparkSession.sparkContext.broadcast(unit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held = shared.value, []
+
+        def deal() -> pa.RecordBatch:
+            key, n = _merged(held)
+            held.clear()
+            w, x = (k.astype(np.int32) for k in np.divmod(key, 2 * width))
+            return _dealt(w % UNIT_PARTS, w, x, n)
+
+        for b in batches:
+            for row in b.to_pylist():
+                w, at, x, n = _unpack(row, np.int32, np.int32)
+                other = np.where(x < len(of), 0, width) + of[x % len(of)]
+                held.append(_merged([(of[w][at] * 2 * width + other, n)]))
+                if sum(len(k) for k, _ in held) > 1_200_000:
+                    yield deal()
+        if held:
+            yield deal()
+
+    added = pairs.mapInArrow(run, PACKED).groupBy("part").applyInArrow(_adder(np.int32, np.int32), PACKED)
+    return cut_lineage(added.repartition(UNIT_PARTS, "part"))  # few and small: a round has a task for each
+
+
 def likelihood(m: np.ndarray) -> float:
     """What the classes add to the log likelihood of the training texts."""
     return float(_xlogx(m).sum() - _xlogx(m.sum(0)).sum() - _xlogx(m.sum(1)).sum())
@@ -509,10 +539,10 @@ def fit(docs: DataFrame, use: Column | None = None, classes: int = 48, core: int
     h, e = most["h"].view(np.uint64), most["e"]
     top = slim.sparkSession.sparkContext.broadcast((Lookup(h), most["c"]))
     parts = max(32, 2 * int(n) // PART_PAIRS)
-    every = _count_pairs(slim, top, core, ends, parts)
-    pairs = every.where(F.col("part") < parts)
-    units = cut_lineage(every.where(F.col("part") >= parts).repartition(UNIT_PARTS, "part"))  # small, so a round reads no more
+    pairs = _count_pairs(slim, top, ends, parts)
     few = min(core, len(h))
+    # All words but the ``core`` most frequent ones are their endings as units.
+    units = _unit_pairs(pairs, np.concatenate([np.arange(few), few + e[few:].astype(np.int64), np.arange(few, few + ends)]), few + ends)
     unit = np.append(np.arange(few), np.arange(ends)) % (classes - 1)
     if few:
         unit[0] = classes - 1  # the end

@@ -272,3 +272,50 @@ def test_registered_language_query(spark):
     truth = spark.read.parquet(f"{driver.SMALL}/documents.parquet").select("doc_id", "lang")
     rows = got.join(truth, "doc_id").where("held_out").collect()
     assert got.count() == truth.count() and sum(r["lang_pred"] == r["lang"] for r in rows) >= 0.95 * len(rows)
+
+
+def test_units_are_counted_from_the_words_pairs(spark):
+    """op2: the texts are read for the pairs of words only; the units' pairs are sums of these."""
+    import cahier.llm.class_lm as m
+
+    words = [f"w{i * i % 37}x{i % 5}" for i in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(words[i * 7 : i * 7 + 40])) for i in range(50)], "doc_id long, text string")
+    counts = m._count_words(docs, 16).toPandas()
+    often = counts.sort_values(["c", "h"], ascending=False).head(30)
+    h, e = often["h"].to_numpy().view(np.uint64), np.maximum(often["e"].to_numpy(), 0)
+    top = spark.sparkContext.broadcast((m.Lookup(h), often["c"].to_numpy()))
+    pairs = m._count_pairs(docs, top, 16, 4)
+    unit = np.concatenate([np.arange(10), 10 + e[10:], np.arange(10, 26)])
+    units = m._unit_pairs(pairs, unit, 26)
+
+    def read(df, size):
+        out = np.zeros((size, 2 * size), int)
+        for r in df.collect():
+            w, at, x, n = m._unpack(r.asDict(), np.int32, np.int32)
+            np.add.at(out, (w[at], x), n)
+        return out
+
+    full, want = read(pairs, 46), np.zeros((26, 52), int)
+    np.add.at(want, (np.repeat(unit, 92), np.tile(np.concatenate([unit, 26 + unit]), 46)), full.ravel())
+    assert (read(units, 26) == want).all() and want.sum() == 2 * counts["c"].sum()
+
+
+def test_counts_ship_half_of_each_hash(spark, monkeypatch):
+    """op5: what a set's prefix takes on its way to be counted; shingles that look alike lose no link."""
+    import cahier.llm.jaccard_join as j
+
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"a{x}" for x in r.integers(0, 10**9, 2000)) for _ in range(64)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(2).localCheckpoint()
+    levels = spark.sparkContext.broadcast(np.zeros(1 << 16, np.uint8))
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = written()
+    j._meet(docs, 5, 75, levels, 16, 8.0, 64 * 1996, "counts").collect()
+    entries = 64 * (1996 * 45 // 100)
+    assert 0 < written() - before < 8 * entries
