@@ -44,6 +44,8 @@ TASK_BYTES = 16 << 20
 FAN_OUT = 8
 #: Tables of ids up to this many rows are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: A member of a chunk is as long as so many ids.
+MEMBER_IDS = 3
 #: Edges of a task when components are found.
 TASK_EDGES = 200_000
 SKETCH_BLOCKS = 64
@@ -299,10 +301,14 @@ class _Bucket:
         return self.links
 
 
-def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(members: DataFrame, sets: DataFrame | None, percent: int) -> DataFrame:
     """``members``: bucket, chunk, digest, n, label, side. Verified links (a, b) between digests that meet in a chunk of a
-    bucket; sets on the same side other than 0 are not compared."""
-    tasks = max(64, 8 * (members.agg(F.sum("n")).first()[0] or 0) // TASK_BYTES)
+    bucket; sets on the same side other than 0 are not compared.
+
+    ``sets``: digest, shingles, or None if members hold their shingles. Sets are long and members short: below a checked
+    number of members only those sets are shuffled that are compared, once."""
+    count, entries = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    tasks = max(64, 8 * entries // TASK_BYTES)
 
     def run(table: pa.Table) -> pa.Table:
         bucket, chunk, digest, label, side = (table[c].to_numpy() for c in ("bucket", "chunk", "digest", "label", "side"))
@@ -318,7 +324,7 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     b.append(digest[ids[j]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    dealt = members.join(sets, "digest").withColumn("task", F.pmod(F.xxhash64("bucket", "chunk"), F.lit(tasks)).cast("int"))
+    dealt = (members if sets is None else sets.join(_small(members, MEMBER_IDS * count), "digest")).withColumn("task", F.pmod(F.xxhash64("bucket", "chunk"), F.lit(tasks)).cast("int"))
     return dealt.select("task", "bucket", "chunk", "digest", "label", "side", "shingles").groupBy("task").applyInArrow(run, "a long, b long")
 
 
@@ -359,15 +365,16 @@ def _chunks(n: str, words: str) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.col(n) / CHUNK), F.ceil(F.col(words) / CHUNK_SHINGLES)).cast("int")
 
 
-def _by_minhash(sets_: DataFrame, m: str) -> DataFrame:
+def _by_minhash(sets_: DataFrame, m: str, made: DataFrame | None = None) -> DataFrame:
     """members: the sets of each cluster in chunks, those with equal min-hash together where they fit in one.
-    ``sets_``: cluster, chunks, digest, n, label and the min-hash."""
+    ``sets_``: cluster, chunks, digest, n, label and the min-hash; ``made``: the same with shingles, which members have then.
+    Groups that do not fit have more than CHUNK sets or CHUNK_SHINGLES shingles each, so they are few."""
     groups = sets_.where("chunks > 1").groupBy("cluster", m).agg(F.count("*").alias("c"), F.sum("n").alias("words"))
     large = groups.where((F.col("c") > CHUNK) | (F.col("words") > CHUNK_SHINGLES)).select("cluster", m, _chunks("c", "words").alias("pieces"))
-    dealt = sets_.join(large, ["cluster", m], "left")
+    dealt = (sets_ if made is None else made).join(F.broadcast(large), ["cluster", m], "left")
     own = F.pmod(F.xxhash64("digest", F.lit(m)), F.col("pieces"))
     chunk = F.when(F.col("chunks") == 1, F.lit(0).cast("long")).when(F.col("pieces").isNotNull(), F.xxhash64(m, own)).otherwise(F.pmod(F.col(m), F.col("chunks")).cast("long"))
-    return dealt.select(F.col("cluster").alias("bucket"), chunk.alias("chunk"), "digest", "n", "label", F.lit(0).alias("side"))
+    return dealt.select(F.col("cluster").alias("bucket"), chunk.alias("chunk"), "digest", "n", "label", F.lit(0).alias("side"), *(["shingles"] if made is not None else []))
 
 
 def _labelled(rows: DataFrame, label: DataFrame, n: int) -> DataFrame:
@@ -388,7 +395,8 @@ def _mixed(rest: DataFrame) -> DataFrame:
 
 def _bucket_pairs(rest: DataFrame, percent: int) -> DataFrame:
     """members of pairs of chunks of buckets of any size whose sizes fit: the sets outside the bucket's main component
-    (``other`` = 1) with each other and with those of it. ``rest``: bucket, digest, n, label, other."""
+    (``other`` = 1) with each other and with those of it; a set whose size fits to none of the other chunk is left out of
+    the pair. ``rest``: bucket, digest, n, label, other."""
     group, room = ["bucket", "other"], F.greatest(F.lit(1.0 / CHUNK), F.col("n") / CHUNK_SHINGLES)
     sizes = rest.groupBy(*group, "n").agg((F.count("*") * F.first(room)).alias("room"))
     before = Window.partitionBy(*group).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
@@ -401,9 +409,10 @@ def _bucket_pairs(rest: DataFrame, percent: int) -> DataFrame:
     pairs = range_.join(second, "bucket").where(((F.col("other") == 0) | (F.col("own") <= F.col("own2"))) & fit)
     pairs = pairs.withColumn("chunk", (F.col("own") * (1 << 31) + F.col("own2")) * 2 + F.col("other"))
     same = (F.col("other") == 1) & (F.col("own") == F.col("own2"))
-    first = pairs.select("bucket", "other", "own", "chunk", F.when(same, 0).otherwise(1).alias("side"))
-    last = pairs.where(~same).select("bucket", F.lit(1).alias("other"), F.col("own2").alias("own"), "chunk", F.lit(2).alias("side"))
+    first = pairs.select("bucket", "other", "own", "chunk", F.when(same, 0).otherwise(1).alias("side"), F.col("lo2").alias("least"), F.col("hi2").alias("most"))
+    last = pairs.where(~same).select("bucket", F.lit(1).alias("other"), F.col("own2").alias("own"), "chunk", F.lit(2).alias("side"), F.col("lo").alias("least"), F.col("hi").alias("most"))
     members = own.join(first.unionByName(last), [*group, "own"])
+    members = members.where((100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least")))
     return members.select("bucket", "chunk", "digest", "n", "label", "side")
 
 
@@ -439,18 +448,30 @@ def _classes(docs: DataFrame, percent: int, words: int, id_col: str, text_col: s
     cluster = cluster.unionByName(cluster.select(F.col("component").alias("node"), "component").distinct())
     sets_ = cut_lineage(wanted.join(cluster.select(F.col("node").alias("digest"), F.col("component").alias("cluster")), "digest"))
 
+    sizes = sets_.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("words")).select("cluster", _chunks("c", "words").alias("chunks"))
+    placed = cut_lineage(sets_.join(sizes, "cluster").select("id", "t", "cluster", "chunks"))
+    texts = slim.join(_small(placed, placed.count()), ["id", "t"]).select("id", "text", "t", "cluster", "chunks")
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, off in text_blocks(batches, 1 << 20):
-            found = [s for s in shingle_sets(data, off, words) if len(s)]
+        seen: set[int] = set()  # rows with one id and text are one; those of different tasks meet in one chunk
+        for b, data, off in text_blocks(batches, 1 << 20):
+            found, at, digests = [], [], []
+            for i, s in enumerate(shingle_sets(data, off, words)):
+                if len(s) and (d := _digest(s)) not in seen:
+                    seen.add(d)
+                    found.append(s)
+                    at.append(i)
+                    digests.append(d)
             least = [[int(mix(mix(s + U64(i + 1)).min()[None]).view(np.int64)[0]) for s in found] for i in range(2)]
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), *[pa.array(m, pa.int64()) for m in least]], ["digest", "shingles", "m0", "m1"])
-
-    made = rows_of(sets_)[0].mapInArrow(sets, "digest long, shingles binary, m0 long, m1 long")
-    made = cut_lineage(made.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("shingles", "m0", "m1")]))  # rows with one id and text are one
-
-    sizes = sets_.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("words")).select("cluster", _chunks("c", "words").alias("chunks"))
-    sets_ = cut_lineage(sets_.join(sizes, "cluster").join(made.select("digest", "m0", "m1"), "digest").withColumn("label", F.col("digest")))
-    links = cut_lineage(_links(_by_minhash(sets_, "m0"), made, percent))
+            given = b.select(["id", "t", "cluster", "chunks"]).take(pa.array(at, pa.int64()))
+            new = [pa.array(digests, pa.int64()), pa.array([len(s) for s in found], pa.int64()), *[pa.array(m, pa.int64()) for m in least], pa.array([s.tobytes() for s in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*given.columns, *new], [*given.schema.names, "digest", "n", "m0", "m1", "shingles"])
+
+    made = cut_lineage(texts.mapInArrow(sets, "id long, t long, cluster long, chunks int, digest long, n long, m0 long, m1 long, shingles binary"))
+    made = made.withColumn("label", F.col("digest"))
+    sets_ = cut_lineage(made.drop("shingles").dropDuplicates(["digest"]))
+    links = cut_lineage(_links(_by_minhash(sets_, "m0", made), None, percent))
+    made = made.where("chunks > 1").select("digest", "shingles")
     label = components(links)
     large = sets_.where("chunks > 1").drop("label")
     if not large.isEmpty():

@@ -319,3 +319,26 @@ def test_counts_ship_half_of_each_hash(spark, monkeypatch):
     j._meet(docs, 5, 75, levels, 16, 8.0, 64 * 1996, "counts").collect()
     entries = 64 * (1996 * 45 // 100)
     assert 0 < written() - before < 8 * entries
+
+
+def test_sets_of_shingles_are_shuffled_once(spark):
+    """op5: sets that may have links are long; neither their making nor a join with what is known of them ships them."""
+    import cahier.llm.jaccard_join as j
+
+    r = np.random.default_rng(5)
+    rows = []
+    for i in range(40):
+        w = [f"a{x}" for x in r.integers(0, 10**9, 2000)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:-3], "x", "y", "z"])), (2 * i + 1, " ".join([*w[:-3], "x", "y", "z"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).localCheckpoint()
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = written()
+    got = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in j.near_duplicates(docs).collect())
+    assert got == sorted((i, 1996, i - i % 2) for i, _ in rows)
+    assert 0 < written() - before < 2.5 * 8 * 80 * 1996
