@@ -271,9 +271,9 @@ class _Ranks:
         self.ids, self.scores = np.take_along_axis(ids, order, 0), np.take_along_axis(scores, order, 0)
 
 
-def _ranked(sorted_rows: DataFrame, cat: SparseCatalog, k: int, block: int) -> DataFrame:
+def _ranked(sorted_rows: DataFrame, cat: SparseCatalog, k: int, block: int, counted: bool = False) -> DataFrame:
     """doc_id, question, chunk_id, score, rank from doc_id, chunk_id, tokens, where a document's rows of one task are
-    neighbours: the best of each run."""
+    neighbours: the best of each run. ``counted``: of each run the last hits alone, whose ranks are the numbers of hits."""
     doc_type, id_type = (sorted_rows.schema[c].dataType.simpleString() for c in ("doc_id", "chunk_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,6 +289,8 @@ def _ranked(sorted_rows: DataFrame, cat: SparseCatalog, k: int, block: int) -> D
 
         def close(r: _Ranks) -> pa.RecordBatch:
             n = len(r.ids)
+            if counted:
+                return emit(pa.array([r.doc], kinds[0]), r.ids[-1:], r.scores[-1:], np.array([n]))
             return emit(pa.array([r.doc] * n, kinds[0]), r.ids, r.scores, np.arange(1, n + 1))
 
         open_: _Ranks | None = None
@@ -320,7 +322,13 @@ def _ranked(sorted_rows: DataFrame, cat: SparseCatalog, k: int, block: int) -> D
     return sorted_rows.mapInArrow(run, f"doc_id {doc_type}, question string, chunk_id {id_type}, score double, rank int")
 
 
-def topk_chunks(summaries: DataFrame, catalog: DataFrame, k: int = TOP_K) -> DataFrame:
+def hit_counts(summaries: DataFrame, catalog: DataFrame, k: int = TOP_K) -> DataFrame:
+    """doc_id, question, k: how many hits of ``topk_chunks`` each question has in each document. They are ranked and counted
+    in the task that holds the document; no hit is shuffled, but of documents that are ranked in parts."""
+    return topk_chunks(summaries, catalog, k, counted=True)
+
+
+def topk_chunks(summaries: DataFrame, catalog: DataFrame, k: int = TOP_K, counted: bool = False) -> DataFrame:
     """doc_id, question, chunk_id, score, rank: the k best chunks of every document for every question by the cosine of
     term frequencies, ties by chunk id. Chunks that share no token with a question score 0.
 
@@ -330,24 +338,32 @@ def topk_chunks(summaries: DataFrame, catalog: DataFrame, k: int = TOP_K) -> Dat
     """
     small_batches(summaries.sparkSession)
     asked = query_vectors(catalog)
+
+    def shown(hits: DataFrame) -> DataFrame:
+        return hits.groupBy("doc_id", "question").agg(F.count("*").alias("k")) if counted else hits.select("doc_id", "question", "chunk_id", "score", "rank")
+
     if asked.count() > BROADCAST_ROWS or catalog.count() > BROADCAST_ROWS:
-        return topk_by_shuffle(summaries, asked, catalog, k)
+        return shown(topk_by_shuffle(summaries, asked, catalog, k))
     cat = SparseCatalog.of(catalog, asked)
     if not len(cat.names):
-        return rank_topk(sparse_scores(summaries, asked), k).select("doc_id", "question", "chunk_id", "score", "rank")
+        return shown(rank_topk(sparse_scores(summaries, asked), k))
     n = int(summaries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = min(256, max(1, SCORES // len(cat.names)))
     slim = summaries.select("doc_id", "chunk_id", "summary")
     long = slim.groupBy("doc_id").agg(F.count("*").alias("_n")).where(F.col("_n") > CHUNKS_PER_TASK).select("doc_id")
 
-    def ranked(rows: DataFrame, *by: Column | str) -> DataFrame:
+    def ranked(rows: DataFrame, *by: Column | str, last: bool = False) -> DataFrame:
         dealt = rows.repartition(n, *by).sortWithinPartitions("doc_id")
-        return _ranked(dealt.select("doc_id", "chunk_id", tokens("summary").alias("t")), cat, k, block)
+        return _ranked(dealt.select("doc_id", "chunk_id", tokens("summary").alias("t")), cat, k, block, last)
+
+    def whole(rows: DataFrame) -> DataFrame:
+        hits = ranked(rows, "doc_id", last=counted)
+        return hits.select("doc_id", "question", F.col("rank").cast("long").alias("k")) if counted else hits
 
     if long.isEmpty():
-        return ranked(slim, "doc_id")
+        return whole(slim)
     parts = ranked(slim.join(long, "doc_id", "left_semi"), "doc_id", F.xxhash64("chunk_id") % F.lit(n)).drop("rank")
-    return ranked(slim.join(long, "doc_id", "left_anti"), "doc_id").unionByName(rank_topk(parts, k))
+    return whole(slim.join(long, "doc_id", "left_anti")).unionByName(shown(rank_topk(parts, k)))
 
 
 def dense_chunks(summaries: DataFrame, catalog: DataFrame, encoder: Generator, k: int = TOP_K) -> DataFrame:
