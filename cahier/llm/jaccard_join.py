@@ -6,7 +6,10 @@
    frequent passages out). Two similar sets share at least l of the first |x| - ceil(t |x|) + l shingles, for every l.
    A second pass takes a fifth of the set as l and counts per set the shingles that a set of fitting size shares; sets
    with too few can have no link and are done.
-3. Of the others the shortest prefixes (l = 1) are dealt; sets that share any shingle of these form clusters.
+3. Of the others the same prefixes are dealt again. A shingle that few sets have gives the pairs of these, and a pair
+   counts only if it shares as many as two similar sets must: sets that share a few words by chance, which in a large
+   collection each does with many, stay apart. Sets that share a shingle that more have are joined by it; frequent ones
+   are left to the shortest prefixes (l = 1). What is connected forms clusters.
 4. A cluster's sets are dealt into chunks of bounded size by a min-hash, so that like sets meet. Each chunk gets a
    signature tree: nodes hold the OR of their sets' bitmaps, the range of sizes and the most bits that any of the sets
    lost to collisions. A traversal of pairs of nodes prunes by sizes and by the maximum possible overlap, and skips pairs
@@ -14,7 +17,7 @@
 5. The sets of clusters with more chunks are dealt once more by another min-hash, which connects nearly all that is
    alike. Where sets of different components are left, those outside the largest are compared with it and each other by
    pairs of chunks, in order of sizes: of the whole cluster, or, where that would be more to ship, of those sets that
-   share a shingle of their shortest prefixes. Both ways are exact.
+   share a shingle that many have, besides the pairs of step 3. Both ways are exact.
 6. Links (at most one fewer than a tree has sets) become components by alternating large-star and small-star.
 
 Shingles so frequent that their sets would burden one task are dealt to several, whose smallest sets meet once more.
@@ -37,6 +40,8 @@ from cahier.session import cut_lineage
 PART_ENTRIES = 1 << 21
 #: Sets with one shingle that go to one task, about; more are dealt to several.
 HOT_ENTRIES = 1 << 18
+#: Sets that share a shingle and are met pair by pair; more are joined by the smallest of them.
+PAIR_SETS = 16
 #: Sets that one task compares with each other.
 CHUNK = 1500
 CHUNK_SHINGLES = 1 << 20
@@ -127,33 +132,46 @@ def _meet(docs: DataFrame, k: int, percent: int, shared: Broadcast, bits: int, u
     """The prefix shingles that at least two different sets of fitting sizes have, as
 
     - counts: digest, n, c: how many of its longer prefix each set has; very frequent ones are taken as shared,
-    - edges: a, b: each set with the smallest of those that share one of the shortest prefix with it,
-    - rows: bucket, digest, n: those of the shortest prefixes; very frequent ones whether shared or not.
+    - edges: a, b: the pairs that share enough, and each set with the smallest of those that share one of many with it,
+    - rows: a, b: the pairs that share enough, or bucket, digest, n: the sets that share one of many; very frequent ones
+      whether shared or not.
 
     Counts ship half of each hash: shingles of a part that look alike raise a count, which no link is lost by, and what is
     left over is compared exactly later.
 
+    A shingle is one of many if it is frequent (a level over 0) or more than PAIR_SETS sets have it. Of the frequent ones
+    only those of the shortest prefixes are dealt; a set knows how many it left out, and a pair may lack so many. So two
+    similar sets share one of many, or enough of the others: were their only ones frequent, the shortest prefixes would
+    share one of these.
+
     ``total``: shingles of all sets of ``docs``; ``usual``: what a sketch cell of level 0 has at most.
     """
     part_bits = max(5 if what == "counts" else 6, (total * (120 - percent) // 100 // PART_ENTRIES).bit_length())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, off in text_blocks(batches, 2 << 20):
-            seen, prefixes, digests, sizes = set(), [], [], []
+            seen, prefixes, digests, sizes, frequent = set(), [], [], [], []
             for s in shingle_sets(data, off, k):
                 if not len(s) or (d := _digest(s)) in seen:
                     continue
                 seen.add(d)
                 level = shared.value[(s >> U64(64 - bits)).astype(np.int64)]
-                p = _prefix_length(len(s), percent, max(1, len(s) // 5) if what == "counts" else 1)
-                prefixes.append(s[:p] if not level.any() else s[np.argsort(level, kind="stable")[:p]])
+                p = _prefix_length(len(s), percent, max(1, len(s) // 5))
+                if not level.any():
+                    prefixes.append(s[:p])
+                    frequent.append(0)
+                else:
+                    by = np.argsort(level, kind="stable")[:p]
+                    often = level[by] > 0
+                    frequent.append(int(often.sum()))
+                    prefixes.append(s[by if what == "counts" else by[~often | (np.arange(len(by)) < _prefix_length(len(s), percent, 1))]])
                 digests.append(d)
                 sizes.append(len(s))
             if not prefixes:
                 continue
             h = np.concatenate(prefixes)
             owner = np.repeat(np.arange(len(prefixes)), [len(p) for p in prefixes])
-            digests, sizes = np.array(digests, np.int64), np.array(sizes, np.int32)
+            digests, sizes, frequent = np.array(digests, np.int64), np.array(sizes, np.int32), np.array(frequent, np.int32)
             level = shared.value[(h >> U64(64 - bits)).astype(np.int64)].astype(float)
             shares = np.where(level > 0, np.ceil(usual * 2.0**level / HOT_ENTRIES), 1).astype(np.uint64)
             hot = (level > 0) if what == "counts" else (shares > 1)
@@ -166,9 +184,9 @@ def _meet(docs: DataFrame, k: int, percent: int, shared: Broadcast, bits: int, u
             for a, b in zip(cut[:-1], cut[1:]):
                 own, n = np.unique(owner[a:b], return_counts=True)
                 kept = h[a:b] if what != "counts" else h[a:b].astype(np.uint32) if part[a] % 2 == 0 else h[:0]
-                rows.append((int(part[a]), kept.tobytes(), digests[own].tobytes(), sizes[own].tobytes(), n.astype(np.int32).tobytes()))
+                rows.append((int(part[a]), kept.tobytes(), digests[own].tobytes(), sizes[own].tobytes(), n.astype(np.int32).tobytes(), frequent[own].tobytes() if what != "counts" else b""))
             cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["part", "h", "digest", "size", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["part", "h", "digest", "size", "n", "frequent"])
 
     def meet(table: pa.Table) -> pa.Table:
         read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()])
@@ -182,49 +200,81 @@ def _meet(docs: DataFrame, k: int, percent: int, shared: Broadcast, bits: int, u
             one[np.unique(digest, return_index=True)[1]] = True
             one = np.repeat(one, n)
             h, d, size = h[one], d[one], size[one]
+        often = np.repeat(read("frequent", np.int32), n).astype(np.int64) if what != "counts" else np.zeros(len(h), np.int64)
         by = np.lexsort((d, size, h))
-        h, d, size = h[by], d[by], size[by]
+        h, d, size, often = h[by], d[by], size[by], often[by]
         if what != "counts":
             new = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))[: len(h)]  # equal sets are one
-            h, d, size = h[new], d[new], size[new]
+            h, d, size, often = h[new], d[new], size[new], often[new]
         if not hot:
             fits = np.append(False, (h[1:] == h[:-1]) & (100 * size[:-1] >= percent * size[1:]))[: len(h)]
             fits |= np.append(fits[1:], False)[: len(h)]
-            h, d, size = h[fits], d[fits], size[fits]
-        if what == "rows":
-            return pa.table({"bucket": pa.array(h.view(np.int64)), "digest": pa.array(d), "n": pa.array(size)})
+            h, d, size, often = h[fits], d[fits], size[fits], often[fits]
         if what == "counts":
             d, at, c = np.unique(d, return_index=True, return_counts=True)
             return pa.table({"digest": pa.array(d), "n": pa.array(size[at]), "c": pa.array(c.astype(np.int64))})
         run = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (100 * size[:-1] < percent * size[1:]))[: len(h)])
+        length = np.diff(np.append(run, len(h)))
+        many = np.repeat((length > PAIR_SETS) | (shared.value[(h[run] >> U64(64 - bits)).astype(np.int64)] > 0) | bool(hot), length)
+        x, y, c = _pairs(h[~many], d[~many], size[~many], percent)
+        few, left_out = size[~many], often[~many]
+        least = np.minimum(few[x], few[y])
+        need = np.maximum(1, np.minimum(least // 5, -(-percent * least // 100)) - np.minimum(left_out[x], left_out[y]))
+        pairs = {"a": d[~many][x], "b": d[~many][y], "c": c, "need": need}
+        h, d, size = h[many], d[many], size[many]
+        if what == "rows":
+            return _union(pairs, {"bucket": h.view(np.int64), "digest": d, "n": size})
+        run = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (100 * size[:-1] < percent * size[1:]))[: len(h)])
         last = (np.append(run[1:], len(h)) - 1)[: len(run)]
         least = np.minimum.reduceat(d, run) if len(d) else d
         hub = np.repeat(least, np.diff(np.append(run, len(d)))) if len(d) else d
-        pairs = np.unique(np.stack([d, hub], 1)[d != hub], axis=0)
+        stars = np.unique(np.stack([d, hub], 1)[d != hub], axis=0)
         again = len(run) if hot else 0  # the hubs of a shingle that several tasks have meet once more
-        nulls = lambda n: pa.nulls(n, pa.int64())
-        return pa.table(
-            {
-                "a": pa.array(np.append(pairs[:, 0], least[:again])),
-                "b": pa.concat_arrays([pa.array(pairs[:, 1]), nulls(again)]),
-                "h": pa.concat_arrays([nulls(len(pairs)), pa.array(h[run][:again].view(np.int64))]),
-                "lo": pa.concat_arrays([nulls(len(pairs)), pa.array(size[run][:again])]),
-                "hi": pa.concat_arrays([nulls(len(pairs)), pa.array(size[last][:again])]),
-            }
-        )
-
-    schema = {"counts": "digest long, n long, c long", "edges": "a long, b long, h long, lo long, hi long", "rows": "bucket long, digest long, n long"}[what]
-    dealt = docs.mapInArrow(deal, "part int, h binary, digest binary, size binary, n binary")
+        return _union(pairs, {"a": stars[:, 0], "b": stars[:, 1]}, {"a": least[:again], "h": h[run][:again].view(np.int64), "lo": size[run][:again], "hi": size[last][:again]})
+
+    pair = "a long, b long, c long, need long"
+    schema = {"counts": "digest long, n long, c long", "edges": f"{pair}, h long, lo long, hi long", "rows": f"{pair}, bucket long, digest long, n long"}[what]
+
+    def _union(*parts: dict) -> pa.Table:
+        names = [x.split()[0] for x in schema.split(", ")]
+        return pa.concat_tables([pa.table({k: pa.array(p[k], pa.int64()) if k in p else pa.nulls(len(p["a" if "a" in p else "bucket"]), pa.int64()) for k in names}) for p in parts])
+
+    dealt = docs.mapInArrow(deal, "part int, h binary, digest binary, size binary, n binary, frequent binary")
     found = dealt.groupBy("part").applyInArrow(meet, schema)
-    if what != "edges":
+    if what == "counts":
         return found
     found = cut_lineage(found)
+    pairs = found.where("need is not null").groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("need").alias("need")).where("c >= need").select("a", "b")
+    if what == "rows":
+        none = F.lit(None).cast("long")
+        return found.where("bucket is not null").select("a", "b", "bucket", "digest", "n").unionByName(pairs.withColumns({c: none for c in ("bucket", "digest", "n")}))
     # Hubs of one shingle in order of sizes: one that fits to any before it is joined to the one with the largest of these.
     by = Window.partitionBy("h").orderBy("lo", "hi", "a").rowsBetween(Window.unboundedPreceding, -1)
     top = F.max(F.struct("hi", "a")).over(by)
     hubs = found.where("h is not null").select("a", "lo", top.alias("top"))
     hubs = hubs.where((100 * F.col("top.hi") >= percent * F.col("lo")) & (F.col("a") != F.col("top.a"))).select("a", F.col("top.a").alias("b"))
-    return found.where("h is null").select("a", "b").unionByName(hubs)
+    return found.where("h is null and need is null").select("a", "b").unionByName(hubs).unionByName(pairs)
+
+
+def _pairs(h: np.ndarray, d: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places x and y of each pair of sets ``d`` of fitting sizes that share a shingle, the smaller number first; how many
+    they share), from rows in order of ``h`` and ``size``."""
+    x, y = [], []
+    for step in range(1, len(h)):
+        at = np.flatnonzero(h[step:] == h[:-step])
+        if not len(at):
+            break
+        at = at[100 * size[at] >= percent * size[at + step]]
+        x.append(at)
+        y.append(at + step)
+    if not x:
+        return (np.zeros(0, np.int64),) * 3
+    x, y = np.concatenate(x), np.concatenate(y)
+    first, second = np.minimum(d[x], d[y]), np.maximum(d[x], d[y])
+    x, y = np.where(d[x] == first, x, y), np.where(d[x] == first, y, x)
+    by = np.lexsort((second, first))
+    start = np.flatnonzero(np.append(True, (first[by][1:] != first[by][:-1]) | (second[by][1:] != second[by][:-1]))[: len(by)])
+    return x[by][start], y[by][start], np.diff(np.append(start, len(by)))
 
 
 class _Bucket:
@@ -416,12 +466,24 @@ def _bucket_pairs(rest: DataFrame, percent: int) -> DataFrame:
     return members.select("bucket", "chunk", "digest", "n", "label", "side")
 
 
-def _cheap(rest: DataFrame, percent: int) -> DataFrame:
-    """bucket: the clusters in which pairs of chunks of the whole cluster are less to ship than the sets' prefix shingles."""
+def _shipped(rest: DataFrame) -> DataFrame:
+    """bucket, words, and how many shingles pairs of chunks of the whole cluster ship."""
     room = F.greatest(F.lit(1.0 / CHUNK), F.col("n") / CHUNK_SHINGLES)
-    of = lambda other: F.ceil(F.sum(F.when(F.col("other") == other, room).otherwise(0.0)))
-    sizes = rest.groupBy("bucket").agg(of(0).alias("main"), of(1).alias("others"), F.sum("n").alias("words"))
-    return sizes.where((F.col("main") + F.col("others")) * F.col("others") * 2 * CHUNK <= F.col("words") * (101 - percent) / 100).select("bucket")
+    others = F.ceil(F.sum(F.when(F.col("other") == 1, room).otherwise(0.0)))
+    return rest.groupBy("bucket").agg(others.alias("others"), F.sum("n").alias("words")).select("bucket", "words", (2 * F.col("others") * F.col("words")).alias("by_chunks"))
+
+
+def _cheap(rest: DataFrame, percent: int) -> DataFrame:
+    """bucket: the clusters in which pairs of chunks of the whole cluster are less to ship than the sets' prefix shingles
+    (rows of three numbers, shuffled three times)."""
+    return _shipped(rest).where(F.col("by_chunks") <= 9 * F.col("words") * (120 - percent) / 100).select("bucket")
+
+
+def _couples(pairs: DataFrame, labelled: DataFrame, n: int) -> DataFrame:
+    """members: each of ``pairs`` (a, b) whose components differ by itself. ``labelled``: digest, n, label of ``n`` sets."""
+    of = lambda c: _small(labelled.select(F.col("digest").alias(c), F.struct("digest", "n", "label").alias(f"{c}_")), MEMBER_IDS * n)
+    both = pairs.join(of("a"), "a").join(of("b"), "b").where("a_.label != b_.label")
+    return both.select(F.col("a").alias("bucket"), F.col("b").alias("chunk"), F.explode(F.array("a_", "b_")).alias("m")).select("bucket", "chunk", "m.*", F.lit(0).alias("side"))
 
 
 def _classes(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -484,13 +546,24 @@ def _classes(docs: DataFrame, percent: int, words: int, id_col: str, text_col: s
         count = cheap.count()
         pairs = cut_lineage(_bucket_pairs(rest.join(_small(cheap, count), "bucket", "left_semi"), percent))
         links = links.unionByName(cut_lineage(_links(pairs, made, percent)))
-        dear = rest.join(_small(cheap, count), "bucket", "left_anti").select("digest")
-        chosen, total_open = rows_of(cut_lineage(large.join(dear, "digest", "left_semi")))
+        dear = rest.join(_small(cheap, count), "bucket", "left_anti")
+        chosen, total_open = rows_of(cut_lineage(large.join(dear.select("digest"), "digest", "left_semi")))
         if total_open:
-            shared = _meet(chosen, words, percent, levels, bits, usual, total_open, "rows")
-            rest = cut_lineage(_mixed(_labelled(shared, label, label.count())))
+            shared = cut_lineage(_meet(chosen, words, percent, levels, bits, usual, total_open, "rows"))
+            open_ = cut_lineage(dear.select(F.col("bucket").alias("cluster"), "digest", "n", "label"))
+            couples = cut_lineage(_couples(shared.where("a is not null").select("a", "b"), open_.drop("cluster"), open_.count()))
+            links = links.unionByName(cut_lineage(_links(couples, made, percent)))
+            label = components(links)
+            rest = cut_lineage(_mixed(_labelled(shared.where("bucket is not null").select("bucket", "digest", "n"), label, label.count())))
+            # Only now it is known what sets that share a shingle of many are to ship, and where the cluster is less.
+            by_rows = rest.join(open_.select("digest", "cluster"), "digest").groupBy(F.col("cluster").alias("bucket")).agg(F.sum("n").alias("by_rows"))
+            less = cut_lineage(_shipped(dear).join(by_rows, "bucket").where("by_chunks < by_rows").select("bucket"))
+            count = less.count()
+            inside = open_.join(_small(less.withColumnRenamed("bucket", "cluster"), count), "cluster", "left_semi").select("digest")
+            rest = cut_lineage(rest.join(_small(inside, open_.count()), "digest", "left_anti"))
             whole = rest.where("chunks = 1").select("bucket", F.lit(0).cast("long").alias("chunk"), "digest", "n", "label", F.lit(0).alias("side"))
-            pairs = cut_lineage(whole.unionByName(_bucket_pairs(rest.where("chunks > 1"), percent)))
+            pairs = whole.unionByName(_bucket_pairs(rest.where("chunks > 1"), percent))
+            pairs = cut_lineage(pairs.unionByName(_bucket_pairs(dear.join(_small(less, count), "bucket", "left_semi"), percent)))
             links = links.unionByName(_links(pairs, made, percent))
         label = components(links)
     label = label.unionByName(label.select(F.col("component").alias("node"), "component").distinct())
