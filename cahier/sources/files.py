@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import fnmatch
+import functools
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from urllib.parse import unquote, urlsplit
@@ -12,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cahier.functions.text import is_blank, strip
+from cahier.session import keep
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -63,12 +67,65 @@ def _put(path: str, content) -> None:
 RANGE_BYTES = 64 << 20
 #: Bytes of small ranges that leave a task together.
 HELD_BYTES = 1 << 20
+#: Files and folders that leave a task together when folders are listed.
+LISTED_ROWS = 10_000
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """doc_id (the path), doc_name, length: no byte of a file is read. Spark's reader passes over empty files."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("doc_name"), "length")
+    """doc_id (the path), doc_name, length: no byte of a file is read. As Spark's reader, it passes over empty and hidden files.
+
+    Tasks list the folders, level by level, and the driver holds no file's name; Spark's reader has the driver list all.
+    """
+    context = spark.sparkContext
+    given = context._jvm.org.apache.hadoop.fs.Path(path)
+    root = given.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(given).toString()
+    names = [re.compile(fnmatch.translate(x.replace("[^", "[!"))) for x in _alternatives(glob)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                held = []
+                for name, length in _inside(folder):
+                    hidden = name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+                    if not hidden and (length is None or (length and any(x.match(name) for x in names))):
+                        held.append((f"{folder}/{name}", name, length))
+                    if len(held) == LISTED_ROWS:
+                        yield _listed(held)
+                        held = []
+                yield _listed(held)
+
+    folders, found = spark.createDataFrame([(root.rstrip("/"),)], "doc_id string"), []
+    while True:
+        level = keep(folders.repartition(4 * context.defaultParallelism, "doc_id").mapInArrow(run, "doc_id string, doc_name string, length long"))
+        found.append(level.where("length is not null"))
+        folders = level.where("length is null").select("doc_id")
+        if folders.isEmpty():
+            return functools.reduce(DataFrame.unionByName, found)
+
+
+def _alternatives(glob: str) -> list[str]:
+    """A glob with braces as globs without."""
+    m = re.search(r"\{([^{}]*)\}", glob)
+    return [y for x in m[1].split(",") for y in _alternatives(glob[: m.start()] + x + glob[m.end() :])] if m else [glob]
+
+
+def _listed(rows: list[tuple]) -> pa.RecordBatch:
+    doc_id, name, length = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(doc_id, pa.string()), pa.array(name, pa.string()), pa.array(length, pa.int64())], ["doc_id", "doc_name", "length"])
+
+
+def _inside(folder: str) -> Iterator[tuple[str, int | None]]:
+    """(name, bytes) of each file in a folder, (name, None) of each folder."""
+    if folder.startswith("file:"):
+        with os.scandir(unquote(urlsplit(folder).path) or "/") as entries:
+            for x in entries:
+                yield x.name, None if x.is_dir() else x.stat().st_size
+        return
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(folder)
+    for x in store.get_file_info(fs.FileSelector(inner)):
+        yield x.base_name, None if x.type == fs.FileType.Directory else x.size
 
 
 def _open(path: str):
@@ -106,6 +163,23 @@ def read_ranges(files: DataFrame, size: int = RANGE_BYTES) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id string, doc_name string, part long, start long, content binary")
 
 
+def read_listed(files: DataFrame) -> DataFrame:
+    """raw_files of ``files`` (of ``list_files``): doc_id, doc_name, content, read whole by tasks that the names are dealt to."""
+    dealt = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").select("doc_id", "doc_name")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first, held = 0, []
+            for i in range(b.num_rows):
+                with _open(b.column(0)[i].as_py()) as f:
+                    held.append(f.read())
+                if i + 1 == b.num_rows or sum(map(len, held)) > HELD_BYTES:
+                    yield pa.RecordBatch.from_arrays([*(c.slice(first, len(held)) for c in b.columns), pa.array(held, pa.binary())], [*b.schema.names, "content"])
+                    first, held = i + 1, []
+
+    return dealt.mapInArrow(run, "doc_id string, doc_name string, content binary")
+
+
 def range_digests(ranges: DataFrame) -> DataFrame:
     """doc_id, length, parts, digest: SHA-256 of the ranges' SHA-256 in their order. Only digests leave the tasks, so a
     file of any size is known by its content without being held anywhere."""
