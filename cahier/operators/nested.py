@@ -240,8 +240,9 @@ def pack_hits(flat: DataFrame, docs: DataFrame) -> DataFrame:
 def unfold(packed: DataFrame) -> DataFrame:
     """doc_id, question, best_answer, alternatives of rows of ``pack``. What is shown of a document's chunks and pages is
     looked up in its row; a best answer or response that is not stated is the sentence at its place."""
-    cut_ = packed.withColumn("_s", F.transform("_c", summary_sentences))
-    each = cut_.select("doc_id", "_c", "_s", "_pages", F.explode("results").alias("_r")).withColumn("_x", F.col("_r.alternatives"))
+    # What is the same for all questions is worked out once per document, below the explode.
+    cut_ = packed.withColumn("_s", F.transform("_c", summary_sentences)).withColumn("_n", F.transform("_pages", lambda p: F.length(p["text"])))
+    each = cut_.select("doc_id", "_c", "_s", "_n", "_pages", F.explode("results").alias("_r")).withColumn("_x", F.col("_r.alternatives"))
 
     def response(x):
         return F.coalesce(x["response"], F.get(F.get("_s", x["c"]), x["s"]))
@@ -250,14 +251,14 @@ def unfold(packed: DataFrame) -> DataFrame:
         return F.array_position(F.col("_pages.key"), F.coalesce(F.get("_c", x["c"])["page_number"].cast("string"), F.lit("")))
 
     def field(x, name):
-        chunk, text = F.get("_c", x["c"]), F.get("_pages", (x["p"] - 1).cast("int"))["text"]
+        chunk, text, length = F.get("_c", x["c"]), F.get("_pages", (x["p"] - 1).cast("int"))["text"], F.get("_n", (x["p"] - 1).cast("int"))
         if name == "response":
             return response(x)
         if name == "score":
             return F.round(x["score"], 3)
         if name == "excerpt":
             return text
-        return F.least(chunk[name], F.length(text)) if name in ("start_char", "end_char") else chunk[name]
+        return F.least(chunk[name], length) if name in ("start_char", "end_char") else chunk[name]
 
     best = F.get(F.filter("_x", lambda x: x["score"] > -1), 0)
     found = F.filter(F.transform("_x", lambda x: F.struct(*[x[f].alias(f) for f in ("c", "s", "score", "response")], page(x).alias("p"))), lambda x: x["p"] > 0)
